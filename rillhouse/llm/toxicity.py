@@ -2,7 +2,7 @@
 
 Features of a text are its lower-case words and their prefixes, as far as training chose them:
 those much more frequent in toxic than in other labelled texts. A feature's value is
-log(1 + count), and one feature more counts the words with any chosen feature. Labels say toxic or
+log(1 + count), and two features more count the words with any chosen feature, and those after the first. Labels say toxic or
 not; severity grades come from them: grade 0 for texts not labelled toxic, and 1 to 3 for toxic
 ones by thirds of the number of words with a chosen feature.
 With one weight vector w for all grades and ordered thresholds c1 <= c2 <= c3,
@@ -30,8 +30,8 @@ GRADES = 3
 _words = re.compile(r"\w+").findall
 _PREFIXES = (4, 5, 6, 7)
 _KEEP = 500_000
-#: The feature that counts words with any chosen feature.
-ANY = "*"
+#: The features that count words with any chosen feature, and those after the first.
+ANY, MORE = "*", "**"
 
 
 def features_of(word: str) -> list[str]:
@@ -70,7 +70,7 @@ class Scorer(dict):
         hits = list(filter(None, map(self.__getitem__, words)))
         counts = Counter(f for h in hits for f in h)
         if hits:
-            counts[ANY] = len(hits)
+            counts[ANY], counts[MORE] = len(hits), len(hits) - 1
         return counts, len(hits), len(words)
 
     def eta(self, text: str | None) -> float:
@@ -106,8 +106,9 @@ def fit(texts: list[str | None], toxic: list[bool], steps: int = 600, rate: floa
     if not chosen:
         return Model({}, [4.0 + k for k in range(GRADES)])
     index = {f: i for i, f in enumerate(chosen)}
-    chosen.append(ANY)
-    index[ANY] = len(index)
+    for f in (ANY, MORE):
+        chosen.append(f)
+        index[f] = len(index)
     scan = Model(dict.fromkeys(chosen, 1.0), []).scorer()
     rows, cols, vals, found = [], [], [], np.zeros(len(texts))
     for i, t in enumerate(texts):
