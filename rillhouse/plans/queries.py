@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from rillhouse.functions import changelog as ch
 from rillhouse.functions.times import stamp, to_seconds
 from rillhouse.operators import facts, routing, traffic, windows
-from rillhouse.session import ROCKSDB, shared_path
+from rillhouse.session import shared_path
 from rillhouse.sources import topics
 from rillhouse.streaming import runners, state
 
@@ -96,13 +96,13 @@ def cart_uu_window(spark, d):
     return windows.cart_uu_window(_users(spark, d, "click"), width="1 hour")
 
 
-@query(f"""WITH {PAGE}, w AS (SELECT et, unnest(list_distinct(list_filter(regexp_split_to_array(lower(item), '[^a-z0-9]+'), x -> x <> ''))) AS keyword FROM page WHERE last_page_id IN ('home', 'search') AND item IS NOT NULL)
+@query(f"""WITH {PAGE}, w AS (SELECT et, unnest(list_distinct([x FOR x IN regexp_split_to_array(lower(item), '[^a-z0-9]+') IF x <> ''])) AS keyword FROM page WHERE last_page_id IN ('home', 'search') AND item IS NOT NULL)
 SELECT {win('et', 3600)}, keyword, count(*) AS keyword_count FROM w GROUP BY ALL""")
 def keyword_window(spark, d):
     return windows.keyword_window(fx.page_log(spark, d), width="1 hour")
 
 
-@query(f"""WITH t AS (SELECT make_timestamp((doc_id * 60) * 1000000) AS et, unnest(list_distinct(list_filter(regexp_split_to_array(lower(text), '[^\\p{{L}}\\p{{N}}]+'), x -> x <> ''))) AS keyword FROM documents)
+@query(f"""WITH t AS (SELECT make_timestamp((doc_id * 60) * 1000000) AS et, unnest(list_distinct([x FOR x IN regexp_split_to_array(lower(text), '[^\\p{{L}}\\p{{N}}]+') IF x <> ''])) AS keyword FROM documents)
 SELECT {win('et', 86400)}, keyword, count(*) AS keyword_count FROM t GROUP BY ALL""")
 def keyword_documents(spark, d):
     docs = fx.table(spark, d, "documents").select(F.expr("timestamp_ntz '1970-01-01 00:00:00' + make_interval(0, 0, 0, 0, 0, doc_id, 0)").alias("et"), F.lit("home").alias("last_page_id"), F.lit("keyword").alias("item_type"), F.col("text").alias("item"))
@@ -377,7 +377,6 @@ def stream_upsert(spark, d):
 @query("SELECT event_id AS seq, user_id, row_number() OVER (PARTITION BY user_id, CAST(ts AS DATE) ORDER BY ts, event_id) = 1 AS is_first FROM events WHERE event_type = 'purchase'")
 def stream_first_of_day(spark, d):
     """The state processor's marks over a stream that comes in one batch."""
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     rows = _stream(spark, d, "events").where("event_type = 'purchase'").select("user_id", F.col("ts").cast("timestamp").alias("et"), F.col("event_id").alias("seq"))
     path = shared_path(spark, "first-of-day")
     runners.append(state.first_of_day(rows, "user_id"), path, shared_path(spark, "first-checkpoint"))

@@ -6,36 +6,30 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
-class FirstOfDay(StatefulProcessor):
-    """Marks the rows of a key that come first on their day. Rows of a batch are taken in time
-    order; between batches the order of arrival rules. State ends a while after its last use."""
-
-    def __init__(self, schema: list[str], ttl_ms: int):
-        self.columns, self.ttl_ms = schema, ttl_ms
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", "day string", self.ttl_ms)
+def first_of_day(stream: DataFrame, key: str, ttl_ms: int | None = None) -> DataFrame:
+    """The rows of a stream (with et and seq) and `is_first`: true on a key's first row of a day.
+    Rows of a batch are taken in time order; between batches the order of arrival rules. With
+    `ttl_ms` state ends that long after its last use; such a query never ends by itself, so runs
+    over what is there (available-now) leave it out."""
+    columns = stream.columns
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in stream.schema.fields)
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+    def run(_: tuple, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         found = pd.concat(list(rows)).sort_values(["et", "seq"], kind="stable")
-        last = self.last.get()[0] if self.last.exists() else ""
+        last = state.get[0] if state.exists else ""
         marks = []
         for day in found["et"].dt.strftime("%Y-%m-%d"):
             marks.append(day > last)
             last = max(last, day)
-        self.last.update((last,))
-        yield found.assign(is_first=marks)[[*self.columns, "is_first"]]
+        state.update((last,))
+        if ttl_ms is not None:
+            state.setTimeoutDuration(ttl_ms)
+        yield found.assign(is_first=marks)[[*columns, "is_first"]]
 
-    def close(self) -> None:
-        pass
-
-
-def first_of_day(stream: DataFrame, key: str, ttl_ms: int = 2 * 86_400_000) -> DataFrame:
-    """The rows of a stream (with et and seq) and `is_first`."""
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in stream.schema.fields)
-    return stream.groupBy(key).transformWithStateInPandas(
-        statefulProcessor=FirstOfDay(stream.columns, ttl_ms), outputStructType=f"{schema}, is_first boolean", outputMode="Append", timeMode="ProcessingTime"
-    )
+    return stream.groupBy(key).applyInPandasWithState(run, f"{schema}, is_first boolean", "day string", "append", GroupStateTimeout.NoTimeout if ttl_ms is None else GroupStateTimeout.ProcessingTimeTimeout)
