@@ -20,7 +20,7 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import free_name, materialize, ship
@@ -99,9 +99,9 @@ def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
         raise ValueError("the block test holds for 4 bits at most")
     near = materialize(neighbour_candidates(fps), "simhash-near")
     points = F.transform(F.lit(np.array(ball((radius + 1) // 2), dtype=np.int64)), lambda x: F.col("fp").bitwiseXOR(x))
-    met = near.repartition("fp").select("fp", F.explode(points).alias("point")).repartition("point")
-    hubs = met.groupBy("point").agg(F.min("fp").alias("hub"), F.max("fp").alias("hi")).where("hub < hi").select("point", "hub")
-    pairs = met.join(hubs, "point").where("fp > hub").select("fp", "hub").distinct()
+    met = near.repartition("fp").select("fp", F.explode(points).alias("point"))
+    # at most 2081 distinct fingerprints have a point in their balls, so no window is large
+    pairs = met.withColumn("hub", F.min("fp").over(Window.partitionBy("point"))).where("fp > hub").select("fp", "hub").distinct()
     return pairs.where(F.bit_count(F.col("fp").bitwiseXOR(F.col("hub"))) <= radius)
 
 
