@@ -12,6 +12,7 @@ P(grade >= k) = sigmoid(w.x - ck); the expected severity is the sum of these ove
 from __future__ import annotations
 
 import re
+import sys
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -85,9 +86,10 @@ def choose_features(texts: list[str | None], toxic: list[bool], most: int = 20_0
     after the classes are brought to equal size."""
     groups: tuple[dict, dict] = {}, {}
     for t, x in zip(texts, toxic, strict=True):
-        own = set(_words((t or "").lower()))
+        own = set(map(sys.intern, _words((t or "").lower())))
         groups[x].setdefault(tuple(sorted(zlib.crc32(w.encode()) for w in own)[:2]), set()).update(own)
-    neg, pos = (Counter(f for own in g.values() for f in {f for w in own for f in features_of(w)}) for g in groups)
+    pos = Counter(f for own in groups[1].values() for f in {f for w in own for f in features_of(w)})
+    neg = Counter(f for own in groups[0].values() for f in {f for w in own for f in features_of(w)} if f in pos)
     n, p = map(len, groups)
     gains = {}
     for f, k in pos.items():
