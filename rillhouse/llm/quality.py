@@ -113,18 +113,33 @@ def _distance(rows: DataFrame) -> DataFrame:
     return rows.withColumn("d2", sum((F.col(f"z_{i}") * F.col(f"z_{i}") for i in range(D)), F.lit(0.0)))
 
 
+#: A document's groups, from the narrowest: it is held against the first that has an estimate.
+LEVELS = (("lang", "source"), ("lang",), ())
+
+
+def _group(keys: tuple[str, ...] | list[str]) -> Column:
+    """Name of a row's group by `keys`; null is a value of its own."""
+    return F.concat_ws("\x1f", F.lit(str(len(keys))), *[F.coalesce(F.concat(F.lit("v"), F.col(k)), F.lit("null")) for k in keys])
+
+
 def estimates(stats: DataFrame, keys: list[str], steps: int = STEPS) -> DataFrame:
-    """For each group of `LEAST` rows or more: n, centre m_i, Cholesky factor l_i_j and median
-    squared distance `mid`, after `steps` concentration steps."""
-    group = F.concat_ws("\x1f", *[F.coalesce(F.concat(F.lit("v"), F.col(k)), F.lit("null")) for k in keys]) if keys else F.lit("all")
-    rows = stats.select(group.alias("g"), *FEATURES)
+    """Estimates (see `concentrate`) of the groups of `stats` by `keys`."""
+    return concentrate(stats.select(_group(keys).alias("g"), *FEATURES), steps)
+
+
+def concentrate(rows: DataFrame, steps: int = STEPS) -> DataFrame:
+    """For each group `g` of `LEAST` rows or more: n, centre m_i, Cholesky factor l_i_j and median
+    squared distance `mid`, after `steps` concentration steps. What is joined to the rows has been
+    written, a row for each group, so that its size decides whether it is broadcast and no group
+    has to come together in one task."""
     med = rows.groupBy("g").agg(F.count("*").alias("n"), *[F.percentile_approx(f, 0.5, 1000).alias(f"m_{i}") for i, f in enumerate(FEATURES)]).where(F.col("n") >= LEAST)
+    med = materialize(med, "mcd")
     mad = rows.join(med, "g").groupBy("g").agg(F.first("n").alias("n"), *[F.first(f"m_{i}").alias(f"m_{i}") for i in range(D)], *[F.percentile_approx(F.abs(F.col(f) - F.col(f"m_{i}")), 0.5, 1000).alias(f"s_{i}") for i, f in enumerate(FEATURES)])
     est = mad.select("g", "n", *[f"m_{i}" for i in range(D)], *[(F.greatest(F.lit(RIDGE**0.5), 1.4826 * F.col(f"s_{i}")) if i == j else F.lit(0.0)).alias(f"l_{i}_{j}") for i in range(D) for j in range(i + 1)])
     for _ in range(steps):
         est = materialize(est, "mcd")
         far = _distance(rows.join(est, "g")).select("g", *FEATURES, "d2")
-        cut = far.groupBy("g").agg(F.percentile_approx("d2", 0.5, 1000).alias("half"))
+        cut = materialize(far.groupBy("g").agg(F.percentile_approx("d2", 0.5, 1000).alias("half")), "mcd")
         near = far.join(cut, "g").where("d2 <= half")
         est = _cholesky(_moments(near, ["g"]), 1.0).select("g", "n", *[f"m_{i}" for i in range(D)], *[f"l_{i}_{j}" for i in range(D) for j in range(i + 1)])
     est = materialize(est, "mcd")
@@ -139,17 +154,15 @@ def judge(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", cut: floa
     Null and blank texts have no words and fail; null languages and sources are groups; with fewer
     than `LEAST` documents in all there is no estimate and the base rules decide alone; no rows
     give none."""
-    stats = materialize(statistics(docs, doc_id, text), "quality")
-    for_use = stats.where(~base_failed())
-    levels = (["lang", "source"], ["lang"], [])
+    groups = F.array(*map(_group, LEVELS)).alias("groups")
+    stats = materialize(statistics(docs, doc_id, text).select("*", groups), "quality")
+    est = concentrate(stats.where(~base_failed()).select(F.explode("groups").alias("g"), *FEATURES))
+    cols = ["mid", "upper", *[f"m_{i}" for i in range(D)], *[f"l_{i}_{j}" for i in range(D) for j in range(i + 1)]]
     rows = stats
-    for n, keys in enumerate(levels):
-        est = estimates(for_use, keys)
-        group = F.concat_ws("\x1f", *[F.coalesce(F.concat(F.lit("v"), F.col(k)), F.lit("null")) for k in keys]) if keys else F.lit("all")
-        cols = ["mid", "upper", *[f"m_{i}" for i in range(D)], *[f"l_{i}_{j}" for i in range(D) for j in range(i + 1)]]
+    for n in range(len(LEVELS)):
         packed = est.select(F.col("g").alias(f"g{n}"), F.struct(*cols).alias(f"e{n}"))
-        rows = rows.withColumn(f"g{n}", group).join(packed, f"g{n}", "left").drop(f"g{n}")
-    rows = rows.withColumn("e", F.coalesce(*[f"e{n}" for n in range(len(levels))])).select(*stats.columns, "e.*")
+        rows = rows.join(packed, F.col("groups")[n] == F.col(f"g{n}"), "left").drop(f"g{n}")
+    rows = rows.withColumn("e", F.coalesce(*[f"e{n}" for n in range(len(LEVELS))])).select(*stats.columns, "e.*")
     # a group whose distances spread wider than chi-square's gets a wider margin
     scale = F.greatest(F.lit(1.0), F.col("mid") / CHI2_MEDIAN, F.col("upper") / CHI2_UPPER)
     d2 = F.col("d2") / scale
