@@ -28,6 +28,9 @@ CHI2_MEDIAN, CHI2_UPPER, CHI2_CUT = 4.3515, 6.6257, 30.856
 STEPS = 3
 #: Documents that a group needs for an estimate of its own.
 LEAST = 60
+#: Rows of estimates, of at most 25 numbers each, that are broadcast whatever their files' sizes; of
+#: more, the optimizer decides.
+BROADCAST_ROWS = 50_000
 #: Added to each variance: the least spread that counts, 0.1, so that a feature that hardly varies in
 #: a group (most texts repeat nothing) doesn't make every other value an outlier.
 RIDGE = 1e-2
@@ -122,6 +125,12 @@ def _group(keys: tuple[str, ...] | list[str]) -> Column:
     return F.concat_ws("\x1f", F.lit(str(len(keys))), *[F.coalesce(F.concat(F.lit("v"), F.col(k)), F.lit("null")) for k in keys])
 
 
+def _written(est: DataFrame) -> DataFrame:
+    """A row for each group, written; to be broadcast if these are few."""
+    est = materialize(est, "mcd")
+    return F.broadcast(est) if est.count() <= BROADCAST_ROWS else est
+
+
 def estimates(stats: DataFrame, keys: list[str], steps: int = STEPS) -> DataFrame:
     """Estimates (see `concentrate`) of the groups of `stats` by `keys`."""
     return concentrate(stats.select(_group(keys).alias("g"), *FEATURES), steps)
@@ -133,18 +142,18 @@ def concentrate(rows: DataFrame, steps: int = STEPS) -> DataFrame:
     written, a row for each group, so that its size decides whether it is broadcast and no group
     has to come together in one task."""
     med = rows.groupBy("g").agg(F.count("*").alias("n"), *[F.percentile_approx(f, 0.5, 1000).alias(f"m_{i}") for i, f in enumerate(FEATURES)]).where(F.col("n") >= LEAST)
-    med = materialize(med, "mcd")
+    med = _written(med)
     mad = rows.join(med, "g").groupBy("g").agg(F.first("n").alias("n"), *[F.first(f"m_{i}").alias(f"m_{i}") for i in range(D)], *[F.percentile_approx(F.abs(F.col(f) - F.col(f"m_{i}")), 0.5, 1000).alias(f"s_{i}") for i, f in enumerate(FEATURES)])
     est = mad.select("g", "n", *[f"m_{i}" for i in range(D)], *[(F.greatest(F.lit(RIDGE**0.5), 1.4826 * F.col(f"s_{i}")) if i == j else F.lit(0.0)).alias(f"l_{i}_{j}") for i in range(D) for j in range(i + 1)])
     for _ in range(steps):
-        est = materialize(est, "mcd")
+        est = _written(est)
         far = _distance(rows.join(est, "g")).select("g", *FEATURES, "d2")
-        cut = materialize(far.groupBy("g").agg(F.percentile_approx("d2", 0.5, 1000).alias("half")), "mcd")
+        cut = _written(far.groupBy("g").agg(F.percentile_approx("d2", 0.5, 1000).alias("half")))
         near = far.join(cut, "g").where("d2 <= half")
         est = _cholesky(_moments(near, ["g"]), 1.0).select("g", "n", *[f"m_{i}" for i in range(D)], *[f"l_{i}_{j}" for i in range(D) for j in range(i + 1)])
-    est = materialize(est, "mcd")
+    est = _written(est)
     spread = _distance(rows.join(est, "g")).groupBy("g").agg(F.percentile_approx("d2", F.array(F.lit(0.5), F.lit(0.75)), 1000).alias("q"))
-    return materialize(est.join(spread.select("g", F.greatest(F.lit(1e-6), F.col("q")[0]).alias("mid"), F.greatest(F.lit(1e-6), F.col("q")[1]).alias("upper")), "g"), "mcd")
+    return _written(est.join(spread.select("g", F.greatest(F.lit(1e-6), F.col("q")[0]).alias("mid"), F.greatest(F.lit(1e-6), F.col("q")[1]).alias("upper")), "g"))
 
 
 def judge(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", cut: float = CHI2_CUT) -> DataFrame:
