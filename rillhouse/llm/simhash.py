@@ -87,9 +87,10 @@ def neighbour_candidates(fps: DataFrame) -> DataFrame:
     """Distinct fingerprints (`fp`) that meet another one on some pair of blocks."""
     keys = F.array(*[F.struct(F.lit(f).alias("f"), F.lit(m).alias("m"), F.lit(t).alias("t")) for f, m, t in projections()])
     key = F.transform(keys, lambda k: F.col("fp").bitwiseXOR(k["f"]).bitwiseAND(k["m"]).bitwiseOR(k["t"]))
-    met = fps.select("fp", F.explode(key).alias("key")).repartition("key")
-    several = met.groupBy("key").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi")).where("lo < hi").select("key")
-    return met.join(several, "key", "left_semi").select("fp").distinct()
+    # one shuffle: each key's rows are sorted together, and a large group spills instead of being held
+    cell = Window.partitionBy("key")
+    met = fps.select("fp", F.explode(key).alias("key")).select("fp", F.min("fp").over(cell).alias("lo"), F.max("fp").over(cell).alias("hi"))
+    return met.where("lo < hi").select("fp").distinct()
 
 
 def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
