@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from .common import ship
 
 _NONE = 1 << 62
-_KEEP = 800_000  # pieces whose ids a worker remembers at most
+_KEEP = 100_000  # pieces whose ids a worker remembers at most
 _LONG = 48  # longer pieces are not remembered
 
 
