@@ -15,6 +15,10 @@ from pyspark.sql import functions as F
 SPACE_CLASS = r"\x20\x09-\x0D"
 SPACES = " \t\n\x0b\f\r"
 
+#: Rows in an Arrow batch at most: texts can be long, and a worker holds whole batches.
+BATCH_ROWS = 1000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
 _shipped: set[str] = set()
 
 
@@ -45,7 +49,10 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors' Python, once for each Spark application."""
+    """Send this package to the executors' Python, once for each Spark application, and see that
+    the session's Arrow batches are small."""
+    if not 0 < int(spark.conf.get(_BATCH, "10000")) <= BATCH_ROWS:
+        spark.conf.set(_BATCH, str(BATCH_ROWS))
     sc = spark.sparkContext
     if sc.applicationId in _shipped:
         return
