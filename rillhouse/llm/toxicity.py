@@ -30,7 +30,7 @@ MAX_ROWS = (5000, 2500)
 GRADES = 3
 _words = re.compile(r"\w+").findall
 _PREFIXES = (4, 5, 6, 7)
-_KEEP = 100_000
+_KEEP = 500_000
 #: The features that count words with any chosen feature, and those after the first.
 ANY, MORE = "*", "**"
 
