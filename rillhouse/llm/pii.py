@@ -12,7 +12,8 @@ bounded sample of islands, with the same program in its sum form.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from array import array
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -33,8 +34,8 @@ _phone = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _digit = re.compile("[0-9]")
 _island = re.compile(r"[^\s]*[0-9@][^\s]*(?:\x20[^\s]*[0-9@][^\s]*)*")
 _tokens = re.compile(r"[A-Za-z]+|[0-9]+|[^A-Za-z0-9]")
-#: A segment's most tokens; and the tokens of an island that one run of the program takes. Longer
-#: islands are cut there, at a point that no base span crosses.
+#: A segment's most tokens; and how many tokens' segments are scored at a time. The program runs
+#: over an island as a whole, however long; only training passes over islands longer than that.
 LONGEST, ISLAND = 16, 256
 #: Documents whose islands train the model at most: the smallest id hashes of those with a digit
 #: or an at sign; and the islands used of them.
@@ -122,11 +123,12 @@ def features(island: str, a: int, b: int) -> np.ndarray:
     return x
 
 
-def segments(island: str, offsets: list[int]) -> tuple[list[tuple[int, int]], np.ndarray]:
+def segments(island: str, offsets: Sequence[int], first: int = 0, last: int | None = None) -> tuple[list[tuple[int, int]], np.ndarray]:
     """Candidate entity segments (token range) and their features: they start and end off spaces
-    and hold a digit or a sign between letters."""
+    and hold a digit or a sign between letters. With `first` and `last` only those that start in
+    that range of tokens; they may end beyond it."""
     n, out, rows = len(offsets) - 1, [], []
-    for i in range(n):
+    for i in range(first, n if last is None else last):
         if island[offsets[i]] == " ":
             continue
         for j in range(i + 1, min(n, i + LONGEST) + 1):
@@ -142,41 +144,33 @@ class Model:
     weights: np.ndarray  # a row for each type; being no entity scores 0 for each token
 
     def decode(self, island: str) -> list[tuple[int, int, int, float]]:
-        """Entities (kind, start, end, score) of the best segmentation of an island."""
-        offsets = [0, *(m.end() for m in _tokens.finditer(island))]
-        out = []
-        for at in range(0, len(offsets) - 1, ISLAND):
-            cut = offsets[at : at + ISLAND + 1]
-            part = island[cut[0] : cut[-1]]
-            out += [(k, a + cut[0], b + cut[0], s) for k, a, b, s in self._decode(part, [o - cut[0] for o in cut])]
-        return out
-
-    def _decode(self, island: str, offsets: list[int]) -> list[tuple[int, int, int, float]]:
-        found, x = segments(island, offsets)
-        if not found:
-            return []
-        scores = x @ self.weights.T
-        kinds, best = scores.argmax(1), scores.max(1)
-        ends: dict[int, list[int]] = {}
-        for s, (_, j) in enumerate(found):
-            if best[s] > 0:  # others lose against tokens that are no entity
-                ends.setdefault(j, []).append(s)
+        """Entities (kind, start, end, score) of the best segmentation of an island. Segments are
+        scored in stretches of `ISLAND` starts; those that end beyond a stretch wait in `ends`."""
+        offsets = array("q", [0])
+        offsets.extend(m.end() for m in _tokens.finditer(island))
         n = len(offsets) - 1
-        value, back = [0.0] * (n + 1), [-1] * (n + 1)
-        for j in range(1, n + 1):
-            value[j] = value[j - 1]
-            for s in ends.get(j, ()):
-                v = value[found[s][0]] + best[s]
-                if v > value[j]:
-                    value[j], back[j] = v, s
+        value = array("d", bytes(8 * (n + 1)))
+        # the best segment that ends at each token: its tokens (0: none), kind and score
+        size, kind, score = array("b", bytes(n + 1)), array("b", bytes(n + 1)), array("d", bytes(8 * (n + 1)))
+        ends: dict[int, list[tuple[int, int, float]]] = {}
+        for at in range(0, n, ISLAND):
+            stop = min(n, at + ISLAND)
+            found, x = segments(island, offsets, at, stop)
+            scores = x @ self.weights.T
+            kinds, best = scores.argmax(1), scores.max(1)
+            for s, (i, j) in enumerate(found):
+                if best[s] > 0:  # others lose against tokens that are no entity
+                    ends.setdefault(j, []).append((i, int(kinds[s]), float(best[s])))
+            for j in range(at + 1, stop + 1):
+                value[j] = value[j - 1]
+                for i, k, v in ends.pop(j, ()):
+                    if value[i] + v > value[j]:
+                        value[j], size[j], kind[j], score[j] = value[i] + v, j - i, k, v
         out, j = [], n
         while j:
-            if back[j] < 0:
-                j -= 1
-            else:
-                i = found[back[j]][0]
-                out.append((int(kinds[back[j]]), offsets[i], offsets[j], float(best[back[j]])))
-                j = i
+            if size[j]:
+                out.append((kind[j], offsets[j - size[j]], offsets[j], score[j]))
+            j -= size[j] or 1
         return out[::-1]
 
 

@@ -349,6 +349,42 @@ def test_segment_decoding_equals_enumeration():
     assert sum(s for *_, s in model.decode(island)) == pytest.approx(top(len(offsets) - 1))
 
 
+def test_long_islands_are_decoded_as_a_whole():
+    rng = np.random.default_rng(4)
+    for island in (
+        " ".join(f"{rng.integers(10**6)}-{rng.integers(10**4)}" for _ in range(200)),
+        ",".join(rng.choice(["12", "x", "a@b.cc", "10.2.3", "+4", "55-1"], 300)),
+    ):
+        model = pii.Model(rng.normal(0, 1, (4, pii._FEATURES)))
+        offsets = [0, *(m.end() for m in pii._tokens.finditer(island))]
+        assert len(offsets) > 600
+        found, x = pii.segments(island, offsets)
+        scores = x @ model.weights.T
+        best = [(0.0, ())] * len(offsets)  # one run over all segments: value, entities
+        at = {}
+        for s, (i, j) in enumerate(found):
+            at.setdefault(j, []).append((i, s))
+        for j in range(1, len(offsets)):
+            best[j] = best[j - 1]
+            for i, s in at.get(j, ()):
+                v = best[i][0] + scores[s].max()
+                if v > best[j][0]:
+                    best[j] = (v, (*best[i][1], (int(scores[s].argmax()), offsets[i], offsets[j])))
+        assert [e[:3] for e in model.decode(island)] == list(best[-1][1])
+        assert sum(e[3] for e in model.decode(island)) == pytest.approx(best[-1][0])
+
+
+def test_entity_across_token_256_is_found_whole():
+    weights = np.zeros((4, pii._FEATURES))
+    # phone: 9 to 15 digits, no letters, free-standing
+    weights[:, 0], weights[3, 3], weights[3, 10], weights[3, [15, 16, 22]] = -4, -99, 8, -9
+    number = "030/5550/1234"
+    text = "x1," * 84 + "a2 " + number + ",x1" * 150  # tokens 255 to 259
+    start = text.index(number)
+    assert (3, start, start + len(number)) in [e[:3] for e in pii.Model(weights).decode(text)]
+    assert number not in pii.replaced(text, pii.find(text, pii.Model(weights)))
+
+
 def test_gradient_equals_difference():
     rng = np.random.default_rng(2)
     w = rng.normal(0, 0.1, (4, pii._FEATURES))
