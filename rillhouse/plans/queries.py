@@ -12,7 +12,7 @@ from rillhouse.functions.times import stamp, to_seconds
 from rillhouse.operators import facts, routing, traffic, windows
 from rillhouse.session import shared_path
 from rillhouse.sources import topics
-from rillhouse.streaming import runners, state
+from rillhouse.streaming import runners
 
 from . import fixtures as fx
 
@@ -376,8 +376,8 @@ def stream_upsert(spark, d):
 
 @query("SELECT event_id AS seq, user_id, row_number() OVER (PARTITION BY user_id, CAST(ts AS DATE) ORDER BY ts, event_id) = 1 AS is_first FROM events WHERE event_type = 'purchase'")
 def stream_first_of_day(spark, d):
-    """The state processor's marks over a stream that comes in one batch."""
+    """Marks by the keyed state over a stream that comes in one batch."""
     rows = _stream(spark, d, "events").where("event_type = 'purchase'").select("user_id", F.col("ts").cast("timestamp").alias("et"), F.col("event_id").alias("seq"))
     path = shared_path(spark, "first-of-day")
-    runners.append(state.first_of_day(rows, "user_id"), path, shared_path(spark, "first-checkpoint"))
+    runners.first_of_day(rows, "user_id", path, shared_path(spark, "first-checkpoint"))
     return spark.read.parquet(path).select("seq", "user_id", "is_first")

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from rillhouse.functions.changelog import latest_per_key
 
+from . import state
+
 
 def append(df: DataFrame, path: str, checkpoint: str, partition_by: list[str] | None = None) -> None:
     """Run a stream over all there is and append its rows as Parquet."""
@@ -70,3 +72,36 @@ def with_config(stream: DataFrame, load: Callable[[], DataFrame], route: Callabl
         route(batch, load()).write.mode("overwrite").partitionBy("sink_table").parquet(f"{path}/batch={n}")
 
     stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
+def first_of_day(stream: DataFrame, key: str, path: str, checkpoint: str, ttl_ms: int | None = None) -> None:
+    """Append the rows of a stream (with et and seq) and `is_first`: true on a key's first row of a
+    day. Rows of a batch are taken in time order; between batches the order of arrival rules. With
+    `ttl_ms` a key's state ends that long after its last use. The state, a row for each key, lies
+    in the checkpoint and is written anew by each batch; the version before it is kept, so that a
+    batch that runs again gives the same marks."""
+    home = f"{checkpoint}/last_days"
+
+    def run(batch: DataFrame, n: int) -> None:
+        spark = batch.sparkSession
+        hadoop = spark._jvm.org.apache.hadoop.fs.Path
+        fs = hadoop(home).getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+        known = [int(f.getPath().getName()[2:]) for f in fs.listStatus(hadoop(home))] if fs.exists(hadoop(home)) else []
+        before = max((v for v in known if v < n), default=None)
+        row = "row"
+        while row in (c.lower() for c in batch.columns):
+            row = "_" + row
+        # row numbers hold only for rows that are written
+        slim = batch.withColumn(row, F.monotonically_increasing_id())
+        slim.write.mode("overwrite").parquet(f"{checkpoint}/held")
+        held = spark.read.schema(slim.schema).parquet(f"{checkpoint}/held")
+        schema = f"k {batch.schema[key].dataType.simpleString()}, day date, used timestamp"
+        last = spark.createDataFrame([], schema) if before is None else spark.read.schema(schema).parquet(f"{home}/v={before}")
+        state.first_of_day(held, key, row, state.alive(last, ttl_ms)).write.mode("overwrite").parquet(f"{path}/batch={n}")
+        state.last_days(held, key, last, ttl_ms).write.mode("overwrite").parquet(f"{home}/v={n}")
+        for v in known:
+            if before is not None and v < before:
+                fs.delete(hadoop(f"{home}/v={v}"), True)
+        fs.delete(hadoop(f"{checkpoint}/held"), True)
+
+    stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()

@@ -1,35 +1,28 @@
-"""Keyed state on streams: the last date that a key was seen."""
+"""Keyed state of streams: the last date that a key was seen."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-
-
-def first_of_day(stream: DataFrame, key: str, ttl_ms: int | None = None) -> DataFrame:
-    """The rows of a stream (with et and seq) and `is_first`: true on a key's first row of a day.
-    Rows of a batch are taken in time order; between batches the order of arrival rules. With
-    `ttl_ms` state ends that long after its last use; such a query never ends by itself, so runs
-    over what is there (available-now) leave it out."""
-    columns = stream.columns
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in stream.schema.fields)
-
-    def run(_: tuple, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        found = pd.concat(list(rows)).sort_values(["et", "seq"], kind="stable")
-        last = state.get[0] if state.exists else ""
-        marks = []
-        for day in found["et"].dt.strftime("%Y-%m-%d"):
-            marks.append(day > last)
-            last = max(last, day)
-        state.update((last,))
-        if ttl_ms is not None:
-            state.setTimeoutDuration(ttl_ms)
-        yield found.assign(is_first=marks)[[*columns, "is_first"]]
-
-    return stream.groupBy(key).applyInPandasWithState(run, f"{schema}, is_first boolean", "day string", "append", GroupStateTimeout.NoTimeout if ttl_ms is None else GroupStateTimeout.ProcessingTimeTimeout)
+from pyspark.sql import functions as F
+
+
+def first_of_day(batch: DataFrame, key: str, row: str, last: DataFrame) -> DataFrame:
+    """The rows of a batch (with et, seq and a unique number `row`) without `row`, and `is_first`:
+    true on a key's first row of a day, by et, seq, that is later than the key's last day. `last`:
+    (k, day). Rows of a key are never held together: partial sums find the first of each key and
+    day, and only these meet the state. A null key is a key; a row without et is no day's first."""
+    firsts = batch.where("et IS NOT NULL").groupBy(F.col(key).alias("k"), F.to_date("et").alias("d")).agg(F.min(F.struct("et", "seq", row)).alias("m"))
+    seen = last.select(F.col("k").alias("seen"), F.col("day").alias("until"))
+    new = firsts.join(seen, F.col("k").eqNullSafe(F.col("seen")), "left").where("until IS NULL OR d > until")
+    marks = new.select(F.col(f"m.{row}").alias(row), F.lit(True).alias("is_first"))
+    return batch.join(marks, row, "left").select(*[c for c in batch.columns if c != row], F.coalesce("is_first", F.lit(False)).alias("is_first"))
+
+
+def last_days(batch: DataFrame, key: str, last: DataFrame, ttl_ms: int | None = None) -> DataFrame:
+    """The state after a batch: (k, day, used). With `ttl_ms` keys not used for that long are dropped."""
+    own = batch.where("et IS NOT NULL").groupBy(F.col(key).alias("k")).agg(F.max(F.to_date("et")).alias("day")).withColumn("used", F.current_timestamp())
+    return alive(last, ttl_ms).unionByName(own).groupBy("k").agg(F.max("day").alias("day"), F.max("used").alias("used"))
+
+
+def alive(last: DataFrame, ttl_ms: int | None = None) -> DataFrame:
+    return last if ttl_ms is None else last.where(F.col("used") >= F.current_timestamp() - F.expr(f"make_dt_interval(0, 0, 0, {ttl_ms} / 1000)"))
