@@ -1,5 +1,7 @@
-"""Tumbling-window jobs. All take a window width; streams also a watermark delay. Records carry an
-event time `et` and a unique `seq` after equal times."""
+"""Tumbling-window jobs. All take a window width. `register_window`, `keyword_window` and
+`cart_uu_window` also take a watermark delay and run on streams; the other eight set no watermark
+and are batch only: of these traffic, home_detail, login, payment and order use window functions,
+which streams refuse. Records carry an event time `et` and a unique `seq` after equal times."""
 
 from __future__ import annotations
 
