@@ -21,8 +21,10 @@ ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?(
 ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
 KINDS = ("assign", "access", "hex", "markov")
-#: What the Markov models look at: runs of these characters, this long at least.
-TOKEN = r"[A-Za-z0-9+/_=-]{16,}"
+#: What the Markov models look at: runs of these characters, this long at least, without the parts
+#: that base spans cover.
+SHORTEST = 16
+TOKEN = rf"[A-Za-z0-9+/_=-]{{{SHORTEST},}}"
 #: Mean log-likelihood ratio of a transition, in nats, above which a token is a secret.
 THRESHOLD = 0.5
 #: Documents whose words and base spans train the models: those with the smallest id hashes, of
@@ -102,6 +104,16 @@ def likelihood_ratio(value: Column, model: list[float]) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.length(value) - 1), F.lit(0.0), add) / (F.length(value) - 1)
 
 
+def uncovered(run: Column, base: Column) -> Column:
+    """The parts of a run (start, kind, end, value) that no base span covers, of the least token
+    length. `base` is sorted by start; base spans of different kinds may overlap."""
+    part = lambda a, b: F.struct(a.alias("start"), run["kind"].alias("kind"), b.alias("end"), run["value"].substr(a - run["start"] + 1, b - a).alias("value"))
+    add = lambda acc, end: F.concat(acc["parts"], F.when(end - acc["at"] >= SHORTEST, F.array(part(acc["at"], end))).otherwise(_none()))
+    step = lambda acc, b: F.struct(F.greatest(acc["at"], b["end"]).alias("at"), add(acc, b["start"]).alias("parts"))
+    inside = F.filter(base, lambda b: (b["start"] < run["end"]) & (b["end"] > run["start"]))
+    return F.aggregate(inside, F.struct(run["start"].alias("at"), _none().alias("parts")), step, lambda acc: add(acc, run["end"]))
+
+
 def scan(docs: DataFrame, model: list[float], text: str = "text", out: str = "secrets", threshold: float = THRESHOLD) -> DataFrame:
     """`docs` with a struct column: base and spans, arrays of (start, kind, end, value) in code
     points, end exclusive, by start, then kind (0 assign, 1 access, 2 hex, 3 markov). A Markov
@@ -109,8 +121,8 @@ def scan(docs: DataFrame, model: list[float], text: str = "text", out: str = "se
     whole, base, found = free_name(docs, "whole"), free_name(docs, "base"), free_name(docs, "found")
     docs = docs.withColumn(whole, whole_text(text)).withColumn(base, base_spans(F.col(whole)))
     tokens = F.when(F.col(whole).rlike(TOKEN), _spans(F.col(whole), TOKEN, 3)).otherwise(_none())
-    likely = F.filter(tokens, lambda s: (likelihood_ratio(s["value"], model) > threshold) & ~F.exists(F.col(base), lambda b: (b["start"] < s["end"]) & (b["end"] > s["start"])))
-    docs = docs.withColumn(found, likely)
+    parts = F.when(F.size(base) == 0, tokens).otherwise(F.flatten(F.transform(tokens, lambda s: uncovered(s, F.col(base)))))
+    docs = docs.withColumn(found, F.filter(parts, lambda s: likelihood_ratio(s["value"], model) > threshold))
     return docs.withColumn(out, F.struct(F.col(base).alias("base"), F.array_sort(F.concat(base, found)).alias("spans"))).drop(whole, base, found)
 
 
