@@ -10,18 +10,20 @@ probabilities, and a threshold on them marks predictions to reject.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import ship
 
-#: Training documents at most: those with the smallest id hashes among the learnable ones.
-MAX_DOCS = 3000
+#: Training documents: those with the smallest id hashes among the learnable ones; and so many of
+#: each language at least, or all that it has, again those with the smallest id hashes.
+MAX_DOCS, LANG_DOCS = 3000, 200
 BUCKETS = 1 << 14
 _CHUNK = 1 << 20  # bytes scored at a time
 _letter = re.compile(r"[^\W\d_]").search
@@ -157,11 +159,27 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0, F.lit(True))
 
 
-def train(docs: DataFrame, max_docs: int = MAX_DOCS) -> Model:
-    """Fit on the documents that may be learned from: not held out, text and lang not null."""
-    rows = docs.where(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "lang")
-    rows = rows.orderBy(F.xxhash64("doc_id"), "doc_id", "text", "lang").limit(max_docs).collect()
-    return fit([r["text"] for r in rows], [r["lang"] for r in rows])
+def sample(docs: DataFrame, max_docs: int = MAX_DOCS, lang_docs: int = LANG_DOCS) -> list[tuple[str, str]]:
+    """(text, lang) of the training documents: of those not held out, text and lang not null."""
+    order = ["h", "doc_id", "text", "lang"]
+    rows = docs.where(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull()).select(F.xxhash64("doc_id").alias("h"), "doc_id", "text", "lang")
+    found = rows.orderBy(*order).limit(max_docs).collect()
+    counts = Counter(r["lang"] for r in found)
+    common = [k for k, n in counts.items() if n >= lang_docs]
+    if len(found) == max_docs:  # else these are all
+        rest = rows.where(~F.col("lang").isin(common))
+        # the filter on the row number is also run before the shuffle, so that few rows of a language meet
+        first = lambda df, by: df.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy(*by))).where(F.col("n") <= lang_docs).drop("n")
+        limits = first(rest.select("lang", "h"), ["h"]).groupBy("lang").agg(F.max("h").alias("last"))
+        rare = first(rest.join(limits, "lang").where("h <= last"), order[:3]).collect()
+        found = sorted([*(r for r in found if r["lang"] in common), *rare], key=lambda r: tuple(r[c] for c in order)) if rare else found
+    return [(r["text"], r["lang"]) for r in found]
+
+
+def train(docs: DataFrame, max_docs: int = MAX_DOCS, lang_docs: int = LANG_DOCS) -> Model:
+    """Fit on the sample of the documents that may be learned from."""
+    rows = sample(docs, max_docs, lang_docs)
+    return fit([t for t, _ in rows], [k for _, k in rows])
 
 
 def identify(docs: DataFrame, model: Model, text: str = "text", out: str = "language") -> DataFrame:

@@ -218,6 +218,20 @@ def test_language_scores_equal_plain_average_and_odd(odd, none):
     assert langid.identify(odd, langid.train(none)).where("language.lang_pred <> 'und'").count() == 0
 
 
+def test_rare_language_is_learned(spark):
+    words = {"en": "the cat sat on mat and hat".split(), "de": "der hund und die katze sind".split(), "fi": "hyvää päivää kiitos yksi kaksi".split()}
+    rng = random.Random(6)
+    rows = [(i, k, " ".join(rng.choices(words[k], k=12))) for i in range(8000) for k in ["fi" if i % 1000 == 7 else ("en", "de")[i % 2]]]
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    learnable = {t for t, in docs.where(~langid.held_out() & (F.col("lang") == "fi")).select("text").collect()}
+    got = langid.sample(docs, max_docs=200, lang_docs=50)
+    assert {t for t, k in got if k == "fi"} == learnable and len(learnable) > 3
+    assert langid.sample(docs.where("lang <> 'fi'"), 200, 50) == [r for r in got if r[1] != "fi"]  # nothing else changes
+    few = langid.sample(docs, max_docs=200, lang_docs=150)
+    assert Counter(k for _, k in few) == {"en": 150, "de": 150, "fi": len(learnable)}
+    assert set(langid.train(docs, 200, 50).langs) == {"de", "en", "fi"}
+
+
 # --- 5
 
 
