@@ -95,14 +95,20 @@ def neighbour_candidates(fps: DataFrame) -> DataFrame:
 
 def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
     """Edges (`fp` > `hub`) whose connected components are those of all pairs of distinct
-    fingerprints within `radius` bits (4 at most). `fps`: distinct bigints in `fp`."""
+    fingerprints within `radius` bits (4 at most). `fps`: distinct bigints in `fp`.
+
+    Two fingerprints within `radius` have a point within half of it, rounded down, of one and half
+    of it, rounded up, of the other. A point's hub is the least fingerprint within the lesser half,
+    so all that have the point in their balls are within `radius` of the hub."""
     if radius > RADIUS:
         raise ValueError("the block test holds for 4 bits at most")
     near = materialize(neighbour_candidates(fps), "simhash-near")
     points = F.transform(F.lit(np.array(ball((radius + 1) // 2), dtype=np.int64)), lambda x: F.col("fp").bitwiseXOR(x))
     met = near.repartition("fp").select("fp", F.explode(points).alias("point"))
     # at most 2081 distinct fingerprints have a point in their balls, so no window is large
-    pairs = met.withColumn("hub", F.min("fp").over(Window.partitionBy("point"))).where("fp > hub").select("fp", "hub").distinct()
+    inner = F.col("fp") if radius % 2 == 0 else F.when(F.bit_count(F.col("fp").bitwiseXOR(F.col("point"))) <= radius // 2, F.col("fp"))
+    pairs = met.withColumn("hub", F.min(inner).over(Window.partitionBy("point"))).where("fp <> hub")
+    pairs = pairs.select(F.greatest("fp", "hub").alias("fp"), F.least("fp", "hub").alias("hub")).distinct()
     return pairs.where(F.bit_count(F.col("fp").bitwiseXOR(F.col("hub"))) <= radius)
 
 

@@ -565,6 +565,19 @@ def test_links_join_all_pairs_within_four_bits(spark):
     assert Counter((i, f"{f:016x}", by[s]) for (i, s), f in zip(signed, prints, strict=True)) == plain_components(list(enumerate(prints)))
 
 
+@pytest.mark.parametrize("radius", [1, 2, 3])
+def test_links_join_all_pairs_within_fewer_bits(spark, radius):
+    rng = random.Random(radius)
+    prints = [12, 13, 4, 9]  # one component at 1 bit
+    for base in range(25):
+        f = rng.getrandbits(63) | 1 << 40 if base else 1 << 50
+        prints += [f ^ sum(1 << b for b in rng.sample(range(7), rng.randint(0, 7))) for _ in range(12)]
+    prints = sorted(set(prints))
+    got = simhash.classes(spark.createDataFrame(list(enumerate(prints)), "doc_id long, fp long"), "doc_id", radius).collect()
+    by = {r.fp: r.component_id for r in got}
+    assert Counter((i, f"{f:016x}", by[f]) for i, f in enumerate(prints)) == plain_components(list(enumerate(prints)), radius)
+
+
 # --- queries and pipeline
 
 
