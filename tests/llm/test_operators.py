@@ -506,6 +506,19 @@ def test_bpe_equals_the_library(docs, odd, none):
     assert bpe.encode(none, path, pattern).count() == 0
 
 
+def test_bpe_splits_by_other_patterns_as_regex_does():
+    import regex
+
+    path, own = queries.tokenizer()
+    assert bpe.codec(path, own).find_latin != bpe.codec(path, own).find  # the fast path is kept
+    rng = random.Random(8)
+    for pattern in (r"[^\r\n\p{L}\p{N}]?\p{L}+|\p{N}{1,3}| ?[^\s\p{L}\p{N}]+[\r\n]*|\s*[\r\n]+|\s+(?!\S)|\s+", r"[\p{L}']+|[^\p{L}']+"):
+        codec = bpe.Codec(path, pattern)
+        for _ in range(300):
+            t = "".join(rng.choice("ab '1,é\n\t]-") for _ in range(rng.randint(0, 30)))
+            assert codec.split(t) == regex.findall(pattern, t), repr(t)
+
+
 # --- 10
 
 
