@@ -10,11 +10,15 @@ labelled samples. Everything here is DataFrame functions: no Python on the execu
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
+from functools import reduce
+from operator import or_
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_name, whole_text, word_list
+from .common import below, bind, free_name, hash_bounds, running, whole_text, word_list
 
 #: The base patterns.
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -37,41 +41,57 @@ def _spans(text: Column, pattern: str, kind: int, value_group: int = 0) -> Colum
     """All leftmost non-overlapping matches as (start, kind, end, value), in code points: the
     pieces between matches and the matches' own lengths, summed up."""
     found = F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1))
-    value = found if not value_group else F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(value_group + 1))
+    value = F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(value_group + 1))
     between = F.transform(F.split(text, pattern, -1), lambda p: F.length(p))
-    parts = F.arrays_zip(found.alias("m"), value.alias("v"), F.slice(between, 1, F.size(found)).alias("n"))
-    step = lambda acc, p: F.struct(
-        (acc["at"] + p["n"] + F.length(p["m"])).alias("at"),
-        F.concat(acc["spans"], F.array(F.struct((acc["at"] + p["n"]).alias("start"), F.lit(kind).alias("kind"), (acc["at"] + p["n"] + F.length(p["m"])).alias("end"), p["v"].alias("value")))).alias("spans"),
-    )
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(_SPAN).alias("spans"))
-    return F.aggregate(parts, start, step, lambda acc: acc["spans"])
+
+    def placed(m: Column) -> Column:
+        lengths = F.transform(m, lambda x: F.length(x))
+        ends = running(F.zip_with(F.slice(between, 1, F.size(m)), lengths, lambda a, b: a + b), F.lit(0), lambda a, b: a + b)
+        parts = F.arrays_zip(ends.alias("end"), lengths.alias("n"), (value if value_group else m).alias("value"))
+        return F.transform(parts, lambda p: F.struct((p["end"] - p["n"]).alias("start"), F.lit(kind).alias("kind"), p["end"].alias("end"), p["value"].alias("value")))
+
+    return bind(found, placed)
 
 
 def _none() -> Column:
     return F.array().cast(_SPAN)
 
 
-def base_spans(text: Column) -> Column:
-    """Base spans of a non-null text, by start, then kind. Cheap tests go first: a pattern runs
-    only over texts that hold what each of its matches must hold."""
-    low = F.lower(text)
-    keyed = F.contains(low, F.lit("passw")) | F.contains(low, F.lit("secret")) | F.contains(low, F.lit("token")) | F.contains(low, F.lit("api_key")) | F.contains(low, F.lit("apikey"))
-    assign = F.when(keyed, F.filter(_spans(text, ASSIGN, 0, 1), lambda s: F.length(s["value"]) >= 6)).otherwise(_none())
+def _spans_of_kinds(text: Column) -> list[Column]:
+    """Base spans of each kind, by start. Cheap tests go first: a pattern runs only over texts that
+    hold what each of its matches must hold."""
+    assign = F.when(_keyed(text), F.filter(_spans(text, ASSIGN, 0, 1), lambda s: F.length(s["value"]) >= 6)).otherwise(_none())
     access = F.when(F.contains(text, F.lit("AKIA")), _spans(text, ACCESS, 1)).otherwise(_none())
     hexes = F.when(text.rlike(HEX), _spans(text, HEX, 2)).otherwise(_none())
-    return F.array_sort(F.concat(assign, access, hexes))
+    return [assign, access, hexes]
+
+
+def _keyed(text: Column) -> Column:
+    low = F.lower(text)
+    return reduce(or_, [F.contains(low, F.lit(k)) for k in ("passw", "secret", "token", "api_key", "apikey")])
+
+
+def base_spans(text: Column) -> Column:
+    """Base spans of a non-null text, by start, then kind."""
+    return F.array_sort(F.concat(*_spans_of_kinds(text)))
+
+
+def marked(text: Column) -> Column:
+    """True for texts that a base pattern matches somewhere."""
+    return (_keyed(text) & text.rlike(ASSIGN)) | (F.contains(text, F.lit("AKIA")) & text.rlike(ACCESS)) | text.rlike(HEX)
 
 
 def labelled_samples(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", sample_docs: int = SAMPLE_DOCS) -> DataFrame:
     """(value, random): labelled strings for training. Values of base spans are random strings
     (those that only dots, dashes or letters make up are not taken); words of documents without a
-    base span are ordinary. Both come from the `sample_docs` documents with the smallest id hashes."""
-    slim = docs.select(F.col(doc_id).alias("d"), whole_text(text).alias("t"))
-    first = lambda df: df.orderBy(F.xxhash64("d"), "d", "t").limit(sample_docs)
-    marked = F.col("t").rlike(f"{ASSIGN}|{ACCESS}|{HEX}")
-    random = first(slim.where(marked)).select(F.explode(base_spans(F.col("t"))["value"]).alias("value")).where(F.col("value").rlike("[0-9]")).distinct()
-    plain = first(slim.where(~marked)).select(F.explode(word_list(F.col("t"))).alias("value")).distinct()
+    base span are ordinary. Both come from the `sample_docs` documents with the smallest id hashes:
+    hashes are bounded first, then only texts below a bound are ordered."""
+    slim = docs.select(F.col(doc_id).alias("d"), F.xxhash64(F.col(doc_id)).alias("h"), whole_text(text).alias("t"))
+    bounds = hash_bounds(slim.select("h", marked(F.col("t")).alias("kind")), sample_docs)
+    low = slim.where(below(F.col("h"), marked(F.col("t")), bounds)).withColumn("kind", marked(F.col("t")))
+    first = lambda kind: low.where(F.col("kind") == kind).orderBy("h", "d", "t").limit(sample_docs)
+    random = first(True).select(F.explode(base_spans(F.col("t"))["value"]).alias("value")).where(F.col("value").rlike("[0-9]")).distinct()
+    plain = first(False).select(F.explode(word_list(F.col("t"))).alias("value")).distinct()
     return random.select("value", F.lit(True).alias("random")).unionByName(plain.select("value", F.lit(False).alias("random")))
 
 
@@ -96,34 +116,70 @@ def train(samples: DataFrame, smoothing: float = 0.5) -> list[float]:
 
 
 def likelihood_ratio(value: Column, model: list[float]) -> Column:
-    """Mean log-likelihood ratio of the transitions of an ASCII string of two characters or more."""
-    codes = F.transform(F.split(value, ""), lambda c: F.ascii(c))
-    codes = F.filter(codes, lambda c: c > 0)
-    table = F.lit(model)
-    add = lambda acc, i: acc + F.element_at(table, (F.element_at(codes, i) * 128 + F.element_at(codes, i + 1) + 1).cast("int"))
-    return F.aggregate(F.sequence(F.lit(1), F.length(value) - 1), F.lit(0.0), add) / (F.length(value) - 1)
+    """Mean log-likelihood ratio of the transitions of an ASCII string of two characters or more, in
+    one pass over its characters."""
+    table = F.lit(np.array(model))  # one literal, not one a cell
+    codes = F.filter(F.transform(F.split(value, ""), lambda c: F.ascii(c)), lambda c: c > 0)
+    step = lambda acc, c: F.struct(c.alias("from"), (acc["sum"] + F.coalesce(F.get(table, acc["from"] * 128 + c), F.lit(0.0))).alias("sum"))
+    # the first character comes from none: its cell lies outside the table
+    start = F.struct(F.lit(len(model)).alias("from"), F.lit(0.0).alias("sum"))
+    return F.aggregate(codes, start, step, lambda acc: acc["sum"]) / (F.length(value) - 1)
+
+
+def _first_index(spans: Column, test: Callable[[Column], Column]) -> Column:
+    """How many elements of a sorted array come before the first for which `test` holds (it holds
+    from there on), by halving."""
+    rounds = F.ceil(F.log2(F.size(spans) + 1)).cast("int")
+
+    def halve(acc: Column, _: Column) -> Column:
+        mid = F.floor((acc["lo"] + acc["hi"]) / 2).cast("int")
+        here = (acc["lo"] < acc["hi"]) & test(F.get(spans, mid))
+        low = F.when(here | (acc["lo"] >= acc["hi"]), acc["lo"]).otherwise(mid + 1)
+        return F.struct(low.alias("lo"), F.when(here, mid).otherwise(acc["hi"]).alias("hi"))
 
+    start = F.struct(F.lit(0).alias("lo"), F.size(spans).alias("hi"))
+    return F.aggregate(F.sequence(F.lit(0), rounds), start, halve, lambda acc: acc["lo"])
 
-def uncovered(run: Column, base: Column) -> Column:
+
+def _overlapping(spans: Column, run: Column) -> Column:
+    """Those of one kind's spans, which never overlap each other, that overlap a run."""
+    first = _first_index(spans, lambda s: s["end"] > run["start"])
+    return bind(first, lambda a: F.slice(spans, a + 1, F.greatest(F.lit(0), _first_index(spans, lambda s: s["start"] >= run["end"]) - a)))
+
+
+def uncovered(run: Column, kinds: list[Column]) -> Column:
     """The parts of a run (start, kind, end, value) that no base span covers, of the least token
-    length. `base` is sorted by start; base spans of different kinds may overlap."""
-    part = lambda a, b: F.struct(a.alias("start"), run["kind"].alias("kind"), b.alias("end"), run["value"].substr(a - run["start"] + 1, b - a).alias("value"))
-    add = lambda acc, end: F.concat(acc["parts"], F.when(end - acc["at"] >= SHORTEST, F.array(part(acc["at"], end))).otherwise(_none()))
-    step = lambda acc, b: F.struct(F.greatest(acc["at"], b["end"]).alias("at"), add(acc, b["start"]).alias("parts"))
-    inside = F.filter(base, lambda b: (b["start"] < run["end"]) & (b["end"] > run["start"]))
-    return F.aggregate(inside, F.struct(run["start"].alias("at"), _none().alias("parts")), step, lambda acc: add(acc, run["end"]))
+    length. `kinds` holds each kind's base spans by start; spans of different kinds may overlap."""
+    covers = F.array_sort(F.concat(*[_overlapping(k, run) for k in kinds]))
+
+    def parts(cover: Column, chars: Column) -> Column:
+        starts = F.concat(F.array(run["start"]), running(F.transform(cover, lambda s: s["end"]), run["start"], F.greatest))
+        ends = F.concat(F.transform(cover, lambda s: s["start"]), F.array(run["end"]))
+        long = F.filter(F.arrays_zip(starts.alias("a"), ends.alias("b")), lambda p: p["b"] - p["a"] >= SHORTEST)
+        text = lambda p: F.array_join(F.slice(chars, p["a"] - run["start"] + 1, p["b"] - p["a"]), "")
+        return F.transform(long, lambda p: F.struct(p["a"].alias("start"), run["kind"].alias("kind"), p["b"].alias("end"), text(p).alias("value")))
+
+    return bind(covers, lambda c: F.when(F.size(c) == 0, F.array(run)).otherwise(bind(F.split(run["value"], ""), lambda chars: parts(c, chars))))
 
 
 def scan(docs: DataFrame, model: list[float], text: str = "text", out: str = "secrets", threshold: float = THRESHOLD) -> DataFrame:
     """`docs` with a struct column: base and spans, arrays of (start, kind, end, value) in code
     points, end exclusive, by start, then kind (0 assign, 1 access, 2 hex, 3 markov). A Markov
-    span never overlaps a base span. Null and blank texts have none."""
-    whole, base, found = free_name(docs, "whole"), free_name(docs, "base"), free_name(docs, "found")
-    docs = docs.withColumn(whole, whole_text(text)).withColumn(base, base_spans(F.col(whole)))
+    span never overlaps a base span.
+
+    Null and blank texts have none; repeated rows each get theirs; no rows give none; a text or a
+    token of any length takes time in proportion. Where `docs` has a column named `out`, the new
+    one gets underscores before its name; it comes last."""
+    whole, kinds, found = free_name(docs, "whole"), free_name(docs, "kinds"), free_name(docs, "found")
+    own, out = docs.columns, free_name(docs, out)
+    docs = docs.withColumn(whole, whole_text(text))
+    docs = docs.withColumn(kinds, F.struct(*[k.alias(KINDS[i]) for i, k in enumerate(_spans_of_kinds(F.col(whole)))]))
+    by_kind = [F.col(f"{kinds}.{k}") for k in KINDS[:3]]
     tokens = F.when(F.col(whole).rlike(TOKEN), _spans(F.col(whole), TOKEN, 3)).otherwise(_none())
-    parts = F.when(F.size(base) == 0, tokens).otherwise(F.flatten(F.transform(tokens, lambda s: uncovered(s, F.col(base)))))
+    parts = F.when(sum(map(F.size, by_kind), F.lit(0)) == 0, tokens).otherwise(F.flatten(F.transform(tokens, lambda s: uncovered(s, by_kind))))
     docs = docs.withColumn(found, F.filter(parts, lambda s: likelihood_ratio(s["value"], model) > threshold))
-    return docs.withColumn(out, F.struct(F.col(base).alias("base"), F.array_sort(F.concat(base, found)).alias("spans"))).drop(whole, base, found)
+    spans = F.struct(F.array_sort(F.concat(*by_kind)).alias("base"), F.array_sort(F.concat(*by_kind, F.col(found))).alias("spans"))
+    return docs.select(*own, spans.alias(out))
 
 
 def joined(spans: Column) -> Column:
