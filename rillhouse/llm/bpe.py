@@ -21,10 +21,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship
+from .common import Remembered, free_name, ship
 
 _NONE = 1 << 62
-_KEEP = 800_000  # pieces whose ids a worker remembers at most
+_KEEP = 150_000  # pieces in each of the two halves of a worker's memory
 _LONG = 48  # longer pieces are not remembered
 
 
@@ -99,13 +99,14 @@ def latin_pattern(pattern: str) -> str:
     return pattern
 
 
-class Codec(dict):
+class Codec(Remembered):
     """Maps a piece of text to its ids as little-endian unsigned 32-bit bytes, remembering a
     bounded number of short pieces."""
 
     def __init__(self, path: str, pattern: str):
         import regex
 
+        super().__init__(_KEEP)
         self.ranks = load_ranks(path)
         self.find = regex.compile(pattern).findall
         self.find_latin = re.compile(latin_pattern(pattern)).findall if pattern == LATIN else self.find
@@ -115,14 +116,12 @@ class Codec(dict):
         self.start = np.cumsum(self.length) - self.length
         self.bytes = np.frombuffer(b"".join(words), np.uint8)
 
-    def __missing__(self, piece: str) -> bytes:
+    def make(self, piece: str) -> bytes:
         found = merge(piece.encode(), self.ranks)
-        ids = pack("<%dI" % len(found), *found)
-        if len(piece) <= _LONG:
-            if len(self) >= _KEEP:
-                self.clear()
-            self[piece] = ids
-        return ids
+        return pack("<%dI" % len(found), *found)
+
+    def worth(self, piece: str) -> bool:
+        return len(piece) <= _LONG
 
     def split(self, text: str) -> list[str]:
         try:
@@ -166,16 +165,20 @@ def _each(df: DataFrame, source: str, target: str, work, keep: list[str]) -> Dat
 
 def encode(df: DataFrame, path: str, pattern: str, text: str = "text", out: str = "ids", keep: list[str] | None = None) -> DataFrame:
     """`keep` columns (all but the text, if not given) and `out`: the ids of the whole text as
-    little-endian unsigned 32-bit values in one binary. Null texts count as empty: no ids. Special
-    tokens in a text are ordinary text."""
-    keep = [c for c in df.columns if c not in (text, out)] if keep is None else keep
-    return _each(df, text, out, lambda t: codec(path, pattern).encode(t or ""), keep)
+    little-endian unsigned 32-bit values in one binary.
+
+    Null and empty texts have no ids; special tokens in a text are ordinary text; pieces of any
+    length are merged whole; repeated rows each get theirs; no rows give none. Where a kept column
+    is named `out`, the new one gets underscores before its name; it comes last."""
+    keep = [c for c in df.columns if c != text] if keep is None else keep
+    return _each(df, text, free_name(df.select(*keep), out), lambda t: codec(path, pattern).encode(t or ""), keep)
 
 
 def decode(df: DataFrame, path: str, pattern: str, ids: str = "ids", out: str = "decoded", keep: list[str] | None = None) -> DataFrame:
-    """`keep` columns (all, if not given) and `out`: the bytes that the packed ids stand for."""
-    keep = [c for c in df.columns if c != out] if keep is None else keep
-    return _each(df, ids, out, lambda b: codec(path, pattern).decode(b or b""), keep)
+    """`keep` columns (all, if not given) and `out`: the bytes that the packed ids stand for; null
+    ids stand for none. Names clash and rows count as in `encode`."""
+    keep = df.columns if keep is None else keep
+    return _each(df, ids, free_name(df.select(*keep), out), lambda b: codec(path, pattern).decode(b or b""), keep)
 
 
 def digests(encoded: DataFrame) -> DataFrame:

@@ -169,3 +169,28 @@ def spread_join(rows: DataFrame, side: DataFrame, key: str, n: str = "n") -> Dat
     hot = side.where(F.col(n) * 1000 > total)
     few = F.broadcast(hot.select(key))
     return rows.join(F.broadcast(hot), key).unionByName(rows.join(few, key, "left_anti").join(side.where(F.col(n) * 1000 <= total), key))
+
+
+class Remembered(dict):
+    """What `make` gives for a key, remembered in two halves of `keep` keys: when the newer is full
+    it becomes the older, and keys asked for again move over, so that frequent ones stay."""
+
+    def __init__(self, keep: int):
+        super().__init__()
+        self.keep = keep
+        self.older: dict = {}
+
+    def __missing__(self, key):
+        found = self.older[key] if key in self.older else self.make(key)
+        if self.worth(key):
+            if len(self) >= self.keep:
+                self.older = dict(self)
+                self.clear()
+            self[key] = found
+        return found
+
+    def make(self, key):
+        raise NotImplementedError
+
+    def worth(self, key) -> bool:
+        return True

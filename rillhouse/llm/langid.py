@@ -9,24 +9,24 @@ probabilities, and a threshold on them marks predictions to reject.
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ship
+from .common import below, free_name, hash_bounds, ship
 
 #: Training documents: those with the smallest id hashes among the learnable ones; and so many of
 #: each language at least, or all that it has, again those with the smallest id hashes.
 MAX_DOCS, LANG_DOCS = 3000, 200
 BUCKETS = 1 << 14
 _CHUNK = 1 << 20  # bytes scored at a time
-_letter = re.compile(r"[^\W\d_]").search
+_letter = regex.compile(r"\p{L}").search  # letters alone: no number forms, no combining marks
 
 
 def _clean_table() -> np.ndarray:
@@ -160,18 +160,20 @@ def held_out(doc_id: str = "doc_id") -> Column:
 
 
 def sample(docs: DataFrame, max_docs: int = MAX_DOCS, lang_docs: int = LANG_DOCS) -> list[tuple[str, str]]:
-    """(text, lang) of the training documents: of those not held out, text and lang not null."""
+    """(text, lang) of the training documents: of those not held out, text and lang not null.
+    Hashes are bounded first, so that only about as many texts as are asked for are ordered; one
+    bound for each language comes to the driver."""
     order = ["h", "doc_id", "text", "lang"]
     rows = docs.where(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull()).select(F.xxhash64("doc_id").alias("h"), "doc_id", "text", "lang")
-    found = rows.orderBy(*order).limit(max_docs).collect()
+    bounds = hash_bounds(rows.select("h", F.lit(0).alias("kind")), max_docs)
+    found = rows.where(below(F.col("h"), F.lit(0), bounds)).orderBy(*order).limit(max_docs).collect()
     counts = Counter(r["lang"] for r in found)
     common = [k for k, n in counts.items() if n >= lang_docs]
     if len(found) == max_docs:  # else these are all
         rest = rows.where(~F.col("lang").isin(common))
-        # the filter on the row number is also run before the shuffle, so that few rows of a language meet
-        first = lambda df, by: df.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy(*by))).where(F.col("n") <= lang_docs).drop("n")
-        limits = first(rest.select("lang", "h"), ["h"]).groupBy("lang").agg(F.max("h").alias("last"))
-        rare = first(rest.join(limits, "lang").where("h <= last"), order[:3]).collect()
+        bounds = hash_bounds(rest.select("h", F.col("lang").alias("kind")), lang_docs)
+        place = F.row_number().over(Window.partitionBy("lang").orderBy(*order[:3]))
+        rare = rest.where(below(F.col("h"), F.col("lang"), bounds)).withColumn("n", place).where(F.col("n") <= lang_docs).drop("n").collect()
         found = sorted([*(r for r in found if r["lang"] in common), *rare], key=lambda r: tuple(r[c] for c in order)) if rare else found
     return [(r["text"], r["lang"]) for r in found]
 
@@ -184,7 +186,12 @@ def train(docs: DataFrame, max_docs: int = MAX_DOCS, lang_docs: int = LANG_DOCS)
 
 def identify(docs: DataFrame, model: Model, text: str = "text", out: str = "language") -> DataFrame:
     """`docs` with a struct column: lang_pred, score (calibrated probability, 0 to 1), rejected
-    (score below the model's threshold, or `und`)."""
+    (score below the model's threshold, or `und`).
+
+    Null texts and texts without a letter (Unicode category L) are `und` with score 0; texts of any
+    length are averaged over all their subwords, a part at a time; repeated rows each get their
+    row; no rows give none; without training rows all are `und`. Where `docs` has a column named
+    `out`, the new one gets underscores before its name; it comes last."""
     ship(docs.sparkSession)
 
     @F.pandas_udf("lang_pred string, score double, rejected boolean")
@@ -193,4 +200,4 @@ def identify(docs: DataFrame, model: Model, text: str = "text", out: str = "lang
             langs, p = model.predict(list(part))
             yield pd.DataFrame({"lang_pred": langs, "score": p, "rejected": (p < model.threshold) | (np.array(langs, object) == "und")})
 
-    return docs.withColumn(out, run(F.col(text)))
+    return docs.withColumn(free_name(docs, out), run(F.col(text)))

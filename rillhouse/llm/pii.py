@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import re
 from array import array
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
@@ -21,7 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship
+from .common import below, free_name, hash_bounds, ship
 
 KINDS = ("email", "ip", "card", "phone")
 #: The base patterns. The tail of an address is looked for first, as texts rarely
@@ -227,31 +228,50 @@ def fit(texts: list[str], epochs: int = 8, rate: float = 0.3, decay: float = 1e-
     return Model(weights)
 
 
-def find(text: str | None, model: Model) -> list[Span]:
-    """Base spans, and the model's segments that overlap none of them; by kind, then start."""
+def well_formed(kind: int, span: str) -> bool:
+    """Whether an added span has what every entity of its type must have."""
+    x = features(span, 0, len(span))
+    return bool((x[4], x[6], x[9], x[10])[kind])  # one at sign; four bytes; a checked card; 9 to 15 digits
+
+
+def find(text: str | None, model: Model, base: list[Span] | None = None) -> list[Span]:
+    """Base spans (those given, or found here), and the model's segments that overlap none of them;
+    by kind, then start."""
     text = text or ""
-    base = base_spans(text)
-    taken = sorted((a, b) for _, a, b in base)
+    base = base_spans(text) if base is None else base
+    starts, ends = [], []  # base spans merged, so that these are in order
+    for a, b in sorted((a, b) for _, a, b in base):
+        if ends and a <= ends[-1]:
+            ends[-1] = max(ends[-1], b)
+        else:
+            starts.append(a), ends.append(b)
     added = []
     for m in _island.finditer(text):
         if m.end() - m.start() < 6:
             continue
         for k, a, b, score in model.decode(m.group()):
             a, b = a + m.start(), b + m.start()
-            if score > MARGIN and not any(x < b and y > a for x, y in taken):
+            if score > MARGIN and bisect_right(ends, a) == bisect_left(starts, b) and well_formed(k, text[a:b]):
                 added.append((k, a, b))
     return sorted(base + added)
 
 
 def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sample_docs: int = SAMPLE_DOCS) -> Model:
-    """Fit on a bounded sample of the documents with a digit or an at sign."""
-    rows = docs.where(F.col(text).rlike("[0-9]{4}|@")).orderBy(F.xxhash64(F.col(doc_id)), doc_id, text).limit(sample_docs).select(text).collect()
+    """Fit on a bounded sample of the documents with four digits in a row or an at sign: those with
+    the smallest id hashes. Hashes are bounded first, so that only about as many texts are ordered."""
+    h, digits = F.xxhash64(F.col(doc_id)), F.col(text).rlike("[0-9]{4}|@")
+    bounds = hash_bounds(docs.where(digits).select(h.alias("h"), F.lit(0).alias("kind")), sample_docs)
+    rows = docs.where(below(h, F.lit(0), bounds)).where(digits).orderBy(h, doc_id, text).limit(sample_docs).select(text).collect()
     return fit([r[0] for r in rows])
 
 
 def scan(docs: DataFrame, model: Model, text: str = "text", out: str = "pii") -> DataFrame:
     """`docs` with a struct column: base and spans, arrays of (kind, start, end) in code points, end
-    exclusive, by kind (0 email, 1 ip, 2 card, 3 phone), then start. Null and empty texts have none."""
+    exclusive, by kind (0 email, 1 ip, 2 card, 3 phone), then start.
+
+    Null and empty texts have none; texts and islands of any length are taken whole; repeated rows
+    each get theirs; no rows give none. Where `docs` has a column named `out`, the new one gets
+    underscores before its name; it comes last."""
     ship(docs.sparkSession)
     span = "array<struct<kind: int, start: int, end: int>>"
 
@@ -259,14 +279,16 @@ def scan(docs: DataFrame, model: Model, text: str = "text", out: str = "pii") ->
     def run(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         packed = lambda spans: [{"kind": k, "start": a, "end": b} for k, a, b in spans]
         for part in parts:
-            yield pd.DataFrame({"base": [packed(base_spans(t or "")) for t in part], "spans": [packed(find(t, model)) for t in part]})
+            base = [base_spans(t or "") for t in part]
+            yield pd.DataFrame({"base": list(map(packed, base)), "spans": [packed(find(t, model, b)) for t, b in zip(part, base, strict=True)]})
 
-    return docs.withColumn(out, run(F.col(text)))
+    return docs.withColumn(free_name(docs, out), run(F.col(text)))
 
 
 def redact(docs: DataFrame, model: Model, text: str = "text", n_chars: str | None = "n_chars") -> DataFrame:
     """`docs` with each span, or union of overlapping ones, replaced by its type in angle brackets,
-    and `n_chars` counted anew where a text changed. Null texts stay null."""
+    and `n_chars` counted anew. Null texts stay null and keep their count; empty texts stay empty;
+    repeated rows stay; no rows give none; other columns are left as they are, whatever their names."""
     ship(docs.sparkSession)
 
     @F.pandas_udf("string")

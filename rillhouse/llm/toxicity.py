@@ -2,9 +2,11 @@
 
 Features of a text are its lower-case words and their prefixes, as far as training chose them:
 those much more frequent in toxic than in other labelled texts. A feature's value is
-log(1 + count), and two features more count the words with any chosen feature, and those after the first. Labels say toxic or
-not; severity grades come from them: grade 0 for texts not labelled toxic, and 1 to 3 for toxic
-ones by thirds of the number of words with a chosen feature.
+log(1 + count), and two features more count the words with any chosen feature, and those after the
+first. Labels say toxic or not. Severity grades come from models that have not seen the text: the
+labelled texts are dealt to folds (near copies to the same one), each fold is scored by a two-grade
+model whose features and weights come from the other folds, and toxic texts get grades 1 to 3 by
+thirds of these scores; texts not labelled toxic have grade 0.
 With one weight vector w for all grades and ordered thresholds c1 <= c2 <= c3,
 P(grade >= k) = sigmoid(w.x - ck); the expected severity is the sum of these over k.
 """
@@ -12,7 +14,6 @@ P(grade >= k) = sigmoid(w.x - ck); the expected severity is the sum of these ove
 from __future__ import annotations
 
 import re
-import sys
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -23,14 +24,16 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_name, ship
+from .common import Remembered, free_name, ship
 
 #: Labelled rows that a fit uses at most, not toxic and toxic; the smallest hashes of their ids.
 MAX_ROWS = (5000, 2500)
 GRADES = 3
+#: Folds of the cross-fitted scores that toxic texts are graded by.
+FOLDS = 3
 _words = re.compile(r"\w+").findall
 _PREFIXES = (4, 5, 6, 7)
-_KEEP = 500_000
+_KEEP = 100_000  # words in each of the two halves of a worker's memory
 #: The features that count words with any chosen feature, and those after the first.
 ANY, MORE = "*", "**"
 
@@ -52,18 +55,15 @@ class Model:
         return [1 / (1 + float(np.exp(np.clip(c - eta, -50, 50)))) for c in self.cuts]
 
 
-class Scorer(dict):
+class Scorer(Remembered):
     """Maps a word to its chosen features, or None. Remembers a bounded number of words."""
 
     def __init__(self, model: Model):
+        super().__init__(_KEEP)
         self.model = model
 
-    def __missing__(self, word: str) -> tuple[str, ...] | None:
-        found = tuple(f for f in features_of(word) if f in self.model.weights) or None
-        if len(self) >= _KEEP:
-            self.clear()
-        self[word] = found
-        return found
+    def make(self, word: str) -> tuple[str, ...] | None:
+        return tuple(f for f in features_of(word) if f in self.model.weights) or None
 
     def values(self, text: str | None) -> tuple[Counter, int, int]:
         """Counts of chosen features, words with one, and words."""
@@ -79,68 +79,130 @@ class Scorer(dict):
         return float(sum(self.model.weights.get(f, 0.0) * np.log1p(n) for f, n in counts.items()))
 
 
-def choose_features(texts: list[str | None], toxic: list[bool], most: int = 20_000, least_gain: float = 11.0) -> list[str]:
-    """Features more frequent in toxic texts, and by more than chance: the log-likelihood ratio of
-    their document frequencies is at least `least_gain` nats (texts with the same two smallest word
-    hashes, such as near copies, count as one), and twenty in 21 of their texts are toxic
-    after the classes are brought to equal size."""
-    groups: tuple[dict, dict] = {}, {}
-    for t, x in zip(texts, toxic, strict=True):
-        own = set(map(sys.intern, _words((t or "").lower())))
-        groups[x].setdefault(tuple(sorted(zlib.crc32(w.encode()) for w in own)[:2]), set()).update(own)
-    pos = Counter(f for own in groups[1].values() for f in {f for w in own for f in features_of(w)})
-    neg = Counter(f for own in groups[0].values() for f in {f for w in own for f in features_of(w)} if f in pos)
-    n, p = map(len, groups)
-    gains = {}
-    for f, k in pos.items():
-        m = neg[f]
-        gain = k * np.log(k / (k + m) * (p + n) / p) + (m * np.log(m / (k + m) * (p + n) / n) if m else 0.0)
-        if gain >= least_gain and k / p >= 20 * m / n:
-            gains[f] = gain
-    return sorted(gains, key=lambda f: (-gains[f], f))[:most]
-
-
-def fit(texts: list[str | None], toxic: list[bool], steps: int = 600, rate: float = 0.1, decay: float = 1e-4) -> Model:
-    """Gradient ascent (Adam) on the penalised likelihood of the grades, in numpy, toxic and other
-    texts weighing the same in all. Without both kinds of label, or without features, nothing is
-    toxic."""
-    chosen = choose_features(texts, toxic) if any(toxic) and not all(toxic) else []
-    if not chosen:
-        return Model({}, [4.0 + k for k in range(GRADES)])
-    index = {f: i for i, f in enumerate(chosen)}
-    for f in (ANY, MORE):
-        chosen.append(f)
-        index[f] = len(index)
-    scan = Model(dict.fromkeys(chosen, 1.0), []).scorer()
-    rows, cols, vals, found = [], [], [], np.zeros(len(texts))
-    for i, t in enumerate(texts):
-        counts, found[i], _ = scan.values(t)
-        for f, k in counts.items():
-            rows.append(i), cols.append(index[f]), vals.append(np.log1p(k))
-    rows, cols, vals = np.array(rows, int), np.array(cols, int), np.array(vals)
-    y, tox = np.zeros(len(texts), int), np.array(toxic)
-    thirds = np.quantile(found[tox], [1 / 3, 2 / 3])
-    y[tox] = 1 + np.searchsorted(thirds, found[tox], side="left")
-    # cuts are the first and the logs of the gaps, so that they stay ordered
-    w, c = np.full(len(chosen), 0.5), np.array([2.0, 0.0, 0.0])
-    m, v = np.zeros(len(chosen) + GRADES), np.zeros(len(chosen) + GRADES)
-    sig = lambda z: 1 / (1 + np.exp(-np.clip(z, -40, 40)))
-    at, mass = np.arange(len(y)), np.where(tox, 0.5 / tox.sum(), 0.5 / (~tox).sum())
+class Sample:
+    """Labelled texts as numbers: each text's words, each word's features, and groups of texts of
+    one label with the same two smallest word hashes, such as near copies, which count as one."""
+
+    def __init__(self, texts: list[str | None], toxic: list[bool]):
+        vocabulary: dict[str, int] = {}
+        own = [np.array([vocabulary.setdefault(w, len(vocabulary)) for w in _words((t or "").lower())], np.int64) for t in texts]
+        self.toxic = np.array(toxic, bool)
+        self.flat, self.text = np.concatenate([np.zeros(0, np.int64), *own]), np.repeat(np.arange(len(own)), [len(x) for x in own])
+        index: dict[str, int] = {}
+        lists = [[index.setdefault(f, len(index)) for f in features_of(w)] for w in vocabulary]
+        self.names = list(index)
+        self.size = np.array([len(x) for x in lists], np.int64)
+        self.start, self.ids = np.cumsum(self.size) - self.size, np.array([f for x in lists for f in x], np.int64)
+        hashes = np.array([zlib.crc32(w.encode()) for w in vocabulary], np.int64)
+        groups: dict[tuple, list[np.ndarray]] = {}
+        self.keys = []
+        for x, words in zip(toxic, map(np.unique, own), strict=True):
+            self.keys.append((bool(x), *np.sort(hashes[words])[:2].tolist()))
+            groups.setdefault(self.keys[-1], []).append(words)
+        self.fold = np.array([zlib.crc32(repr(k).encode()) % FOLDS for k in self.keys], int)
+        # the features of each group, once
+        found = [np.unique(self.features(np.unique(np.concatenate(words)))) for words in groups.values()]
+        self.group = np.repeat(np.arange(len(found)), [len(x) for x in found])
+        self.feature = np.concatenate([np.zeros(0, np.int64), *found])
+        self.group_toxic = np.array([k[0] for k in groups], bool)
+        self.group_fold = np.array([zlib.crc32(repr(k).encode()) % FOLDS for k in groups], int)
+
+    def features(self, words: np.ndarray) -> np.ndarray:
+        n = self.size[words]
+        return self.ids[np.repeat(self.start[words] - np.cumsum(n) + n, n) + np.arange(n.sum())]
+
+    def choose(self, without: int | None = None, least_gain: float = 11.0) -> np.ndarray:
+        """Features more frequent in toxic texts (of all folds but `without`), and by more than
+        chance: the log-likelihood ratio of their document frequencies is at least `least_gain`
+        nats, and twenty in 21 of their texts are toxic after the classes are brought to equal size."""
+        use = np.ones(len(self.group_toxic), bool) if without is None else self.group_fold != without
+        p, n = (use & self.group_toxic).sum(), (use & ~self.group_toxic).sum()
+        if not p or not n:
+            return np.zeros(0, np.int64)
+        count = lambda groups: np.bincount(self.feature[groups[self.group]], minlength=len(self.names))
+        k, m = count(use & self.group_toxic), count(use & ~self.group_toxic)
+        at = np.flatnonzero(k)
+        k, m = k[at], m[at]
+        gain = k * np.log(k / (k + m) * (p + n) / p) + m * np.log(np.maximum(m, 1) / (k + m) * (p + n) / n)
+        good = (gain >= least_gain) & (k / p >= 20 * m / n)
+        return at[good][np.argsort(-gain[good], kind="stable")]
+
+    def values(self, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Sparse (text, column, value) of the chosen features, of `ANY` and of `MORE` after them."""
+        column = np.full(len(self.names), -1)
+        column[chosen] = np.arange(len(chosen))
+        good = column[self.ids] >= 0
+        hit = np.bincount(np.repeat(np.arange(len(self.size)), self.size), good, len(self.size)) > 0
+        words, text = self.flat[hit[self.flat]], self.text[hit[self.flat]]
+        cols = column[self.features(words)]
+        rows = np.repeat(text, self.size[words])[cols >= 0]
+        cell, count = np.unique(rows * (len(chosen) + 2) + cols[cols >= 0], return_counts=True)
+        own, n = np.unique(text, return_counts=True)
+        more = n > 1
+        rows, cols = np.concatenate((cell // (len(chosen) + 2), own, own[more])), np.concatenate((cell % (len(chosen) + 2), np.full(len(own), len(chosen)), np.full(more.sum(), len(chosen) + 1)))
+        return rows, cols, np.log1p(np.concatenate((count, n, n[more] - 1)))
+
+
+def likelihood(w: np.ndarray, c: np.ndarray, rows: np.ndarray, cols: np.ndarray, vals: np.ndarray, y: np.ndarray, mass: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+    """Weighted log-likelihood of grades `y`, and its gradients by `w` and `c`. Features are sparse:
+    text rows[i] has value vals[i] in feature cols[i]. `c` holds the first threshold and the logs of
+    the gaps to the next ones, so that thresholds stay ordered."""
+    grades, at = len(c), np.arange(len(y))
+    cuts = np.cumsum(np.concatenate((c[:1], np.exp(c[1:]))))
+    eta = np.bincount(rows, vals * w[cols], len(y))
+    p = np.column_stack([np.ones(len(y)), 1 / (1 + np.exp(-np.clip(eta[:, None] - cuts, -40, 40))), np.zeros(len(y))])
+    like = np.maximum(p[at, y] - p[at, y + 1], 1e-12)
+    slope = p * (1 - p)
+    g_eta = (slope[at, y] - slope[at, y + 1]) / like * mass
+    g_cut = np.array([((y + 1 == k) * slope[:, k] / like - (y == k) * slope[:, k] / like) @ mass for k in range(1, grades + 1)])
+    g_c = np.concatenate(([g_cut.sum()], [g_cut[k:].sum() * np.exp(c[k]) for k in range(1, grades)]))
+    return float(np.log(like) @ mass), np.bincount(cols, vals * g_eta[rows], len(w)), g_c
+
+
+def ascend(cells: tuple[np.ndarray, np.ndarray, np.ndarray], n: int, y: np.ndarray, grades: int, steps: int = 600, rate: float = 0.1, decay: float = 1e-4) -> tuple[np.ndarray, np.ndarray]:
+    """Weights of `n` columns and thresholds, by gradient ascent (Adam) on the penalised likelihood
+    of the grades, toxic texts (y > 0) and others weighing the same in all."""
+    mass = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y == 0).sum()))
+    w, c = np.full(n, 0.5), np.array([2.0, *[0.0] * (grades - 1)])
+    m, v = np.zeros(n + grades), np.zeros(n + grades)
     for step in range(1, steps + 1):
-        cuts = np.cumsum(np.concatenate(([c[0]], np.exp(c[1:]))))
-        eta = np.bincount(rows, vals * w[cols], len(y))
-        p = np.column_stack([np.ones(len(y)), sig(eta[:, None] - cuts), np.zeros(len(y))])
-        like = np.maximum(p[at, y] - p[at, y + 1], 1e-12)
-        slope = p * (1 - p)
-        g_eta = (slope[at, y] - slope[at, y + 1]) / like * mass
-        g_cut = np.array([((y + 1 == k) * slope[:, k] / like - (y == k) * slope[:, k] / like) @ mass for k in range(1, GRADES + 1)])
-        g_c = np.concatenate(([g_cut.sum()], [g_cut[k:].sum() * np.exp(c[k]) for k in range(1, GRADES)]))
-        g = np.concatenate((np.bincount(cols, vals * g_eta[rows], len(w)) - decay * w, g_c))
+        _, g_w, g_c = likelihood(w, c, *cells, y, mass)
+        g = np.concatenate((g_w - decay * w, g_c))
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         move = rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-9)
-        w, c = np.maximum(w + move[:-GRADES], 0), c + move[-GRADES:]
-    cuts = np.cumsum(np.concatenate(([c[0]], np.exp(c[1:]))))
-    return Model({f: float(x) for f, x in zip(chosen, w, strict=True) if x > 0}, [float(x) for x in cuts])
+        w, c = w + move[:n], c + move[n:]
+    return w, np.cumsum(np.concatenate((c[:1], np.exp(c[1:]))))
+
+
+def cross_fitted(sample: Sample) -> np.ndarray:
+    """A score for each text from a two-grade model whose features and weights come from the other
+    folds alone; 0 where these choose no feature."""
+    out = np.zeros(len(sample.toxic))
+    for k in range(FOLDS):
+        chosen = sample.choose(without=k)
+        if len(chosen):
+            rows, cols, vals = sample.values(chosen)
+            learn = sample.fold != k
+            place = np.cumsum(learn) - 1
+            own = learn[rows]
+            w, _ = ascend((place[rows[own]], cols[own], vals[own]), len(chosen) + 2, sample.toxic[learn].astype(int), 1, steps=200)
+            score = np.bincount(rows, vals * w[cols], len(out))
+            out[~learn] = score[~learn]
+    return out
+
+
+def fit(texts: list[str | None], toxic: list[bool]) -> Model:
+    """The model of `GRADES` grades above 0. Without both kinds of label, or without features,
+    nothing is toxic."""
+    sample = Sample(texts, toxic)
+    chosen = sample.choose()
+    if not len(chosen):
+        return Model({}, [4.0 + k for k in range(GRADES)])
+    scores, y = cross_fitted(sample), np.zeros(len(texts), int)
+    thirds = np.quantile(scores[sample.toxic], [(k + 1) / GRADES for k in range(GRADES - 1)])
+    y[sample.toxic] = 1 + np.searchsorted(thirds, scores[sample.toxic], side="left")
+    w, cuts = ascend(sample.values(chosen), len(chosen) + 2, y, GRADES)
+    return Model(dict(zip([*(sample.names[f] for f in chosen), ANY, MORE], map(float, w), strict=True)), list(map(float, cuts)))
 
 
 def train(docs: DataFrame, labels: DataFrame, max_rows: tuple[int, int] = MAX_ROWS) -> Model:
@@ -162,8 +224,11 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: tuple[int, int] = MAX_RO
 
 def grade(docs: DataFrame, model: Model, text: str = "text", out: str = "toxicity") -> DataFrame:
     """`docs` with a struct column: severity (expected grade, 0 to 3), grade (the most grades with
-    probability of a half or more), p_toxic, toxic (p_toxic >= 0.5). Null, empty and wordless
-    texts have no features and are not toxic."""
+    probability of a half or more), p_toxic, toxic (p_toxic >= 0.5).
+
+    Null, empty and wordless texts have no features and are not toxic; texts of any length are
+    taken whole; repeated rows each get their grade; no rows give none. Where `docs` has a column
+    named `out`, the new one gets underscores before its name; it comes last."""
     ship(docs.sparkSession)
 
     @F.pandas_udf("severity double, grade int, p_toxic double, toxic boolean")
@@ -173,10 +238,11 @@ def grade(docs: DataFrame, model: Model, text: str = "text", out: str = "toxicit
             p = np.array([model.severity(scorer.eta(t)) for t in part]).reshape(-1, len(model.cuts))
             yield pd.DataFrame({"severity": p.sum(1), "grade": (p >= 0.5).sum(1).astype("int32"), "p_toxic": p[:, 0], "toxic": p[:, 0] >= 0.5})
 
-    return docs.withColumn(out, run(F.col(text)))
+    return docs.withColumn(free_name(docs, out), run(F.col(text)))
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """`docs` without the toxic ones."""
-    out = free_name(docs, "toxicity")
-    return grade(docs, train(docs, labels), out=out).where(~F.col(f"{out}.toxic")).drop(out)
+    graded = grade(docs, train(docs, labels))
+    out = graded.columns[-1]
+    return graded.where(~F.col(f"{out}.toxic")).drop(out)
