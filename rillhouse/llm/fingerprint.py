@@ -114,52 +114,83 @@ def edits(a: Node, b: Node) -> list[tuple[int, int]]:
     return out
 
 
-_TREE = "root string, sections array<struct<digest: string, start: long, end: long, paragraphs: array<struct<digest: string, start: long, end: long>>>>"
+_BRANCHES = "array<struct<digest: string, start: long, end: long, paragraphs: array<struct<digest: string, start: long, end: long>>>>"
+
+
+def branches(node: Node) -> list[dict]:
+    """Sections of a document tree with their paragraphs, hashes in hex."""
+    own = lambda n: {"digest": n.digest.hex(), "start": n.start, "end": n.end}
+    return [own(s) | {"paragraphs": [own(p) for p in s.children]} for s in node.children]
 
 
 def fingerprint(docs: DataFrame, text: str = "text", out: str = "fingerprint") -> DataFrame:
     """`docs` with a struct column: root (hex) and the sections and paragraphs below it with their
-    hashes and spans in code points. Null texts have the root of the empty text; equal texts have
-    equal trees."""
+    hashes and spans in code points. Equal texts have equal trees.
+
+    Null texts have the root of the empty text and no sections; texts of any length are taken
+    whole; repeated rows each get their tree; no rows give none. Where `docs` has a column named
+    `out`, the new one gets underscores before its name; it comes last."""
     ship(docs.sparkSession)
 
-    @F.pandas_udf(_TREE)
+    @F.pandas_udf(f"root string, sections {_BRANCHES}")
     def run(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            rows = []
-            for t in part:
-                n = tree(t)
-                rows.append((n.digest.hex(), [{"digest": s.digest.hex(), "start": s.start, "end": s.end, "paragraphs": [{"digest": p.digest.hex(), "start": p.start, "end": p.end} for p in s.children]} for s in n.children]))
-            yield pd.DataFrame(rows, columns=["root", "sections"])
+            trees = [tree(t) for t in part]
+            yield pd.DataFrame({"root": [n.digest.hex() for n in trees], "sections": [branches(n) for n in trees]})
 
-    return docs.withColumn(out, run(F.col(text)))
+    return docs.withColumn(free_name(docs, out), run(F.col(text)))
+
+
+#: Rows that a range holds about, and ranges at most.
+RANGE_ROWS, MOST_RANGES = 4096, 65_536
+_LOWEST = -(1 << 63)
 
 
 def with_next(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", ranges: int | None = None) -> DataFrame:
-    """(doc_id, text, guard, range) dealt to partitions by range of id and sorted there, so that
-    each row's next one (ascending id, nulls first, then text) follows it: the first row of a range
-    is also put, as a guard, behind the range before, and the very first one behind the last.
-    The bounds are sampled quantiles of the ids; texts are shuffled once."""
+    """(doc_id, text, guard, range), a range to each partition, sorted there, so that each row's
+    next one (ascending id, nulls first, then the text's hash, then the text) follows it: the first
+    row of a range is also put, as a guard, behind the range before, and the very first one behind
+    the last. The bounds are sampled quantiles of the ids, and, for an id that holds more than a
+    range, of its texts' hashes; texts are shuffled once."""
     spark = docs.sparkSession
     ship(spark)
-    n = ranges or 2 * partitions(spark)
-    key = F.coalesce(F.col(doc_id).cast("long"), F.lit(-(1 << 63)))
+    key = F.coalesce(F.col(doc_id).cast("long"), F.lit(_LOWEST))
+    n = ranges or min(MOST_RANGES, max(2 * partitions(spark), docs.count() // RANGE_ROWS))
     slim = docs.select(key.alias("key"), F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    r = slim.agg(F.min("key"), F.percentile_approx("key", [(k + 1) / n for k in range(n - 1)] or [0.5], 20 * n)).first()
-    bounds = np.array(sorted({r[0], *(r[1] or [])}) if r[0] is not None else [0], dtype=np.int64)
+    quantiles = lambda c, k: F.percentile_approx(c, [(i + 1) / k for i in range(k - 1)] or [0.5], 20 * n)
+    hashed = F.shiftright(F.xxhash64("text"), 12)  # 52 bits: quantiles go through doubles
+    r = slim.agg(F.min("key"), quantiles("key", n)).first()
+    counts = Counter(r[1] or [])
+    rough = np.array(sorted({r[0], *counts}) if r[0] is not None else [0], dtype=np.int64)
+
+    @F.pandas_udf("int")
+    def cell(part: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(rough, part.to_numpy(), side="right"), dtype="int32")
+
+    # quantiles of large ids are rounded: a range starts with the least id that it has
+    starts = [x["k"] for x in slim.groupBy(cell("key").alias("c")).agg(F.min("key").alias("k")).collect()]
+    hot = [k for k, c in counts.items() if c > 1]  # each holds over an n-th of the rows
+    per = slim.where(F.col("key").isin(hot)).groupBy("key").agg(F.min(hashed).alias("lo"), quantiles(hashed, 1 + max(counts.values())).alias("q")).collect() if hot else []
+    bounds = {(k, _LOWEST) for k in starts} - {(x["key"], _LOWEST) for x in per} | {(x["key"], h) for x in per for h in {x["lo"], *x["q"]}}
+    keys, hashes = np.array(sorted(bounds) or [(0, _LOWEST)], dtype=np.int64).T
 
     @F.pandas_udf("range int, first boolean")
-    def place(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            at = np.searchsorted(bounds, part.to_numpy(), side="right") - 1
-            yield pd.DataFrame({"range": at.astype("int32"), "first": bounds[at] == part.to_numpy()})
+    def place(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        for key, hashed in parts:
+            k, h = key.to_numpy(), hashed.to_numpy()
+            at = np.searchsorted(keys, k, side="right") - 1
+            # within a hot id's bounds, the last whose hash is not above the row's
+            for i in np.flatnonzero((keys[at] == k) & (hashes[at] != _LOWEST)):
+                low = np.searchsorted(keys, k[i], side="left")
+                at[i] = low + np.searchsorted(hashes[low : at[i] + 1], h[i], side="right") - 1
+            yield pd.DataFrame({"range": at.astype("int32"), "first": (keys[at] == k) & ((hashes[at] == _LOWEST) | (hashes[at] == h))})
 
     kind = lambda k, g: F.struct(k.alias("range"), F.lit(g).alias("guard"))
-    placed = slim.withColumn("p", place("key"))
-    before = F.when(F.col("p.range") > 0, F.col("p.range") - 1).otherwise(F.lit(len(bounds) - 1))
+    placed = slim.withColumn("hash", hashed).withColumn("p", place("key", "hash"))
+    before = F.when(F.col("p.range") > 0, F.col("p.range") - 1).otherwise(F.lit(len(keys) - 1))
     both = F.when(F.col("p.first"), F.array(kind(F.col("p.range"), _NEXT), kind(before, _GUARD))).otherwise(F.array(kind(F.col("p.range"), _NEXT)))
-    rows = placed.select("key", "doc_id", "text", F.explode(both).alias("e")).select("e.range", "e.guard", "key", "doc_id", "text")
-    return rows.repartition(n, "range").sortWithinPartitions("range", "guard", "key", "text")
+    rows = placed.select("key", "hash", "doc_id", "text", F.explode(both).alias("e")).select("e.range", "e.guard", "key", "hash", "doc_id", "text")
+    return rows.repartitionById(len(keys), F.col("range")).sortWithinPartitions("range", "guard", "key", "hash", "text")
 
 
 def edited(text: str, following: str) -> str:
@@ -168,17 +199,19 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - k] + following[:k]
 
 
-_PAIRS = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, n_sections long, n_paragraphs long, first_edit long, edited_chars long"
+_PAIRS = f"doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, n_sections long, n_paragraphs long, first_edit long, edited_chars long, sections {_BRANCHES}"
+_PAIR_NAMES = [c.split()[0] for c in _PAIRS.split(", ")][:12]
 
 
 def compare_edits(docs: DataFrame) -> DataFrame:
     """For each document: its root, the root of its edited text (see `edited`, with the next
     document), the likeness of its tree to the edited text's and to the next document's, the size
-    of its tree, where the first difference of the edited text starts (null if none) and how many
-    of its characters lie in differing branches.
+    of its tree, where the first difference of the edited text starts (null if none), how many of
+    its characters lie in differing branches, and the sections and paragraphs of its tree.
 
-    Null texts count as empty; a lone document follows itself; repeated ids go by text; two empty
-    texts are alike (1); no rows give none."""
+    Null texts count as empty; a lone document follows itself; rows of one id go by the hash of
+    their texts; two empty texts are alike (1); texts of any length are taken whole; no rows give
+    none; no other column is looked at, whatever its name."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         last: tuple | None = None
         for batch in batches:
@@ -191,9 +224,9 @@ def compare_edits(docs: DataFrame) -> DataFrame:
                     e = edited(t0, t)
                     b = tree(e)
                     spans = edits(a, b)
-                    out.append((d0, len(t0), sha256(e.encode("utf-8", "surrogatepass")).hexdigest(), a.digest.hex(), b.digest.hex(), likeness(a, b), likeness(a, here[3]), len(a.children), sum(len(s.children) for s in a.children), spans[0][0] if spans else None, sum(y - x for x, y in spans)))
+                    out.append((d0, len(t0), sha256(e.encode("utf-8", "surrogatepass")).hexdigest(), a.digest.hex(), b.digest.hex(), likeness(a, b), likeness(a, here[3]), len(a.children), sum(len(s.children) for s in a.children), spans[0][0] if spans else None, sum(y - x for x, y in spans), branches(a)))
                 last = None if g else here
-            made = pd.DataFrame(out, columns=[c.split()[0] for c in _PAIRS.split(", ")])
+            made = pd.DataFrame(out, columns=_PAIR_NAMES)
             for c in ("doc_id", "first_edit"):
                 made[c] = made[c].astype("Int64")
             yield made

@@ -17,16 +17,16 @@ from .common import free_name, materialize, word_count
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 MOST_EPOCHS = 2
-#: Ranges that the keys of one source are dealt to.
-RANGES = 512
+#: Rows of a source that a range holds about, and ranges of a source at least.
+RANGE_ROWS, RANGES = 100_000, 512
 
 
 def prefix_sums(df: DataFrame, group: str, key: str, ties: list[str], value: str, out: str, ranges: int = RANGES) -> DataFrame:
     """`df` with `out`: the sum of `value` over the rows of its group before it, in the order of
     `key` (a uniform bigint hash), then `ties`. Groups are not null. No window holds more than a
-    range of a group, or a group's ranges."""
+    range of a group, or a group's ranges (at most 2^31 / 100,000 of these for each 2^31 rows)."""
     part = free_name(df, "range")
-    dealt = df.withColumn(part, F.expr(f"cast(shiftrightunsigned(`{key}`, 32) * {ranges} div 4294967296 as int)"))
+    dealt = df.withColumn(part, F.expr(f"cast(shiftrightunsigned(`{key}`, 32) * {ranges}L div 4294967296 as int)"))
     totals = dealt.groupBy(group, part).agg(F.sum(value).alias("total"))
     w = Window.partitionBy(group).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(F.col(group).alias("g"), F.col(part).alias("p"), F.coalesce(F.sum("total").over(w), F.lit(0)).alias("offset"))
@@ -81,13 +81,16 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
     mix takes, 0 to 2 times its size); with `row`, that column too.
 
     The taken words of a source add up to its target, rounded down. Null and blank texts have size
-    0 and take nothing; repeated rows count each; equal keys go by id; a null source is a source;
-    no rows give none. Reruns agree: nothing depends on the order or the place of rows."""
+    0 and take nothing; texts of any length count whole; repeated rows count each; keys hash id and
+    text, so that rows of a null or repeated id are spread; equal keys go by id; a null source is a
+    source; no rows give none; no other column is looked at, whatever its name. Reruns agree:
+    nothing depends on the order or the place of rows."""
     more = [F.col(row).alias("row")] if row else []
-    sized = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), word_count(text).alias("size"), *more)
-    sized = materialize(sized.withColumn("key", F.xxhash64(F.lit(seed), "doc_id")), "mix-sizes")
+    sized = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), word_count(text).alias("size"), F.xxhash64(F.lit(seed), doc_id, text).alias("key"), *more)
+    sized = materialize(sized, "mix-sizes")
+    ranges = max(RANGES, sized.count() // RANGE_ROWS)
     aims = targets(sized, "source", **shares).select(_named("source").alias("s"), "source_size", "target")
-    placed = prefix_sums(sized.withColumn("named", _named("source")), "named", "key", ["doc_id", "size", *(["row"] if row else [])], "size", "before")
+    placed = prefix_sums(sized.withColumn("named", _named("source")), "named", "key", ["doc_id", "size", *(["row"] if row else [])], "size", "before", ranges)
     budget = F.floor(F.col("target") + 1e-6)
     epochs = F.when(F.col("source_size") > 0, F.expr("cast(floor(target + 1e-6) as long) div source_size")).otherwise(F.lit(0))
     rest = F.greatest(F.lit(0), F.least(F.col("size"), budget - epochs * F.col("source_size") - F.col("before")))
@@ -97,7 +100,8 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
 
 def draw(docs: DataFrame, **options) -> DataFrame:
     """The rows of `docs` as often as the mix takes them: a row for each epoch, and one more for a
-    last part of half the document or more. Documents without words are not drawn."""
+    last part of half the document or more. Documents without words are not drawn; no rows give
+    none; all columns stay, whatever their names."""
     row = free_name(docs, "row")
     held = materialize(docs.withColumn(row, F.monotonically_increasing_id()), "mix-docs")
     times = F.when(F.col("size") > 0, F.expr("cast(floor((2 * taken + size) / (2 * size)) as int)")).otherwise(F.lit(0))

@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import free_name, materialize, ship
+from .common import free_name, materialize, ship, spread_join
 
 RADIUS = 4
 SHINGLE = 4
@@ -52,7 +52,8 @@ def simhash(text: str | None, shingle: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, text: str = "text", out: str = "fp") -> DataFrame:
-    """`docs` with a bigint fingerprint column. Null and empty texts get 0."""
+    """`docs` with a bigint fingerprint column. Null and empty texts get 0. Where `docs` has a column
+    named `out`, the new one gets underscores before its name; it comes last."""
     ship(docs.sparkSession)
 
     @F.pandas_udf("long")
@@ -60,7 +61,7 @@ def fingerprints(docs: DataFrame, text: str = "text", out: str = "fp") -> DataFr
         for part in parts:
             yield pd.Series([simhash(t) for t in part], dtype="int64")
 
-    return docs.withColumn(out, compute(F.col(text)))
+    return docs.withColumn(free_name(docs, out), compute(F.col(text)))
 
 
 def _signed(x: int) -> int:
@@ -114,17 +115,20 @@ def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
 
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of `edges` (two bigint columns): (node, root), root the smallest node
-    reachable. Alternates large-star and small-star steps until no edge changes."""
+    reachable. Alternates large-star and small-star steps until no edge changes. A node of many
+    edges is joined with its least neighbour by a broadcast, see `spread_join`."""
     a, b = edges.columns
     now = materialize(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct(), "cc")
     before = None
     while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        # only edges to larger nodes are joined, so only these count
+        low = both.groupBy("u").agg(F.min("v").alias("m"), F.count_if(F.col("v") > F.col("u")).alias("n"))
+        low = materialize(low.select("u", F.least("u", "m").alias("m"), "n"), "cc")
+        large = spread_join(both.where("v > u"), low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         large = materialize(large, "cc")
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*").where("u <> v").distinct()
+        low = materialize(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")), "cc")
+        small = spread_join(large, low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*").where("u <> v").distinct()
         now = materialize(small, "cc")
         state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == before:
@@ -133,30 +137,33 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def classes(fps: DataFrame, doc_id: str, radius: int = RADIUS) -> DataFrame:
-    """(fp, root, component_id) for each distinct fingerprint: its component's smallest fingerprint and the smallest non-null `doc_id` of all
-    rows whose fingerprints can be reached over links; null if there is none."""
-    nodes = materialize(fps.groupBy("fp").agg(F.min(doc_id).alias("rep")), "simhash-nodes")
+    """(fp, root, component_id, n) for each distinct fingerprint: its component's smallest
+    fingerprint, the smallest non-null `doc_id` of all rows whose fingerprints can be reached over
+    links (null if there is none), and its number of rows."""
+    nodes = materialize(fps.groupBy("fp").agg(F.min(doc_id).alias("rep"), F.count("*").alias("n")), "simhash-nodes")
     roots = components(links(nodes.select("fp"), radius)).withColumnRenamed("node", "fp")
-    named = nodes.join(roots, "fp", "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
-    least = named.groupBy("root").agg(F.min("rep").alias("component_id"))
-    return named.join(least, "root").select("fp", "root", "component_id")
+    named = materialize(nodes.join(roots, "fp", "left").select("fp", "rep", "n", F.coalesce("root", "fp").alias("root")), "simhash-named")
+    least = materialize(named.groupBy("root").agg(F.min("rep").alias("component_id"), F.count("*").alias("members")), "simhash-least")
+    return materialize(spread_join(named, least, "root", "members").select("fp", "root", "component_id", "n"), "simhash-classes")
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", radius: int = RADIUS) -> DataFrame:
     """One row for each row of `docs`: doc_id, fp (bigint), component_id.
 
-    Null or blank texts have fingerprint 0 and are linked like any other; rows with equal ids
-    each get their row; a null id names no component but its row still links; no rows give none."""
+    Null or blank texts have fingerprint 0 and are linked like any other; texts of any length are
+    taken whole; rows with equal ids each get their row; a null id names no component but its row
+    still links; no rows give none; no other column is looked at, whatever its name."""
     fps = materialize(fingerprints(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))).select("doc_id", "fp"), "simhash-fp")
-    return fps.join(classes(fps, "doc_id", radius), "fp").select("doc_id", "fp", "component_id")
+    return spread_join(fps, classes(fps, "doc_id", radius), "fp").select("doc_id", "fp", "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", radius: int = RADIUS) -> DataFrame:
-    """`docs` with one row of each component: the smallest id (nulls last), of repeated rows one."""
+    """`docs` with one row of each component: the smallest id (nulls last), of repeated rows one. No
+    rows give none; all columns stay, whatever their names."""
     fp, row = free_name(docs, "fp"), free_name(docs, "row")
     held = materialize(fingerprints(docs, text, fp).withColumn(row, F.monotonically_increasing_id()), "simhash-docs")
     slim = held.select(F.col(doc_id).alias("doc_id"), F.col(fp).alias("fp"), F.col(row).alias("row"))
-    named = slim.join(classes(slim, "doc_id", radius), "fp")
+    named = spread_join(slim, classes(slim, "doc_id", radius), "fp")
     best = named.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "row")).alias("best"))
     kept = best.select(F.col("best.row").alias(row))
     return held.join(kept, row, "left_semi").select(*docs.columns)

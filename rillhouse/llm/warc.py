@@ -12,13 +12,13 @@ from __future__ import annotations
 import base64
 import gzip
 import hashlib
-import io
 import json
 import struct
 import uuid
 import zipfile
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 from typing import BinaryIO
 
 import pandas as pd
@@ -157,45 +157,62 @@ def parse(data: bytes) -> dict:
 
 def plan_records(pages: DataFrame, least: int = REVISIT) -> DataFrame:
     """page_id, url, payload, digest, refers_to: of equal payloads of `least` bytes or more, all but
-    the one with the largest page_id refer to that. A null html is an empty payload."""
+    the one with the largest page_id refer to that. A null html is an empty payload.
+
+    Only ids and digests of large pages meet by digest; payloads are joined with what these say by
+    page and digest, so that a digest of many pages is spread."""
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     rows = pages.select("page_id", "url", payload.alias("payload")).withColumn("digest", F.sha1("payload"))
-    large = F.octet_length("payload") >= least
-    first = rows.where(large).groupBy("digest").agg(F.max("page_id").alias("kept"), F.count("*").alias("n")).where("n > 1 and kept is not null").select("digest", "kept")
-    refers = F.when(large & (F.coalesce(F.col("page_id") != F.col("kept"), F.lit(True))), F.col("kept"))
-    return rows.join(first, "digest", "left").select("page_id", "url", "payload", "digest", refers.alias("refers_to"))
+    slim = rows.where(F.octet_length("payload") >= least).select("page_id", "digest")
+    first = slim.groupBy("digest").agg(F.max("page_id").alias("kept"), F.count("*").alias("n")).where("n > 1 and kept is not null").select("digest", "kept")
+    refers = slim.join(first, "digest").where("page_id is null or page_id <> kept").groupBy("page_id", "digest").agg(F.max("kept").alias("refers_to"))
+    refers = refers.select(F.col("page_id").alias("page"), F.col("digest").alias("same"), "refers_to")
+    held = rows.join(refers, F.col("page_id").eqNullSafe(F.col("page")) & (F.col("digest") == F.col("same")), "left")
+    return held.select("page_id", "url", "payload", "digest", "refers_to")
+
+
+class _Stream:
+    """What a package is written to: bytes go to the shared store at once, none are looked at again."""
+
+    def __init__(self, out: BinaryIO):
+        self.out, self.size = out, 0
+
+    def write(self, data: bytes) -> int:
+        self.out.write(data)
+        self.size += len(data)
+        return len(data)
+
+    def flush(self) -> None:
+        pass
 
 
 def write(records: DataFrame, folder: str) -> DataFrame:
     """Write a package for each partition of `records` (see `plan_records`) into `folder`; returns
     (path, bytes, records). A task that runs again writes a file of its own; only files listed in
-    the result count. Memory holds one record at a time; the package goes through a local spool."""
+    the result count. Records go to the shared store one by one, the directory last; memory holds a
+    record and the index."""
     ship(records.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import tempfile
-
-        with tempfile.TemporaryFile() as spool:
-            offset, index = 0, []
-            with zipfile.ZipFile(spool, "w", zipfile.ZIP_STORED) as z:
-                with z.open(ARCHIVE, "w", force_zip64=True) as out:
-                    for batch in batches:
-                        for page_id, url, payload, digest, to in zip(batch["page_id"], batch["url"], batch["payload"], batch["digest"], batch["refers_to"], strict=True):
-                            page, to = (None if pd.isna(x) else int(x) for x in (page_id, to))
-                            data = record(page, url, payload, digest, to, to is not None)
-                            out.write(data)
-                            index.append(f"{digest} {page} {json.dumps({'offset': offset, 'length': len(data)})}\n")
-                            offset += len(data)
-                z.writestr(INDEX, "".join(index))
-            size = spool.tell() if not index else spool.seek(0, io.SEEK_END)
-            if not index:
-                return
-            path = f"{folder}/part-{uuid.uuid4().hex}.zip"
-            spool.seek(0)
-            with open_binary(path, "wb") as out:
-                while block := spool.read(1 << 20):
-                    out.write(block)
-            yield pd.DataFrame({"path": [path], "bytes": [size], "records": [len(index)]})
+        rows = (r for batch in batches for r in zip(batch["page_id"], batch["url"], batch["payload"], batch["digest"], batch["refers_to"], strict=True))
+        first = next(rows, None)
+        if first is None:
+            return
+        path, offset, index = f"{folder}/part-{uuid.uuid4().hex}.zip", 0, []
+        with open_binary(path, "wb") as out:
+            stream = _Stream(out)
+            with zipfile.ZipFile(stream, "w", zipfile.ZIP_STORED) as z:
+                with z.open(ARCHIVE, "w", force_zip64=True) as member:
+                    for page_id, url, payload, digest, to in chain([first], rows):
+                        page, to = (None if pd.isna(x) else int(x) for x in (page_id, to))
+                        data = record(page, url, payload, digest, to, to is not None)
+                        member.write(data)
+                        index.append(f"{digest} {page} {json.dumps({'offset': offset, 'length': len(data)})}\n")
+                        offset += len(data)
+                with z.open(INDEX, "w", force_zip64=True) as member:
+                    for line in index:
+                        member.write(line.encode())
+        yield pd.DataFrame({"path": [path], "bytes": [stream.size], "records": [len(index)]})
 
     return materialize(records.mapInPandas(run, "path string, bytes long, records long"), "warc-files")
 
@@ -257,6 +274,7 @@ def round_trip(pages: DataFrame) -> DataFrame:
 
     Null urls and htmls are empty; a null page_id stays null and its page is never the one that
     others refer to unless all equal ones are null, then each is a response; pages with equal id
-    and payload are all responses if that id is the largest; no pages give no rows."""
+    and payload are all responses if that id is the largest; pages of any length are one record;
+    no pages give no rows; no column but page_id, url and html is looked at."""
     files = write(plan_records(pages), new_path(pages.sparkSession, "warc"))
     return read(files)
