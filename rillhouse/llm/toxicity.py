@@ -31,6 +31,8 @@ MAX_ROWS = (5000, 2500)
 GRADES = 3
 #: Folds of the cross-fitted scores that toxic texts are graded by.
 FOLDS = 3
+#: What choosing a feature takes, in nats; and cells that features are counted in by hash.
+LEAST_GAIN, _CELLS = 11.0, 1 << 20
 _words = re.compile(r"\w+").findall
 _PREFIXES = (4, 5, 6, 7)
 _KEEP = 100_000  # words in each of the two halves of a worker's memory
@@ -88,32 +90,51 @@ class Sample:
         own = [np.array([vocabulary.setdefault(w, len(vocabulary)) for w in _words((t or "").lower())], np.int64) for t in texts]
         self.toxic = np.array(toxic, bool)
         self.flat, self.text = np.concatenate([np.zeros(0, np.int64), *own]), np.repeat(np.arange(len(own)), [len(x) for x in own])
+        hashes = np.array([zlib.crc32(w.encode()) for w in vocabulary], np.int64)
+        groups: dict[tuple, list[np.ndarray]] = {}
+        for x, words in zip(toxic, map(np.unique, own), strict=True):
+            groups.setdefault((bool(x), *np.sort(hashes[words])[:2].tolist()), []).append(words)
+        words_of = [np.unique(np.concatenate(words)) for words in groups.values()]
+        fold_of = {k: zlib.crc32(repr(k).encode()) % FOLDS for k in groups}
+        self.fold = np.array([fold_of[bool(x), *np.sort(hashes[np.unique(w)])[:2].tolist()] for x, w in zip(toxic, own, strict=True)], int)
+        self.group_toxic, self.group_fold = np.array([k[0] for k in groups], bool), np.array(list(fold_of.values()), int)
+        # only features that enough toxic groups may have are named: they are counted by hash first
+        cells = np.full((len(vocabulary), 1 + len(_PREFIXES)), _CELLS)
+        for i, w in enumerate(vocabulary):
+            found = [zlib.crc32(f.encode()) % _CELLS for f in features_of(w)]
+            cells[i, : len(found)] = found
+        counts = np.zeros(_CELLS + 1, np.int64)
+        for words, bad in zip(words_of, self.group_toxic, strict=True):
+            if bad:
+                counts[np.unique(cells[words])] += 1
+        counts[_CELLS] = 0
         index: dict[str, int] = {}
-        lists = [[index.setdefault(f, len(index)) for f in features_of(w)] for w in vocabulary]
+        least = self.least_groups()
+        lists = [[index.setdefault(f, len(index)) for f, c in zip(features_of(w), cells[i], strict=False) if counts[c] >= least] if counts[cells[i]].max() >= least else () for i, w in enumerate(vocabulary)]
         self.names = list(index)
         self.size = np.array([len(x) for x in lists], np.int64)
         self.start, self.ids = np.cumsum(self.size) - self.size, np.array([f for x in lists for f in x], np.int64)
-        hashes = np.array([zlib.crc32(w.encode()) for w in vocabulary], np.int64)
-        groups: dict[tuple, list[np.ndarray]] = {}
-        self.keys = []
-        for x, words in zip(toxic, map(np.unique, own), strict=True):
-            self.keys.append((bool(x), *np.sort(hashes[words])[:2].tolist()))
-            groups.setdefault(self.keys[-1], []).append(words)
-        self.fold = np.array([zlib.crc32(repr(k).encode()) % FOLDS for k in self.keys], int)
-        # the features of each group, once
-        found = [np.unique(self.features(np.unique(np.concatenate(words)))) for words in groups.values()]
+        found = [np.unique(self.features(words)) for words in words_of]
         self.group = np.repeat(np.arange(len(found)), [len(x) for x in found])
         self.feature = np.concatenate([np.zeros(0, np.int64), *found])
-        self.group_toxic = np.array([k[0] for k in groups], bool)
-        self.group_fold = np.array([zlib.crc32(repr(k).encode()) % FOLDS for k in groups], int)
+
+    def least_groups(self) -> float:
+        """Toxic groups that a feature needs to reach the least gain, in all folds or without one:
+        k groups gain k times the logarithm of the share's inverse at most."""
+        ratios = [1.0]
+        for without in [None, *range(FOLDS)]:
+            use = self.group_fold != without if without is not None else np.ones(len(self.group_toxic), bool)
+            p = (use & self.group_toxic).sum()
+            ratios.append(use.sum() / p if p else 1.0)
+        return LEAST_GAIN / max(np.log(max(ratios)), 1e-9)
 
     def features(self, words: np.ndarray) -> np.ndarray:
         n = self.size[words]
         return self.ids[np.repeat(self.start[words] - np.cumsum(n) + n, n) + np.arange(n.sum())]
 
-    def choose(self, without: int | None = None, least_gain: float = 11.0) -> np.ndarray:
+    def choose(self, without: int | None = None) -> np.ndarray:
         """Features more frequent in toxic texts (of all folds but `without`), and by more than
-        chance: the log-likelihood ratio of their document frequencies is at least `least_gain`
+        chance: the log-likelihood ratio of their document frequencies is at least `LEAST_GAIN`
         nats, and twenty in 21 of their texts are toxic after the classes are brought to equal size."""
         use = np.ones(len(self.group_toxic), bool) if without is None else self.group_fold != without
         p, n = (use & self.group_toxic).sum(), (use & ~self.group_toxic).sum()
@@ -124,7 +145,7 @@ class Sample:
         at = np.flatnonzero(k)
         k, m = k[at], m[at]
         gain = k * np.log(k / (k + m) * (p + n) / p) + m * np.log(np.maximum(m, 1) / (k + m) * (p + n) / n)
-        good = (gain >= least_gain) & (k / p >= 20 * m / n)
+        good = (gain >= LEAST_GAIN) & (k / p >= 20 * m / n)
         return at[good][np.argsort(-gain[good], kind="stable")]
 
     def values(self, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
