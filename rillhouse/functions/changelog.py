@@ -27,9 +27,9 @@ def pick(df: DataFrame, *keys: str) -> DataFrame:
 
 
 def cart_delta() -> Column:
-    """Pieces added to a cart: all on insert, the increase on update; null where nothing was added
-    or the update did not touch the number."""
-    new, old = F.col("data")["sku_num"].cast("int"), F.col("old")["sku_num"].cast("int")
+    """Pieces added to a cart: all on insert, the increase on update; null where nothing was added,
+    the update did not touch the number, or a number can't be read."""
+    new, old = F.col("data")["sku_num"].try_cast("int"), F.col("old")["sku_num"].try_cast("int")
     return F.when(F.col("type") == "insert", new).when((F.col("type") == "update") & (new > old), new - old)
 
 

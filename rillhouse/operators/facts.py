@@ -50,7 +50,8 @@ def cancel_detail(changelog: DataFrame, details: DataFrame) -> DataFrame:
 
 
 def interval_join(left: DataFrame, right: DataFrame, on: str, left_time: str, right_time: str, back: str) -> DataFrame:
-    """Pairs with equal `on` and the right time within `back` before the left one, ends included."""
+    """Pairs with equal `on` and the right time within `back` before the left one, ends included. On
+    streams both times carry watermarks, so that the state of either side ends."""
     r = right.withColumnRenamed(on, "__on")
     return left.join(r, (left[on] == F.col("__on")) & F.expr(f"{right_time} between {left_time} - interval {back} and {left_time}")).drop("__on")
 
@@ -58,7 +59,7 @@ def interval_join(left: DataFrame, right: DataFrame, on: str, left_time: str, ri
 def pay_detail(changelog: DataFrame, details: DataFrame, dic: DataFrame) -> DataFrame:
     """Successful payments with the order lines of the half hour before, and code names."""
     keys = ("id", "user_id", "order_id", "trade_no", "total_amount", "payment_status", "payment_type", "callback_time")
-    pays = pick(transition(changelog, "payment_info", "payment_status", "1601", "1602"), *keys).withColumn("pet", F.timestamp_seconds("ts"))
+    pays = _timed(pick(transition(changelog, "payment_info", "payment_status", "1601", "1602"), *keys), "pet")
     lines = details.select(F.col("id").alias("order_detail_id"), "order_id", *DETAIL[2:], "province_id", "coupon_id", "coupon_use_id", "activity_id", "activity_rule_id", "et")
     out = interval_join(pays, lines, "order_id", "pet", "et", "30 minutes").drop("pet", "et")
     out = lookup_join(out, dic, "payment_status", {"dic_name": "payment_status_name"})
@@ -66,21 +67,27 @@ def pay_detail(changelog: DataFrame, details: DataFrame, dic: DataFrame) -> Data
 
 
 def order_refund(changelog: DataFrame, dic: DataFrame) -> DataFrame:
-    """Approved refunds of order lines, with the order's province and code names."""
+    """Approved refunds of order lines, with the order's province and code names; `et` is kept, so
+    that the payment join can bound its state by it."""
     keys = ("id", "user_id", "order_id", "sku_id", "refund_type", "refund_num", "refund_amount", "refund_reason_type", "refund_reason_txt", "operate_time")
     refunds = _timed(pick(transition(changelog, "order_refund_info", "refund_status", "0701", "0702"), *keys))
     orders = pick(transition(changelog, "order_info", "order_status", None, "1005"), "id", "province_id").withColumnRenamed("id", "oi_id")
-    out = _near(refunds, orders, F.col("order_id") == F.col("oi_id"), "inner", "10 seconds").drop("oi_id", "et")
+    out = _near(refunds, orders, F.col("order_id") == F.col("oi_id"), "inner", "10 seconds").drop("oi_id")
     out = lookup_join(out, dic, "refund_type", {"dic_name": "refund_type_name"})
     return lookup_join(out, dic, "refund_reason_type", {"dic_name": "refund_reason_type_name"})
 
 
 def refund_pay(changelog: DataFrame, refunds: DataFrame, dic: DataFrame) -> DataFrame:
-    """Paid refunds: each payment with every refunded sku of its order, and code names."""
+    """Paid refunds: each payment with every refunded sku of its order, and code names. On streams a
+    payment comes within seven days of its refund."""
     keys = ("id", "order_id", "out_trade_no", "refund_status", "payment_type", "trade_no", "callback_time")
     pays = pick(transition(changelog, "refund_payment", "refund_status", None, "1602"), *keys)
-    lines = refunds.drop("id", "ts", "et").withColumnRenamed("order_id", "r_order_id")
-    out = pays.join(lines, F.col("order_id") == F.col("r_order_id")).drop("r_order_id")
+    lines = refunds.drop("id", "ts").withColumnRenamed("order_id", "r_order_id")
+    on = F.col("order_id") == F.col("r_order_id")
+    if pays.isStreaming:
+        pays = _timed(pays, "pet")
+        on = on & F.expr("pet between et - interval 7 days and et + interval 7 days")
+    out = pays.join(lines, on).drop("r_order_id", "et", "pet")
     out = lookup_join(out, dic, "refund_status", {"dic_name": "refund_status_name"})
     return lookup_join(out, dic, "payment_type", {"dic_name": "payment_type_name"})
 

@@ -38,12 +38,16 @@ def dim_rows(changelog: DataFrame, config: DataFrame, database: str, seq: str) -
     return latest_per_key(rows, ["sink_table", "row_key"], ["ts", seq], op="op_type").drop("ts", seq)
 
 
-def dim_tables(changelog: DataFrame, config: DataFrame, database: str, seq: str = "seq") -> dict[str, DataFrame]:
-    """A flat table for each sink of the config, which is small and bounded by its own rows."""
-    rows, out = dim_rows(changelog, config, database, seq), {}
+def dim_tables(changelog: DataFrame, config: DataFrame, database: str, path: str, seq: str = "seq") -> dict[str, DataFrame]:
+    """A flat table for each sink of the config, which is small and bounded by its own rows. The rows
+    of all sinks are made in one pass and written to `path`, a folder a sink; each table reads its
+    own folder."""
+    rows = dim_rows(changelog, config, database, seq)
+    rows.write.option("partitionOverwriteMode", "static").mode("overwrite").partitionBy("sink_table").parquet(path)
+    held, out = changelog.sparkSession.read.schema(rows.schema).parquet(path), {}
     for r in config.select("sink_table", "sink_columns").distinct().toLocalIterator():
         names = [c.strip() for c in r["sink_columns"].split(",")]
-        out[r["sink_table"]] = rows.where(F.col("sink_table") == r["sink_table"]).select(*[F.col("data")[c].alias(c) for c in names])
+        out[r["sink_table"]] = held.where(F.col("sink_table") == r["sink_table"]).select(*[F.col("data")[c].alias(c) for c in names])
     return out
 
 

@@ -1,7 +1,8 @@
-"""Tumbling-window jobs. All take a window width. `register_window`, `keyword_window` and
-`cart_uu_window` also take a watermark delay and run on streams; the other eight set no watermark
-and are batch only: of these traffic, home_detail, login, payment and order use window functions,
-which streams refuse. Records carry an event time `et` and a unique `seq` after equal times."""
+"""Tumbling-window jobs. All take a window width. Each `..._window` is the batch job; what depends on
+a key's history (first of a day, of a session, ever) it marks with window functions, and the sums over
+marked rows are functions of their own, which take a watermark delay: `streaming.jobs` marks streams
+by keyed state instead and runs the same sums. Records carry an event time `et` and a unique `seq`
+after equal times."""
 
 from __future__ import annotations
 
@@ -16,6 +17,8 @@ from .lookup import lookup_join
 
 WIDTH, DELAY = "5 seconds", "1 millisecond"
 MONEY = "decimal(16,2)"
+#: What makes a page view a login.
+LOGIN = "trim(uid) <> '' AND (last_page_id = 'login' OR last_page_id IS NULL)"
 
 
 def first_of(keys: list[Column | str], order: tuple[str, ...] = ("et", "seq")) -> Column:
@@ -27,8 +30,8 @@ def first_of_day(key: str) -> Column:
     return F.col(key).isNotNull() & first_of([key, F.to_date("et")])
 
 
-def one(flag: Column) -> Column:
-    return F.when(flag, 1).otherwise(0)
+def one(flag: str | Column) -> Column:
+    return F.when(flag if isinstance(flag, Column) else F.col(flag), 1).otherwise(0)
 
 
 def register_window(users: DataFrame, ts: str = "create_time", width: str = WIDTH, delay: str = DELAY) -> DataFrame:
@@ -52,39 +55,55 @@ def cart_uu_window(cart: DataFrame, width: str = WIDTH, delay: str = DELAY) -> D
     return stamped(out, "cart_add_uu_ct")
 
 
+def cart_uu_sums(marked: DataFrame, width: str = WIDTH, delay: str = DELAY) -> DataFrame:
+    """`f` marks a user's first record of a window."""
+    out = watermarked(marked, "et", delay).groupBy(tumble("et", width)).agg(F.sum(one("f")).alias("cart_add_uu_ct"))
+    return stamped(out, "cart_add_uu_ct")
+
+
 def traffic_window(page: DataFrame, width: str = WIDTH) -> DataFrame:
     """Visitors (first view of a device's day), sessions (first view of a session), views, time."""
-    marked = page.withColumn("uv", one(first_of_day("mid"))).withColumn("sv", one(F.col("sid").isNotNull() & first_of(["sid"])))
-    return traffic_sums(marked, width)
+    return traffic_sums(page.withColumn("uv", first_of_day("mid")).withColumn("sv", F.col("sid").isNotNull() & first_of(["sid"])), width)
 
 
-def traffic_sums(marked: DataFrame, width: str = WIDTH) -> DataFrame:
-    sums = [F.sum("uv").alias("uv_ct"), F.sum("sv").alias("sv_ct"), F.count("*").alias("pv_ct"), F.sum("during_time").alias("dur_sum")]
-    out = marked.groupBy(tumble("et", width), "vc", "ch", "ar", "is_new").agg(*sums)
+def traffic_sums(marked: DataFrame, width: str = WIDTH, delay: str = DELAY) -> DataFrame:
+    sums = [F.sum(one("uv")).alias("uv_ct"), F.sum(one("sv")).alias("sv_ct"), F.count("*").alias("pv_ct"), F.sum("during_time").alias("dur_sum")]
+    out = watermarked(marked, "et", delay).groupBy(tumble("et", width), "vc", "ch", "ar", "is_new").agg(*sums)
     return stamped(out, "vc", "ch", "ar", "is_new", "uv_ct", "sv_ct", "pv_ct", "dur_sum")
 
 
 def home_detail_window(page: DataFrame, width: str = WIDTH) -> DataFrame:
     """Devices that saw the home page and an item page for the first time of the day."""
     seen = page.where(F.col("page_id").isin("home", "good_detail"))
-    first = seen.withColumn("f", first_of(["mid", "page_id", F.to_date("et")])).where("f and mid is not null")
+    return home_detail_sums(seen.withColumn("f", F.col("mid").isNotNull() & first_of(["mid", "page_id", F.to_date("et")])), width)
+
+
+def home_detail_sums(marked: DataFrame, width: str = WIDTH, delay: str = DELAY) -> DataFrame:
     sums = [F.sum(one(F.col("page_id") == p)).alias(f"{n}_uv_ct") for p, n in (("home", "home"), ("good_detail", "good_detail"))]
-    return stamped(first.groupBy(tumble("et", width)).agg(*sums), "home_uv_ct", "good_detail_uv_ct")
+    return stamped(watermarked(marked, "et", delay).where("f").groupBy(tumble("et", width)).agg(*sums), "home_uv_ct", "good_detail_uv_ct")
 
 
 def login_window(page: DataFrame, width: str = WIDTH) -> DataFrame:
     """Users by their first login of the day, and those back after more than a week."""
-    logins = page.where((F.trim("uid") != "") & ((F.col("last_page_id") == "login") | F.col("last_page_id").isNull()))
-    first = logins.withColumn("f", first_of_day("uid")).where("f").withColumn("d", F.to_date("et"))
-    gap = F.datediff("d", F.lag("d").over(Window.partitionBy("uid").orderBy("d")))
-    out = first.withColumn("back", one(gap > 7)).groupBy(tumble("et", width)).agg(F.sum("back").alias("back_ct"), F.count("*").alias("uu_ct"))
+    first = page.where(LOGIN).withColumn("f", first_of_day("uid")).where("f")
+    return login_sums(first.withColumn("before", F.lag(F.to_date("et")).over(Window.partitionBy("uid").orderBy(F.to_date("et")))), width)
+
+
+def login_sums(marked: DataFrame, width: str = WIDTH, delay: str = DELAY) -> DataFrame:
+    """`f` marks first logins of a day, `before` is the day of the login before."""
+    back = F.sum(one(F.datediff(F.to_date("et"), F.col("before")) > 7)).alias("back_ct")
+    out = watermarked(marked, "et", delay).where("f").groupBy(tumble("et", width)).agg(back, F.count("*").alias("uu_ct"))
     return stamped(out, "back_ct", "uu_ct")
 
 
 def payment_window(pays: DataFrame, width: str = WIDTH) -> DataFrame:
     """Payers by their first payment of the day, and first payers ever."""
-    marked = pays.withColumn("u", one(first_of_day("user_id"))).withColumn("n", one(F.col("user_id").isNotNull() & first_of(["user_id"])))
-    out = marked.where("u = 1").groupBy(tumble("et", width)).agg(F.sum("u").alias("payment_suc_unique_user_count"), F.sum("n").alias("payment_suc_new_user_count"))
+    return payment_sums(pays.withColumn("u", first_of_day("user_id")).withColumn("n", F.col("user_id").isNotNull() & first_of(["user_id"])), width)
+
+
+def payment_sums(marked: DataFrame, width: str = WIDTH, delay: str = DELAY) -> DataFrame:
+    sums = [F.sum(one("u")).alias("payment_suc_unique_user_count"), F.sum(one("n")).alias("payment_suc_new_user_count")]
+    out = watermarked(marked, "et", delay).where("u").groupBy(tumble("et", width)).agg(*sums)
     return stamped(out, "payment_suc_unique_user_count", "payment_suc_new_user_count")
 
 
@@ -99,33 +118,57 @@ def order_window(details: DataFrame, width: str = WIDTH) -> DataFrame:
     return stamped(out, "order_unique_user_count", "order_new_user_count")
 
 
+def order_sums(marked: DataFrame, width: str = WIDTH, delay: str = DELAY) -> DataFrame:
+    """`u` and `n` mark one row for each user and window with a hit."""
+    sums = [F.sum(one("u")).alias("order_unique_user_count"), F.sum(one("n")).alias("order_new_user_count")]
+    out = watermarked(marked, "et", delay).where("user_id IS NOT NULL").groupBy(tumble("et", width)).agg(*sums)
+    return stamped(out, "order_unique_user_count", "order_new_user_count")
+
+
+SKU_NAMES = ["sku_name", "spu_id", "spu_name", "trademark_id", "trademark_name", *[f"category{k}_{x}" for k in (1, 2, 3) for x in ("id", "name")]]
+
+
 def sku_order_window(details: DataFrame, sku_dim: DataFrame, width: str = WIDTH) -> DataFrame:
     """Amounts of each sku's first-version order lines, with its chain of dimensions. The sums go
     to the lookup, so that few rows are joined."""
     first = first_per_key(details.select("id", "seq", "sku_id", "sku_num", "split_total_amount", "split_activity_amount", "split_coupon_amount", "create_time"), ["id"], ["seq"])
+    return with_sku(sku_order_sums(first, width), sku_dim)
+
+
+def sku_order_sums(first: DataFrame, width: str = WIDTH, delay: str = DELAY) -> DataFrame:
     sums = [F.sum("sku_num").alias("sku_num"), F.sum("split_activity_amount").alias("activity_reduce_amount"), F.sum("split_coupon_amount").alias("coupon_reduce_amount"), F.sum("split_total_amount").alias("order_amount")]
-    out = first.groupBy(tumble("create_time", width), "sku_id").agg(*sums)
-    names = ["sku_name", "spu_id", "spu_name", "trademark_id", "trademark_name", *[f"category{k}_{x}" for k in (1, 2, 3) for x in ("id", "name")], "price"]
-    out = lookup_join(out, sku_dim, "sku_id", {c: c for c in names})
-    original = (F.col("sku_num").cast("int") * F.col("price").cast(MONEY)).cast(MONEY)
+    out = watermarked(first, "create_time", delay).groupBy(tumble("create_time", width), "sku_id").agg(*sums)
+    return stamped(out, "sku_id", "sku_num", "activity_reduce_amount", "coupon_reduce_amount", "order_amount")
+
+
+def with_sku(sums: DataFrame, sku_dim: DataFrame) -> DataFrame:
+    out = lookup_join(sums, sku_dim, "sku_id", {c: c for c in [*SKU_NAMES, "price"]})
+    original = (F.col("sku_num").try_cast("int") * F.col("price").try_cast(MONEY)).cast(MONEY)
     money = [F.col(c).cast(MONEY).alias(c) for c in ("activity_reduce_amount", "coupon_reduce_amount", "order_amount")]
-    out = out.select("w", "sku_id", *names[:-1], original.alias("original_amount"), *money)
-    return stamped(out, "sku_id", *names[:-1], "original_amount", "activity_reduce_amount", "coupon_reduce_amount", "order_amount")
+    return out.select("stt", "edt", "cur_date", "sku_id", *SKU_NAMES, original.alias("original_amount"), *money)
 
 
 def province_order_window(details: DataFrame, province: DataFrame, width: str = WIDTH) -> DataFrame:
     """Orders and amounts of each province; the average over an order line's versions keeps repeated
     versions from counting twice."""
-    rows = details.where(F.col("province_id").isNotNull())
-    line = rows.groupBy(tumble("create_time", width), "id", "province_id", "order_id").agg(F.avg(F.col("split_total_amount").cast(MONEY)).alias("amount"))
-    out = line.groupBy("w", "province_id").agg(F.countDistinct("order_id").alias("order_count"), F.sum("amount").cast(MONEY).alias("order_amount"))
-    return stamped(lookup_join(out, province, "province_id", {"name": "province_name"}), "province_id", "province_name", "order_count", "order_amount")
+    return province_sums(province_lines(details, width), province)
+
+
+def province_lines(details: DataFrame, width: str = WIDTH, delay: str = DELAY) -> DataFrame:
+    rows = watermarked(details, "create_time", delay).where(F.col("province_id").isNotNull())
+    line = rows.groupBy(tumble("create_time", width), "id", "province_id", "order_id").agg(F.avg(F.col("split_total_amount").try_cast(MONEY)).alias("amount"))
+    return stamped(line, "id", "province_id", "order_id", "amount")
+
+
+def province_sums(lines: DataFrame, province: DataFrame) -> DataFrame:
+    out = lines.groupBy("stt", "edt", "cur_date", "province_id").agg(F.countDistinct("order_id").alias("order_count"), F.sum("amount").cast(MONEY).alias("order_amount"))
+    return lookup_join(out, province, "province_id", {"name": "province_name"}).select("stt", "edt", "cur_date", "province_id", "province_name", "order_count", "order_amount")
 
 
-def refund_window(refunds: DataFrame, sku_dim: DataFrame, width: str = WIDTH) -> DataFrame:
+def refund_window(refunds: DataFrame, sku_dim: DataFrame, width: str = WIDTH, delay: str = DELAY) -> DataFrame:
     """Refunds of each user by trademark and category."""
     names = ["trademark_id", "trademark_name", *[f"category{k}_{x}" for k in (1, 2, 3) for x in ("id", "name")]]
-    wide = lookup_join(refunds, sku_dim, "sku_id", {c: c for c in names})
+    wide = lookup_join(watermarked(refunds, "et", delay), sku_dim, "sku_id", {c: c for c in names})
     first = [F.first(c).alias(c) for c in names if c not in ("trademark_id", "category3_id")]
     out = wide.groupBy(tumble("et", width), "trademark_id", "category3_id", "user_id").agg(*first, F.count("*").alias("refund_count"))
     return stamped(out, *names, "user_id", "refund_count")

@@ -7,8 +7,11 @@ from pyspark.sql import functions as F
 
 from rillhouse.functions.times import to_seconds
 from rillhouse.operators import lookup
+from rillhouse.session import shared_path
+from rillhouse.sources import topics
 
 MONEY = "decimal(16,2)"
+DATABASE = "shop"
 
 
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -22,11 +25,10 @@ def choose(c: str, values: dict[str, str | None]) -> Column:
     return out
 
 
-def page_log(spark: SparkSession, d: str) -> DataFrame:
-    e, p = table(spark, d, "events"), table(spark, d, "part").select("p_partkey", "p_name")
-    n = p.agg(F.count("*").alias("n"))
-    e = e.join(F.broadcast(n)).withColumn("pk", F.pmod("event_id", "n")).drop("n")  # one row
-    out = e.join(p, F.col("pk") == F.col("p_partkey"), "left")
+def page_log(spark: SparkSession, d: str, events: DataFrame | None = None) -> DataFrame:
+    """Page views of the events, or of a stream of them."""
+    e, p = table(spark, d, "events") if events is None else events, table(spark, d, "part").select("p_partkey", "p_name")
+    out = e.withColumn("pk", F.pmod("event_id", F.lit(p.count()))).join(p, F.col("pk") == F.col("p_partkey"), "left")
     user = F.col("user_id").cast("string")
     return out.select(
         user.alias("mid"),
@@ -81,9 +83,8 @@ def detail_versions(spark: SparkSession, d: str) -> DataFrame:
 def sku_dims(spark: SparkSession, d: str) -> list[DataFrame]:
     """sku, spu, trademark, category3, category2, category1."""
     p, s, n, r = (table(spark, d, t) for t in ("part", "supplier", "nation", "region"))
-    count = s.agg(F.count("*").alias("n"))  # one row
     t = lambda c: F.col(c).cast("string")
-    sku = p.join(F.broadcast(count)).select(t("p_partkey").alias("id"), F.col("p_name").alias("sku_name"), t("p_size").alias("spu_id"), F.col("p_retailprice").cast(MONEY).cast("string").alias("price"), F.col("p_brand").alias("tm_id"), (F.col("p_partkey") % F.col("n")).cast("string").alias("category3_id"))
+    sku = p.select(t("p_partkey").alias("id"), F.col("p_name").alias("sku_name"), t("p_size").alias("spu_id"), F.col("p_retailprice").cast(MONEY).cast("string").alias("price"), F.col("p_brand").alias("tm_id"), (F.col("p_partkey") % F.lit(s.count())).cast("string").alias("category3_id"))
     spu = p.select(t("p_size").alias("id"), F.concat(F.lit("spu "), t("p_size")).alias("spu_name")).distinct()
     tm = p.select(F.col("p_brand").alias("id"), F.concat(F.lit("tm "), F.col("p_brand")).alias("tm_name")).distinct()
     return [sku, spu, tm, s.select(t("s_suppkey").alias("id"), F.col("s_name").alias("name"), t("s_nationkey").alias("category2_id")), n.select(t("n_nationkey").alias("id"), F.col("n_name").alias("name"), t("n_regionkey").alias("category1_id")), r.select(t("r_regionkey").alias("id"), F.col("r_name").alias("name"))]
@@ -108,7 +109,7 @@ def dic(spark: SparkSession) -> DataFrame:
 
 def _change(df: DataFrame, name: str, op: str, ts: Column, data: dict[str, Column], old: dict[str, Column] | None = None) -> DataFrame:
     m = lambda kv: F.create_map(*[x for k, v in kv.items() for x in (F.lit(k), v.cast("string"))])
-    row = F.struct(F.lit("gmall").alias("database"), F.lit(name).alias("table"), F.lit(op).alias("type"), ts.alias("ts"), m(data).alias("data"), (m(old) if old else F.lit(None).cast("map<string,string>")).alias("old"))
+    row = F.struct(F.lit(DATABASE).alias("database"), F.lit(name).alias("table"), F.lit(op).alias("type"), ts.alias("ts"), m(data).alias("data"), (m(old) if old else F.lit(None).cast("map<string,string>")).alias("old"))
     return df.select(F.to_json(row).alias("value"))
 
 
@@ -142,6 +143,22 @@ def changelog(spark: SparkSession, d: str, *parts: str) -> DataFrame:
     return out
 
 
+#: Changelogs that were stored, by Spark application and folder of the tables.
+_stored: dict[tuple[str, str], str] = {}
+KINDS = ("order", "detail", "coupon", "activity", "cancel", "pay", "refund", "refund_order", "refund_pay", "comment")
+
+
+def stored_changelog(spark: SparkSession, d: str) -> DataFrame:
+    """The changelog of all kinds of change, parsed and stored by table once for each application, as
+    the jobs of a warehouse find it."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _stored:
+        path = shared_path(spark, "changelog")
+        topics.store_changelog(changelog(spark, d, *KINDS), path)
+        _stored[key] = path
+    return spark.read.schema(topics.CHANGELOG).parquet(_stored[key])
+
+
 def cart_changes(spark: SparkSession, d: str) -> DataFrame:
     """Cart rows of clicks as a parsed changelog; some updates don't touch the number."""
     e = table(spark, d, "events").where("event_type = 'click'")
@@ -149,4 +166,4 @@ def cart_changes(spark: SparkSession, d: str) -> DataFrame:
     s = lambda x: x.cast("string")
     data = F.create_map(F.lit("id"), s(F.col("event_id")), F.lit("user_id"), s(F.col("user_id")), F.lit("sku_id"), s(F.col("event_id") % 97), F.lit("cart_price"), s(F.col("event_id") % 89), F.lit("sku_name"), F.concat(F.lit("sku "), s(F.col("event_id") % 97)), F.lit("sku_num"), s(1 + F.col("event_id") % 5))
     old = F.when(up & (F.col("event_id") % 7 != 0), F.create_map(F.lit("sku_num"), s(1 + F.col("event_id") % 4))).when(up, F.create_map(F.lit("cart_price"), F.lit("1")))
-    return e.select(F.lit("gmall").alias("database"), F.lit("cart_info").alias("table"), F.when(up, "update").otherwise("insert").alias("type"), to_seconds("ts").alias("ts"), data.alias("data"), old.alias("old"))
+    return e.select(F.lit(DATABASE).alias("database"), F.lit("cart_info").alias("table"), F.when(up, "update").otherwise("insert").alias("type"), to_seconds("ts").alias("ts"), data.alias("data"), old.alias("old"))

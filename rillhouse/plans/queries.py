@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,7 +13,7 @@ from rillhouse.functions.times import stamp, to_seconds
 from rillhouse.operators import facts, routing, traffic, windows
 from rillhouse.session import shared_path
 from rillhouse.sources import topics
-from rillhouse.streaming import runners
+from rillhouse.streaming import jobs, keyed, runners
 
 from . import fixtures as fx
 
@@ -76,8 +77,8 @@ DETAIL = """detail AS (
 DETAIL_COLUMNS = "id, order_id, sku_id, sku_num, split_total_amount, split_activity_amount, split_coupon_amount, create_time, ts, user_id, province_id, coupon_id, coupon_use_id, activity_id, activity_rule_id"
 
 
-def _log(spark: SparkSession, d: str, *parts: str) -> DataFrame:
-    return topics.parse_changelog(fx.changelog(spark, d, *parts))
+def _log(spark: SparkSession, d: str) -> DataFrame:
+    return fx.stored_changelog(spark, d)
 
 
 # --- plain windows
@@ -190,9 +191,9 @@ def changelog_valid(spark, d):
     i = F.col("event_id")
     kind = F.when(i % 17 == 0, "truncate").when(i % 5 == 0, "bootstrap-insert").otherwise("insert")
     data = F.when(i % 19 == 0, F.create_map().cast("map<string,string>")).otherwise(F.create_map(F.lit("id"), i.cast("string")))
-    row = F.struct(F.when(i % 13 == 0, "other").otherwise("gmall").alias("database"), F.lit("t").alias("table"), kind.alias("type"), to_seconds("ts").alias("ts"), data.alias("data"))
+    row = F.struct(F.when(i % 13 == 0, "other").otherwise(fx.DATABASE).alias("database"), F.lit("t").alias("table"), kind.alias("type"), to_seconds("ts").alias("ts"), data.alias("data"))
     raw = e.select(F.when(i % 11 == 0, F.lit("{broken")).otherwise(F.to_json(row)).alias("value"))
-    good = ch.valid(topics.parse_changelog(raw), "gmall")
+    good = ch.valid(topics.parse_changelog(raw), fx.DATABASE)
     return good.select(F.col("data")["id"].cast("bigint").alias("id"), "type", "ts", F.date_format(F.timestamp_seconds("ts"), "yyyy-MM-dd").alias("day"))
 
 
@@ -206,12 +207,12 @@ def parse_topic(spark, d):
 
 @query("SELECT CAST(o_orderkey AS VARCHAR) AS id, strftime(o_orderdate + to_seconds(o_orderkey % 86400), '%Y-%m-%d %H:%M:%S') AS operate_time FROM orders WHERE o_orderstatus = 'P'")
 def status_transition(spark, d):
-    return ch.pick(ch.transition(_log(spark, d, "order", "cancel", "refund_order"), "order_info", "order_status", "1001", "1003"), "id", "operate_time").drop("ts")
+    return ch.pick(ch.transition(_log(spark, d), "order_info", "order_status", "1001", "1003"), "id", "operate_time").drop("ts")
 
 
 @query("SELECT CAST(o_orderkey AS VARCHAR) AS id, CAST(c_nationkey AS VARCHAR) AS province_id FROM orders LEFT JOIN customer ON o_custkey = c_custkey WHERE o_orderstatus <> 'O'")
 def column_changed(spark, d):
-    return ch.pick(ch.transition(_log(spark, d, "order", "cancel", "refund_order"), "order_info", "order_status", None, "1005"), "id", "province_id").drop("ts")
+    return ch.pick(ch.transition(_log(spark, d), "order_info", "order_status", None, "1005"), "id", "province_id").drop("ts")
 
 
 @query("""WITH c AS (SELECT *, event_id % 2 = 1 AS up, 1 + event_id % 5 AS new, CASE WHEN event_id % 7 <> 0 THEN 1 + event_id % 4 END AS old FROM events WHERE event_type = 'click')
@@ -226,12 +227,12 @@ def cart_add_detail(spark, d):
 
 @query(f"WITH {OD}, {LINE}, {DETAIL} SELECT {DETAIL_COLUMNS} FROM detail")
 def order_detail(spark, d):
-    return facts.order_detail(_log(spark, d, "detail", "order", "coupon", "activity")).drop("et")
+    return facts.order_detail(_log(spark, d)).drop("et")
 
 
 @query(f"WITH {OD}, {LINE}, {DETAIL} SELECT {DETAIL_COLUMNS}, create_time AS cancel_time FROM detail WHERE o_orderstatus = 'P'")
 def cancel_detail(spark, d):
-    log = _log(spark, d, "detail", "order", "coupon", "activity", "cancel")
+    log = _log(spark, d)
     return facts.cancel_detail(log, facts.order_detail(log)).drop("et")
 
 
@@ -239,7 +240,7 @@ def cancel_detail(spark, d):
 detail.id AS order_detail_id, sku_id, sku_num, split_total_amount, split_activity_amount, split_coupon_amount, create_time, province_id, coupon_id, coupon_use_id, activity_id, activity_rule_id, s.dic_name AS payment_status_name, t.dic_name AS payment_type_name
 FROM detail LEFT JOIN dic s ON s.id = '1602' LEFT JOIN dic t ON t.id = CAST(1101 + l_orderkey % 3 AS VARCHAR) WHERE o_orderstatus = 'F' AND ts BETWEEN sec - 1800 AND sec""")
 def pay_detail(spark, d):
-    log = _log(spark, d, "detail", "order", "coupon", "activity", "pay")
+    log = _log(spark, d)
     return facts.pay_detail(log, facts.order_detail(log), fx.dic(spark))
 
 
@@ -257,21 +258,21 @@ REFUND = """refund AS (
 
 @query(f"WITH {OD}, {LINE}, {DIC}, {REFUND} SELECT * EXCLUDE l_orderkey FROM refund")
 def order_refund(spark, d):
-    return facts.order_refund(_log(spark, d, "refund", "refund_order"), fx.dic(spark))
+    return facts.order_refund(_log(spark, d), fx.dic(spark)).drop("et")
 
 
 @query(f"""WITH {OD}, {LINE}, {DIC}, {REFUND} SELECT 'rp' || l_orderkey AS id, order_id, CAST(l_orderkey + 5 AS VARCHAR) AS out_trade_no, '1602' AS refund_status, CAST(1101 + l_orderkey % 4 AS VARCHAR) AS payment_type, CAST(l_orderkey * 2 AS VARCHAR) AS trade_no, operate_time AS callback_time, ts,
 user_id, sku_id, refund_type, refund_num, refund_amount, refund_reason_type, refund_reason_txt, operate_time, province_id, refund_type_name, refund_reason_type_name, s.dic_name AS refund_status_name, t.dic_name AS payment_type_name
 FROM refund LEFT JOIN dic s ON s.id = '1602' LEFT JOIN dic t ON t.id = CAST(1101 + l_orderkey % 4 AS VARCHAR) WHERE l_orderkey % 2 = 0""")
 def refund_pay(spark, d):
-    log = _log(spark, d, "refund", "refund_order", "refund_pay")
+    log = _log(spark, d)
     return facts.refund_pay(log, facts.order_refund(log, fx.dic(spark)), fx.dic(spark))
 
 
 @query(f"""WITH {DIC} SELECT CAST(o_orderkey AS VARCHAR) AS id, CAST(o_custkey AS VARCHAR) AS user_id, CAST(o_orderkey % 97 AS VARCHAR) AS sku_id, CAST(o_orderkey % 9 AS VARCHAR) AS spu_id, CAST(o_orderkey AS VARCHAR) AS order_id, CAST(1201 + o_orderkey % 4 AS VARCHAR) AS appraise, o_orderpriority AS comment_txt,
 strftime(o_orderdate + to_seconds(o_orderkey % 86400), '%Y-%m-%d %H:%M:%S') AS create_time, CAST(epoch(o_orderdate + to_seconds(o_orderkey % 86400)) AS BIGINT) AS ts, dic_name AS appraise_name FROM orders LEFT JOIN dic ON dic.id = CAST(1201 + o_orderkey % 4 AS VARCHAR) WHERE o_orderkey % 5 = 0""")
 def comment_detail(spark, d):
-    return facts.comment_detail(_log(spark, d, "comment", "order"), fx.dic(spark))
+    return facts.comment_detail(_log(spark, d), fx.dic(spark))
 
 
 # --- app log
@@ -343,8 +344,8 @@ def dim_tables(spark, d):
     b = ("comment_info", "ALL", "dim_comment", "DIM", "id, comment_txt", "id")
     gone = ("payment_info", "ALL", "dim_pay", "DIM", "id", "id")
     cfg = routing.current_config(_routes(spark, ("r", None, (*a[:4], "id", "id")), ("r", None, gone), ("u", None, a), ("c", None, b), ("d", gone, None), ("c", None, ("order_info", "insert", "fact", "DWD", "id", "id"))), "DIM")
-    log = _log(spark, d, "order", "cancel", "refund_order", "comment", "pay").withColumn("seq", F.when(F.col("type") == "insert", 0).otherwise(1))
-    return routing.dim_rows(log, cfg, "gmall", "seq").select("sink_table", "row_key", F.col("data")["province_id"].alias("province_id"), F.col("data")["comment_txt"].alias("comment_txt"), "op_type")
+    log = _log(spark, d).withColumn("seq", F.when(F.col("type") == "insert", 0).otherwise(1))
+    return routing.dim_rows(log, cfg, fx.DATABASE, "seq").select("sink_table", "row_key", F.col("data")["province_id"].alias("province_id"), F.col("data")["comment_txt"].alias("comment_txt"), "op_type")
 
 
 @query("""SELECT 'fact_order' AS sink_table, CAST(o_orderkey AS VARCHAR) AS id, 'insert' AS op_type, CAST(2 AS BIGINT) AS n FROM orders
@@ -353,7 +354,7 @@ UNION ALL SELECT 'fact_all', CAST(o_orderkey AS VARCHAR), 'insert', CAST(1 AS BI
 def route_facts(spark, d):
     rows = [("order_info", "insert", "fact_order", "DWD", "id,province_id", None), ("order_info", "update,delete", "fact_cancel", "DWD", "id,operate_time", None), ("comment_info", "ALL", "fact_all", "DWD", "id", None)]
     cfg = routing.current_config(_routes(spark, *[("c", None, r) for r in rows]), "DWD")
-    out = routing.route_facts(_log(spark, d, "order", "cancel", "comment"), cfg, "gmall")
+    out = routing.route_facts(topics.parse_changelog(fx.changelog(spark, d, "order", "cancel", "comment")), cfg, fx.DATABASE)
     return out.select("sink_table", F.col("data")["id"].alias("id"), "op_type", F.size("data").cast("bigint").alias("n"))
 
 
@@ -365,13 +366,14 @@ def _stream(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.readStream.schema(fx.table(spark, d, name).schema).option("pathGlobFilter", "*.parquet").parquet(f"{d}/{name}.parquet*")
 
 
-@query("SELECT user_id, event_id AS seq, event_type AS last_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS n FROM events) WHERE n = 1")
+@query("SELECT user_id, event_id AS seq, event_type AS last_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS n FROM events) WHERE n = 1 AND event_id % 5 <> 0")
 def stream_upsert(spark, d):
-    """Each user's last event, kept by an upsert from a stream."""
+    """Each user's last event, kept by an upsert from a stream; every fifth event deletes its user."""
     path, checkpoint = shared_path(spark, "upsert"), shared_path(spark, "upsert-checkpoint")
-    rows = _stream(spark, d, "events").select("user_id", F.col("event_id").alias("seq"), F.col("event_type").alias("last_type"))
-    runners.upsert(rows, path, ["user_id"], ["seq"], checkpoint, buckets=4)
-    return spark.read.parquet(path).select("user_id", "seq", "last_type")
+    op = F.when(F.col("event_id") % 5 == 0, "delete").otherwise("update")
+    rows = _stream(spark, d, "events").select("user_id", F.col("event_id").alias("seq"), F.col("event_type").alias("last_type"), op.alias("op"))
+    runners.upsert(rows, path, ["user_id"], ["seq"], checkpoint, op="op")
+    return keyed.read(spark, path).select("user_id", "seq", "last_type")
 
 
 @query("SELECT event_id AS seq, user_id, row_number() OVER (PARTITION BY user_id, CAST(ts AS DATE) ORDER BY ts, event_id) = 1 AS is_first FROM events WHERE event_type = 'purchase'")
@@ -381,3 +383,71 @@ def stream_first_of_day(spark, d):
     path = shared_path(spark, "first-of-day")
     runners.first_of_day(rows, "user_id", path, shared_path(spark, "first-checkpoint"))
     return spark.read.parquet(path).select("seq", "user_id", "is_first")
+
+
+@query("SELECT 'fact_order' AS sink_table, CAST(o_orderkey AS VARCHAR) AS id, 'insert' AS op_type FROM orders UNION ALL SELECT 'fact_comment', CAST(o_orderkey AS VARCHAR), 'insert' FROM orders WHERE o_orderkey % 5 = 0")
+def stream_route(spark, d):
+    """Changes as raw JSON in a topic of files, routed by a config that each batch reads anew."""
+    topic, config, path = (shared_path(spark, n) for n in ("topic", "config", "routed"))
+    fx.changelog(spark, d, "order", "comment").write.text(topic)
+    spark.createDataFrame([("order_info", "insert", "fact_order", "DWD", "id", "id"), ("comment_info", "ALL", "fact_comment", "DWD", "id", "id"), ("comment_info", "ALL", "dim_comment", "DIM", "id", "id")], ROUTES).write.parquet(config)
+    log = topics.parse_changelog(topics.read_raw(spark, topic, stream=True))
+    load = lambda: topics.load_config(spark, config, "DWD")
+    runners.with_config(log, load, lambda batch, cfg: routing.route_facts(batch, cfg, fx.DATABASE), path, shared_path(spark, "routed-checkpoint"))
+    return spark.read.parquet(path).select("sink_table", F.col("data")["id"].alias("id"), "op_type")
+
+
+@query(f"""WITH {LOGS} SELECT 'start' AS part, CAST(count(*) AS BIGINT) AS n FROM log WHERE event_type = 'signup' UNION ALL SELECT 'page', count(*) FROM log WHERE event_type <> 'signup'
+UNION ALL SELECT 'err', count(*) FROM log WHERE event_type = 'error' UNION ALL SELECT 'action', 2 * count(*) FROM log WHERE event_type = 'click' UNION ALL SELECT 'display', count(*) FROM log WHERE event_type = 'click'""")
+def stream_split(spark, d):
+    """App logs from a topic of files, split in one pass into five outputs; rows of each counted."""
+    topic, path = shared_path(spark, "log-topic"), shared_path(spark, "split")
+    fx.log_json(spark, d).select("value").write.text(topic)
+    log = traffic.log_clean(topics.parse_log(topics.read_raw(spark, topic, stream=True)))
+    parts = {f.__name__: f for f in (traffic.start, traffic.page, traffic.err, traffic.action, traffic.display)}
+    runners.fan_out(log, parts, path, shared_path(spark, "split-checkpoint"))
+    counts = [spark.read.parquet(f"{path}/{name}").agg(F.count("*").alias("n")).select(F.lit(name).alias("part"), "n") for name in parts]
+    return reduce(DataFrame.unionByName, counts)
+
+
+def _windowed(spark: SparkSession, stream: DataFrame, job: runners.WindowJob) -> DataFrame:
+    return runners.windowed(stream, job, shared_path(spark, "windows"), shared_path(spark, "windows-checkpoint"))
+
+
+def _event_stream(spark: SparkSession, d: str, kind: str) -> DataFrame:
+    at = F.col("ts").cast("timestamp")
+    return _stream(spark, d, "events").where(F.col("event_type") == kind).select("user_id", at.alias("et"), at.alias("create_time"), F.col("event_id").alias("seq"))
+
+
+def _page_stream(spark: SparkSession, d: str) -> DataFrame:
+    return fx.page_log(spark, d, _stream(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp")))
+
+
+def _line_stream(spark: SparkSession, d: str, where: str = "true") -> DataFrame:
+    """Versions of order lines, written as files first: they come from joined tables."""
+    path = shared_path(spark, "lines")
+    at = F.col("create_time").cast("timestamp")
+    fx.detail_versions(spark, d).where(where).withColumn("create_time", at).withColumn("et", at).write.parquet(path)
+    return spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
+
+
+#: The window jobs on streams: their stream and job, an hour wide, and the batch query whose SQL (of
+#: windows so many seconds wide) says what must come out.
+STREAMS = {
+    "register_window_day": (lambda s, d: _event_stream(s, d, "signup"), lambda s, d, w: jobs.register(w), 86400),
+    "cart_uu_window": (lambda s, d: _event_stream(s, d, "click"), lambda s, d, w: jobs.cart_uu(w), 3600),
+    "keyword_window": (_page_stream, lambda s, d, w: jobs.keyword(w), 3600),
+    "traffic_window": (_page_stream, lambda s, d, w: jobs.traffic(w), 3600),
+    "home_detail_window": (_page_stream, lambda s, d, w: jobs.home_detail(w), 3600),
+    "login_window": (lambda s, d: _page_stream(s, d).where("last_page_id = 'login'"), lambda s, d, w: jobs.login(w), 86400),
+    "payment_window": (lambda s, d: _event_stream(s, d, "purchase"), lambda s, d, w: jobs.payment(w), 3600),
+    "order_window": (_line_stream, lambda s, d, w: jobs.order(w), 86400),
+    "sku_order_window": (_line_stream, lambda s, d, w: jobs.sku_order(fx.wide_sku(s, d), w), 86400),
+    "province_order_window": (_line_stream, lambda s, d, w: jobs.province_order(fx.province(s, d), w), 86400),
+    "refund_window": (lambda s, d: _line_stream(s, d, "seq = 1 and l_returnflag = 'R'"), lambda s, d, w: jobs.refund(fx.wide_sku(s, d), w), 86400),
+}
+for _name, (_rows, _job, _s) in STREAMS.items():
+    _sql = SQL[_name]
+    for _ts in ("et", "ts", "create_time"):
+        _sql = _sql.replace(win(_ts, _s), win(_ts, 3600))
+    query(_sql, f"stream_{_name.replace('_day', '')}")(lambda spark, d, rows=_rows, job=_job: _windowed(spark, rows(spark, d), job(spark, d, "1 hour")))

@@ -17,9 +17,12 @@ def session(name: str = "rillhouse", **conf: str) -> SparkSession:
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path in `spark.checkpoint.dir`; only where that is unset, in a local temporary folder."""
+    """A new path in `spark.checkpoint.dir`; only where that is unset and Spark runs on one machine, in
+    a local temporary folder."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="spark-rillhouse-")
         spark.conf.set("spark.checkpoint.dir", found)
     return f"{found.rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -29,6 +29,14 @@ def parse_changelog(raw: DataFrame) -> DataFrame:
     return _parsed(raw, CHANGELOG, F.col("table").isNotNull())
 
 
+def store_changelog(raw: DataFrame, path: str, by_day: bool = False) -> None:
+    """Parse a changelog once and write it as columns, a folder for each table (and day): jobs then
+    read only their tables, and no JSON."""
+    rows = parse_changelog(raw)
+    rows = rows.withColumn("day", F.to_date(F.timestamp_seconds("ts"))) if by_day else rows
+    rows.write.option("partitionOverwriteMode", "static").mode("overwrite").partitionBy(*["table", "day"][: 1 + by_day]).parquet(path)
+
+
 def parse_log(raw: DataFrame) -> DataFrame:
     return _parsed(raw, LOG, F.lit(True))
 

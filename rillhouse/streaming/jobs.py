@@ -1,0 +1,79 @@
+"""The eleven window jobs on streams. Each is the batch job of `operators.windows` with the marks that
+need history taken from keyed state, and its aggregate under a watermark of `delay`; `runners.windowed`
+runs it. Streams carry `et` as a timestamp, and `seq`, which is unique among rows of equal times."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+
+from rillhouse.operators import windows
+
+from .runners import WindowJob
+from .state import DAY, First, Lowest, Previous
+
+WIDTH, DELAY = windows.WIDTH, windows.DELAY
+
+
+def _start(width: str, ts: str = "et") -> str:
+    return f"window({ts}, '{width}').start"
+
+
+def traffic(width: str = WIDTH, delay: str = DELAY) -> WindowJob:
+    marks = (First("uv", ("mid", DAY), "et IS NOT NULL AND mid IS NOT NULL"), First("sv", ("sid",), "et IS NOT NULL AND sid IS NOT NULL"))
+    return WindowJob(marks, lambda df: windows.traffic_sums(df, width, delay), ("stt", "vc", "ch", "ar", "is_new"))
+
+
+def home_detail(width: str = WIDTH, delay: str = DELAY) -> WindowJob:
+    marks = (First("f", ("mid", "page_id", DAY), "et IS NOT NULL AND mid IS NOT NULL AND page_id IN ('home', 'good_detail')"),)
+    return WindowJob(marks, lambda df: windows.home_detail_sums(df, width, delay), ("stt",))
+
+
+def login(width: str = WIDTH, delay: str = DELAY) -> WindowJob:
+    f = First("f", ("uid", DAY), f"et IS NOT NULL AND {windows.LOGIN}")
+    return WindowJob((f, Previous("before", f)), lambda df: windows.login_sums(df, width, delay), ("stt",))
+
+
+def payment(width: str = WIDTH, delay: str = DELAY) -> WindowJob:
+    known = "et IS NOT NULL AND user_id IS NOT NULL"
+    return WindowJob((First("u", ("user_id", DAY), known), First("n", ("user_id",), known)), lambda df: windows.payment_sums(df, width, delay), ("stt",))
+
+
+def order(width: str = WIDTH, delay: str = DELAY) -> WindowJob:
+    """A user counts once in a window: the first of the rows whose time is the least so far."""
+    marks = (
+        Lowest("day_least", ("user_id", "to_date(create_time)"), "create_time"),
+        Lowest("least", ("user_id",), "create_time"),
+        First("u", ("user_id", _start(width)), "et IS NOT NULL AND user_id IS NOT NULL AND day_least"),
+        First("n", ("user_id", _start(width)), "et IS NOT NULL AND user_id IS NOT NULL AND least"),
+    )
+    return WindowJob(marks, lambda df: windows.order_sums(df, width, delay), ("stt",))
+
+
+def sku_order(sku_dim: DataFrame, width: str = WIDTH, delay: str = DELAY) -> WindowJob:
+    """The first version of a line is the first that arrived, by `seq` in a batch."""
+    marks = (First("first", ("id",), "et IS NOT NULL", ("seq",)),)
+    return WindowJob(marks, lambda df: windows.sku_order_sums(df.where("first"), width, delay), ("stt", "sku_id"), lambda df: windows.with_sku(df, sku_dim))
+
+
+def province_order(province: DataFrame, width: str = WIDTH, delay: str = DELAY) -> WindowJob:
+    """The stream keeps a row for each line of a window; provinces are summed up when the result is
+    read, as streams that update can't aggregate an aggregate."""
+    return WindowJob((), lambda df: windows.province_lines(df, width, delay), ("stt", "id", "province_id", "order_id"), lambda df: windows.province_sums(df, province))
+
+
+def refund(sku_dim: DataFrame, width: str = WIDTH, delay: str = DELAY) -> WindowJob:
+    return WindowJob((), lambda df: windows.refund_window(df, sku_dim, width, delay), ("stt", "trademark_id", "category3_id", "user_id"))
+
+
+def register(width: str = WIDTH, delay: str = DELAY) -> WindowJob:
+    return WindowJob((), lambda df: windows.register_window(df, "create_time", width, delay), ("stt",))
+
+
+def keyword(width: str = WIDTH, delay: str = DELAY) -> WindowJob:
+    return WindowJob((), lambda df: windows.keyword_window(df, width, delay), ("stt", "keyword"))
+
+
+def cart_uu(width: str = WIDTH, delay: str = DELAY) -> WindowJob:
+    """A user counts once in a window: the first of the user's rows in it."""
+    marks = (First("f", ("user_id", _start(width)), "et IS NOT NULL AND user_id IS NOT NULL"),)
+    return WindowJob(marks, lambda df: windows.cart_uu_sums(df, width, delay), ("stt",))

@@ -3,13 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rillhouse.functions.changelog import latest_per_key
-
-from . import state
+from . import keyed, state
 
 
 def append(df: DataFrame, path: str, checkpoint: str, partition_by: list[str] | None = None) -> None:
@@ -24,30 +23,14 @@ def append_topic(df: DataFrame, servers: str, checkpoint: str, topic: str | None
     return df.writeStream.format("kafka").options(**options).start()
 
 
-def merge_batch(batch: DataFrame, path: str, keys: list[str], order: list[str], op: str | None = None, buckets: int = 64) -> None:
-    """Merge a batch into a keyed table: in each touched bucket of keys, the last version of each
-    key by `order` stays, deleted keys go. A table is a folder for each version of a bucket; only
-    touched buckets are rewritten. A batch that runs again gives the same table."""
-    spark = batch.sparkSession
-    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-    new = batch.withColumn("bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)))
-    touched = [r[0] for r in new.select("bucket").distinct().collect()]  # `buckets` rows at most
-    try:
-        old = spark.read.parquet(path).where(F.col("bucket").isin(touched)).select(new.columns)
-    except Exception as e:  # no table yet
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        old = new.where("false")
-    both = latest_per_key(old.unionByName(new), keys, order)
-    # rows of deleted keys stay as marks, so that a late older version does not bring them back
-    both.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}.next")
-    spark.read.parquet(f"{path}.next").where(F.col("bucket").isin(touched)).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(path)
-
-
-def upsert(stream: DataFrame, path: str, keys: list[str], order: list[str], checkpoint: str, buckets: int = 64) -> None:
-    """Keep a keyed table up to date from a stream."""
-    run = lambda batch, _: merge_batch(batch, path, keys, order, buckets=buckets)
-    stream.writeStream.outputMode("append").foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+def _each(stream: DataFrame, run: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append") -> None:
+    stream.writeStream.outputMode(mode).foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
+def upsert(stream: DataFrame, path: str, keys: list[str], order: list[str], checkpoint: str, op: str | None = None) -> None:
+    """Keep a keyed table (see `keyed`) up to date from a stream: the last row of each key by
+    `order`; with `op`, rows whose `op` says `delete` take their key away."""
+    _each(stream, lambda batch, n: keyed.merge(batch, n, path, keys, order, op), checkpoint)
 
 
 def fan_out(stream: DataFrame, outputs: dict[str, Callable[[DataFrame], DataFrame]], folder: str, checkpoint: str) -> None:
@@ -62,46 +45,62 @@ def fan_out(stream: DataFrame, outputs: dict[str, Callable[[DataFrame], DataFram
         finally:
             held.unpersist()
 
-    stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    _each(stream, run, checkpoint)
 
 
 def with_config(stream: DataFrame, load: Callable[[], DataFrame], route: Callable[[DataFrame, DataFrame], DataFrame], path: str, checkpoint: str) -> None:
     """Route each batch by the config as it is then: a small table, read anew."""
 
     def run(batch: DataFrame, n: int) -> None:
-        route(batch, load()).write.mode("overwrite").partitionBy("sink_table").parquet(f"{path}/batch={n}")
+        routed = route(batch, load()).write.option("partitionOverwriteMode", "static").mode("overwrite")
+        routed.partitionBy("sink_table").parquet(f"{path}/batch={n}")
 
-    stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    _each(stream, run, checkpoint)
 
 
-def first_of_day(stream: DataFrame, key: str, path: str, checkpoint: str, ttl_ms: int | None = None) -> None:
-    """Append the rows of a stream (with et and seq) and `is_first`: true on a key's first row of a
-    day. Rows of a batch are taken in time order; between batches the order of arrival rules. With
-    `ttl_ms` a key's state ends that long after its last use. The state, a row for each key, lies
-    in the checkpoint and is written anew by each batch; the version before it is kept, so that a
-    batch that runs again gives the same marks."""
-    home = f"{checkpoint}/last_days"
+def mark(stream: DataFrame, marks: list, path: str, checkpoint: str, keep: str | None = None) -> None:
+    """Append the rows of a stream with their marks (see `state`), a folder for each batch. `keep`
+    bounds the state by event time."""
 
     def run(batch: DataFrame, n: int) -> None:
-        spark = batch.sparkSession
-        hadoop = spark._jvm.org.apache.hadoop.fs.Path
-        fs = hadoop(home).getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
-        known = [int(f.getPath().getName()[2:]) for f in fs.listStatus(hadoop(home))] if fs.exists(hadoop(home)) else []
-        before = max((v for v in known if v < n), default=None)
-        row = "row"
-        while row in (c.lower() for c in batch.columns):
-            row = "_" + row
-        # row numbers hold only for rows that are written
-        slim = batch.withColumn(row, F.monotonically_increasing_id())
-        slim.write.mode("overwrite").parquet(f"{checkpoint}/held")
-        held = spark.read.schema(slim.schema).parquet(f"{checkpoint}/held")
-        schema = f"k {batch.schema[key].dataType.simpleString()}, day date, used timestamp"
-        last = spark.createDataFrame([], schema) if before is None else spark.read.schema(schema).parquet(f"{home}/v={before}")
-        state.first_of_day(held, key, row, state.alive(last, ttl_ms)).write.mode("overwrite").parquet(f"{path}/batch={n}")
-        state.last_days(held, key, last, ttl_ms).write.mode("overwrite").parquet(f"{home}/v={n}")
-        for v in known:
-            if before is not None and v < before:
-                fs.delete(hadoop(f"{home}/v={v}"), True)
-        fs.delete(hadoop(f"{checkpoint}/held"), True)
-
-    stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+        state.marked(batch, n, marks, f"{checkpoint}/state", keep).write.mode("overwrite").parquet(f"{path}/batch={n}")
+
+    _each(stream, run, checkpoint)
+
+
+def first_of_day(stream: DataFrame, key: str, path: str, checkpoint: str, keep: str | None = None) -> None:
+    """Append the rows of a stream (with et and seq) and `is_first`: true on a key's first row of a
+    day. Rows of a batch are taken in time order; between batches the order of arrival rules. A row
+    without et is no day's first; a null key is a key."""
+    mark(stream, [state.First("is_first", (key, state.DAY))], path, checkpoint, keep)
+
+
+@dataclass(frozen=True)
+class WindowJob:
+    """A windowed job on a stream: marks that need state, the aggregate over marked rows, the keys
+    that its result is replaced on, and what is made of the table of results when it is read."""
+
+    marks: tuple
+    sums: Callable[[DataFrame], DataFrame]
+    keys: tuple[str, ...]
+    result: Callable[[DataFrame], DataFrame] = lambda df: df
+
+
+def windowed(stream: DataFrame, job: WindowJob, path: str, checkpoint: str, keep: str | None = None) -> DataFrame:
+    """Run a window job over all there is in a stream; returns its result. Rows are marked by keyed
+    state first, then a second query with a watermark aggregates the marked rows; each of its
+    batches replaces the windows that changed in a keyed table. Rows later than the watermark are
+    dropped by it. The second query starts when the first has ended: a batch of marks that runs
+    again has not been read before."""
+    spark = stream.sparkSession
+    rows = stream
+    if job.marks:
+        mark(stream, list(job.marks), f"{path}/marked", f"{checkpoint}/mark", keep)
+        schema = spark.read.parquet(f"{path}/marked").schema
+        rows = spark.readStream.schema(schema).parquet(f"{path}/marked").drop("batch")
+
+    def replace(batch: DataFrame, n: int) -> None:
+        keyed.merge(batch.withColumn("replaced_by", F.lit(n)), n, f"{path}/windows", list(job.keys), ["replaced_by"])
+
+    _each(job.sums(rows), replace, f"{checkpoint}/sums", "update")
+    return job.result(keyed.read(spark, f"{path}/windows").drop("replaced_by"))

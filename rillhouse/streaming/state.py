@@ -1,28 +1,160 @@
-"""Keyed state of streams: the last date that a key was seen."""
+"""Keyed state of streams: which keys were seen, and their least values.
+
+Each kind of state is a log in the checkpoint: a batch adds the keys that it saw first, and no more,
+as a folder of its own (`v=<batch>`), so that a batch that runs again replaces what it added. Now and
+then all that came before is written as one folder (`c=<batch>`). Rows of a key are never held
+together: partial sums reduce a batch to a row a key before it meets the state."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+#: Additions to a log before it is written as one.
+ADDITIONS = 20
+DAY = "to_date(et)"
+
+
+@dataclass(frozen=True)
+class First:
+    """Marks, in a boolean column `name`, each key's first row ever, of those that `where` holds for,
+    by `order` in a batch; between batches the order of arrival rules. Keys are SQL expressions; a
+    null is a key."""
+
+    name: str
+    keys: tuple[str, ...]
+    where: str = "et IS NOT NULL"
+    order: tuple[str, ...] = ("et", "seq")
+
+
+@dataclass(frozen=True)
+class Previous:
+    """The day before the key's own, in a date column `name`, for rows that the mark `of` marks as
+    the first of a key and day (its last key)."""
+
+    name: str
+    of: First
+
+
+@dataclass(frozen=True)
+class Lowest:
+    """Marks rows whose `value` is the key's least so far, by `et`, rows of the same `et` included."""
+
+    name: str
+    keys: tuple[str, ...]
+    value: str
+
+
+def key_of(keys: tuple[str, ...]) -> Column:
+    return F.struct(*[F.expr(k).alias(f"k{i}") for i, k in enumerate(keys)])
+
+
+def firsts(batch: DataFrame, mark: First, row: str, seen: DataFrame | None) -> DataFrame:
+    """(k, row, et) of the keys' first rows in a batch, without those in `seen`; `row` numbers rows."""
+    new = batch.where(mark.where).groupBy(key_of(mark.keys).alias("k")).agg(F.min(F.struct(*mark.order, row)).alias("m"), F.min("et").alias("et"))
+    if seen is not None:
+        new = new.join(seen.select(F.col("k").alias("seen")), F.col("k").eqNullSafe(F.col("seen")), "left_anti")
+    return new.select("k", F.col(f"m.{row}").alias(row), "et")
+
+
+def previous_days(new: DataFrame, seen: DataFrame | None, row: str) -> DataFrame:
+    """(row, previous) for the first rows of a batch by key and day: the day before, of this batch or
+    of `seen`. Only days, not rows, meet by key."""
+    split = lambda df, *more: df.select(F.struct(*[f"k.{f}" for f in new.schema["k"].dataType.fieldNames()[:-1]]).alias("key"), F.col(f"k.{new.schema['k'].dataType.fieldNames()[-1]}").alias("day"), *more)
+    now = split(new, row)
+    days = now
+    if seen is not None:
+        keys = now.select(F.col("key").alias("own")).distinct()
+        old = split(seen, F.lit(None).cast("long").alias(row)).join(keys, F.col("key").eqNullSafe(F.col("own")), "left_semi")
+        days = now.unionByName(old)
+    before = F.lag("day").over(Window.partitionBy("key").orderBy("day"))
+    return days.withColumn("previous", before).where(F.col(row).isNotNull()).select(row, "previous")
+
+
+def lowest(batch: DataFrame, mark: Lowest, seen: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """(k, et, value) that are least so far, and (k, least, et) to add to the state."""
+    values = batch.where("et IS NOT NULL").select(key_of(mark.keys).alias("k"), "et", F.col(mark.value).alias("value")).distinct()
+    upto = F.min("value").over(Window.partitionBy("k").orderBy("et").rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    run = values.withColumn("run", upto)
+    if seen is not None:
+        old = seen.groupBy(F.col("k").alias("seen")).agg(F.min("least").alias("least"))
+        run = run.join(old, F.col("k").eqNullSafe(F.col("seen")), "left").withColumn("run", F.least("run", "least"))
+    return run.where("value = run").select("k", "et", "value"), values.groupBy("k").agg(F.min("value").alias("least"), F.min("et").alias("et"))
+
+
+class Log:
+    """Additions to one kind of state, a folder a batch."""
+
+    def __init__(self, spark: SparkSession, home: str):
+        self.spark, self.home = spark, home
+        self._path = spark._jvm.org.apache.hadoop.fs.Path
+        self._fs = self._path(home).getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+
+    def _known(self, kind: str) -> list[int]:
+        if not self._fs.exists(self._path(self.home)):
+            return []
+        names = [f.getPath().getName() for f in self._fs.listStatus(self._path(self.home))]
+        # a folder counts once its job has committed
+        return sorted(int(n[2:]) for n in names if n.startswith(f"{kind}=") and self._fs.exists(self._path(f"{self.home}/{n}/_SUCCESS")))
 
-def first_of_day(batch: DataFrame, key: str, row: str, last: DataFrame) -> DataFrame:
-    """The rows of a batch (with et, seq and a unique number `row`) without `row`, and `is_first`:
-    true on a key's first row of a day, by et, seq, that is later than the key's last day. `last`:
-    (k, day). Rows of a key are never held together: partial sums find the first of each key and
-    day, and only these meet the state. A null key is a key; a row without et is no day's first."""
-    firsts = batch.where("et IS NOT NULL").groupBy(F.col(key).alias("k"), F.to_date("et").alias("d")).agg(F.min(F.struct("et", "seq", row)).alias("m"))
-    seen = last.select(F.col("k").alias("seen"), F.col("day").alias("until"))
-    new = firsts.join(seen, F.col("k").eqNullSafe(F.col("seen")), "left").where("until IS NULL OR d > until")
-    marks = new.select(F.col(f"m.{row}").alias(row), F.lit(True).alias("is_first"))
-    return batch.join(marks, row, "left").select(*[c for c in batch.columns if c != row], F.coalesce("is_first", F.lit(False)).alias("is_first"))
+    def before(self, n: int, keep: str | None = None) -> DataFrame | None:
+        """All rows added before batch `n`; with `keep` (an interval) those not older than that
+        before the newest of them."""
+        whole = max((c for c in self._known("c") if c < n), default=-1)
+        parts = ([f"{self.home}/c={whole}"] if whole >= 0 else []) + [f"{self.home}/v={v}" for v in self._known("v") if whole < v < n]
+        if not parts:
+            return None
+        rows = self.spark.read.parquet(*parts)
+        if keep is None:
+            return rows
+        newest = rows.agg(F.max("et")).first()[0]
+        return rows.where(F.col("et") >= F.lit(newest) - F.expr(f"interval {keep}"))
 
+    def add(self, n: int, rows: DataFrame) -> DataFrame:
+        """Write what batch `n` adds; what a run of it wrote before is replaced."""
+        rows.write.mode("overwrite").parquet(f"{self.home}/v={n}")
+        return self.spark.read.schema(rows.schema).parquet(f"{self.home}/v={n}")
 
-def last_days(batch: DataFrame, key: str, last: DataFrame, ttl_ms: int | None = None) -> DataFrame:
-    """The state after a batch: (k, day, used). With `ttl_ms` keys not used for that long are dropped."""
-    own = batch.where("et IS NOT NULL").groupBy(F.col(key).alias("k")).agg(F.max(F.to_date("et")).alias("day")).withColumn("used", F.current_timestamp())
-    return alive(last, ttl_ms).unionByName(own).groupBy("k").agg(F.max("day").alias("day"), F.max("used").alias("used"))
+    def tidy(self, n: int, keep: str | None = None) -> None:
+        """Write all before batch `n` as one folder if there are many, and drop what it replaces. A
+        batch `n` that runs again still finds all that came before it."""
+        whole = max((c for c in self._known("c") if c < n), default=-1)
+        added = [v for v in self._known("v") if whole < v < n]
+        if len(added) <= ADDITIONS:
+            return
+        self.before(n, keep).write.mode("overwrite").parquet(f"{self.home}/c={n - 1}")
+        for name in [f"v={v}" for v in self._known("v") if v < n] + [f"c={c}" for c in self._known("c") if c < n - 1]:
+            self._fs.delete(self._path(f"{self.home}/{name}"), True)
 
 
-def alive(last: DataFrame, ttl_ms: int | None = None) -> DataFrame:
-    return last if ttl_ms is None else last.where(F.col("used") >= F.current_timestamp() - F.expr(f"make_dt_interval(0, 0, 0, {ttl_ms} / 1000)"))
+def marked(batch: DataFrame, n: int, marks: list[First | Previous | Lowest], home: str, keep: str | None = None) -> DataFrame:
+    """A batch with a column for each mark, after the state in `home`, which gets the batch's own
+    keys. `keep` bounds the state by event time: keys first seen longer ago are forgotten."""
+    spark = batch.sparkSession
+    row = "row"
+    while row in (c.lower() for c in batch.columns):
+        row = "_" + row
+    # row numbers hold only for rows that are written
+    slim = batch.withColumn(row, F.monotonically_increasing_id())
+    slim.write.mode("overwrite").parquet(f"{home}/held")
+    out = spark.read.schema(slim.schema).parquet(f"{home}/held")
+    for mark in marks:
+        log = Log(spark, f"{home}/{mark.of.name if isinstance(mark, Previous) else mark.name}")
+        seen = log.before(n, keep)
+        if isinstance(mark, First):
+            new = log.add(n, firsts(out, mark, row, seen))
+            own = new.select(F.col(row).alias("at"), F.lit(True).alias(mark.name))
+            out = out.join(own, F.col(row) == F.col("at"), "left").drop("at").withColumn(mark.name, F.coalesce(mark.name, F.lit(False)))
+        elif isinstance(mark, Previous):
+            own = previous_days(spark.read.parquet(f"{log.home}/v={n}"), seen, row).select(F.col(row).alias("at"), F.col("previous").alias(mark.name))
+            out = out.join(own, F.col(row) == F.col("at"), "left").drop("at")
+        else:
+            hits, least = lowest(out, mark, seen)
+            log.add(n, least)
+            own = hits.select(F.col("k").alias("hit_k"), F.col("et").alias("hit_et"), F.col("value").alias("hit_value"), F.lit(True).alias(mark.name))
+            on = key_of(mark.keys).eqNullSafe(F.col("hit_k")) & (F.col("et") == F.col("hit_et")) & (F.col(mark.value) == F.col("hit_value"))
+            out = out.join(own, on, "left").drop("hit_k", "hit_et", "hit_value").withColumn(mark.name, F.coalesce(mark.name, F.lit(False)))
+        log.tidy(n, keep)
+    return out.drop(row)

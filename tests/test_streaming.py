@@ -1,28 +1,41 @@
-"""Marks of the first row of a day, over several batches of a stream."""
+"""Keyed state, keyed tables and window jobs over streams that come in several batches."""
 
 import glob
 import os
 import random
 from datetime import datetime, timedelta
 
-from rillhouse.streaming import runners, state
+import pytest
+from pyspark.sql import functions as F
+
+from rillhouse.functions.words import dictionary_words
+from rillhouse.operators import windows
+from rillhouse.sources import topics
+from rillhouse.streaming import jobs, keyed, runners, state
 
 SCHEMA = "user string, et timestamp, seq long"
 
 
 def plain(batches):
-    last, out = {}, []
+    """Marks of each user's first row of a day: by time in a batch, by arrival between batches."""
+    seen, out = set(), []
     for rows in batches:
         for u, et, seq in sorted(rows, key=lambda r: (r[1], r[2])):
-            day = et.date()
-            out.append((u, et, seq, u not in last or day > last[u]))
-            last[u] = max(last.get(u, day), day)
+            out.append((u, et, seq, (u, et.date()) not in seen))
+            seen.add((u, et.date()))
     return out
 
 
-def test_first_of_day_over_batches_and_again(spark, tmp_path):
+def uncommit(checkpoint, n):
+    """As if batch `n` had not been committed: it runs again."""
+    for f in glob.glob(f"{checkpoint}/commits/{n}") + glob.glob(f"{checkpoint}/commits/.{n}.crc"):
+        os.remove(f)
+
+
+def test_first_of_day_over_batches_and_again(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(state, "ADDITIONS", 1)  # the log is put together on the way
     rng, seq, batches = random.Random(2), 0, []
-    for n in range(3):
+    for n in range(4):
         rows = []
         for _ in range(400):
             seq += 1
@@ -41,22 +54,99 @@ def test_first_of_day_over_batches_and_again(spark, tmp_path):
     for n, rows in enumerate(batches):
         spark.createDataFrame(rows, SCHEMA).coalesce(1).write.mode("append").parquet(source)
         assert run() == sorted(map(key, plain(batches[: n + 1])))
-    for f in glob.glob(f"{checkpoint}/commits/*2*") + glob.glob(f"{checkpoint}/commits/.2*"):
-        os.remove(f)  # as if the last batch had not been committed: it runs again
+    uncommit(checkpoint, 3)
     assert run() == sorted(map(key, plain(batches)))
-    assert sorted(os.listdir(f"{checkpoint}/last_days")) == ["v=1", "v=2"]
 
 
 def test_no_task_holds_the_rows_of_a_key(spark):
     batch = spark.createDataFrame([("a", datetime(2024, 3, 1), 1, 0)], SCHEMA + ", row long")
-    last = spark.createDataFrame([], "k string, day date, used timestamp")
-    for df in (state.first_of_day(batch, "user", "row", last), state.last_days(batch, "user", last, ttl_ms=1000)):
-        plan = df._jdf.queryExecution().executedPlan().toString()
-        assert "Pandas" not in plan and "Window" not in plan and "partial_m" in plan
+    plan = state.firsts(batch, state.First("f", ("user", state.DAY)), "row", None)._jdf.queryExecution().executedPlan().toString()
+    assert "Pandas" not in plan and "Window" not in plan and "partial_m" in plan
 
 
-def test_state_ends_after_its_time_to_live(spark):
-    old = spark.sql("SELECT 'a' AS k, DATE'2024-03-01' AS day, current_timestamp() - INTERVAL 2 HOURS AS used")
-    batch = spark.createDataFrame([("a", datetime(2024, 3, 1), 1, 0)], SCHEMA + ", row long")
-    for ttl, want in ((3_600_000, True), (3 * 3_600_000, False), (None, False)):
-        assert state.first_of_day(batch, "user", "row", state.alive(old, ttl)).first().is_first is want
+def test_state_ends_by_event_time(spark, tmp_path):
+    log = state.Log(spark, str(tmp_path))
+    log.add(0, spark.createDataFrame([("a", datetime(2024, 3, 1)), ("b", datetime(2024, 3, 9))], "k string, et timestamp"))
+    log.add(1, spark.createDataFrame([("c", datetime(2024, 3, 10))], "k string, et timestamp"))
+    kept = lambda n, keep=None: sorted(r.k for r in log.before(n, keep).collect())
+    assert log.before(0) is None and kept(1) == ["a", "b"] and kept(2) == ["a", "b", "c"] and kept(2, "7 days") == ["b", "c"]
+
+
+def test_keyed_table_deletes_and_grows(spark, tmp_path):
+    path, rng, want = str(tmp_path / "t"), random.Random(1), {}
+    batches = []
+    for n in range(4):
+        rows = [(rng.randint(0, 60), 100 * n + i, rng.choice(["update", "update", "delete"])) for i in range(80)]
+        batches.append([*rows, (1, -1, "update")])  # an old version that comes late
+    frame = lambda rows: spark.createDataFrame(rows, "k long, seq long, op string")
+    for n, rows in enumerate(batches):
+        for _ in range(2):  # a batch that runs again changes nothing
+            keyed.merge(frame(rows), n, path, ["k"], ["seq"], "op", bucket_rows=20)
+        for r in rows:
+            if r[0] not in want or want[r[0]][1] < r[1]:
+                want[r[0]] = r
+        assert sorted(map(tuple, keyed.read(spark, path).collect())) == sorted(r for r in want.values() if r[2] != "delete")
+    assert keyed._Files(spark, path).read(3)["buckets"] > 1
+    assert spark.conf.get("spark.sql.sources.partitionOverwriteMode").lower() == "static"
+
+
+def page_rows(rng, n):
+    day = datetime(2024, 5, 1)
+    for seq in range(n):
+        # in time order, some up to an hour late
+        et = day + timedelta(minutes=20 * seq) - timedelta(minutes=rng.choice([0, 0, 0, 60]))
+        user = rng.choice(["u1", "u2", "u3", None])
+        yield (user, user, f"{user}_{seq // 7}", str(seq % 2), "c", "a", "1", rng.choice(["home", "good_detail", "x"]), rng.choice(["login", None, "home"]), "keyword", "red shoe", seq, et, seq)
+
+
+PAGE = "mid string, uid string, sid string, vc string, ch string, ar string, is_new string, page_id string, last_page_id string, item_type string, item string, during_time long, et timestamp, seq long"
+BATCH = {
+    "traffic": (jobs.traffic, windows.traffic_window),
+    "home_detail": (jobs.home_detail, windows.home_detail_window),
+    "login": (jobs.login, windows.login_window),
+    "keyword": (jobs.keyword, windows.keyword_window),
+}
+
+
+@pytest.mark.parametrize("name", sorted(BATCH))
+def test_streams_agree_with_batches_over_several_files(spark, tmp_path, name):
+    rows = list(page_rows(random.Random(3), 1200))
+    rows.sort(key=lambda r: (r[12], r[13]))  # firsts go by arrival between batches
+    job, batch = BATCH[name]
+    (tmp_path / "in").mkdir()
+    stream = spark.readStream.schema(PAGE).parquet(str(tmp_path / "in"))
+    key = lambda r: tuple(map(str, r))
+    for k in range(3):
+        spark.createDataFrame(rows[400 * k : 400 * k + 400], PAGE).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        got = runners.windowed(stream, job("1 hour", "2 hours"), str(tmp_path / "out"), str(tmp_path / "checkpoint"))
+        want = batch(spark.createDataFrame(rows[: 400 * k + 400], PAGE), "1 hour")
+        assert sorted(map(key, got.select(want.columns).collect())) == sorted(map(key, want.collect()))
+
+
+def test_late_rows_are_dropped_by_the_watermark(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    stream = spark.readStream.schema("user_id string, et timestamp, create_time timestamp").parquet(str(tmp_path / "in"))
+    day = datetime(2024, 5, 1)
+    for k, hours in enumerate(([10], [11, 10], [3, 12])):  # 3 o'clock is later than the delay
+        spark.createDataFrame([("u", day + timedelta(hours=h)) for h in hours], "user_id string, et timestamp").withColumn("create_time", F.col("et")).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        got = runners.windowed(stream, jobs.register("1 hour", "2 hours"), str(tmp_path / "out"), str(tmp_path / "checkpoint"))
+    assert sorted((r.stt[11:13], r.register_ct) for r in got.collect()) == [("10", 2), ("11", 1), ("12", 1)]
+
+
+def test_topics_round_trip_and_dirty_rows(spark, tmp_path):
+    raw = ['{"database":"shop","table":"cart_info","type":"insert","ts":5,"data":{"id":"1","sku_num":"2"}}', '{"database":"shop","table":"cart_info","type":"insert","ts":5,"data":{"id":"2","sku_num":"many"}}', "{broken", '{"type":"insert"}']
+    (tmp_path / "raw").mkdir()
+    (tmp_path / "raw" / "a.txt").write_text("\n".join(raw))
+    from rillhouse.operators import facts
+
+    topics.store_changelog(topics.read_raw(spark, str(tmp_path / "raw")), str(tmp_path / "stored"))
+    stored = spark.read.schema(topics.CHANGELOG).parquet(str(tmp_path / "stored"))
+    assert [(r.id, r.sku_num) for r in facts.cart_add_detail(stored).collect()] == [("1", 2)]
+    assert "PartitionFilters: [isnotnull(table" in facts.cart_add_detail(stored)._jdf.queryExecution().executedPlan().toString()
+    out = topics.as_json(stored.select("type", "ts"), topic=F.lit("t"), key="ts").collect()
+    assert {tuple(r) for r in out} == {("t", "5", '{"type":"insert","ts":5}')}
+
+
+def test_words_of_text_without_spaces(spark):
+    got = spark.createDataFrame([("红色手机壳红色",), ("", ), (None,)], "t string").select(dictionary_words(F.col("t"), {"红色", "手机", "手机壳"}).alias("w")).collect()
+    assert [r.w for r in got] == [["红色", "手机壳"], [], []]
