@@ -87,9 +87,9 @@ class Sample:
 
     def __init__(self, texts: list[str | None], toxic: list[bool]):
         vocabulary: dict[str, int] = {}
-        own = [np.array([vocabulary.setdefault(w, len(vocabulary)) for w in _words((t or "").lower())], np.int64) for t in texts]
+        own = [np.array([vocabulary.setdefault(w, len(vocabulary)) for w in _words((t or "").lower())], np.int32) for t in texts]
         self.toxic = np.array(toxic, bool)
-        self.flat, self.text = np.concatenate([np.zeros(0, np.int64), *own]), np.repeat(np.arange(len(own)), [len(x) for x in own])
+        self.flat, self.text = np.concatenate([np.zeros(0, np.int32), *own]), np.repeat(np.arange(len(own), dtype=np.int32), [len(x) for x in own])
         hashes = np.array([zlib.crc32(w.encode()) for w in vocabulary], np.int64)
         groups: dict[tuple, list[np.ndarray]] = {}
         for x, words in zip(toxic, map(np.unique, own), strict=True):
@@ -99,7 +99,7 @@ class Sample:
         self.fold = np.array([fold_of[bool(x), *np.sort(hashes[np.unique(w)])[:2].tolist()] for x, w in zip(toxic, own, strict=True)], int)
         self.group_toxic, self.group_fold = np.array([k[0] for k in groups], bool), np.array(list(fold_of.values()), int)
         # only features that enough toxic groups may have are named: they are counted by hash first
-        cells = np.full((len(vocabulary), 1 + len(_PREFIXES)), _CELLS)
+        cells = np.full((len(vocabulary), 1 + len(_PREFIXES)), _CELLS, np.int32)
         for i, w in enumerate(vocabulary):
             found = [zlib.crc32(f.encode()) % _CELLS for f in features_of(w)]
             cells[i, : len(found)] = found
@@ -156,7 +156,7 @@ class Sample:
         hit = np.bincount(np.repeat(np.arange(len(self.size)), self.size), good, len(self.size)) > 0
         words, text = self.flat[hit[self.flat]], self.text[hit[self.flat]]
         cols = column[self.features(words)]
-        rows = np.repeat(text, self.size[words])[cols >= 0]
+        rows = np.repeat(text.astype(np.int64), self.size[words])[cols >= 0]
         cell, count = np.unique(rows * (len(chosen) + 2) + cols[cols >= 0], return_counts=True)
         own, n = np.unique(text, return_counts=True)
         more = n > 1
