@@ -113,10 +113,10 @@ class Sample:
         lists = [[index.setdefault(f, len(index)) for f, c in zip(features_of(w), cells[i], strict=False) if counts[c] >= least] if counts[cells[i]].max() >= least else () for i, w in enumerate(vocabulary)]
         self.names = list(index)
         self.size = np.array([len(x) for x in lists], np.int64)
-        self.start, self.ids = np.cumsum(self.size) - self.size, np.array([f for x in lists for f in x], np.int64)
+        self.start, self.ids = np.cumsum(self.size) - self.size, np.array([f for x in lists for f in x], np.int32)
         found = [np.unique(self.features(words)) for words in words_of]
-        self.group = np.repeat(np.arange(len(found)), [len(x) for x in found])
-        self.feature = np.concatenate([np.zeros(0, np.int64), *found])
+        self.group = np.repeat(np.arange(len(found), dtype=np.int32), [len(x) for x in found])
+        self.feature = np.concatenate([np.zeros(0, np.int32), *found])
 
     def least_groups(self) -> float:
         """Toxic groups that a feature needs to reach the least gain, in all folds or without one:
