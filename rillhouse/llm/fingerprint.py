@@ -159,8 +159,12 @@ def with_next(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", range
     slim = docs.select(key.alias("key"), F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     quantiles = lambda c, k: F.percentile_approx(c, [(i + 1) / k for i in range(k - 1)] or [0.5], 20 * n)
     hashed = F.shiftright(F.xxhash64("text"), 12)  # 52 bits: quantiles go through doubles
-    r = slim.agg(F.min("key"), quantiles("key", n)).first()
-    counts = Counter(r[1] or [])
+    # counted from the least id, so that large ids close together are told apart; nulls before it
+    lo, hi = slim.where("doc_id is not null").agg(F.min("key"), F.max("key")).first()
+    close = lo is not None and hi - lo < 1 << 62
+    counted = F.when(F.col("doc_id").isNull(), F.lit(-1)).otherwise(F.col("key") - F.lit(lo)) if close else F.col("key")
+    r = slim.agg(F.min("key"), quantiles(counted, n)).first()
+    counts = Counter((_LOWEST if q < 0 else q + lo) if close else q for q in r[1] or [])
     rough = np.array(sorted({r[0], *counts}) if r[0] is not None else [0], dtype=np.int64)
 
     @F.pandas_udf("int")
