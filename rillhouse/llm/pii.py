@@ -33,7 +33,7 @@ _ip = re.compile(r"(?<![0-9])[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
 _card = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _phone = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _digit = re.compile("[0-9]")
-_island = re.compile(r"[^\s]*[0-9@][^\s]*(?:\x20[^\s]*[0-9@][^\s]*)*")
+_mark, _edge = re.compile("[0-9@]"), re.compile(r"\s")
 _tokens = re.compile(r"[A-Za-z]+|[0-9]+|[^A-Za-z0-9]")
 #: A segment's most tokens; and how many tokens' segments are scored at a time. The program runs
 #: over an island as a whole, however long; only training passes over islands longer than that.
@@ -86,6 +86,22 @@ def base_spans(text: str) -> list[Span]:
     return out
 
 
+def islands(text: str) -> Iterator[tuple[int, int]]:
+    """Runs of pieces with a digit or an at sign, single spaces between them, in one pass."""
+    at, m = 0, _mark.search(text)
+    while m:
+        start = m.start()
+        while start > at and not text[start - 1].isspace():
+            start -= 1
+        while True:
+            gap = _edge.search(text, m.end())
+            at = gap.start() if gap else len(text)
+            m = _mark.search(text, at)
+            if not m or text[at] != " " or _edge.search(text, at + 1, m.start()):
+                break
+        yield start, at
+
+
 _FEATURES = 26
 
 
@@ -207,16 +223,17 @@ def fit(texts: list[str], epochs: int = 8, rate: float = 0.3, decay: float = 1e-
     cases, known = [], set()
     for t in texts:
         base = base_spans(t)
-        for m in _island.finditer(t):
-            if m.group() in known or len(cases) >= SAMPLE_ISLANDS:
+        for start, end in islands(t):
+            own = t[start:end]
+            if own in known or len(cases) >= SAMPLE_ISLANDS:
                 continue
-            known.add(m.group())
-            offsets = [0, *(k.end() for k in _tokens.finditer(m.group()))]
+            known.add(own)
+            offsets = [0, *(k.end() for k in _tokens.finditer(own))]
             if len(offsets) > ISLAND:
                 continue
-            found, x = segments(m.group(), offsets)
+            found, x = segments(own, offsets)
             place = {o: i for i, o in enumerate(offsets)}
-            gold = {(place.get(a - m.start()), place.get(b - m.start())): k for k, a, b in base if a >= m.start() and b <= m.end()}
+            gold = {(place.get(a - start), place.get(b - start)): k for k, a, b in base if a >= start and b <= end}
             if found and all(g in set(found) for g in gold):
                 cases.append((found, x, len(offsets) - 1, gold))
     rng = np.random.default_rng(seed)
@@ -246,11 +263,11 @@ def find(text: str | None, model: Model, base: list[Span] | None = None) -> list
         else:
             starts.append(a), ends.append(b)
     added = []
-    for m in _island.finditer(text):
-        if m.end() - m.start() < 6:
+    for start, end in islands(text):
+        if end - start < 6:
             continue
-        for k, a, b, score in model.decode(m.group()):
-            a, b = a + m.start(), b + m.start()
+        for k, a, b, score in model.decode(text[start:end]):
+            a, b = a + start, b + start
             if score > MARGIN and bisect_right(ends, a) == bisect_left(starts, b) and well_formed(k, text[a:b]):
                 added.append((k, a, b))
     return sorted(base + added)
