@@ -220,8 +220,9 @@ def compare_edits(docs: DataFrame) -> DataFrame:
         last: tuple | None = None
         for batch in batches:
             out = []
-            for k, g, d, t in zip(batch["range"], batch["guard"], batch["doc_id"], batch["text"], strict=True):
-                t = t or ""
+            # ids come through `key`: a column with nulls reaches pandas as doubles
+            for k, g, none, key, t in zip(batch["range"], batch["guard"], batch["doc_id"].isna(), batch["key"], batch["text"], strict=True):
+                t, d = t or "", None if none else int(key)
                 here = (k, d, t, tree(t))
                 if last is not None and last[0] == k:
                     _, d0, t0, a = last
@@ -232,7 +233,7 @@ def compare_edits(docs: DataFrame) -> DataFrame:
                 last = None if g else here
             made = pd.DataFrame(out, columns=_PAIR_NAMES)
             for c in ("doc_id", "first_edit"):
-                made[c] = made[c].astype("Int64")
+                made[c] = pd.array([r[_PAIR_NAMES.index(c)] for r in out], dtype="Int64")
             yield made
 
     return with_next(docs).mapInPandas(run, _PAIRS)

@@ -192,6 +192,8 @@ def write(records: DataFrame, folder: str) -> DataFrame:
     the result count. Records go to the shared store one by one, the directory last; memory holds a
     record and the index."""
     ship(records.sparkSession)
+    # as strings: a column of numbers with nulls reaches pandas as doubles
+    records = records.withColumns({c: F.col(c).cast("string") for c in ("page_id", "refers_to")})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows = (r for batch in batches for r in zip(batch["page_id"], batch["url"], batch["payload"], batch["digest"], batch["refers_to"], strict=True))
@@ -261,7 +263,7 @@ def read(files: DataFrame, payloads: bool = False) -> DataFrame:
                         rows.append(parse(f.read(r["length"])))
                 made = pd.DataFrame(rows)[columns]
                 for c in ("page_id", "refers_to"):
-                    made[c] = made[c].astype("Int64")
+                    made[c] = pd.array([r[c] for r in rows], dtype="Int64")
                 yield made
 
     n = max(8, int(files.sparkSession.conf.get("spark.sql.shuffle.partitions")))
