@@ -145,22 +145,23 @@ def codec(path: str, pattern: str) -> Codec:
     return Codec(path, pattern)
 
 
-def _each(df: DataFrame, source: str, target: str, work, keep: list[str]) -> DataFrame:
-    """`keep` of `df`, and `target` with what `work` makes of each value of `source`."""
+def _each(df: DataFrame, source: str, targets: list[str], work, keep: list[str]) -> DataFrame:
+    """`keep` of `df`, and `targets` with the binaries that `work` makes of each value of `source`."""
     ship(df.sparkSession)
     fields = [f for f in df.schema.fields if f.name in keep]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), *(f"`{t}` binary" for t in targets)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = batch.schema.get_field_index(source)
             for i in range(0, batch.num_rows, 512):
                 part = batch.slice(i, 512)
-                made = pa.array([work(x.as_py()) for x in part.column(at)], pa.binary())
+                rows = [work(x.as_py()) for x in part.column(at)]
+                made = [pa.array([r[k] for r in rows], pa.binary()) for k in range(len(targets))]
                 kept = [part.column(part.schema.get_field_index(c)) for c in keep]
-                yield pa.RecordBatch.from_arrays([*kept, made], [*keep, target])
+                yield pa.RecordBatch.from_arrays([*kept, *made], [*keep, *targets])
 
-    return df.select(*dict.fromkeys([*keep, source])).mapInArrow(run, f"{schema}, `{target}` binary")
+    return df.select(*dict.fromkeys([*keep, source])).mapInArrow(run, schema)
 
 
 def encode(df: DataFrame, path: str, pattern: str, text: str = "text", out: str = "ids", keep: list[str] | None = None) -> DataFrame:
@@ -171,14 +172,29 @@ def encode(df: DataFrame, path: str, pattern: str, text: str = "text", out: str
     length are merged whole; repeated rows each get theirs; no rows give none. Where a kept column
     is named `out`, the new one gets underscores before its name; it comes last."""
     keep = [c for c in df.columns if c != text] if keep is None else keep
-    return _each(df, text, free_name(df.select(*keep), out), lambda t: codec(path, pattern).encode(t or ""), keep)
+    return _each(df, text, [free_name(df.select(*keep), out)], lambda t: (codec(path, pattern).encode(t or ""),), keep)
 
 
 def decode(df: DataFrame, path: str, pattern: str, ids: str = "ids", out: str = "decoded", keep: list[str] | None = None) -> DataFrame:
     """`keep` columns (all, if not given) and `out`: the bytes that the packed ids stand for; null
     ids stand for none. Names clash and rows count as in `encode`."""
     keep = df.columns if keep is None else keep
-    return _each(df, ids, free_name(df.select(*keep), out), lambda b: codec(path, pattern).decode(b or b""), keep)
+    return _each(df, ids, [free_name(df.select(*keep), out)], lambda b: (codec(path, pattern).decode(b or b""),), keep)
+
+
+def round_trip(df: DataFrame, path: str, pattern: str, text: str = "text", out: tuple[str, str] = ("ids", "decoded"), keep: list[str] | None = None) -> DataFrame:
+    """`encode`, then `decode` of its ids, in one pass: `keep` columns and the two of `out`. A task has
+    one Python worker for both, so one memory of pieces. Names clash and rows count as in `encode`."""
+    keep = [c for c in df.columns if c != text] if keep is None else keep
+    first = free_name(df.select(*keep), out[0])
+    second = free_name(df.select(*keep, F.lit(None).alias(first)), out[1])
+
+    def work(t: str | None) -> tuple[bytes, bytes]:
+        own = codec(path, pattern)
+        ids = own.encode(t or "")
+        return ids, own.decode(ids)
+
+    return _each(df, text, [first, second], work, keep)
 
 
 def digests(encoded: DataFrame) -> DataFrame:

@@ -68,8 +68,7 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def encoded(docs: DataFrame) -> DataFrame:
-    ids = bpe.encode(docs, *tokenizer(), keep=["doc_id"])
-    return bpe.digests(bpe.decode(ids, *tokenizer()))
+    return bpe.digests(bpe.round_trip(docs, *tokenizer(), keep=["doc_id"]))
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -735,6 +735,12 @@ def test_bpe_equals_the_library(docs, odd, none):
     assert bpe.encode(none, path, pattern).count() == 0
     for r in bpe.decode(bpe.encode(odd, path, pattern), path, pattern, ids="_ids").select("doc_id", "ids", "decoded", "_ids", "_decoded", F.col("copy")).collect():
         assert (r.ids, r.decoded, r.copy) == ("x", "x", "x") and np.frombuffer(r["_ids"], "<u4").tolist() == lib.encode_ordinary(bytes(r["_decoded"]).decode())
+    for rows in (both, odd):
+        two, one = bpe.decode(bpe.encode(rows, path, pattern), path, pattern), bpe.round_trip(rows, path, pattern)
+        if rows is odd:  # its own columns are called ids and decoded
+            two = bpe.decode(bpe.encode(rows, path, pattern), path, pattern, ids="_ids")
+        assert one.columns == two.columns and Counter(map(str, one.collect())) == Counter(map(str, two.collect()))
+    assert bpe.round_trip(none, path, pattern).collect() == []
 
 
 def test_memory_in_two_halves_keeps_what_is_asked_for():
