@@ -19,6 +19,11 @@ from pyspark.sql import functions as F
 SPACE_CLASS = r"\x20\x09-\x0D"
 SPACES = " \t\n\x0b\f\r"
 
+#: About as many bytes an Arrow batch has at most, but for a longer row: JVM and Python hold batches
+#: whole, and twice over. Spark's own limit is 64 MB.
+BATCH_BYTES = 4 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
 _shipped: set[str] = set()
 
 
@@ -51,7 +56,10 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors' Python, once for each Spark application."""
+    """Send this package to the executors' Python, once for each Spark application, and hold the
+    session's Arrow batches to `BATCH_BYTES`, unless it sets a limit of its own."""
+    if spark.conf.get(_BATCH, None) is None:
+        spark.conf.set(_BATCH, f"{BATCH_BYTES}b")
     sc = spark.sparkContext
     if sc.applicationId in _shipped:
         return

@@ -11,6 +11,7 @@ import zipfile
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -743,6 +744,21 @@ def test_bpe_equals_the_library(docs, odd, none):
     assert bpe.round_trip(none, path, pattern).collect() == []
 
 
+def test_texts_reach_python_in_bounded_batches(spark):
+    rows = spark.range(0, 6000, 1, 1).select(F.repeat(F.lit("x"), F.when(F.col("id") == 7, 9_000_000).otherwise(3000)).alias("t"))
+    common.ship(spark)
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"rows": [b.num_rows], "bytes": [sum(len(x) for x in b.column(0).to_pylist())]})
+
+    found = rows.mapInArrow(sizes, "rows long, bytes long").collect()
+    assert sum(r["rows"] for r in found) == 6000
+    assert sum(r["bytes"] for r in found) == 5999 * 3000 + 9_000_000
+    assert max(r["bytes"] for r in found) < 9_000_000 + common.BATCH_BYTES
+    assert sorted(r["bytes"] for r in found)[-2] <= 1.1 * common.BATCH_BYTES
+
+
 def test_memory_in_two_halves_keeps_what_is_asked_for():
     class Squares(common.Remembered):
         made = 0
