@@ -35,9 +35,11 @@ _phone = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _digit = re.compile("[0-9]")
 _mark, _edge = re.compile("[0-9@]"), re.compile(r"\s")
 _tokens = re.compile(r"[A-Za-z]+|[0-9]+|[^A-Za-z0-9]")
-#: A segment's most tokens; and how many tokens' segments are scored at a time. The program runs
-#: over an island as a whole, however long; only training passes over islands longer than that.
-LONGEST, ISLAND = 16, 256
+#: A segment's most tokens; the most tokens of an island that training takes; and how many tokens'
+#: segments are scored at a time. The program runs over an island as a whole, however long.
+LONGEST, ISLAND, STRETCH = 16, 256, 2048
+#: The most characters of an island that training takes.
+ISLAND_CHARS = 4096
 #: Documents whose islands train the model at most: the smallest id hashes of those with a digit
 #: or an at sign; and the islands used of them.
 SAMPLE_DOCS, SAMPLE_ISLANDS = 1500, 600
@@ -45,6 +47,7 @@ SAMPLE_DOCS, SAMPLE_ISLANDS = 1500, 600
 MARGIN = 2.0
 
 Span = tuple[int, int, int]  # kind, start, end
+_SPANS = "array<struct<kind: int, start: int, end: int>>"
 
 
 def luhn(digits: str) -> bool:
@@ -76,7 +79,7 @@ def base_spans(text: str) -> list[Span]:
             if low < at:
                 out.append((0, low, m.end()))
                 last = m.end()
-    out += [(1, m.start(), m.end()) for m in _ip.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m.group().split("."))]
+    out += [(1, m.start(), m.end()) for m in _ip.finditer(text) if all(len(p := q.lstrip("0")) <= 3 and int(p or "0") <= 255 for q in m.group().split("."))]
     for m in _card.finditer(text):
         d = only_digits(m.group()) if m.end() - m.start() >= 13 else ""
         if 13 <= len(d) <= 19 and luhn(d):
@@ -103,57 +106,121 @@ def islands(text: str) -> Iterator[tuple[int, int]]:
 
 
 _FEATURES = 26
-
-
-def features(island: str, a: int, b: int) -> np.ndarray:
-    """Features of the whole segment island[a:b]."""
-    s, x = island[a:b], np.zeros(_FEATURES)
-    d = only_digits(s)
-    left, right = island[a - 1 : a], island[b : b + 1]
-    letters = sum(c.isalpha() for c in s)
-    x[0] = 1
-    x[1] = min(len(s), 40) / 10
-    x[2] = len(d) / max(1, len(s))
-    x[3] = letters / max(1, len(s))
-    x[4] = s.count("@") == 1
-    x[5] = "@" in s and "." in s.partition("@")[2].strip(".")
-    x[6] = s.count(".") == 3 and letters == 0 and all(p.isdigit() and len(p) <= 3 and int(p) <= 255 for p in s.split("."))
-    x[7] = s[:1] == "+"
-    x[8] = 13 <= len(d) <= 19
-    x[9] = bool(13 <= len(d) <= 19 and luhn(d))
-    x[10] = 9 <= len(d) <= 15
-    x[11] = s.count("(") == s.count(")") == 1
-    x[12] = s.count(" ") / 4
-    x[13] = s.count("-") / 4
-    x[14] = s.count(".") / 4
-    x[15] = bool(left) and (left.isalnum() or left in "@._%+-/=")
-    x[16] = bool(right) and (right.isalnum() or right in "@")
-    x[17] = len(d) == len(s)
-    x[18] = len(d) < 9
-    x[19] = len(d) > 19
-    x[20] = letters > 0 and "@" not in s
-    x[21] = not (s[:1].isalnum() or s[:1] in "+(")
-    x[22] = not s[-1:].isalnum()
-    x[23] = bool(re.search(r"[^A-Za-z0-9@._%+ ()-]", s))
-    x[24] = "@" in s and " " in s
-    x[25] = "+" in s[1:]
-    return x
-
-
-def segments(island: str, offsets: Sequence[int], first: int = 0, last: int | None = None) -> tuple[list[tuple[int, int]], np.ndarray]:
-    """Candidate entity segments (token range) and their features: they start and end off spaces
-    and hold a digit or a sign between letters. With `first` and `last` only those that start in
-    that range of tokens; they may end beyond it."""
-    n, out, rows = len(offsets) - 1, [], []
-    for i in range(first, n if last is None else last):
-        if island[offsets[i]] == " ":
-            continue
-        for j in range(i + 1, min(n, i + LONGEST) + 1):
-            a, b = offsets[i], offsets[j]
-            if island[b - 1] != " " and b - a >= 6 and ("@" in island[a:b] or sum("0" <= c <= "9" for c in island[a:b]) >= 4):
-                out.append((i, j))
-                rows.append(features(island, a, b))
-    return out, np.array(rows).reshape(-1, _FEATURES)
+_PART = re.compile("[0-9]{1,3}")
+_WORD = np.zeros(128, bool)
+_WORD[[*range(48, 58), *range(65, 91), *range(97, 123)]] = True
+
+
+def four_bytes(text: str) -> bool:
+    """Four numbers of one to three digits, at most 255, with dots between them. Other digits than
+    0 to 9 (raised, circled, of other scripts) make no number."""
+    parts = text.split(".")
+    return len(parts) == 4 and all(_PART.fullmatch(p) and int(p) <= 255 for p in parts)
+
+
+def _upto(mask: np.ndarray) -> np.ndarray:
+    return np.concatenate(([0], np.cumsum(mask)))
+
+
+class _Stretch:
+    """Running counts over the characters of a part of an island: the features of all its segments
+    are differences of them."""
+
+    def __init__(self, island: str, low: int, high: int):
+        """Segments lie between `low` and `high`; a character on either side is looked at too."""
+        self.low, self.end = max(0, low - 1), len(island)
+        self.text = text = island[self.low : high + 1]
+        n = len(text)
+        code = np.fromiter(map(ord, text), np.int64, n)
+        small = np.minimum(code, 127)
+        self.digit, self.alnum = (code >= 48) & (code <= 57), _WORD[small]
+        alpha, plain = self.alnum & ~self.digit, self.alnum.copy()
+        for i in np.flatnonzero(code > 127).tolist():
+            alpha[i], self.alnum[i] = text[i].isalpha(), text[i].isalnum()
+        is_ = {c: code == ord(c) for c in "@._%+-/= ()"}
+        self.code, self.is_, self.upto = code, is_, {c: _upto(is_[c]) for c in "@.+() -"}
+        self.digits, self.letters = _upto(self.digit), _upto(alpha)
+        self.odd = _upto(~(plain | np.logical_or.reduce([is_[c] for c in "@._%+ ()-"])))
+        # the next at sign and the next character that is no dot from each place on; the last before
+        places, dot = np.arange(n), is_["."]
+        ahead = lambda mask: np.append(np.minimum.accumulate(np.where(mask, places, n)[::-1])[::-1], n)
+        self.next_at, self.next_other = ahead(is_["@"]), ahead(~dot)
+        self.last_other = np.maximum.accumulate(np.concatenate(([-1], np.where(~dot, places, -1))))
+        # checksums: sums of the digits at even and at odd places, as they are and doubled
+        d = code[self.digit] - 48
+        even, twice = np.arange(len(d)) % 2 == 0, 2 * d - 9 * (d > 4)
+        self.once = np.stack([_upto(d * even), _upto(d * ~even)])
+        self.twice = np.stack([_upto(twice * even), _upto(twice * ~even)])
+
+    def luhn(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        p, q = self.digits[a], self.digits[b]
+        last = (q - 1) % 2  # the last digit and every other one before it stand as they are
+        return (self.once[last, q] - self.once[last, p] + self.twice[1 - last, q] - self.twice[1 - last, p]) % 10 == 0
+
+    def features(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Features of the whole segments from `a` to `b` (places in the island)."""
+        a, b = a - self.low, b - self.low
+        n, x, size = b - a, np.zeros((len(a), _FEATURES)), len(self.text)
+        count = lambda sums: sums[b] - sums[a]
+        d, letters, signs, dots, blanks = count(self.digits), count(self.letters), count(self.upto["@"]), count(self.upto["."]), count(self.upto[" "])
+        x[:, 0] = 1
+        x[:, 1] = np.minimum(n, 40) / 10
+        x[:, 2] = d / n
+        x[:, 3] = letters / n
+        x[:, 4] = signs == 1
+        # a dot after the first at sign that is neither first nor last there
+        begin, end = self.next_other[np.minimum(self.next_at[a] + 1, size)], self.last_other[b]
+        x[:, 5] = (signs > 0) & (end > begin) & (self.upto["."][np.maximum(end, 0)] > self.upto["."][np.minimum(begin, size)])
+        for k in np.flatnonzero((dots == 3) & (d + 3 == n) & (n <= 15)).tolist():
+            x[k, 6] = four_bytes(self.text[a[k] : b[k]])
+        x[:, 7] = self.is_["+"][a]
+        x[:, 8] = (d >= 13) & (d <= 19)
+        x[:, 9] = (d >= 13) & (d <= 19) & self.luhn(a, b)
+        x[:, 10] = (d >= 9) & (d <= 15)
+        x[:, 11] = (count(self.upto["("]) == 1) & (count(self.upto[")"]) == 1)
+        x[:, 12] = blanks / 4
+        x[:, 13] = count(self.upto["-"]) / 4
+        x[:, 14] = dots / 4
+        before, after = np.maximum(a - 1, 0), np.minimum(b, size - 1)
+        x[:, 15] = (a > 0) & (self.alnum[before] | np.logical_or.reduce([self.is_[c][before] for c in "@._%+-/="]))
+        x[:, 16] = (b < size) & (self.alnum[after] | self.is_["@"][after])
+        x[:, 17] = d == n
+        x[:, 18] = d < 9
+        x[:, 19] = d > 19
+        x[:, 20] = (letters > 0) & (signs == 0)
+        x[:, 21] = ~(self.alnum[a] | self.is_["+"][a] | self.is_["("][a])
+        x[:, 22] = ~self.alnum[b - 1]
+        x[:, 23] = count(self.odd) > 0
+        x[:, 24] = (signs > 0) & (blanks > 0)
+        x[:, 25] = self.upto["+"][b] > self.upto["+"][a + 1]
+        return x
+
+
+def candidates(island: str, offsets: Sequence[int], first: int, last: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Candidate entity segments that start in a range of tokens (they may end beyond it), as first
+    and past-the-end tokens, and their features: they start and end off spaces and hold an at sign
+    or four digits."""
+    n = len(offsets) - 1
+    if last <= first:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, _FEATURES))
+    stop = min(n, last - 1 + LONGEST)
+    own = np.array(offsets[first : stop + 1], dtype=np.int64)
+    stretch = _Stretch(island, int(own[0]), int(own[-1]))
+    i = np.repeat(np.arange(last - first), LONGEST)
+    j = i + np.tile(np.arange(1, LONGEST + 1), last - first)
+    i, j = i[j < len(own)], j[j < len(own)]
+    a, b = own[i], own[j]
+    p, q, blank = a - stretch.low, b - stretch.low, stretch.is_[" "]
+    some = (stretch.upto["@"][q] > stretch.upto["@"][p]) | (stretch.digits[q] - stretch.digits[p] >= 4)
+    kept = (b - a >= 6) & some & ~blank[p] & ~blank[q - 1]
+    i, j, a, b = i[kept], j[kept], a[kept], b[kept]
+    return i + first, j + first, stretch.features(a, b)
+
+
+def segments(island: str, offsets: Sequence[int]) -> tuple[list[tuple[int, int]], np.ndarray]:
+    """All candidate segments of an island (token ranges), and their features."""
+    i, j, x = candidates(island, offsets, 0, len(offsets) - 1)
+    return list(zip(i.tolist(), j.tolist(), strict=True)), x
 
 
 @dataclass
@@ -162,7 +229,7 @@ class Model:
 
     def decode(self, island: str) -> list[tuple[int, int, int, float]]:
         """Entities (kind, start, end, score) of the best segmentation of an island. Segments are
-        scored in stretches of `ISLAND` starts; those that end beyond a stretch wait in `ends`."""
+        scored in stretches of `STRETCH` starts; those that end beyond a stretch wait in `ends`."""
         offsets = array("q", [0])
         offsets.extend(m.end() for m in _tokens.finditer(island))
         n = len(offsets) - 1
@@ -170,14 +237,14 @@ class Model:
         # the best segment that ends at each token: its tokens (0: none), kind and score
         size, kind, score = array("b", bytes(n + 1)), array("b", bytes(n + 1)), array("d", bytes(8 * (n + 1)))
         ends: dict[int, list[tuple[int, int, float]]] = {}
-        for at in range(0, n, ISLAND):
-            stop = min(n, at + ISLAND)
-            found, x = segments(island, offsets, at, stop)
+        for at in range(0, n, STRETCH):
+            stop = min(n, at + STRETCH)
+            begin, end, x = candidates(island, offsets, at, stop)
             scores = x @ self.weights.T
             kinds, best = scores.argmax(1), scores.max(1)
-            for s, (i, j) in enumerate(found):
-                if best[s] > 0:  # others lose against tokens that are no entity
-                    ends.setdefault(j, []).append((i, int(kinds[s]), float(best[s])))
+            hit = best > 0  # others lose against tokens that are no entity
+            for i, j, k, v in zip(begin[hit].tolist(), end[hit].tolist(), kinds[hit].tolist(), best[hit].tolist(), strict=True):
+                ends.setdefault(j, []).append((i, k, v))
             for j in range(at + 1, stop + 1):
                 value[j] = value[j - 1]
                 for i, k, v in ends.pop(j, ()):
@@ -215,27 +282,28 @@ def likelihood_gradient(weights: np.ndarray, found: list[tuple[int, int]], x: np
     return (seen - p).T @ x
 
 
-def fit(texts: list[str], epochs: int = 8, rate: float = 0.3, decay: float = 1e-4, seed: int = 3) -> Model:
-    """Train on the islands of the texts by AdaGrad, base spans as gold. Islands whose gold is no
-    candidate segment are passed over. Without islands nothing is added."""
+def training_islands(text: str | None) -> Iterator[tuple[str, list[Span]]]:
+    """Islands of a text that are short enough to train on, with the base spans in them."""
+    base = base_spans(text or "")
+    for start, end in islands(text or ""):
+        own = (text or "")[start:end]
+        if len(own) <= ISLAND_CHARS and sum(1 for _ in _tokens.finditer(own)) < ISLAND:
+            yield own, [(k, a - start, b - start) for k, a, b in base if a >= start and b <= end]
+
+
+def fit(islands: list[tuple[str, list[Span]]], epochs: int = 8, rate: float = 0.3, decay: float = 1e-4, seed: int = 3) -> Model:
+    """Train on islands by AdaGrad, their base spans as gold. Islands whose gold is no candidate
+    segment are passed over. Without islands nothing is added."""
     weights, seen = np.zeros((len(KINDS), _FEATURES)), np.full((len(KINDS), _FEATURES), 1e-6)
     weights[:, 0] = -4
-    cases, known = [], set()
-    for t in texts:
-        base = base_spans(t)
-        for start, end in islands(t):
-            own = t[start:end]
-            if own in known or len(cases) >= SAMPLE_ISLANDS:
-                continue
-            known.add(own)
-            offsets = [0, *(k.end() for k in _tokens.finditer(own))]
-            if len(offsets) > ISLAND:
-                continue
-            found, x = segments(own, offsets)
-            place = {o: i for i, o in enumerate(offsets)}
-            gold = {(place.get(a - start), place.get(b - start)): k for k, a, b in base if a >= start and b <= end}
-            if found and all(g in set(found) for g in gold):
-                cases.append((found, x, len(offsets) - 1, gold))
+    cases = []
+    for own, base in islands:
+        offsets = [0, *(k.end() for k in _tokens.finditer(own))]
+        found, x = segments(own, offsets)
+        place = {o: i for i, o in enumerate(offsets)}
+        gold = {(place.get(a), place.get(b)): k for k, a, b in base}
+        if found and all(g in set(found) for g in gold):
+            cases.append((found, x, len(offsets) - 1, gold))
     rng = np.random.default_rng(seed)
     for _ in range(epochs):
         for c in rng.permutation(len(cases)):
@@ -247,8 +315,14 @@ def fit(texts: list[str], epochs: int = 8, rate: float = 0.3, decay: float = 1e-
 
 def well_formed(kind: int, span: str) -> bool:
     """Whether an added span has what every entity of its type must have."""
-    x = features(span, 0, len(span))
-    return bool((x[4], x[6], x[9], x[10])[kind])  # one at sign; four bytes; a checked card; 9 to 15 digits
+    d = only_digits(span)
+    if kind == 0:
+        return span.count("@") == 1
+    if kind == 1:
+        return four_bytes(span)
+    if kind == 2:
+        return 13 <= len(d) <= 19 and luhn(d)
+    return 9 <= len(d) <= 15
 
 
 def find(text: str | None, model: Model, base: list[Span] | None = None) -> list[Span]:
@@ -275,11 +349,21 @@ def find(text: str | None, model: Model, base: list[Span] | None = None) -> list
 
 def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sample_docs: int = SAMPLE_DOCS) -> Model:
     """Fit on a bounded sample of the documents with four digits in a row or an at sign: those with
-    the smallest id hashes. Hashes are bounded first, so that only about as many texts are ordered."""
+    the smallest id hashes, about `sample_docs`. Their islands are found where the texts are; only
+    `SAMPLE_ISLANDS` distinct ones, each of `ISLAND_CHARS` characters at most, come to the driver."""
+    ship(docs.sparkSession)
     h, digits = F.xxhash64(F.col(doc_id)), F.col(text).rlike("[0-9]{4}|@")
     bounds = hash_bounds(docs.where(digits).select(h.alias("h"), F.lit(0).alias("kind")), sample_docs)
-    rows = docs.where(below(h, F.lit(0), bounds)).where(digits).orderBy(h, doc_id, text).limit(sample_docs).select(text).collect()
-    return fit([r[0] for r in rows])
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = [(x, n, own, [{"kind": k, "start": a, "end": b} for k, a, b in base]) for x, t in zip(batch["h"], batch["text"], strict=True) for n, (own, base) in enumerate(training_islands(t))]
+            yield pd.DataFrame(rows, columns=["h", "n", "island", "gold"])
+
+    chosen = docs.where(below(h, F.lit(0), bounds)).where(digits).select(h.alias("h"), F.col(text).alias("text"))
+    found = chosen.mapInPandas(cut, f"h long, n int, island string, gold {_SPANS}").groupBy("island").agg(F.min(F.struct("h", "n")).alias("at"), F.min("gold").alias("gold"))
+    rows = found.orderBy("at", "island").limit(SAMPLE_ISLANDS).select("island", "gold").collect()
+    return fit([(r[0], [(g["kind"], g["start"], g["end"]) for g in r[1]]) for r in rows])
 
 
 def scan(docs: DataFrame, model: Model, text: str = "text", out: str = "pii") -> DataFrame:
@@ -290,9 +374,7 @@ def scan(docs: DataFrame, model: Model, text: str = "text", out: str = "pii") ->
     each get theirs; no rows give none. Where `docs` has a column named `out`, the new one gets
     underscores before its name; it comes last."""
     ship(docs.sparkSession)
-    span = "array<struct<kind: int, start: int, end: int>>"
-
-    @F.pandas_udf(f"base {span}, spans {span}")
+    @F.pandas_udf(f"base {_SPANS}, spans {_SPANS}")
     def run(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         packed = lambda spans: [{"kind": k, "start": a, "end": b} for k, a, b in spans]
         for part in parts:

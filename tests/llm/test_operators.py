@@ -6,6 +6,7 @@ import io
 import random
 import re
 import struct
+import time
 import unicodedata
 import zipfile
 from collections import Counter
@@ -597,6 +598,61 @@ def test_pii_recall_and_precision_of_added_spans(spark, sf):
     assert hits >= 0.8 * total and not false
 
 
+def plain_features(island, a, b):
+    s, x = island[a:b], np.zeros(pii._FEATURES)
+    d = "".join(re.findall("[0-9]", s))
+    left, right = island[a - 1 : a], island[b : b + 1]
+    letters = sum(c.isalpha() for c in s)
+    number = lambda p: re.fullmatch("[0-9]{1,3}", p) and int(p) <= 255
+    x[:6] = 1, min(len(s), 40) / 10, len(d) / len(s), letters / len(s), s.count("@") == 1, "@" in s and "." in s.partition("@")[2].strip(".")
+    x[6] = s.count(".") == 3 and all(map(number, s.split(".")))
+    x[7:12] = s[0] == "+", 13 <= len(d) <= 19, 13 <= len(d) <= 19 and pii.luhn(d), 9 <= len(d) <= 15, s.count("(") == s.count(")") == 1
+    x[12:15] = s.count(" ") / 4, s.count("-") / 4, s.count(".") / 4
+    x[15] = bool(left) and (left.isalnum() or left in "@._%+-/=")
+    x[16] = bool(right) and (right.isalnum() or right == "@")
+    x[17:21] = len(d) == len(s), len(d) < 9, len(d) > 19, letters > 0 and "@" not in s
+    x[21:23] = not (s[0].isalnum() or s[0] in "+("), not s[-1].isalnum()
+    x[23:] = bool(re.search(r"[^A-Za-z0-9@._%+ ()-]", s)), "@" in s and " " in s, "+" in s[1:]
+    return x
+
+
+def test_features_of_all_segments_equal_plain_ones():
+    rng = random.Random(11)
+    for _ in range(300):
+        t = "".join(rng.choice("0123456789" * 4 + "aZé中²①٣@@.._%+-/= ()  .,:") for _ in range(rng.randint(1, 100)))
+        offsets = [0, *(m.end() for m in pii._tokens.finditer(t))]
+        first = rng.randrange(len(offsets))
+        begin, end, x = pii.candidates(t, offsets, first, rng.randint(first, len(offsets) - 1))
+        for i, j, row in zip(begin, end, x, strict=True):
+            assert np.array_equal(row, plain_features(t, offsets[i], offsets[j])), t[offsets[i] : offsets[j]]
+
+
+def test_digits_of_other_kinds_and_huge_numbers(spark):
+    """Raised, circled and other scripts' digits are no numbers; numbers of any length are read."""
+    rng = random.Random(12)
+    texts = ["see 10.20.30.4² now", "12.34.56.7①", "1.2.3." + "0" * 5000 + "1", "1.2.3." + "7" * 5000, "+1 (555) 01²-234567", "٣٣.٣٣.٣٣.٣٣"]
+    texts += ["".join(rng.choice("0123456789.@+- ()a²①٣é") for _ in range(rng.randint(1, 80))) for _ in range(300)]
+    docs = spark.createDataFrame([(i, t, len(t)) for i, t in enumerate(texts)], "doc_id long, text string, n_chars long")
+    # a model that takes all that it may
+    model = pii.Model(np.eye(4, pii._FEATURES) * 9)
+    got = {r.doc_id: r.pii for r in pii.scan(docs, model).collect()}
+    for i, t in enumerate(texts):
+        assert [(s.kind, s.start, s.end) for s in got[i].spans] == pii.find(t, model)
+        want = {2: [(1, 0, 5007)], 3: []}  # Python refuses to read these numbers
+        assert [(s.kind, s.start, s.end) for s in got[i].base] == (want[i] if i in want else personal(t))
+    assert [(s.kind, s.start, s.end) for s in got[0].base] == [(1, 4, 14)] and (1, 0, 10) in {(s.kind, s.start, s.end) for s in got[1].spans}
+    clean = {r.doc_id: r.text for r in pii.redact(docs, model).collect()}
+    assert clean[0] == "see <IP>² now" and clean[2] == "<IP>"
+
+
+def test_dense_numbers_take_seconds():
+    model = pii.Model(np.random.default_rng(1).normal(0, 1, (4, pii._FEATURES)))
+    for text in ("1," * 100_000, "5,123 " * 40_000, "1.1.1.1 " * 25_000):
+        began = time.thread_time()
+        pii.find(text, model)
+        assert time.thread_time() - began < 20
+
+
 def test_segment_decoding_equals_enumeration():
     rng = np.random.default_rng(1)
     model = pii.Model(rng.normal(0, 1, (4, pii._FEATURES)))
