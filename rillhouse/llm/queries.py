@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprint, langid, mixing, pii, quality, secrets, simhash, toxicity, warc
+from . import bpe, fingerprint, langid, manifest, mixing, pii, quality, secrets, simhash, toxicity, warc
 from .common import table
 
 
@@ -76,8 +76,12 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op13_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest.manifest(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_toxicity, op2_fingerprints, op3_secrets, op4_language, op5_quality, op6_warc, op7_pii, op8_mixing, op9_bpe, op10_simhash)
+    found = (op1_toxicity, op2_fingerprints, op3_secrets, op4_language, op5_quality, op6_warc, op7_pii, op8_mixing, op9_bpe, op10_simhash, op13_manifest)
     return {f.__name__: f for f in found}
 
 
