@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprint, jaccard, langid, manifest, mixing, pii, quality, secrets, simhash, toxicity, warc
+from . import bpe, fingerprint, jaccard, langid, manifest, mixing, pii, quality, secrets, simhash, spelling, toxicity, warc
 from .common import table
 
 
@@ -80,12 +80,16 @@ def op11_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.similar_groups(table(spark, sf_dir, "documents"), percent=85, shingle=4)
 
 
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
 def op13_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest.manifest(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_toxicity, op2_fingerprints, op3_secrets, op4_language, op5_quality, op6_warc, op7_pii, op8_mixing, op9_bpe, op10_simhash, op11_jaccard, op13_manifest)
+    found = (op1_toxicity, op2_fingerprints, op3_secrets, op4_language, op5_quality, op6_warc, op7_pii, op8_mixing, op9_bpe, op10_simhash, op11_jaccard, op12_spelling, op13_manifest)
     return {f.__name__: f for f in found}
 
 
