@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Remembered, materialize, ship, spread_join
+from .common import materialize, ship, spread_join
 from .simhash import components
 
 PERCENT, SHINGLE = 80, 5
@@ -38,47 +38,92 @@ FREQUENT = 1 << 16
 HOT = 200
 #: Rows of a block: a search takes a block of queries and a block of the index.
 BLOCK = 256
-#: Up to so many candidates are looked for by a broadcast when their texts are read again.
-BROADCAST_ROWS = 2_000_000
+#: Up to so many candidates are looked for by a broadcast when their texts are read again; beyond,
+#: by a shuffle.
+BROADCAST_ROWS = 100_000
 #: How much a lookup in a long list costs against a step of the merge.
 LOOKUP = 0.02
-_WORDS = 200_000  # word hashes remembered in a worker, in each of two halves
-
 _MUL = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
+_BYTES = np.random.default_rng(SEED).integers(0, 1 << 64, 256, np.uint64)
+_BYTES[65:91] = _BYTES[97:123]  # A-Z count as a-z
+_SPACE = np.zeros(256, bool)
+_SPACE[[32, *range(9, 14)]] = True
+#: Bytes of text that are cut and hashed at a time, but for a longer text.
+_TEXT = 1 << 16
 
 
-class _Hashes(Remembered):
-    def make(self, key: bytes) -> int:
-        import xxhash
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * _MUL[1]
+    x = (x ^ (x >> np.uint64(27))) * _MUL[2]
+    return x ^ (x >> np.uint64(31))
 
-        return xxhash.xxh64_intdigest(key, SEED)
 
-    def worth(self, key: bytes) -> bool:
-        return len(key) <= 40
+def _places(n: int) -> np.ndarray:
+    """Odd 64-bit factors of the places in a word."""
+    return _mixed(np.arange(1, n + 1, dtype=np.uint64) * _MUL[0]) | np.uint64(1)
 
 
-_hashes = _Hashes(_WORDS)
+_near_places = _places(256)
 
 
-def _mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * _MUL[1]
-    x = (x ^ (x >> np.uint64(27))) * _MUL[2]
-    return x ^ (x >> np.uint64(31))
+def _distinct(x: np.ndarray) -> np.ndarray:
+    x = np.sort(x)
+    return x[np.append(True, x[1:] != x[:-1])]
 
 
-def shingles(text: str | None, k: int = SHINGLE) -> np.ndarray:
-    """Distinct 64-bit hashes of a text's shingles of k words, ascending; a text of fewer words is
-    one shingle, one without words has none."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()  # bytes: only A-Z change, only ASCII space splits
-    n = len(words)
-    if not n:
-        return np.zeros(0, np.uint64)
-    each = np.fromiter(map(_hashes.__getitem__, words), np.uint64, n)
-    k = min(k, n)
-    out = _mixed(each[: n - k + 1] + np.uint64(k))
+def _cut(data: np.ndarray, ends: np.ndarray, k: int) -> Iterator[np.ndarray]:
+    """The sets of texts that lie in UTF-8 one behind the other in `data`."""
+    letter = ~_SPACE[data]
+    begins = letter.copy()
+    begins[1:] &= ~letter[:-1]
+    cut = ends[:-1][ends[:-1] < len(data)]
+    begins[cut] |= letter[cut]  # a text's first word
+    at = np.flatnonzero(letter)
+    if not len(at):
+        yield from (np.zeros(0, np.uint64) for _ in ends)
+        return
+    first = np.flatnonzero(begins[at])  # of each word, in `at`
+    size = np.diff(np.append(first, len(at)))
+    place = np.arange(len(at)) - np.repeat(first, size)
+    factors = _near_places if size.max() <= len(_near_places) else _places(int(size.max()))
+    # words are hashed by sums of byte values times factors of their places
+    each = _mixed(np.add.reduceat(_BYTES[data[at]] * factors[place], first) + size.astype(np.uint64))
+    last = np.searchsorted(at[first], ends)  # words before the end of each text
+    whole = each + np.uint64(k)
     for i in range(1, k):
-        out = _mixed(out * _MUL[0] + each[i : n - k + 1 + i])
-    return np.unique(out)
+        whole = _mixed(whole)[: max(0, len(each) - i)] * _MUL[0] + each[i:]
+    whole, low = _mixed(whole), 0
+    for high in last.tolist():
+        n = high - low
+        if n >= k:
+            yield _distinct(whole[low : high - k + 1])
+        elif n:
+            one = each[low : low + 1] + np.uint64(n)
+            for i in range(low + 1, high):
+                one = _mixed(one) * _MUL[0] + each[i : i + 1]
+            yield _mixed(one)
+        else:
+            yield np.zeros(0, np.uint64)
+        low = high
+
+
+def shingle_sets(texts: pa.Array, k: int = SHINGLE) -> Iterator[np.ndarray]:
+    """For each text the distinct 64-bit hashes of its shingles of k words, ascending; a text of fewer
+    words is one shingle, a null one and one without words have none. Only A-Z are taken as a-z,
+    only ASCII white space splits."""
+    texts = texts.cast(pa.large_string()).fill_null("")
+    offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    buffer = texts.buffers()[2]
+    data = np.frombuffer(buffer, np.uint8) if buffer is not None and buffer.size else np.zeros(0, np.uint8)
+    start = 0
+    while start < len(texts):
+        stop = max(start + 1, int(np.searchsorted(offsets, offsets[start] + _TEXT, side="right")) - 1)
+        yield from _cut(data[offsets[start] : offsets[stop]], offsets[start + 1 : stop + 1] - offsets[start], k)
+        start = stop
+
+
+def shingles(text: str | None, k: int = SHINGLE) -> np.ndarray:
+    return next(shingle_sets(pa.array([text], pa.string()), k))
 
 
 def required(n: int, percent: int) -> int:
@@ -186,8 +231,8 @@ def frequent(docs: DataFrame, text: str, k: int, keep: int = FREQUENT) -> tuple[
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = Counter(2 * keep)
         for batch in batches:
-            for t in batch.column(0):
-                counter.add(shingles(t.as_py(), k))
+            for x in shingle_sets(batch.column(0), k):
+                counter.add(x)
         counter.settle()
         often = counter.counts > 1
         yield pa.RecordBatch.from_arrays([pa.array(counter.tokens[often].view(np.int64)), pa.array(counter.counts[often])], ["token", "n"])
@@ -203,7 +248,7 @@ def frequent(docs: DataFrame, text: str, k: int, keep: int = FREQUENT) -> tuple[
 
 
 def _key(text: str) -> Column:
-    return F.sha2(F.coalesce(F.col(text), F.lit("")), 256)
+    return F.unhex(F.sha2(F.coalesce(F.col(text), F.lit("")), 256))
 
 
 def classes(docs: DataFrame, doc_id: str, text: str, percent: int, k: int) -> DataFrame:
@@ -220,8 +265,7 @@ def classes(docs: DataFrame, doc_id: str, text: str, percent: int, k: int) -> Da
         known, rank, hot = shared.value
         for batch in batches:
             n, cold, ends, parts = [], [], [0], [np.zeros(0, np.uint64)]
-            for t in batch.column("text"):
-                x = shingles(t.as_py(), k)
+            for x in shingle_sets(batch.column("text"), k):
                 at = np.minimum(np.searchsorted(known, x), max(0, len(known) - 1))
                 often = known[at] == x if len(known) else np.zeros(len(x), bool)
                 late = x[often][np.argsort(rank[at[often]])]
@@ -233,7 +277,7 @@ def classes(docs: DataFrame, doc_id: str, text: str, percent: int, k: int) -> Da
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), pa.array(n, pa.int32()), pa.array(cold, pa.int32()), first], ["doc_id", "key", "n", "cold", "prefix"])
 
     slim = docs.select(F.col(doc_id).cast("long").alias("doc_id"), _key(text).alias("key"), F.col(text).alias("text"))
-    rows = slim.mapInArrow(run, "doc_id long, key string, n int, cold int, prefix array<long>")
+    rows = slim.mapInArrow(run, "doc_id long, key binary, n int, cold int, prefix array<long>")
     each = rows.groupBy("key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n_docs"), *[F.first(x).alias(x) for x in ("n", "cold", "prefix")])
     return materialize(each.withColumn("c", F.monotonically_increasing_id()), "jaccard-classes")
 
@@ -241,16 +285,20 @@ def classes(docs: DataFrame, doc_id: str, text: str, percent: int, k: int) -> Da
 def members(found: DataFrame, percent: int) -> DataFrame:
     """Rows (g, c, n, n_g, near) of the groups: c shares a cell with the pivot g. `near`: the places in
     the cell allow c and g twice the distance of a link at most."""
+    # n, pos and whether the shingle is hot, in one number
     cells = found.where("n > 0").select("c", "n", "cold", F.posexplode("prefix").alias("pos", "t"))
-    indexed = F.col("pos") < F.col("n") - F.ceil(F.col("n") * (2 * percent) / F.lit(100 + percent)) + 1
-    cells = cells.select("t", "c", "n", "pos", indexed.alias("own"), (F.col("pos") >= F.col("cold")).alias("hot"))
-    elected = F.min(F.struct("pos", "c", "n"))
-    kept = (F.col("size") > 1) & F.col("some")
+    packed = F.shiftleft(F.col("n").cast("long"), 32) + F.col("pos") * 2
+    cells = cells.select("t", "c", packed.alias("np"), (F.col("pos") >= F.col("cold")).alias("hot"))
+    n, pos = F.shiftright("np", 32).cast("int"), F.shiftright(F.col("np").bitwiseAND(F.lit(0xFFFFFFFF)), 1).cast("int")
+    # a row that is similar to no smaller one by this shingle
+    indexed = pos < n - F.ceil(n * (2 * percent) / F.lit(100 + percent)) + 1
+    elected, kept = F.min(F.struct(pos.alias("pos"), "c", n.alias("n"))), (F.col("size") > 1) & F.col("some")
     w = Window.partitionBy("t")
-    few = cells.where("not hot").select("t", "c", "n", "pos", F.count("*").over(w).alias("size"), F.max("own").over(w).alias("some"), elected.over(w).alias("p")).where(kept)
-    many = cells.where("hot")
-    tops = materialize(many.groupBy("t").agg(F.count("*").alias("size"), F.max("own").alias("some"), elected.alias("p")).where(kept), "jaccard-tops")
-    both = few.unionByName(spread_join(many.select("t", "c", "n", "pos"), tops, "t", "size").select(*few.columns))
+    names = ["t", "c", n.alias("n"), pos.alias("pos")]
+    few = cells.where("not hot").select("t", "c", "np").select(*names, F.count("*").over(w).alias("size"), F.max(indexed).over(w).alias("some"), elected.over(w).alias("p")).where(kept)
+    many = cells.where("hot").select("t", "c", "np")
+    tops = materialize(many.groupBy("t").agg(F.count("*").alias("size"), F.max(indexed).alias("some"), elected.alias("p")).where(kept), "jaccard-tops")
+    both = few.unionByName(spread_join(many, tops, "t", "size").select(*names, "size", "some", "p"))
     both = both.select(F.col("p.c").alias("g"), "c", "n", F.col("p.n").alias("n_g"), "pos", F.col("p.pos").alias("at")).where("c <> g")
     bound = F.least("pos", "at") + F.least(F.col("n") - F.col("pos"), F.col("n_g") - F.col("at"))
     wide = 2 * percent - 100
@@ -260,6 +308,8 @@ def members(found: DataFrame, percent: int) -> DataFrame:
 # --- searches
 
 
+#: Steps of size that a similar set may be away.
+_STEPS = 4
 #: What a row is in its group: not searched against the pivot or too far from it, within twice the
 #: distance of a link, or linked with it.
 _FAR, _RING, _LINKED = 0, 1, 2
@@ -284,7 +334,7 @@ def placed(rows: DataFrame) -> DataFrame:
     return cut.select("g", "c", "state", F.explode(F.concat(turns(True), turns(False))).alias("e")).select("g", "e.i", "e.j", "e.asks", "c", "state")
 
 
-def search(units: DataFrame, percent: int, spanning: bool) -> DataFrame:
+def search(units: DataFrame, k: int, percent: int, spanning: bool) -> DataFrame:
     """(g, c, other, overlap, n, n_other) for queries c and indexed rows `other` of the same unit
     (g, i, j) that are similar by `percent`. With `spanning`, links between rows that are joined
     already, by links of the unit or with the pivot, are left out, and so are indexed rows linked
@@ -320,53 +370,67 @@ def search(units: DataFrame, percent: int, spanning: bool) -> DataFrame:
         unit, queries, listed = None, [], []
         for batch in batches:
             out = []
-            for *now, asks, c, state, grams in zip(*[column.to_pylist() for column in batch.columns], strict=True):
+            columns = [column.to_pylist() for column in batch.columns[:6]]
+            for *now, asks, c, state, grams in zip(*columns, shingle_sets(batch.column(6), k), strict=True):
                 if tuple(now) != unit:
                     out += hits(unit, queries, listed) if queries and listed else []
                     unit, queries, listed = tuple(now), [], []
-                (queries if asks else listed).append((c, state, np.frombuffer(grams, np.uint64)))
+                side = queries if asks else listed
+                if not side or side[-1][0] != c:  # a row may come from several tasks
+                    side.append((c, state, grams))
             yield made(out)
         if queries and listed:
             yield made(hits(unit, queries, listed))
 
-    rows = units.select("g", "i", "j", "asks", "c", "state", "grams")
+    rows = units.select("g", "i", "j", "asks", "c", "state", "text")
     return rows.repartition("g", "i", "j").sortWithinPartitions("g", "i", "j", "asks", "c").mapInArrow(run, _HIT)
 
 
-def links(docs: DataFrame, found: DataFrame, text: str, percent: int, k: int) -> DataFrame:
-    """Edges (c, other) whose connected components are those of all similar pairs of classes."""
-    spark = docs.sparkSession
-    groups = materialize(members(found, percent), "jaccard-groups")
-    # rows that can have a partner in the group besides the pivot: sizes in neighbouring steps
-    step = F.floor(F.log(F.col("n").cast("double")) / F.lit(log(100 / percent) * (1 + 1e-6))).cast("int")
-    rows = groups.withColumn("step", step)
-    per = rows.groupBy("g", "step").agg(F.count("*").alias("m"))
-    around = per.select("g", F.explode(F.array(F.col("step") - 1, F.col("step"), F.col("step") + 1)).alias("step"), "m").groupBy("g", "step").agg(F.sum("m").alias("m"))
-    fit = rows.join(around.where("m > 1").select("g", "step"), ["g", "step"], "left_semi").select("g", "c", "n")
-    near = groups.where("near").select("g", "c")
-    # the shingles of all rows that are searched, from their texts
-    wanted = near.select("c").unionByName(near.select(F.col("g").alias("c"))).unionByName(fit.select("c")).distinct()
-    picked = materialize(found.join(wanted, "c", "left_semi").select("c", "key", "rep"), "jaccard-wanted")
-    side = F.broadcast(picked) if picked.count() <= BROADCAST_ROWS else picked
-    texts = docs.select(_key(text).alias("key"), F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text")).join(side, "key").where(F.col("doc_id").eqNullSafe(F.col("rep")))
+def shipped(docs: DataFrame, found: DataFrame, rows: DataFrame) -> DataFrame:
+    """The texts (g, i, j, asks, c, state, text) of `rows` (see `placed`), read again from `docs` (doc_id,
+    text): one row of each class goes to all its blocks."""
+    turns = placed(rows).groupBy("c").agg(F.collect_list(F.struct("g", "i", "j", "asks", "state")).alias("turns"))
+    side = materialize(found.select("c", "key", "rep").join(turns, "c"), "jaccard-turns")
+    side = F.broadcast(side) if side.count() <= BROADCAST_ROWS else side
+    texts = docs.select(_key("text").alias("key"), "doc_id", "text").join(side, "key").where(F.col("doc_id").eqNullSafe(F.col("rep")))
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Repeated rows of one id and text: one of a task is enough."""
+        seen: set[int] = set()
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingles(t.as_py(), k).tobytes() for t in batch.column(1)], pa.binary())], ["c", "grams"])
+            keep = []
+            for c in batch.column(0).to_pylist():
+                keep.append(c not in seen)
+                seen.add(c)
+            yield batch.filter(pa.array(keep, pa.bool_()))
 
-    grams = materialize(texts.select("c", "text").dropDuplicates(["c"]).mapInArrow(cut, "c long, grams binary"), "jaccard-grams")
-    # each row against its pivot
+    kept = texts.select("c", "text", "turns").mapInArrow(once, "c long, text string, turns array<struct<g: long, i: int, j: int, asks: boolean, state: int>>")
+    return kept.select("c", "text", F.explode("turns").alias("e")).select("e.g", "e.i", "e.j", "e.asks", "c", "e.state", "text")
+
+
+def links(docs: DataFrame, found: DataFrame, percent: int, k: int) -> DataFrame:
+    """Edges (c, other) whose connected components are those of all similar pairs of classes."""
+    groups = materialize(members(found, percent), "jaccard-groups")
     yes, no = F.lit(True), F.lit(False)
+    # each row against its pivot
+    near = groups.where("near").select("g", "c")
     star = near.select("g", "c", yes.alias("asks"), no.alias("listed")).unionByName(near.select("g").distinct().select("g", F.col("g").alias("c"), no.alias("asks"), yes.alias("listed")))
-    units = placed(star.withColumn("state", F.lit(_FAR))).join(grams, "c")
     linked = F.col("overlap") * 100 >= F.lit(percent) * (F.col("n") + F.col("n_other") - F.col("overlap"))
-    hits = materialize(search(units, 2 * percent - 100, False).select("g", "c", F.when(linked, _LINKED).otherwise(_RING).alias("state")), "jaccard-star")
+    hits = search(shipped(docs, found, star.withColumn("state", F.lit(_FAR))), k, 2 * percent - 100, False)
+    hits = materialize(hits.select("g", "c", F.when(linked, _LINKED).otherwise(_RING).alias("state")).distinct(), "jaccard-star")
     # what is left of the groups: rows linked with the pivot stay only where there is a ring
     rings = hits.where(F.col("state") == _RING).select("g").distinct().withColumn("ringed", yes)
     state, asks = F.coalesce("state", F.lit(_FAR)), F.coalesce("state", F.lit(_FAR)) != _LINKED
-    rest = fit.join(hits, ["g", "c"], "left").join(rings, "g", "left").where(asks | F.col("ringed").isNotNull())
-    rest = materialize(rest.select("g", "c", state.alias("state"), asks.alias("asks"), yes.alias("listed")), "jaccard-rest")
-    more = search(placed(rest).join(grams, "c"), percent, True).select("c", "other")
+    rest = groups.select("g", "c", "n").join(hits, ["g", "c"], "left").join(rings, "g", "left").where(asks | F.col("ringed").isNotNull())
+    rest = materialize(rest.select("g", "c", "n", state.alias("state"), asks.alias("asks")), "jaccard-rest")
+    # of these, the rows that have another of a fitting size beside them, and one of the two asks
+    step = F.floor(F.log(F.col("n").cast("double")) / F.lit(log(100 / percent) * (1 + 1e-6) / _STEPS)).cast("int")
+    rest = rest.withColumn("step", step)
+    per = rest.groupBy("g", "step").agg(F.count("*").alias("m"), F.count_if("asks").alias("a"))
+    around = per.select("g", F.explode(F.transform(F.sequence(F.lit(-_STEPS), F.lit(_STEPS)), lambda x: F.col("step") + x)).alias("step"), "m", "a")
+    fit = around.groupBy("g", "step").agg(F.sum("m").alias("m"), F.sum("a").alias("a")).where("m > 1 and a > 0").select("g", "step")
+    rest = rest.join(fit, ["g", "step"], "left_semi").select("g", "c", "state", "asks", yes.alias("listed"))
+    more = search(shipped(docs, found, rest), k, percent, True).select("c", "other")
     return hits.where(F.col("state") == _LINKED).select("c", F.col("g").alias("other")).unionByName(more).distinct()
 
 
@@ -382,7 +446,7 @@ def similar_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     ship(docs.sparkSession)
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     found = classes(docs, "doc_id", "text", percent, shingle)
-    roots = components(links(docs, found, "text", percent, shingle))
+    roots = components(links(docs, found, percent, shingle))
     named = materialize(found.select("c", "key", "rep", "n_docs", "n").join(roots.withColumnRenamed("node", "c"), "c", "left").withColumn("root", F.coalesce("root", "c")), "jaccard-named")
     least = materialize(named.groupBy("root").agg(F.min("rep").alias("component_id"), F.count("*").alias("members")), "jaccard-least")
     named = materialize(spread_join(named, least, "root", "members").select("key", "n", "n_docs", "component_id"), "jaccard-ends")

@@ -38,7 +38,7 @@ def plain(rows, percent, k):
 
 
 def check(spark, rows, percent=85, k=4):
-    docs = spark.createDataFrame([(d, t, "x", "y") for d, t in rows], "doc_id long, text string, g string, grams string").repartition(5)
+    docs = spark.createDataFrame([(d, t, "x", "y") for d, t in rows], "doc_id long, text string, g string, turns string").repartition(5)
     assert Counter(map(tuple, jaccard.similar_groups(docs, percent=percent, shingle=k).collect())) == plain(rows, percent, k)
 
 
@@ -53,6 +53,19 @@ def test_search_equals_counting():
     assert jaccard.Index([]).search(query, 1) == []
 
 
+def test_shingles_of_many_texts_equal_those_of_each():
+    rng = random.Random(5)
+    texts = ["".join(rng.choice("abAB é\t\n 中") for _ in range(rng.choice([0, 1, 3, 20, 200]))) for _ in range(400)] + [None, "a b c d", "A  b\nc d ", "a b", "ab", "x" * 70000, "x" * 70001, "y " * 400_000]
+    for k in (1, 4, 5):
+        got = list(jaccard.shingle_sets(jaccard.pa.array(texts), k))
+        known = {}
+        for t, x in zip(texts, got, strict=True):
+            assert np.array_equal(x, jaccard.shingles(t, k)) and len(x) == len(plain_set(t, k))
+            # equal sets and none else have equal hashes
+            assert known.setdefault(x.tobytes(), plain_set(t, k)) == plain_set(t, k)
+        assert len(known) == len({frozenset(plain_set(t, k)) for t in texts})
+
+
 def test_counts_of_frequent_shingles_are_bounded():
     rng, counter, all_ = np.random.default_rng(2), jaccard.Counter(50), Counter()
     for _ in range(200):
