@@ -36,8 +36,8 @@ SEED = 42
 FREQUENT = 1 << 16
 #: A shingle found in more than a 200th of the documents is counted before its rows meet.
 HOT = 200
-#: Rows of a block: a search takes a block of queries and a block of the index.
-BLOCK = 256
+#: Shingles of a block, about, but for a larger document: a search takes one block or two.
+BLOCK = 1_000_000
 #: Up to so many candidates are looked for by a broadcast when their texts are read again; beyond,
 #: by a shuffle.
 BROADCAST_ROWS = 100_000
@@ -316,33 +316,36 @@ _FAR, _RING, _LINKED = 0, 1, 2
 _HIT = "g long, c long, other long, overlap int, n int, n_other int"
 
 
-def placed(rows: DataFrame) -> DataFrame:
-    """`rows` (g, c, state, asks, listed) once for each pair of blocks of the group that they take part
-    in: as a query of block i, or in the index of block j."""
-    sizes = rows.groupBy("g").agg(F.count_if("asks").alias("n_ask"), F.count_if("listed").alias("n_list"), F.count("*").alias("n"))
-    blocks = lambda n: F.greatest(F.lit(1), F.ceil(F.col(n) / BLOCK)).cast("int")
-    sizes = materialize(sizes.where("n_ask > 0 and n_list > 0").select("g", blocks("n_ask").alias("bi"), blocks("n_list").alias("bj"), "n"), "jaccard-sizes")
-    own, none = F.xxhash64("c"), F.array().cast("array<struct<asks: boolean, i: int, j: int>>")
+_TURN = "g: long, i: int, j: int, side: int, asks: boolean, state: int"
 
-    def turns(asks: bool) -> Column:
-        others = F.sequence(F.lit(0), F.col("bj" if asks else "bi") - 1)
-        mine = F.pmod(own, F.col("bi" if asks else "bj")).cast("int")
-        each = F.transform(others, lambda x: F.struct(F.lit(asks).alias("asks"), (mine if asks else x).alias("i"), (x if asks else mine).alias("j")))
-        return F.when(F.col("asks" if asks else "listed"), each).otherwise(none)
 
-    cut = spread_join(rows, sizes, "g")
-    return cut.select("g", "c", "state", F.explode(F.concat(turns(True), turns(False))).alias("e")).select("g", "e.i", "e.j", "e.asks", "c", "state")
+def placed(rows: DataFrame) -> DataFrame:
+    """`rows` (g, c, n, asks, pivot, state) once for each unit (g, i, j) that they take part in. Rows of a
+    group are cut in blocks; with a pivot in the group, each block meets it in a unit of its own, else
+    each pair of blocks (i <= j) has one. `side`: 0 for block i, 1 for block j or the pivot."""
+    sizes = rows.groupBy("g").agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("b"), F.max("pivot").alias("star"), F.count("*").alias("m"), F.count_if("asks").alias("a"))
+    sizes = materialize(sizes.where("a > 0 and m > 1").select("g", "b", "star", F.col("m").alias("n")), "jaccard-sizes")
+    own = F.pmod(F.xxhash64("c"), "b").cast("int")
+    turn = lambda i, j, side: F.struct(i.cast("int").alias("i"), j.cast("int").alias("j"), side.cast("int").alias("side"))
+    all_, pivot = F.sequence(F.lit(0), F.col("b") - 1), F.lit(-1)
+    turns = (
+        F.when(F.col("star") & ~F.col("pivot"), F.array(turn(own, pivot, F.lit(0))))
+        .when(F.col("star"), F.transform(all_, lambda x: turn(x, pivot, F.lit(1))))
+        .otherwise(F.transform(all_, lambda x: turn(F.least(own, x), F.greatest(own, x), F.when(own > x, 1).otherwise(0))))
+    )
+    cut = spread_join(rows.withColumnRenamed("n", "size"), sizes, "g")
+    return cut.select("g", "c", "asks", "state", F.explode(turns).alias("e")).select("g", "e.i", "e.j", "e.side", "asks", "c", "state")
 
 
 def search(units: DataFrame, k: int, percent: int, spanning: bool) -> DataFrame:
-    """(g, c, other, overlap, n, n_other) for queries c and indexed rows `other` of the same unit
-    (g, i, j) that are similar by `percent`. With `spanning`, links between rows that are joined
-    already, by links of the unit or with the pivot, are left out, and so are indexed rows linked
-    with the pivot for queries that are too far from it to reach them."""
+    """(g, c, other, overlap, n, n_other) for rows c that ask and other rows of the same unit (g, i, j),
+    of the same block or of another, that are similar by `percent`. With `spanning`, links between rows
+    that are joined already, by links of the unit or with the pivot, are left out, and so are rows
+    linked with the pivot for those too far from it to reach them."""
 
-    def hits(unit: tuple, queries: list, listed: list) -> list[tuple]:
-        index, ids, out = Index([x for _, _, x in listed]), [c for c, _, _ in listed], []
-        top = {c: unit[0] for c, state, _ in listed if state == _LINKED} if spanning else {}
+    def hits(unit: tuple, first: list, second: list) -> list[tuple]:
+        out: list[tuple] = []
+        top = {c: unit[0] for c, state, *_ in first + second if state == _LINKED} if spanning else {}
 
         def root(x: int) -> int:
             while (up := top.get(x, x)) != x:
@@ -350,46 +353,56 @@ def search(units: DataFrame, k: int, percent: int, spanning: bool) -> DataFrame:
                 x = up
             return x
 
-        for c, state, x in queries:
-            if spanning:
-                skip = lambda p, c=c, far=state == _FAR: root(ids[p]) == root(c) or far and listed[p][1] == _LINKED
-            else:
-                skip = lambda p, c=c: ids[p] == c
-            for p, overlap in index.search(x, max(1, required(len(x), percent)), skip):
-                n = len(listed[p][2])
-                if 100 * overlap >= percent * (len(x) + n - overlap):
-                    out.append((unit[0], c, ids[p], overlap, len(x), n))
-                    if spanning:
-                        top[root(c)] = root(ids[p])
+        def ask(queries: list, listed: list) -> None:
+            if not queries or not listed:
+                return
+            index, ids = Index([x for *_, x in listed]), [c for c, *_ in listed]
+            for c, state, _, x in queries:
+                if spanning:
+                    skip = lambda p, c=c, far=state == _FAR: root(ids[p]) == root(c) or far and listed[p][1] == _LINKED
+                else:
+                    skip = lambda p, c=c: ids[p] == c
+                for p, overlap in index.search(x, max(1, required(len(x), percent)), skip):
+                    n = len(listed[p][3])
+                    if 100 * overlap >= percent * (len(x) + n - overlap):
+                        out.append((unit[0], c, ids[p], overlap, len(x), n))
+                        if spanning:
+                            top[root(c)] = root(ids[p])
+
+        asking = lambda rows: [r for r in rows if r[2]]
+        if unit[1] == unit[2]:
+            ask(asking(first), first)
+        else:
+            ask(asking(first), second)
+            ask(asking(second), [r for r in first if not r[2]])
         return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [f.split()[0] for f in _HIT.split(", ")]
         schema = pa.schema([(x, pa.int64() if x in ("g", "c", "other") else pa.int32()) for x in names])
         made = lambda rows: pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in rows], schema)
-        unit, queries, listed = None, [], []
+        unit, sides = None, ([], [])
         for batch in batches:
             out = []
-            columns = [column.to_pylist() for column in batch.columns[:6]]
-            for *now, asks, c, state, grams in zip(*columns, shingle_sets(batch.column(6), k), strict=True):
+            columns = [column.to_pylist() for column in batch.columns[:7]]
+            for *now, side, asks, c, state, grams in zip(*columns, shingle_sets(batch.column(7), k), strict=True):
                 if tuple(now) != unit:
-                    out += hits(unit, queries, listed) if queries and listed else []
-                    unit, queries, listed = tuple(now), [], []
-                side = queries if asks else listed
-                if not side or side[-1][0] != c:  # a row may come from several tasks
-                    side.append((c, state, grams))
+                    out += hits(unit, *sides) if unit else []
+                    unit, sides = tuple(now), ([], [])
+                if not sides[side] or sides[side][-1][0] != c:  # a row may come from several tasks
+                    sides[side].append((c, state, asks, grams))
             yield made(out)
-        if queries and listed:
-            yield made(hits(unit, queries, listed))
+        if unit:
+            yield made(hits(unit, *sides))
 
-    rows = units.select("g", "i", "j", "asks", "c", "state", "text")
-    return rows.repartition("g", "i", "j").sortWithinPartitions("g", "i", "j", "asks", "c").mapInArrow(run, _HIT)
+    rows = units.select("g", "i", "j", "side", "asks", "c", "state", "text")
+    return rows.repartition("g", "i", "j").sortWithinPartitions("g", "i", "j", "side", "c").mapInArrow(run, _HIT)
 
 
 def shipped(docs: DataFrame, found: DataFrame, rows: DataFrame) -> DataFrame:
     """The texts (g, i, j, asks, c, state, text) of `rows` (see `placed`), read again from `docs` (doc_id,
     text): one row of each class goes to all its blocks."""
-    turns = placed(rows).groupBy("c").agg(F.collect_list(F.struct("g", "i", "j", "asks", "state")).alias("turns"))
+    turns = placed(rows).groupBy("c").agg(F.collect_list(F.struct("g", "i", "j", "side", "asks", "state")).alias("turns"))
     side = materialize(found.select("c", "key", "rep").join(turns, "c"), "jaccard-turns")
     side = F.broadcast(side) if side.count() <= BROADCAST_ROWS else side
     texts = docs.select(_key("text").alias("key"), "doc_id", "text").join(side, "key").where(F.col("doc_id").eqNullSafe(F.col("rep")))
@@ -404,8 +417,8 @@ def shipped(docs: DataFrame, found: DataFrame, rows: DataFrame) -> DataFrame:
                 seen.add(c)
             yield batch.filter(pa.array(keep, pa.bool_()))
 
-    kept = texts.select("c", "text", "turns").mapInArrow(once, "c long, text string, turns array<struct<g: long, i: int, j: int, asks: boolean, state: int>>")
-    return kept.select("c", "text", F.explode("turns").alias("e")).select("e.g", "e.i", "e.j", "e.asks", "c", "e.state", "text")
+    kept = texts.select("c", "text", "turns").mapInArrow(once, f"c long, text string, turns array<struct<{_TURN}>>")
+    return kept.select("c", "text", F.explode("turns").alias("e")).select("e.g", "e.i", "e.j", "e.side", "e.asks", "c", "e.state", "text")
 
 
 def links(docs: DataFrame, found: DataFrame, percent: int, k: int) -> DataFrame:
@@ -413,10 +426,10 @@ def links(docs: DataFrame, found: DataFrame, percent: int, k: int) -> DataFrame:
     groups = materialize(members(found, percent), "jaccard-groups")
     yes, no = F.lit(True), F.lit(False)
     # each row against its pivot
-    near = groups.where("near").select("g", "c")
-    star = near.select("g", "c", yes.alias("asks"), no.alias("listed")).unionByName(near.select("g").distinct().select("g", F.col("g").alias("c"), no.alias("asks"), yes.alias("listed")))
+    near = groups.where("near").withColumn("state", F.lit(_FAR))
+    star = near.select("g", "c", "n", yes.alias("asks"), no.alias("pivot"), "state").unionByName(near.groupBy("g").agg(F.first("n_g").alias("n"), F.first("state").alias("state")).select("g", F.col("g").alias("c"), "n", no.alias("asks"), yes.alias("pivot"), "state"))
     linked = F.col("overlap") * 100 >= F.lit(percent) * (F.col("n") + F.col("n_other") - F.col("overlap"))
-    hits = search(shipped(docs, found, star.withColumn("state", F.lit(_FAR))), k, 2 * percent - 100, False)
+    hits = search(shipped(docs, found, star), k, 2 * percent - 100, False)
     hits = materialize(hits.select("g", "c", F.when(linked, _LINKED).otherwise(_RING).alias("state")).distinct(), "jaccard-star")
     # what is left of the groups: rows linked with the pivot stay only where there is a ring
     rings = hits.where(F.col("state") == _RING).select("g").distinct().withColumn("ringed", yes)
@@ -429,7 +442,7 @@ def links(docs: DataFrame, found: DataFrame, percent: int, k: int) -> DataFrame:
     per = rest.groupBy("g", "step").agg(F.count("*").alias("m"), F.count_if("asks").alias("a"))
     around = per.select("g", F.explode(F.transform(F.sequence(F.lit(-_STEPS), F.lit(_STEPS)), lambda x: F.col("step") + x)).alias("step"), "m", "a")
     fit = around.groupBy("g", "step").agg(F.sum("m").alias("m"), F.sum("a").alias("a")).where("m > 1 and a > 0").select("g", "step")
-    rest = rest.join(fit, ["g", "step"], "left_semi").select("g", "c", "state", "asks", yes.alias("listed"))
+    rest = rest.join(fit, ["g", "step"], "left_semi").select("g", "c", "n", "state", "asks", no.alias("pivot"))
     more = search(shipped(docs, found, rest), k, percent, True).select("c", "other")
     return hits.where(F.col("state") == _LINKED).select("c", F.col("g").alias("other")).unionByName(more).distinct()
 

@@ -94,7 +94,7 @@ def near_copies(rng, n, words, edits, start):
         yield start + i, " ".join(own)
 
 
-@pytest.mark.parametrize("block", [256, 7])
+@pytest.mark.parametrize("block", [1_000_000, 900])
 def test_groups_of_near_copies_rings_and_common_passages(spark, monkeypatch, block):
     """Groups whose rows link with each other only, with a pivot, or through rows in its ring; a
     passage that most rows share; sets at the very threshold."""
