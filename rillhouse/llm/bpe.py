@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from .common import Remembered, free_name, ship
 
 _NONE = 1 << 62
-_KEEP = 250_000  # pieces in each of the two halves of a worker's memory
+_KEEP = 120_000  # pieces in each of the two halves of a worker's memory
 _LONG = 48  # longer pieces are not remembered
 
 

@@ -35,7 +35,7 @@ FOLDS = 3
 LEAST_GAIN, _CELLS = 11.0, 1 << 20
 _words = re.compile(r"\w+").findall
 _PREFIXES = (4, 5, 6, 7)
-_KEEP = 100_000  # words in each of the two halves of a worker's memory
+_KEEP = 50_000  # words in each of the two halves of a worker's memory
 #: The features that count words with any chosen feature, and those after the first.
 ANY, MORE = "*", "**"
 
