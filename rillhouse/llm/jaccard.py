@@ -283,8 +283,9 @@ def classes(docs: DataFrame, doc_id: str, text: str, percent: int, k: int) -> Da
 
 
 def members(found: DataFrame, percent: int) -> DataFrame:
-    """Rows (g, c, n, n_g, near) of the groups: c shares a cell with the pivot g. `near`: the places in
-    the cell allow c and g twice the distance of a link at most."""
+    """Rows (g, c, n, n_g, near, mate) of the groups: c shares a cell with the pivot g. `near`: the places in
+    the cells allow c and g twice the distance of a link at most. `mate`: a cell of the two has a third
+    row of a size that c may be similar to."""
     # n, pos and whether the shingle is hot, in one number
     cells = found.where("n > 0").select("c", "n", "cold", F.posexplode("prefix").alias("pos", "t"))
     packed = F.shiftleft(F.col("n").cast("long"), 32) + F.col("pos") * 2
@@ -298,11 +299,16 @@ def members(found: DataFrame, percent: int) -> DataFrame:
     few = cells.where("not hot").select("t", "c", "np").select(*names, F.count("*").over(w).alias("size"), F.max(indexed).over(w).alias("some"), elected.over(w).alias("p")).where(kept)
     many = cells.where("hot").select("t", "c", "np")
     tops = materialize(many.groupBy("t").agg(F.count("*").alias("size"), F.max(indexed).alias("some"), elected.alias("p")).where(kept), "jaccard-tops")
-    both = few.unionByName(spread_join(many, tops, "t", "size").select(*names, "size", "some", "p"))
-    both = both.select(F.col("p.c").alias("g"), "c", "n", F.col("p.n").alias("n_g"), "pos", F.col("p.pos").alias("at")).where("c <> g")
+    # rows that have another beside the pivot in the cell, of a size that may be similar
+    few = few.where(F.col("c") != F.col("p.c"))
+    beside = Window.partitionBy("t").orderBy("n")
+    mate = (F.lag("n").over(beside) * 100 >= F.col("n") * percent) | (F.lead("n").over(beside) * percent <= F.col("n") * 100)
+    few = few.withColumn("mate", F.coalesce(mate, F.lit(False)))
+    both = few.unionByName(spread_join(many, tops, "t", "size").select(*names, "size", "some", "p").withColumn("mate", F.col("size") > 2))
+    both = both.select(F.col("p.c").alias("g"), "c", "n", F.col("p.n").alias("n_g"), "pos", F.col("p.pos").alias("at"), "mate").where("c <> g")
     bound = F.least("pos", "at") + F.least(F.col("n") - F.col("pos"), F.col("n_g") - F.col("at"))
     wide = 2 * percent - 100
-    return both.groupBy("g", "c").agg(F.max("n").alias("n"), F.max("n_g").alias("n_g"), F.bool_and((100 + wide) * bound >= wide * (F.col("n") + F.col("n_g"))).alias("near"))
+    return both.groupBy("g", "c").agg(F.max("n").alias("n"), F.max("n_g").alias("n_g"), F.bool_and((100 + wide) * bound >= wide * (F.col("n") + F.col("n_g"))).alias("near"), F.max("mate").alias("mate"))
 
 
 # --- searches
@@ -434,7 +440,7 @@ def links(docs: DataFrame, found: DataFrame, percent: int, k: int) -> DataFrame:
     # what is left of the groups: rows linked with the pivot stay only where there is a ring
     rings = hits.where(F.col("state") == _RING).select("g").distinct().withColumn("ringed", yes)
     state, asks = F.coalesce("state", F.lit(_FAR)), F.coalesce("state", F.lit(_FAR)) != _LINKED
-    rest = groups.select("g", "c", "n").join(hits, ["g", "c"], "left").join(rings, "g", "left").where(asks | F.col("ringed").isNotNull())
+    rest = groups.where("mate").select("g", "c", "n").join(hits, ["g", "c"], "left").join(rings, "g", "left").where(asks | F.col("ringed").isNotNull())
     rest = materialize(rest.select("g", "c", "n", state.alias("state"), asks.alias("asks")), "jaccard-rest")
     # of these, the rows that have another of a fitting size beside them, and one of the two asks
     step = F.floor(F.log(F.col("n").cast("double")) / F.lit(log(100 / percent) * (1 + 1e-6) / _STEPS)).cast("int")
