@@ -6,14 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 STAMP = "yyyy-MM-dd HH:mm:ss"
-
-
-def from_millis(c: str | Column) -> Column:
-    return F.timestamp_millis(c)
-
-
-def from_seconds(c: str | Column) -> Column:
-    return F.timestamp_seconds(c)
+DAY_MS = 86_400_000
 
 
 def to_seconds(c: str) -> Column:
@@ -36,5 +29,16 @@ def stamped(df: DataFrame, *columns: str) -> DataFrame:
 
 
 def watermarked(df: DataFrame, ts: str, delay: str) -> DataFrame:
-    """Streams get a watermark; batches don't need one."""
-    return df.withWatermark(ts, delay) if df.isStreaming else df
+    """Streams get a watermark, unless `ts` has one from an operator before; batches don't need one."""
+    if not df.isStreaming or "spark.watermarkDelayMs" in df.schema[ts].metadata:
+        return df
+    return df.withWatermark(ts, delay)
+
+
+_UNITS = {"millisecond": 1, "second": 1000, "minute": 60_000, "hour": 3_600_000, "day": DAY_MS, "week": 7 * DAY_MS}
+
+
+def width_ms(width: str) -> int:
+    """Milliseconds of a window's width such as `5 seconds` or `1 hour 30 minutes`."""
+    words = width.split()
+    return sum(int(n) * _UNITS[unit.lower().rstrip("s")] for n, unit in zip(words[::2], words[1::2], strict=True))

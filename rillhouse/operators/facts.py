@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rillhouse.functions.changelog import cart_delta, pick, take, transition
+from rillhouse.functions.times import width_ms
 
 from .lookup import lookup_join
 
@@ -50,18 +51,24 @@ def cancel_detail(changelog: DataFrame, details: DataFrame) -> DataFrame:
 
 
 def interval_join(left: DataFrame, right: DataFrame, on: str, left_time: str, right_time: str, back: str) -> DataFrame:
-    """Pairs with equal `on` and the right time within `back` before the left one, ends included. On
-    streams both times carry watermarks, so that the state of either side ends."""
-    r = right.withColumnRenamed(on, "__on")
-    return left.join(r, (left[on] == F.col("__on")) & F.expr(f"{right_time} between {left_time} - interval {back} and {left_time}")).drop("__on")
+    """Pairs with equal `on` and the right time within `back` before the left one, ends included. Rows
+    meet by `on` and by stretches of time as long as `back`, the left ones in their own stretch and the
+    one before, so that a key with very many rows is spread over tasks. On streams both times carry
+    watermarks, so that the state of either side ends."""
+    stretch = lambda c: F.floor(F.unix_micros(F.col(c).cast("timestamp")) / (width_ms(back) * 1000))
+    r = right.withColumnRenamed(on, "__on").withColumn("__stretch", stretch(right_time))
+    near = left.withColumn("__near", F.explode(F.array(stretch(left_time), stretch(left_time) - 1)))
+    met = (near[on] == F.col("__on")) & (F.col("__near") == F.col("__stretch"))
+    return near.join(r, met & F.expr(f"{right_time} between {left_time} - interval {back} and {left_time}")).drop("__on", "__stretch", "__near")
 
 
 def pay_detail(changelog: DataFrame, details: DataFrame, dic: DataFrame) -> DataFrame:
-    """Successful payments with the order lines of the half hour before, and code names."""
+    """Successful payments with the order lines of the half hour before, and code names; `et` is the
+    payment's time."""
     keys = ("id", "user_id", "order_id", "trade_no", "total_amount", "payment_status", "payment_type", "callback_time")
     pays = _timed(pick(transition(changelog, "payment_info", "payment_status", "1601", "1602"), *keys), "pet")
     lines = details.select(F.col("id").alias("order_detail_id"), "order_id", *DETAIL[2:], "province_id", "coupon_id", "coupon_use_id", "activity_id", "activity_rule_id", "et")
-    out = interval_join(pays, lines, "order_id", "pet", "et", "30 minutes").drop("pet", "et")
+    out = interval_join(pays, lines, "order_id", "pet", "et", "30 minutes").drop("et").withColumnRenamed("pet", "et")
     out = lookup_join(out, dic, "payment_status", {"dic_name": "payment_status_name"})
     return lookup_join(out, dic, "payment_type", {"dic_name": "payment_type_name"})
 

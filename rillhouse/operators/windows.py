@@ -1,17 +1,23 @@
-"""Tumbling-window jobs. All take a window width. Each `..._window` is the batch job; what depends on
-a key's history (first of a day, of a session, ever) it marks with window functions, and the sums over
-marked rows are functions of their own, which take a watermark delay: `streaming.jobs` marks streams
-by keyed state instead and runs the same sums. Records carry an event time `et` and a unique `seq`
-after equal times."""
+"""Tumbling-window jobs, the same function for batches and streams. All take a window width, and those
+on streams a watermark delay; streams give each window once, when the watermark has closed it.
+
+What depends on a key's history (first of a day, of a session, ever) is found apart from the rows that are
+counted: first rows are an aggregate with partial sums in batch, so that no task holds all rows of a key, and
+keyed state on streams (see `streaming.state`); both are then put together and summed by window. Records
+carry an event time `et` and a unique `seq` after equal times."""
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rillhouse.functions.changelog import first_per_key
 from rillhouse.functions.times import stamped, tumble, watermarked
 from rillhouse.functions.words import words
+from rillhouse.streaming import state
 
 from .lookup import lookup_join
 
@@ -21,17 +27,34 @@ MONEY = "decimal(16,2)"
 LOGIN = "trim(uid) <> '' AND (last_page_id = 'login' OR last_page_id IS NULL)"
 
 
-def first_of(keys: list[Column | str], order: tuple[str, ...] = ("et", "seq")) -> Column:
-    """True on the first record of each key."""
-    return F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) == 1
+def day_of(c: str = "et") -> Column:
+    return F.to_date(c)
+
+
+def day_end(c: str = "et") -> Column:
+    return F.date_add(F.to_date(c), 1).cast("timestamp")
+
 
+def first_rows(df: DataFrame, keys: list[Column], columns: list[str], order: tuple[str, ...] = ("et", "seq"), time: str = "et", until: Column | None = None) -> DataFrame:
+    """(columns) of each key's first row by `order`; a null is a key. On streams order holds within a
+    batch, and arrival between them; `until` says when no row of the key can come any more."""
+    if df.isStreaming:
+        return state.first_rows(df, keys, columns, order, time, until)
+    first = df.groupBy(*[k.alias(f"k{i}") for i, k in enumerate(keys)]).agg(F.min_by(F.struct(*columns), F.struct(*order)).alias("v"))
+    return first.select(*[F.col(f"v.{c}").alias(c) for c in columns])
 
-def first_of_day(key: str) -> Column:
-    return F.col(key).isNotNull() & first_of([key, F.to_date("et")])
 
+def stacked(parts: list[tuple[DataFrame, dict[str, Column]]], columns: list[str], measures: list[str]) -> DataFrame:
+    """Rows of all parts: their `columns`, and each measure as the part says, else null."""
+    rows = [df.select(*columns, *[given.get(m, F.lit(None)).cast("long").alias(m) for m in measures]) for df, given in parts]
+    out = rows[0]
+    for r in rows[1:]:
+        out = out.unionByName(r)
+    return out
 
-def one(flag: str | Column) -> Column:
-    return F.when(flag if isinstance(flag, Column) else F.col(flag), 1).otherwise(0)
+
+def total(name: str) -> Column:
+    return F.coalesce(F.sum(name), F.lit(0)).alias(name)
 
 
 def register_window(users: DataFrame, ts: str = "create_time", width: str = WIDTH, delay: str = DELAY) -> DataFrame:
@@ -46,98 +69,114 @@ def keyword_window(page: DataFrame, width: str = WIDTH, delay: str = DELAY) -> D
 
 
 def cart_uu_window(cart: DataFrame, width: str = WIDTH, delay: str = DELAY) -> DataFrame:
-    """Distinct users with additions to their cart. Streams drop repeated (window, user) first."""
-    w = watermarked(cart, "et", delay)
-    if cart.isStreaming:
-        out = w.select(tumble("et", width), "user_id").dropDuplicates(["w", "user_id"]).groupBy("w").agg(F.count("user_id").alias("cart_add_uu_ct"))
-    else:
-        out = w.groupBy(tumble("et", width)).agg(F.countDistinct("user_id").alias("cart_add_uu_ct"))
-    return stamped(out, "cart_add_uu_ct")
-
-
-def cart_uu_sums(marked: DataFrame, width: str = WIDTH, delay: str = DELAY) -> DataFrame:
-    """`f` marks a user's first record of a window."""
-    out = watermarked(marked, "et", delay).groupBy(tumble("et", width)).agg(F.sum(one("f")).alias("cart_add_uu_ct"))
-    return stamped(out, "cart_add_uu_ct")
-
-
-def traffic_window(page: DataFrame, width: str = WIDTH) -> DataFrame:
-    """Visitors (first view of a device's day), sessions (first view of a session), views, time."""
-    return traffic_sums(page.withColumn("uv", first_of_day("mid")).withColumn("sv", F.col("sid").isNotNull() & first_of(["sid"])), width)
-
-
-def traffic_sums(marked: DataFrame, width: str = WIDTH, delay: str = DELAY) -> DataFrame:
-    sums = [F.sum(one("uv")).alias("uv_ct"), F.sum(one("sv")).alias("sv_ct"), F.count("*").alias("pv_ct"), F.sum("during_time").alias("dur_sum")]
-    out = watermarked(marked, "et", delay).groupBy(tumble("et", width), "vc", "ch", "ar", "is_new").agg(*sums)
-    return stamped(out, "vc", "ch", "ar", "is_new", "uv_ct", "sv_ct", "pv_ct", "dur_sum")
-
-
-def home_detail_window(page: DataFrame, width: str = WIDTH) -> DataFrame:
+    """Distinct users with additions to their cart. On streams a user's first row of a window counts."""
+    rows = watermarked(cart, "et", delay)
+    if not cart.isStreaming:
+        return stamped(rows.groupBy(tumble("et", width)).agg(F.countDistinct("user_id").alias("cart_add_uu_ct")), "cart_add_uu_ct")
+    w = F.window("et", width)
+    users = first_rows(rows.where("et IS NOT NULL AND user_id IS NOT NULL"), [w["start"], F.col("user_id")], ["et"], until=w["end"])
+    both = stacked([(rows, {}), (users, {"cart_add_uu_ct": F.lit(1)})], ["et"], ["cart_add_uu_ct"])
+    return stamped(both.groupBy(tumble("et", width)).agg(total("cart_add_uu_ct")), "cart_add_uu_ct")
+
+
+def traffic_window(page: DataFrame, width: str = WIDTH, delay: str = DELAY, keep: str | None = None) -> DataFrame:
+    """Visitors (first view of a device's day), sessions (first view of a session), views, time. On streams
+    a session is remembered for `keep` (for good if not given)."""
+    dims, measures = ["vc", "ch", "ar", "is_new"], ["uv_ct", "sv_ct", "pv_ct", "dur_sum"]
+    rows = watermarked(page, "et", delay).where("et IS NOT NULL")
+    one = F.lit(1)
+    visitors = first_rows(rows.where("mid IS NOT NULL"), [F.col("mid"), day_of()], ["et", *dims], until=day_end())
+    sessions = first_rows(rows.where("sid IS NOT NULL"), [F.col("sid")], ["et", *dims], until=_later("et", keep))
+    both = stacked([(rows, {"pv_ct": one, "dur_sum": F.col("during_time")}), (visitors, {"uv_ct": one}), (sessions, {"sv_ct": one})], ["et", *dims], measures)
+    out = both.groupBy(tumble("et", width), *dims).agg(*[total(m) for m in measures[:3]], F.sum("dur_sum").alias("dur_sum"))
+    return stamped(out, *dims, *measures)
+
+
+def _later(time: str, keep: str | None) -> Column | None:
+    return F.col(time) + F.expr(f"INTERVAL {keep}") if keep else None
+
+
+def home_detail_window(page: DataFrame, width: str = WIDTH, delay: str = DELAY) -> DataFrame:
     """Devices that saw the home page and an item page for the first time of the day."""
-    seen = page.where(F.col("page_id").isin("home", "good_detail"))
-    return home_detail_sums(seen.withColumn("f", F.col("mid").isNotNull() & first_of(["mid", "page_id", F.to_date("et")])), width)
-
-
-def home_detail_sums(marked: DataFrame, width: str = WIDTH, delay: str = DELAY) -> DataFrame:
-    sums = [F.sum(one(F.col("page_id") == p)).alias(f"{n}_uv_ct") for p, n in (("home", "home"), ("good_detail", "good_detail"))]
-    return stamped(watermarked(marked, "et", delay).where("f").groupBy(tumble("et", width)).agg(*sums), "home_uv_ct", "good_detail_uv_ct")
+    seen = watermarked(page, "et", delay).where("et IS NOT NULL AND mid IS NOT NULL AND page_id IN ('home', 'good_detail')")
+    first = first_rows(seen, [F.col("mid"), F.col("page_id"), day_of()], ["et", "page_id"], until=day_end())
+    sums = [F.count_if(F.col("page_id") == p).alias(f"{p}_uv_ct") for p in ("home", "good_detail")]
+    return stamped(first.groupBy(tumble("et", width)).agg(*sums), "home_uv_ct", "good_detail_uv_ct")
 
 
-def login_window(page: DataFrame, width: str = WIDTH) -> DataFrame:
+def login_window(page: DataFrame, width: str = WIDTH, delay: str = DELAY) -> DataFrame:
     """Users by their first login of the day, and those back after more than a week."""
-    first = page.where(LOGIN).withColumn("f", first_of_day("uid")).where("f")
-    return login_sums(first.withColumn("before", F.lag(F.to_date("et")).over(Window.partitionBy("uid").orderBy(F.to_date("et")))), width)
-
-
-def login_sums(marked: DataFrame, width: str = WIDTH, delay: str = DELAY) -> DataFrame:
-    """`f` marks first logins of a day, `before` is the day of the login before."""
-    back = F.sum(one(F.datediff(F.to_date("et"), F.col("before")) > 7)).alias("back_ct")
-    out = watermarked(marked, "et", delay).where("f").groupBy(tumble("et", width)).agg(back, F.count("*").alias("uu_ct"))
-    return stamped(out, "back_ct", "uu_ct")
-
-
-def payment_window(pays: DataFrame, width: str = WIDTH) -> DataFrame:
-    """Payers by their first payment of the day, and first payers ever."""
-    return payment_sums(pays.withColumn("u", first_of_day("user_id")).withColumn("n", F.col("user_id").isNotNull() & first_of(["user_id"])), width)
-
-
-def payment_sums(marked: DataFrame, width: str = WIDTH, delay: str = DELAY) -> DataFrame:
-    sums = [F.sum(one("u")).alias("payment_suc_unique_user_count"), F.sum(one("n")).alias("payment_suc_new_user_count")]
-    out = watermarked(marked, "et", delay).where("u").groupBy(tumble("et", width)).agg(*sums)
-    return stamped(out, "payment_suc_unique_user_count", "payment_suc_new_user_count")
-
-
-def order_window(details: DataFrame, width: str = WIDTH) -> DataFrame:
-    """Users ordering for the first time of a day, and ever. Both counts share one grouping; a
-    window without a hit has 0."""
-    rows = details.where(F.col("user_id").isNotNull())
-    w = lambda *keys: Window.partitionBy(*keys).orderBy("et").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = rows.withColumn("day_first", F.min("create_time").over(w("user_id", F.to_date("create_time")))).withColumn("first", F.min("create_time").over(w("user_id")))
-    hit = lambda c: F.countDistinct(F.when(F.col(c) == F.col("create_time"), F.col("user_id")))
-    out = rows.groupBy(tumble("et", width)).agg(hit("day_first").alias("order_unique_user_count"), hit("first").alias("order_new_user_count"))
-    return stamped(out, "order_unique_user_count", "order_new_user_count")
-
-
-def order_sums(marked: DataFrame, width: str = WIDTH, delay: str = DELAY) -> DataFrame:
-    """`u` and `n` mark one row for each user and window with a hit."""
-    sums = [F.sum(one("u")).alias("order_unique_user_count"), F.sum(one("n")).alias("order_new_user_count")]
-    out = watermarked(marked, "et", delay).where("user_id IS NOT NULL").groupBy(tumble("et", width)).agg(*sums)
-    return stamped(out, "order_unique_user_count", "order_new_user_count")
+    rows = watermarked(page, "et", delay).where("et IS NOT NULL").where(LOGIN)
+    if page.isStreaming:
+        first = state.logins(rows)
+    else:
+        first = first_rows(rows.withColumn("day", day_of()), [F.col("uid"), F.col("day")], ["uid", "et", "day"])
+        first = first.withColumn("before", F.lag("day").over(Window.partitionBy("uid").orderBy("day")))
+    back = F.count_if(F.datediff("day", "before") > 7).alias("back_ct")
+    return stamped(first.groupBy(tumble("et", width)).agg(back, F.count("*").alias("uu_ct")), "back_ct", "uu_ct")
+
+
+def payment_window(pays: DataFrame, width: str = WIDTH, delay: str = DELAY, keep: str | None = None) -> DataFrame:
+    """Payers by their first payment of the day, and first payers ever (on streams, in `keep`)."""
+    measures = ["payment_suc_unique_user_count", "payment_suc_new_user_count"]
+    rows = watermarked(pays, "et", delay).where("et IS NOT NULL AND user_id IS NOT NULL")
+    of_day = first_rows(rows, [F.col("user_id"), day_of()], ["et"], until=day_end())
+    ever = first_rows(rows, [F.col("user_id")], ["et"], until=_later("et", keep))
+    both = stacked([(of_day, {measures[0]: F.lit(1)}), (ever, {measures[1]: F.lit(1)})], ["et"], measures)
+    return stamped(both.groupBy(tumble("et", width)).agg(*map(total, measures)), *measures)
+
+
+def order_window(details: DataFrame, width: str = WIDTH, delay: str = DELAY) -> DataFrame:
+    """Users with an order that is the first of its day so far, and ever. A window without a hit has 0."""
+    names = ["order_unique_user_count", "order_new_user_count"]
+    rows = watermarked(details, "et", delay).where("user_id IS NOT NULL")
+    if details.isStreaming:
+        hits = state.least_so_far(rows.where("et IS NOT NULL AND create_time IS NOT NULL"), width)
+        both = stacked([(rows, {}), (hits, {names[0]: F.col("u"), names[1]: F.col("n")})], ["et"], names)
+        return stamped(both.groupBy(tumble("et", width)).agg(*map(total, names)), *names)
+    # least so far by parts: of a user's day of et, and of the days before, so that no task sorts all rows of a user
+    day, made, part = F.to_date("create_time").alias("day"), F.min("create_time").alias("made"), F.to_date("et").alias("part")
+    least = rows.groupBy("user_id", day, part, "et").agg(made)
+
+    def so_far(df: DataFrame, keys: list[str], name: str) -> DataFrame:
+        parts = df.groupBy(*keys, "part").agg(F.min("made").alias("made"))
+        before = F.min("made").over(Window.partitionBy(*keys).orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+        same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"{k}_")) for k in [*keys, "part"]])
+        parts = parts.select(*[F.col(k).alias(f"{k}_") for k in [*keys, "part"]], before.alias("before"))
+        within = Window.partitionBy(*keys, "part").orderBy("et").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+        return df.join(parts, same).withColumn(name, F.col("made") == F.least(F.min("made").over(within), "before")).drop(*[f"{k}_" for k in [*keys, "part"]], "before")
+
+    marked = so_far(so_far(least, ["user_id", "day"], "u"), ["user_id"], "n")
+    hit = lambda c: F.countDistinct(F.when(F.col(c), F.col("user_id")))
+    out = marked.groupBy(tumble("et", width)).agg(hit("u").alias(names[0]), hit("n").alias(names[1]))
+    return stamped(out, *names)
+
+
+def _timed(details: DataFrame) -> DataFrame:
+    """Facts carry their times as text; what can't be read is in no window."""
+    return details.withColumn("create_time", F.col("create_time").try_cast("timestamp"))
 
 
 SKU_NAMES = ["sku_name", "spu_id", "spu_name", "trademark_id", "trademark_name", *[f"category{k}_{x}" for k in (1, 2, 3) for x in ("id", "name")]]
 
 
-def sku_order_window(details: DataFrame, sku_dim: DataFrame, width: str = WIDTH) -> DataFrame:
+def sku_order_window(details: DataFrame, sku_dim: DataFrame, width: str = WIDTH, delay: str = DELAY, keep: str = "1 day") -> DataFrame:
     """Amounts of each sku's first-version order lines, with its chain of dimensions. The sums go
-    to the lookup, so that few rows are joined."""
-    first = first_per_key(details.select("id", "seq", "sku_id", "sku_num", "split_total_amount", "split_activity_amount", "split_coupon_amount", "create_time"), ["id"], ["seq"])
+    to the lookup, so that few rows are joined. On streams a line is remembered for `keep`."""
+    columns = ["id", "sku_id", "sku_num", "split_total_amount", "split_activity_amount", "split_coupon_amount", "create_time"]
+    rows = watermarked(_timed(details), "create_time", delay)
+    if details.isStreaming:
+        first = first_rows(rows.where("create_time IS NOT NULL"), [F.col("id")], columns, ("seq",), "create_time", _later("create_time", keep))
+    else:
+        first = first_per_key(rows.select(*columns, "seq"), ["id"], ["seq"])
     return with_sku(sku_order_sums(first, width), sku_dim)
 
 
-def sku_order_sums(first: DataFrame, width: str = WIDTH, delay: str = DELAY) -> DataFrame:
-    sums = [F.sum("sku_num").alias("sku_num"), F.sum("split_activity_amount").alias("activity_reduce_amount"), F.sum("split_coupon_amount").alias("coupon_reduce_amount"), F.sum("split_total_amount").alias("order_amount")]
-    out = watermarked(first, "create_time", delay).groupBy(tumble("create_time", width), "sku_id").agg(*sums)
+def sku_order_sums(first: DataFrame, width: str = WIDTH) -> DataFrame:
+    """Sums of what can be read as numbers: facts carry them as text."""
+    money = lambda c: F.sum(F.col(c).try_cast(MONEY))
+    sums = [F.sum(F.col("sku_num").try_cast("int")).alias("sku_num"), money("split_activity_amount").alias("activity_reduce_amount"), money("split_coupon_amount").alias("coupon_reduce_amount"), money("split_total_amount").alias("order_amount")]
+    out = first.groupBy(tumble("create_time", width), "sku_id").agg(*sums)
     return stamped(out, "sku_id", "sku_num", "activity_reduce_amount", "coupon_reduce_amount", "order_amount")
 
 
@@ -148,20 +187,16 @@ def with_sku(sums: DataFrame, sku_dim: DataFrame) -> DataFrame:
     return out.select("stt", "edt", "cur_date", "sku_id", *SKU_NAMES, original.alias("original_amount"), *money)
 
 
-def province_order_window(details: DataFrame, province: DataFrame, width: str = WIDTH) -> DataFrame:
+def province_order_window(details: DataFrame, province: DataFrame, width: str = WIDTH, delay: str = DELAY) -> DataFrame:
     """Orders and amounts of each province; the average over an order line's versions keeps repeated
-    versions from counting twice."""
-    return province_sums(province_lines(details, width), province)
-
-
-def province_lines(details: DataFrame, width: str = WIDTH, delay: str = DELAY) -> DataFrame:
-    rows = watermarked(details, "create_time", delay).where(F.col("province_id").isNotNull())
+    versions from counting twice. Streams chain three aggregates of a window: lines, orders, provinces."""
+    rows = watermarked(_timed(details), "create_time", delay).where(F.col("province_id").isNotNull())
     line = rows.groupBy(tumble("create_time", width), "id", "province_id", "order_id").agg(F.avg(F.col("split_total_amount").try_cast(MONEY)).alias("amount"))
-    return stamped(line, "id", "province_id", "order_id", "amount")
-
-
-def province_sums(lines: DataFrame, province: DataFrame) -> DataFrame:
-    out = lines.groupBy("stt", "edt", "cur_date", "province_id").agg(F.countDistinct("order_id").alias("order_count"), F.sum("amount").cast(MONEY).alias("order_amount"))
+    again = F.window("w", width).alias("w") if details.isStreaming else F.col("w")
+    order = line.groupBy(again, "province_id", "order_id").agg(F.sum("amount").alias("amount"))
+    again = F.window("w", width).alias("w") if details.isStreaming else F.col("w")
+    out = order.groupBy(again, "province_id").agg(F.count("order_id").alias("order_count"), F.sum("amount").cast(MONEY).alias("order_amount"))
+    out = stamped(out, "province_id", "order_count", "order_amount")
     return lookup_join(out, province, "province_id", {"name": "province_name"}).select("stt", "edt", "cur_date", "province_id", "province_name", "order_count", "order_amount")
 
 

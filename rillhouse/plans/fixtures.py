@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -143,6 +145,31 @@ def changelog(spark: SparkSession, d: str, *parts: str) -> DataFrame:
     return out
 
 
+#: A time after all others: rows of then close what is open on a stream.
+END, END_S = "2200-01-01 00:00:00", 7_258_118_400
+
+
+def closing_changes() -> list[str]:
+    """Raw changes of then, one for each slice that a fact reads: an order line and a payment that find
+    their partners, and others that find none."""
+    line = {"id": "end", "order_id": "end", "sku_id": "end", "create_time": END}
+    rows = [
+        ("order_info", "insert", {"id": "end", "user_id": "end"}, None), ("order_detail", "insert", line, None), ("order_detail_coupon", "insert", {"order_detail_id": "end"}, None),
+        ("order_detail_activity", "insert", {"order_detail_id": "end"}, None), ("order_info", "update", {"id": "end-c", "order_status": "1003"}, {"order_status": "1001"}),
+        ("payment_info", "update", {"id": "end", "user_id": "end", "order_id": "end", "payment_status": "1602"}, {"payment_status": "1601"}), ("order_info", "update", {"id": "end-r", "order_status": "1005"}, {"order_status": "1002"}),
+        ("order_refund_info", "update", {"id": "end", "order_id": "end-s", "refund_status": "0702"}, {"refund_status": "0701"}), ("refund_payment", "update", {"id": "end", "order_id": "end-t", "refund_status": "1602"}, {"refund_status": "0701"}),
+    ]
+    return [json.dumps({"database": DATABASE, "table": t, "type": op, "ts": END_S, "data": data, "old": old}) for t, op, data, old in rows]
+
+
+def topic_of_files(spark: SparkSession, raw: DataFrame, last: list[str]) -> str:
+    """A topic of text files from the `value` of `raw`, and a last file with `last`, later than the others."""
+    path = shared_path(spark, "topic")
+    raw.select("value").write.text(path)
+    spark.createDataFrame([(x,) for x in last], "value string").coalesce(1).write.mode("append").text(path)
+    return path
+
+
 #: Changelogs that were stored, by Spark application and folder of the tables.
 _stored: dict[tuple[str, str], str] = {}
 KINDS = ("order", "detail", "coupon", "activity", "cancel", "pay", "refund", "refund_order", "refund_pay", "comment")

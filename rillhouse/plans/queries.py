@@ -13,7 +13,7 @@ from rillhouse.functions.times import stamp, to_seconds
 from rillhouse.operators import facts, routing, traffic, windows
 from rillhouse.session import shared_path
 from rillhouse.sources import topics
-from rillhouse.streaming import jobs, keyed, runners
+from rillhouse.streaming import dims, keyed, runners
 
 from . import fixtures as fx
 
@@ -77,10 +77,14 @@ DETAIL = """detail AS (
 DETAIL_COLUMNS = "id, order_id, sku_id, sku_num, split_total_amount, split_activity_amount, split_coupon_amount, create_time, ts, user_id, province_id, coupon_id, coupon_use_id, activity_id, activity_rule_id"
 
 
-def _log(spark: SparkSession, d: str) -> DataFrame:
+def stored(spark: SparkSession, d: str) -> DataFrame:
+    """The changelog that the facts read, made and stored where that was not done yet."""
     return fx.stored_changelog(spark, d)
 
 
+_log = stored
+
+
 # --- plain windows
 
 
@@ -241,7 +245,7 @@ detail.id AS order_detail_id, sku_id, sku_num, split_total_amount, split_activit
 FROM detail LEFT JOIN dic s ON s.id = '1602' LEFT JOIN dic t ON t.id = CAST(1101 + l_orderkey % 3 AS VARCHAR) WHERE o_orderstatus = 'F' AND ts BETWEEN sec - 1800 AND sec""")
 def pay_detail(spark, d):
     log = _log(spark, d)
-    return facts.pay_detail(log, facts.order_detail(log), fx.dic(spark))
+    return facts.pay_detail(log, facts.order_detail(log), fx.dic(spark)).drop("et")
 
 
 for _name, _back, _s in (("event_interval_join", "30 minutes", 1800), ("event_interval_join_day", "1 day", 86400)):
@@ -361,6 +365,13 @@ def route_facts(spark, d):
 # --- streams over the tables' files
 
 
+def _appended(spark: SparkSession, out: DataFrame) -> DataFrame:
+    """All that a stream appends."""
+    path = shared_path(spark, "appended")
+    runners.append(out, path, shared_path(spark, "appended-checkpoint"))
+    return runners.rows(spark, path, out.schema)
+
+
 def _stream(spark: SparkSession, d: str, name: str) -> DataFrame:
     # a file stream reads a folder: the glob takes the table whether it is a file or a folder
     return spark.readStream.schema(fx.table(spark, d, name).schema).option("pathGlobFilter", "*.parquet").parquet(f"{d}/{name}.parquet*")
@@ -376,13 +387,12 @@ def stream_upsert(spark, d):
     return keyed.read(spark, path).select("user_id", "seq", "last_type")
 
 
-@query("SELECT event_id AS seq, user_id, row_number() OVER (PARTITION BY user_id, CAST(ts AS DATE) ORDER BY ts, event_id) = 1 AS is_first FROM events WHERE event_type = 'purchase'")
+@query("SELECT event_id AS seq, user_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id, CAST(ts AS DATE) ORDER BY ts, event_id) AS n FROM events WHERE event_type = 'purchase') WHERE n = 1")
 def stream_first_of_day(spark, d):
-    """Marks by the keyed state over a stream that comes in one batch."""
-    rows = _stream(spark, d, "events").where("event_type = 'purchase'").select("user_id", F.col("ts").cast("timestamp").alias("et"), F.col("event_id").alias("seq"))
-    path = shared_path(spark, "first-of-day")
-    runners.first_of_day(rows, "user_id", path, shared_path(spark, "first-checkpoint"))
-    return spark.read.parquet(path).select("seq", "user_id", "is_first")
+    """Each user's first purchase of a day, by the keyed state."""
+    rows = _event_stream(spark, d, "purchase").withWatermark("et", "1 millisecond")
+    first = windows.first_rows(rows, [F.col("user_id"), windows.day_of()], ["seq", "user_id"], until=windows.day_end())
+    return _appended(spark, first.where("seq >= 0"))
 
 
 @query("SELECT 'fact_order' AS sink_table, CAST(o_orderkey AS VARCHAR) AS id, 'insert' AS op_type FROM orders UNION ALL SELECT 'fact_comment', CAST(o_orderkey AS VARCHAR), 'insert' FROM orders WHERE o_orderkey % 5 = 0")
@@ -397,57 +407,218 @@ def stream_route(spark, d):
     return spark.read.parquet(path).select("sink_table", F.col("data")["id"].alias("id"), "op_type")
 
 
-@query(f"""WITH {LOGS} SELECT 'start' AS part, CAST(count(*) AS BIGINT) AS n FROM log WHERE event_type = 'signup' UNION ALL SELECT 'page', count(*) FROM log WHERE event_type <> 'signup'
-UNION ALL SELECT 'err', count(*) FROM log WHERE event_type = 'error' UNION ALL SELECT 'action', 2 * count(*) FROM log WHERE event_type = 'click' UNION ALL SELECT 'display', count(*) FROM log WHERE event_type = 'click'""")
+@query(f"""WITH {LOGS} SELECT 'start' AS part, 'start' AS mid, is_new, CAST(ms AS VARCHAR) AS ts, NULL AS page_id, 'common' AS item, 'icon' AS extra, CAST(5 AS BIGINT) AS n_fields FROM log WHERE event_type = 'signup'
+UNION ALL SELECT 'page', mid, is_new, 'page', event_type, CAST(event_id AS VARCHAR), NULL, 5 FROM log WHERE event_type <> 'signup'
+UNION ALL SELECT 'err', mid, is_new, 'page', event_type, CAST(event_id AS VARCHAR), CAST(event_id % 7 AS VARCHAR), 6 FROM log WHERE event_type = 'error'
+UNION ALL SELECT 'action', mid, is_new, CAST(ms + k AS VARCHAR), event_type, CAST(event_id AS VARCHAR), 'a' || k, 6 FROM log, (VALUES (1), (2)) v(k) WHERE event_type = 'click'
+UNION ALL SELECT 'display', mid, is_new, 'page', event_type, CAST(event_id AS VARCHAR), 'd', 7 FROM log WHERE event_type = 'click'""")
 def stream_split(spark, d):
-    """App logs from a topic of files, split in one pass into five outputs; rows of each counted."""
+    """App logs from a topic of files, split in one pass into five outputs."""
     topic, path = shared_path(spark, "log-topic"), shared_path(spark, "split")
     fx.log_json(spark, d).select("value").write.text(topic)
     log = traffic.log_clean(topics.parse_log(topics.read_raw(spark, topic, stream=True)))
     parts = {f.__name__: f for f in (traffic.start, traffic.page, traffic.err, traffic.action, traffic.display)}
     runners.fan_out(log, parts, path, shared_path(spark, "split-checkpoint"))
-    counts = [spark.read.parquet(f"{path}/{name}").agg(F.count("*").alias("n")).select(F.lit(name).alias("part"), "n") for name in parts]
-    return reduce(DataFrame.unionByName, counts)
+    value = lambda k: F.col("record")[k].alias(k)
+    extra = F.coalesce(*[F.col("record")[k] for k in ("entry", "error_code", "action_id", "display_type")]).alias("extra")
+    rows = [spark.read.parquet(f"{path}/{name}").select(F.lit(name).alias("part"), *map(value, ("mid", "is_new", "ts", "page_id", "item")), extra, F.size("record").cast("bigint").alias("n_fields")) for name in parts]
+    return reduce(DataFrame.unionByName, rows)
 
 
-def _windowed(spark: SparkSession, stream: DataFrame, job: runners.WindowJob) -> DataFrame:
-    return runners.windowed(stream, job, shared_path(spark, "windows"), shared_path(spark, "windows-checkpoint"))
+def _closed(spark: SparkSession, rows: DataFrame, **values: str) -> DataFrame:
+    """Rows as a stream of files, and a row after all others, which closes the windows. It has the given
+    values and passes the jobs' filters, as rows that these drop don't move the watermark."""
+    path = shared_path(spark, "stream")
+    made = {"timestamp": fx.END, "string": "end", "boolean": "true"}
+    end = spark.range(1).select(*[F.lit(values.get(c, made.get(t, "-1"))).cast(t).alias(c) for c, t in rows.dtypes])
+    rows.unionByName(end).write.parquet(path)
+    return spark.readStream.schema(rows.schema).parquet(path)
 
 
 def _event_stream(spark: SparkSession, d: str, kind: str) -> DataFrame:
     at = F.col("ts").cast("timestamp")
-    return _stream(spark, d, "events").where(F.col("event_type") == kind).select("user_id", at.alias("et"), at.alias("create_time"), F.col("event_id").alias("seq"))
+    return _closed(spark, fx.table(spark, d, "events").where(F.col("event_type") == kind).select("user_id", at.alias("et"), at.alias("create_time"), F.col("event_id").alias("seq")))
 
 
-def _page_stream(spark: SparkSession, d: str) -> DataFrame:
-    return fx.page_log(spark, d, _stream(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp")))
+def _page_stream(spark: SparkSession, d: str, last_page: str = "home") -> DataFrame:
+    return _closed(spark, fx.page_log(spark, d).withColumn("et", F.col("et").cast("timestamp")), page_id="home", last_page_id=last_page, item_type="keyword")
 
 
 def _line_stream(spark: SparkSession, d: str, where: str = "true") -> DataFrame:
-    """Versions of order lines, written as files first: they come from joined tables."""
-    path = shared_path(spark, "lines")
+    """Versions of order lines."""
     at = F.col("create_time").cast("timestamp")
-    fx.detail_versions(spark, d).where(where).withColumn("create_time", at).withColumn("et", at).write.parquet(path)
-    return spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
+    return _closed(spark, fx.detail_versions(spark, d).where(where).withColumn("create_time", at).withColumn("et", at))
 
 
 #: The window jobs on streams: their stream and job, an hour wide, and the batch query whose SQL (of
 #: windows so many seconds wide) says what must come out.
 STREAMS = {
-    "register_window_day": (lambda s, d: _event_stream(s, d, "signup"), lambda s, d, w: jobs.register(w), 86400),
-    "cart_uu_window": (lambda s, d: _event_stream(s, d, "click"), lambda s, d, w: jobs.cart_uu(w), 3600),
-    "keyword_window": (_page_stream, lambda s, d, w: jobs.keyword(w), 3600),
-    "traffic_window": (_page_stream, lambda s, d, w: jobs.traffic(w), 3600),
-    "home_detail_window": (_page_stream, lambda s, d, w: jobs.home_detail(w), 3600),
-    "login_window": (lambda s, d: _page_stream(s, d).where("last_page_id = 'login'"), lambda s, d, w: jobs.login(w), 86400),
-    "payment_window": (lambda s, d: _event_stream(s, d, "purchase"), lambda s, d, w: jobs.payment(w), 3600),
-    "order_window": (_line_stream, lambda s, d, w: jobs.order(w), 86400),
-    "sku_order_window": (_line_stream, lambda s, d, w: jobs.sku_order(fx.wide_sku(s, d), w), 86400),
-    "province_order_window": (_line_stream, lambda s, d, w: jobs.province_order(fx.province(s, d), w), 86400),
-    "refund_window": (lambda s, d: _line_stream(s, d, "seq = 1 and l_returnflag = 'R'"), lambda s, d, w: jobs.refund(fx.wide_sku(s, d), w), 86400),
+    "register_window_day": (lambda s, d: _event_stream(s, d, "signup"), lambda s, d, r, w: windows.register_window(r, width=w), 86400),
+    "cart_uu_window": (lambda s, d: _event_stream(s, d, "click"), lambda s, d, r, w: windows.cart_uu_window(r, w), 3600),
+    "keyword_window": (_page_stream, lambda s, d, r, w: windows.keyword_window(r, w), 3600),
+    "traffic_window": (_page_stream, lambda s, d, r, w: windows.traffic_window(r, w), 3600),
+    "home_detail_window": (_page_stream, lambda s, d, r, w: windows.home_detail_window(r, w), 3600),
+    "login_window": (lambda s, d: _page_stream(s, d, "login").where("last_page_id = 'login'"), lambda s, d, r, w: windows.login_window(r, w), 86400),
+    "payment_window": (lambda s, d: _event_stream(s, d, "purchase"), lambda s, d, r, w: windows.payment_window(r, w), 3600),
+    "order_window": (_line_stream, lambda s, d, r, w: windows.order_window(r, w), 86400),
+    "sku_order_window": (_line_stream, lambda s, d, r, w: windows.sku_order_window(r, fx.wide_sku(s, d), w), 86400),
+    "province_order_window": (_line_stream, lambda s, d, r, w: windows.province_order_window(r, fx.province(s, d), w), 86400),
+    "refund_window": (lambda s, d: _line_stream(s, d, "seq = 1 and l_returnflag = 'R'"), lambda s, d, r, w: windows.refund_window(r, fx.wide_sku(s, d), w), 86400),
 }
 for _name, (_rows, _job, _s) in STREAMS.items():
     _sql = SQL[_name]
     for _ts in ("et", "ts", "create_time"):
         _sql = _sql.replace(win(_ts, _s), win(_ts, 3600))
-    query(_sql, f"stream_{_name.replace('_day', '')}")(lambda spark, d, rows=_rows, job=_job: _windowed(spark, rows(spark, d), job(spark, d, "1 hour")))
+    query(_sql, f"stream_{_name.replace('_day', '')}")(lambda spark, d, rows=_rows, job=_job: _appended(spark, job(spark, d, rows(spark, d), "1 hour")))
+
+
+@query(SQL["repair_is_new"])
+def stream_repair_is_new(spark, d):
+    """The flag repaired on a stream of logs that come in four files, in order of time."""
+    path, logs = shared_path(spark, "log-topic"), fx.log_json(spark, d)
+    n = logs.agg(F.max("seq")).first()[0] + 1
+    for k in range(4):
+        logs.where((F.col("seq") >= k * n // 4) & (F.col("seq") < (k + 1) * n // 4)).coalesce(1).write.mode("append").parquet(path)
+    raw = spark.readStream.schema("value string, seq bigint").option("maxFilesPerTrigger", 1).parquet(path)
+    out = traffic.repair_is_new(traffic.log_clean(topics.parse_log(raw)), "seq", delay="60 days")
+    return _appended(spark, out.select("seq", F.col("common")["mid"].alias("mid"), F.col("common")["is_new"].alias("is_new")))
+
+
+# --- facts on streams: lines and their partners come up to an hour apart, so the bounds of the joins decide
+
+
+def _change_stream(spark: SparkSession, d: str, *parts: str) -> DataFrame:
+    topic = fx.topic_of_files(spark, fx.changelog(spark, d, *parts), fx.closing_changes())
+    return topics.parse_changelog(topics.read_raw(spark, topic, stream=True))
+
+
+#: Order lines whose order, coupon and activity come within half an hour of them; else these are null.
+NEAR = """near AS (
+  SELECT id, order_id, sku_id, sku_num, split_total_amount, split_activity_amount, split_coupon_amount, create_time, ts, sec, o_orderstatus, l_orderkey, o_total, n AS user_known,
+    CASE WHEN n THEN user_id END AS user_id, CASE WHEN n THEN province_id END AS province_id, CASE WHEN n THEN coupon_id END AS coupon_id, CASE WHEN n THEN coupon_use_id END AS coupon_use_id,
+    CASE WHEN n THEN activity_id END AS activity_id, CASE WHEN n THEN activity_rule_id END AS activity_rule_id
+  FROM (SELECT *, sec - ts <= 1800 AS n FROM detail))"""
+ORDER_PARTS = ("order", "detail", "coupon", "activity")
+
+
+@query(f"WITH {OD}, {LINE}, {DETAIL}, {NEAR} SELECT {DETAIL_COLUMNS} FROM near")
+def stream_order_detail(spark, d):
+    """Three stream-stream outer joins, their state bounded by half an hour of event time."""
+    out = facts.order_detail(_change_stream(spark, d, *ORDER_PARTS), "30 minutes")
+    return _appended(spark, out.where("id <> 'end'").drop("et"))
+
+
+@query(f"WITH {OD}, {LINE}, {DETAIL}, {NEAR} SELECT {DETAIL_COLUMNS}, create_time AS cancel_time FROM near WHERE o_orderstatus = 'P' AND sec - ts <= 2100")
+def stream_cancel_detail(spark, d):
+    """Cancels within 35 minutes of their lines."""
+    log = _change_stream(spark, d, *ORDER_PARTS, "cancel")
+    return _appended(spark, facts.cancel_detail(log, facts.order_detail(log, "30 minutes")).drop("et"))
+
+
+_PAY_SQL = SQL["pay_detail"].replace("FROM detail LEFT", "FROM near LEFT").replace("detail.id", "near.id").replace(f"{DETAIL}, {DIC}", f"{DETAIL}, {NEAR}, {DIC}").replace("SELECT 'p' || l_orderkey AS id, user_id", "SELECT 'p' || l_orderkey AS id, (SELECT CAST(o_custkey AS VARCHAR) FROM orders WHERE o_orderkey = l_orderkey) AS user_id")
+
+
+@query(_PAY_SQL)
+def stream_pay_detail(spark, d):
+    """The interval join on streams."""
+    log = _change_stream(spark, d, *ORDER_PARTS, "pay")
+    return _appended(spark, facts.pay_detail(log, facts.order_detail(log, "30 minutes"), fx.dic(spark)).where("id <> 'end'").drop("et"))
+
+
+@query(SQL["refund_pay"])
+def stream_refund_pay(spark, d):
+    """Refunds wait up to seven days for their payments."""
+    log = _change_stream(spark, d, "refund", "refund_order", "refund_pay")
+    return _appended(spark, facts.refund_pay(log, facts.order_refund(log, fx.dic(spark)), fx.dic(spark)))
+
+
+# --- from raw changes to windows
+
+
+def _dirty(raw: DataFrame) -> DataFrame:
+    """Raw changes, the amounts of every third line of an order unreadable."""
+    third = (F.get_json_object("value", "$.table") == "order_detail") & F.get_json_object("value", "$.data.id").endswith("-3")
+    return raw.select(F.when(third, F.replace("value", F.lit('"split_total_amount":"'), F.lit('"split_total_amount":"x'))).otherwise(F.col("value")).alias("value"))
+
+
+def _through_topic(spark: SparkSession, facts_: DataFrame) -> DataFrame:
+    """A stream appended to a topic of JSON, and that topic as a stream."""
+    topic = shared_path(spark, "facts-topic")
+    runners.append_topic(facts_, topic, shared_path(spark, "facts-checkpoint"))
+    return topics.parse_topic(topics.read_raw(spark, topic, stream=True), ", ".join(f"{c} {t}" for c, t in facts_.dtypes))
+
+
+_ODS_SQL = SQL["stream_sku_order_window"].replace("sum(total) AS t", "sum(CASE WHEN l_linenumber <> 3 THEN total END) AS t")
+
+
+@query(_ODS_SQL)
+def ods_sku_order_window(spark, d):
+    """Raw JSON to order lines to sku windows; amounts that can't be read are left out of sums."""
+    log = topics.parse_changelog(_dirty(fx.changelog(spark, d, *ORDER_PARTS)))
+    return windows.sku_order_window(facts.order_detail(log).withColumn("seq", F.col("ts")), fx.wide_sku(spark, d), "1 hour")
+
+
+@query(_ODS_SQL)
+def stream_ods_to_dws(spark, d):
+    """The same on streams: raw topic, joins, a topic of facts as JSON, and its windows."""
+    raw = fx.topic_of_files(spark, _dirty(fx.changelog(spark, d, *ORDER_PARTS)), fx.closing_changes())
+    lines = facts.order_detail(topics.parse_changelog(topics.read_raw(spark, raw, stream=True)), "30 minutes").drop("et")
+    typed = _through_topic(spark, lines)
+    return _appended(spark, windows.sku_order_window(typed.withColumn("seq", F.col("ts")), fx.wide_sku(spark, d), "1 hour"))
+
+
+@query(f"""WITH {OD}, {LINE}, {DETAIL}, p AS (SELECT DISTINCT user_id, make_timestamp(sec * 1000000) AS et FROM detail WHERE o_orderstatus = 'F' AND ts BETWEEN sec - 1800 AND sec),
+m AS (SELECT *, row_number() OVER (PARTITION BY user_id, CAST(et AS DATE) ORDER BY et) AS n, row_number() OVER (PARTITION BY user_id ORDER BY et) AS k FROM p)
+SELECT {win('et', 3600)}, count(*) AS payment_suc_unique_user_count, CAST(sum(CASE WHEN k = 1 THEN 1 ELSE 0 END) AS BIGINT) AS payment_suc_new_user_count FROM m WHERE n = 1 GROUP BY ALL""")
+def stream_ods_payment_window(spark, d):
+    """Raw changes to payments (outer joins and the interval join) to a topic of facts, and its windows."""
+    log = _change_stream(spark, d, *ORDER_PARTS, "pay")
+    pays = facts.pay_detail(log, facts.order_detail(log, "30 minutes"), fx.dic(spark))
+    typed = _through_topic(spark, pays.withColumn("seq", F.xxhash64("id", "order_detail_id")))
+    return _appended(spark, windows.payment_window(typed, "1 hour", "10 seconds"))
+
+
+@query(SQL["comment_detail"])
+def stream_append(spark, d):
+    """Comments as JSON in a topic of files, each once, and read back."""
+    out = facts.comment_detail(_change_stream(spark, d, "comment"), fx.dic(spark))
+    topic = shared_path(spark, "comments")
+    runners.append_topic(out, topic, shared_path(spark, "comments-checkpoint"))
+    return topics.parse_topic(topics.read_raw(spark, topic), ", ".join(f"{c} {t}" for c, t in out.dtypes))
+
+
+@query("""WITH o AS (SELECT o_orderkey AS k, CAST(o_orderkey AS VARCHAR) AS id, CAST(c_nationkey AS VARCHAR) AS p, CAST(o_custkey AS VARCHAR) AS u, o_orderstatus AS s, o_orderpriority AS c FROM orders LEFT JOIN customer ON o_custkey = c_custkey)
+SELECT 'before' AS stage, 'dim_order' AS sink_table, id AS row_key, p AS value FROM o WHERE k % 14 <> 0
+UNION ALL SELECT 'before', 'dim_comment', id, c FROM o WHERE k % 5 = 0
+UNION ALL SELECT 'after', 'dim_order', id, u FROM o WHERE s = 'P'
+UNION ALL SELECT 'after', 'dim_comment', id, c FROM o WHERE k % 5 = 0
+UNION ALL SELECT 'after', 'dim_pay', 'p' || id, id FROM o WHERE s = 'F'""")
+def stream_dim_tables(spark, d):
+    """Dimension tables of a stream of three batches: puts and deletes, then a config in which one table
+    has other columns (and is begun anew), one is gone and one is new."""
+    topic, path, checkpoint, config = (shared_path(spark, n) for n in ("dim-topic", "dims", "dims-checkpoint", "dim-config"))
+    id_ = F.get_json_object("value", "$.data.id").cast("long")
+    orders = fx.changelog(spark, d, "order")
+    gone = orders.where(id_ % 14 == 0).select(F.replace("value", F.lit('"type":"insert"'), F.lit('"type":"delete"')).alias("value"))
+    first, last = [orders.where(id_ % 2 == 0).unionByName(fx.changelog(spark, d, "comment")), orders.where(id_ % 2 == 1).unionByName(gone)], fx.changelog(spark, d, "cancel", "pay")
+    log = topics.parse_changelog(spark.readStream.schema("value string, seq int").option("maxFilesPerTrigger", 1).parquet(topic + "*"))
+
+    def run(batches: list[DataFrame], begun: int, rows: list[tuple]) -> None:
+        spark.createDataFrame(rows, ROUTES).write.mode("overwrite").parquet(config)
+        for n, batch in enumerate(batches):
+            batch.withColumn("seq", F.lit(begun + n)).coalesce(1).write.mode("append").parquet(topic)
+        dims.keep(log, lambda: topics.load_config(spark, config, "DIM"), fx.DATABASE, path, checkpoint, "seq")
+
+    def seen(stage: str, value: dict[str, str]) -> DataFrame:
+        tables = dims.read(spark, path)
+        parts = [t.select(F.lit(stage).alias("stage"), F.lit(n).alias("sink_table"), "row_key", F.col(value[n]).alias("value")) for n, t in tables.items()]
+        held = shared_path(spark, "dims-seen")
+        reduce(DataFrame.unionByName, parts).write.parquet(held)
+        return spark.read.parquet(held)
+
+    comment, fact = ("comment_info", "ALL", "dim_comment", "DIM", "id, comment_txt", "id"), ("order_info", "ALL", "fact", "DWD", "id", "id")
+    old = ("refund_payment", "ALL", "dim_refund", "DIM", "id, order_id", "id")
+    run(first, 0, [("order_info", "ALL", "dim_order", "DIM", "id, province_id", "id"), comment, fact, old])
+    before = seen("before", {"dim_order": "province_id", "dim_comment": "comment_txt", "dim_refund": "order_id"})
+    run([last], 2, [("order_info", "ALL", "dim_order", "DIM", "id, user_id", "id"), comment, fact, ("payment_info", "ALL", "dim_pay", "DIM", "id, order_id", "id")])
+    return before.unionByName(seen("after", {"dim_order": "user_id", "dim_comment": "comment_txt", "dim_pay": "order_id"}))

@@ -20,7 +20,9 @@ from rillhouse.functions.changelog import latest_per_key
 BUCKET_ROWS = 1_000_000
 
 
-class _Files:
+class Files:
+    """The files of a folder, and its manifests by number."""
+
     def __init__(self, spark: SparkSession, path: str):
         self.path, self.make = path, spark._jvm.org.apache.hadoop.fs.Path
         self.fs = self.make(path).getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
@@ -60,7 +62,7 @@ def _load(spark: SparkSession, path: str, manifest: dict, buckets: list[int] | N
 def merge(batch: DataFrame, n: int, path: str, keys: list[str], order: list[str], op: str | None = None, bucket_rows: int = BUCKET_ROWS) -> None:
     """Merge batch `n` into the table: the last row of each key by `order` stays, of the batch or of
     the table. With `op`, rows whose `op` says `delete` are deletions."""
-    spark, files = batch.sparkSession, _Files(batch.sparkSession, path)
+    spark, files = batch.sparkSession, Files(batch.sparkSession, path)
     before = max((m for m in files.manifests() if m < n), default=None)
     was = files.read(before) if before is not None else {"buckets": 1, "rows": 0, "folders": {}}
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in batch.schema.fields)
@@ -76,7 +78,7 @@ def merge(batch: DataFrame, n: int, path: str, keys: list[str], order: list[str]
     both = new if old is None else latest_per_key(old.unionByName(new), keys, order)
     folder = f"batch={n}"
     both.withColumn("bucket", own).repartition(buckets, "bucket").write.option("partitionOverwriteMode", "static").mode("overwrite").partitionBy("bucket").parquet(f"{path}/{folder}")
-    written = _Files(spark, f"{path}/{folder}").names()
+    written = Files(spark, f"{path}/{folder}").names()
     kept = was["folders"] if touched is not None else {}
     folders = {b: f for b, f in kept.items() if int(b) not in touched} | {name[7:]: folder for name in written if name.startswith("bucket=")}
     counts = spark.read.schema(schema).parquet(*[f"{path}/{f}/bucket={b}" for b, f in folders.items()]).count() if folders else 0
@@ -89,9 +91,12 @@ def merge(batch: DataFrame, n: int, path: str, keys: list[str], order: list[str]
             files.drop(name)
 
 
-def read(spark: SparkSession, path: str) -> DataFrame:
-    """The table as of the newest manifest, deleted keys left out."""
-    files = _Files(spark, path)
+def read(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
+    """The table as of the newest manifest, deleted keys left out; where nothing was merged yet, no
+    rows of `schema`."""
+    files = Files(spark, path)
+    if not files.manifests() and schema is not None:
+        return spark.createDataFrame([], schema)
     manifest = files.read(files.manifests()[-1])
     rows = _load(spark, path, manifest)
     if rows is None:

@@ -1,39 +1,80 @@
-"""Starting queries: the only place that does. Sinks are idempotent by batch or by key."""
+"""Starting queries: the only place that does. Sinks are idempotent by batch or by key.
+
+Each runner works off all there is and returns when that is done; with `every` (an interval such as
+`5 seconds`) the query goes on, and is returned running. Keyed state lies in RocksDB, whatever the
+session's setting; that is put back once the query has started."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from dataclasses import dataclass
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
+
+from rillhouse.session import ROCKSDB
+from rillhouse.sources import topics
+
+from . import keyed
+
+_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+
+
+@contextmanager
+def _rocksdb(spark: SparkSession) -> Iterator[None]:
+    before = spark.conf.get(_PROVIDER, None)
+    spark.conf.set(_PROVIDER, ROCKSDB)
+    try:
+        yield
+    finally:
+        spark.conf.unset(_PROVIDER) if before is None else spark.conf.set(_PROVIDER, before)
 
-from . import keyed, state
 
+def _start(stream: DataFrame, writer: DataStreamWriter, checkpoint: str, every: str | None) -> StreamingQuery:
+    writer = writer.outputMode("append").option("checkpointLocation", checkpoint)
+    writer = writer.trigger(availableNow=True) if every is None else writer.trigger(processingTime=every)
+    with _rocksdb(stream.sparkSession):
+        query = writer.start()
+    if every is None:
+        query.awaitTermination()
+    return query
 
-def append(df: DataFrame, path: str, checkpoint: str, partition_by: list[str] | None = None) -> None:
-    """Run a stream over all there is and append its rows as Parquet."""
-    writer = df.writeStream.outputMode("append").format("parquet").option("checkpointLocation", checkpoint).option("path", path).trigger(availableNow=True)
-    (writer.partitionBy(*partition_by) if partition_by else writer).start().awaitTermination()
 
+def append(stream: DataFrame, path: str, checkpoint: str, partition_by: list[str] | None = None, every: str | None = None) -> StreamingQuery:
+    """Append the rows of a stream as Parquet, each once: the sink logs the files of each batch, and a
+    batch that runs again adds none. `rows` reads them."""
+    writer = stream.writeStream.format("parquet").option("path", path)
+    return _start(stream, writer.partitionBy(*partition_by) if partition_by else writer, checkpoint, every)
 
-def append_topic(df: DataFrame, servers: str, checkpoint: str, topic: str | None = None):
-    """Append JSON rows to a topic; without one, to the topic named in each row."""
-    options = {"kafka.bootstrap.servers": servers, "checkpointLocation": checkpoint} | ({"topic": topic} if topic else {})
-    return df.writeStream.format("kafka").options(**options).start()
 
+def rows(spark: SparkSession, path: str, schema) -> DataFrame:
+    """What a stream of that schema has appended so far; no rows if it has not begun."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there = place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(place)
+    return spark.read.schema(schema).parquet(path) if there else spark.createDataFrame([], schema)
 
-def _each(stream: DataFrame, run: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append") -> None:
-    stream.writeStream.outputMode(mode).foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
+def append_topic(stream: DataFrame, target: str, checkpoint: str, servers: str | None = None, every: str | None = None, topic: str | None = None) -> StreamingQuery:
+    """Append rows as JSON: to topic `target` of a broker (or, with `topic`, to the topic that this column
+    names), or, with no servers, to a folder of text files, each row once."""
+    if servers is None:
+        return _start(stream, topics.as_json(stream).writeStream.format("text").option("path", target), checkpoint, every)
+    out = topics.as_json(stream, topic=F.col(topic) if topic else None).writeStream.format("kafka").option("kafka.bootstrap.servers", servers)
+    return _start(stream, out if topic else out.option("topic", target), checkpoint, every)
 
-def upsert(stream: DataFrame, path: str, keys: list[str], order: list[str], checkpoint: str, op: str | None = None) -> None:
+
+def each(stream: DataFrame, run: Callable[[DataFrame, int], None], checkpoint: str, every: str | None = None) -> StreamingQuery:
+    return _start(stream, stream.writeStream.foreachBatch(run), checkpoint, every)
+
+
+def upsert(stream: DataFrame, path: str, keys: list[str], order: list[str], checkpoint: str, op: str | None = None, every: str | None = None) -> StreamingQuery:
     """Keep a keyed table (see `keyed`) up to date from a stream: the last row of each key by
     `order`; with `op`, rows whose `op` says `delete` take their key away."""
-    _each(stream, lambda batch, n: keyed.merge(batch, n, path, keys, order, op), checkpoint)
+    return each(stream, lambda batch, n: keyed.merge(batch, n, path, keys, order, op), checkpoint, every)
 
 
-def fan_out(stream: DataFrame, outputs: dict[str, Callable[[DataFrame], DataFrame]], folder: str, checkpoint: str) -> None:
+def fan_out(stream: DataFrame, outputs: dict[str, Callable[[DataFrame], DataFrame]], folder: str, checkpoint: str, every: str | None = None) -> StreamingQuery:
     """One pass over a stream, several outputs: each batch is held while its parts are written, a
     folder for each batch, so that a batch that runs again replaces what it wrote."""
 
@@ -45,62 +86,14 @@ def fan_out(stream: DataFrame, outputs: dict[str, Callable[[DataFrame], DataFram
         finally:
             held.unpersist()
 
-    _each(stream, run, checkpoint)
+    return each(stream, run, checkpoint, every)
 
 
-def with_config(stream: DataFrame, load: Callable[[], DataFrame], route: Callable[[DataFrame, DataFrame], DataFrame], path: str, checkpoint: str) -> None:
+def with_config(stream: DataFrame, load: Callable[[], DataFrame], route: Callable[[DataFrame, DataFrame], DataFrame], path: str, checkpoint: str, every: str | None = None) -> StreamingQuery:
     """Route each batch by the config as it is then: a small table, read anew."""
 
     def run(batch: DataFrame, n: int) -> None:
         routed = route(batch, load()).write.option("partitionOverwriteMode", "static").mode("overwrite")
         routed.partitionBy("sink_table").parquet(f"{path}/batch={n}")
 
-    _each(stream, run, checkpoint)
-
-
-def mark(stream: DataFrame, marks: list, path: str, checkpoint: str, keep: str | None = None) -> None:
-    """Append the rows of a stream with their marks (see `state`), a folder for each batch. `keep`
-    bounds the state by event time."""
-
-    def run(batch: DataFrame, n: int) -> None:
-        state.marked(batch, n, marks, f"{checkpoint}/state", keep).write.mode("overwrite").parquet(f"{path}/batch={n}")
-
-    _each(stream, run, checkpoint)
-
-
-def first_of_day(stream: DataFrame, key: str, path: str, checkpoint: str, keep: str | None = None) -> None:
-    """Append the rows of a stream (with et and seq) and `is_first`: true on a key's first row of a
-    day. Rows of a batch are taken in time order; between batches the order of arrival rules. A row
-    without et is no day's first; a null key is a key."""
-    mark(stream, [state.First("is_first", (key, state.DAY))], path, checkpoint, keep)
-
-
-@dataclass(frozen=True)
-class WindowJob:
-    """A windowed job on a stream: marks that need state, the aggregate over marked rows, the keys
-    that its result is replaced on, and what is made of the table of results when it is read."""
-
-    marks: tuple
-    sums: Callable[[DataFrame], DataFrame]
-    keys: tuple[str, ...]
-    result: Callable[[DataFrame], DataFrame] = lambda df: df
-
-
-def windowed(stream: DataFrame, job: WindowJob, path: str, checkpoint: str, keep: str | None = None) -> DataFrame:
-    """Run a window job over all there is in a stream; returns its result. Rows are marked by keyed
-    state first, then a second query with a watermark aggregates the marked rows; each of its
-    batches replaces the windows that changed in a keyed table. Rows later than the watermark are
-    dropped by it. The second query starts when the first has ended: a batch of marks that runs
-    again has not been read before."""
-    spark = stream.sparkSession
-    rows = stream
-    if job.marks:
-        mark(stream, list(job.marks), f"{path}/marked", f"{checkpoint}/mark", keep)
-        schema = spark.read.parquet(f"{path}/marked").schema
-        rows = spark.readStream.schema(schema).parquet(f"{path}/marked").drop("batch")
-
-    def replace(batch: DataFrame, n: int) -> None:
-        keyed.merge(batch.withColumn("replaced_by", F.lit(n)), n, f"{path}/windows", list(job.keys), ["replaced_by"])
-
-    _each(job.sums(rows), replace, f"{checkpoint}/sums", "update")
-    return job.result(keyed.read(spark, f"{path}/windows").drop("replaced_by"))
+    return each(stream, run, checkpoint, every)

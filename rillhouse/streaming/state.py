@@ -1,160 +1,207 @@
-"""Keyed state of streams: which keys were seen, and their least values.
+"""Keyed state of streams, in the engine's own state store (RocksDB): a value or a small map for each
+key, found by key alone, so that a batch costs by its rows and not by the keys ever seen. State ends by
+event time: where the watermark makes a key's further rows late anyway, its timer takes the state away.
 
-Each kind of state is a log in the checkpoint: a batch adds the keys that it saw first, and no more,
-as a folder of its own (`v=<batch>`), so that a batch that runs again replaces what it added. Now and
-then all that came before is written as one folder (`c=<batch>`). Rows of a key are never held
-together: partial sums reduce a batch to a row a key before it meets the state."""
+Each processor holds little for a key at a time, however many rows a batch has of it. Rows later than
+the watermark are dropped before they get here. Order within a batch is by time, between batches by
+arrival."""
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Iterator
+from typing import Any
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor
 
-#: Additions to a log before it is written as one.
-ADDITIONS = 20
-DAY = "to_date(et)"
-
-
-@dataclass(frozen=True)
-class First:
-    """Marks, in a boolean column `name`, each key's first row ever, of those that `where` holds for,
-    by `order` in a batch; between batches the order of arrival rules. Keys are SQL expressions; a
-    null is a key."""
-
-    name: str
-    keys: tuple[str, ...]
-    where: str = "et IS NOT NULL"
-    order: tuple[str, ...] = ("et", "seq")
-
-
-@dataclass(frozen=True)
-class Previous:
-    """The day before the key's own, in a date column `name`, for rows that the mark `of` marks as
-    the first of a key and day (its last key)."""
-
-    name: str
-    of: First
-
-
-@dataclass(frozen=True)
-class Lowest:
-    """Marks rows whose `value` is the key's least so far, by `et`, rows of the same `et` included."""
-
-    name: str
-    keys: tuple[str, ...]
-    value: str
-
-
-def key_of(keys: tuple[str, ...]) -> Column:
-    return F.struct(*[F.expr(k).alias(f"k{i}") for i, k in enumerate(keys)])
-
-
-def firsts(batch: DataFrame, mark: First, row: str, seen: DataFrame | None) -> DataFrame:
-    """(k, row, et) of the keys' first rows in a batch, without those in `seen`; `row` numbers rows."""
-    new = batch.where(mark.where).groupBy(key_of(mark.keys).alias("k")).agg(F.min(F.struct(*mark.order, row)).alias("m"), F.min("et").alias("et"))
-    if seen is not None:
-        new = new.join(seen.select(F.col("k").alias("seen")), F.col("k").eqNullSafe(F.col("seen")), "left_anti")
-    return new.select("k", F.col(f"m.{row}").alias(row), "et")
-
-
-def previous_days(new: DataFrame, seen: DataFrame | None, row: str) -> DataFrame:
-    """(row, previous) for the first rows of a batch by key and day: the day before, of this batch or
-    of `seen`. Only days, not rows, meet by key."""
-    split = lambda df, *more: df.select(F.struct(*[f"k.{f}" for f in new.schema["k"].dataType.fieldNames()[:-1]]).alias("key"), F.col(f"k.{new.schema['k'].dataType.fieldNames()[-1]}").alias("day"), *more)
-    now = split(new, row)
-    days = now
-    if seen is not None:
-        keys = now.select(F.col("key").alias("own")).distinct()
-        old = split(seen, F.lit(None).cast("long").alias(row)).join(keys, F.col("key").eqNullSafe(F.col("own")), "left_semi")
-        days = now.unionByName(old)
-    before = F.lag("day").over(Window.partitionBy("key").orderBy("day"))
-    return days.withColumn("previous", before).where(F.col(row).isNotNull()).select(row, "previous")
-
-
-def lowest(batch: DataFrame, mark: Lowest, seen: DataFrame | None) -> tuple[DataFrame, DataFrame]:
-    """(k, et, value) that are least so far, and (k, least, et) to add to the state."""
-    values = batch.where("et IS NOT NULL").select(key_of(mark.keys).alias("k"), "et", F.col(mark.value).alias("value")).distinct()
-    upto = F.min("value").over(Window.partitionBy("k").orderBy("et").rangeBetween(Window.unboundedPreceding, Window.currentRow))
-    run = values.withColumn("run", upto)
-    if seen is not None:
-        old = seen.groupBy(F.col("k").alias("seen")).agg(F.min("least").alias("least"))
-        run = run.join(old, F.col("k").eqNullSafe(F.col("seen")), "left").withColumn("run", F.least("run", "least"))
-    return run.where("value = run").select("k", "et", "value"), values.groupBy("k").agg(F.min("value").alias("least"), F.min("et").alias("et"))
-
-
-class Log:
-    """Additions to one kind of state, a folder a batch."""
-
-    def __init__(self, spark: SparkSession, home: str):
-        self.spark, self.home = spark, home
-        self._path = spark._jvm.org.apache.hadoop.fs.Path
-        self._fs = self._path(home).getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
-
-    def _known(self, kind: str) -> list[int]:
-        if not self._fs.exists(self._path(self.home)):
-            return []
-        names = [f.getPath().getName() for f in self._fs.listStatus(self._path(self.home))]
-        # a folder counts once its job has committed
-        return sorted(int(n[2:]) for n in names if n.startswith(f"{kind}=") and self._fs.exists(self._path(f"{self.home}/{n}/_SUCCESS")))
-
-    def before(self, n: int, keep: str | None = None) -> DataFrame | None:
-        """All rows added before batch `n`; with `keep` (an interval) those not older than that
-        before the newest of them."""
-        whole = max((c for c in self._known("c") if c < n), default=-1)
-        parts = ([f"{self.home}/c={whole}"] if whole >= 0 else []) + [f"{self.home}/v={v}" for v in self._known("v") if whole < v < n]
-        if not parts:
-            return None
-        rows = self.spark.read.parquet(*parts)
-        if keep is None:
-            return rows
-        newest = rows.agg(F.max("et")).first()[0]
-        return rows.where(F.col("et") >= F.lit(newest) - F.expr(f"interval {keep}"))
-
-    def add(self, n: int, rows: DataFrame) -> DataFrame:
-        """Write what batch `n` adds; what a run of it wrote before is replaced."""
-        rows.write.mode("overwrite").parquet(f"{self.home}/v={n}")
-        return self.spark.read.schema(rows.schema).parquet(f"{self.home}/v={n}")
-
-    def tidy(self, n: int, keep: str | None = None) -> None:
-        """Write all before batch `n` as one folder if there are many, and drop what it replaces. A
-        batch `n` that runs again still finds all that came before it."""
-        whole = max((c for c in self._known("c") if c < n), default=-1)
-        added = [v for v in self._known("v") if whole < v < n]
-        if len(added) <= ADDITIONS:
+from rillhouse.functions.times import DAY_MS, width_ms
+
+
+class FirstRow(StatefulProcessor):
+    """The first row ever of a key, by `order` in a batch. `until` of the row, in milliseconds, is when
+    the key can be forgotten; null is never."""
+
+    def __init__(self, order: tuple[str, ...]):
+        self.order = order
+
+    def init(self, handle) -> None:
+        self.handle, self.seen = handle, handle.getValueState("seen", "seen boolean")
+
+    def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        if self.seen.exists():
             return
-        self.before(n, keep).write.mode("overwrite").parquet(f"{self.home}/c={n - 1}")
-        for name in [f"v={v}" for v in self._known("v") if v < n] + [f"c={c}" for c in self._known("c") if c < n - 1]:
-            self._fs.delete(self._path(f"{self.home}/{name}"), True)
-
-
-def marked(batch: DataFrame, n: int, marks: list[First | Previous | Lowest], home: str, keep: str | None = None) -> DataFrame:
-    """A batch with a column for each mark, after the state in `home`, which gets the batch's own
-    keys. `keep` bounds the state by event time: keys first seen longer ago are forgotten."""
-    spark = batch.sparkSession
-    row = "row"
-    while row in (c.lower() for c in batch.columns):
-        row = "_" + row
-    # row numbers hold only for rows that are written
-    slim = batch.withColumn(row, F.monotonically_increasing_id())
-    slim.write.mode("overwrite").parquet(f"{home}/held")
-    out = spark.read.schema(slim.schema).parquet(f"{home}/held")
-    for mark in marks:
-        log = Log(spark, f"{home}/{mark.of.name if isinstance(mark, Previous) else mark.name}")
-        seen = log.before(n, keep)
-        if isinstance(mark, First):
-            new = log.add(n, firsts(out, mark, row, seen))
-            own = new.select(F.col(row).alias("at"), F.lit(True).alias(mark.name))
-            out = out.join(own, F.col(row) == F.col("at"), "left").drop("at").withColumn(mark.name, F.coalesce(mark.name, F.lit(False)))
-        elif isinstance(mark, Previous):
-            own = previous_days(spark.read.parquet(f"{log.home}/v={n}"), seen, row).select(F.col(row).alias("at"), F.col("previous").alias(mark.name))
-            out = out.join(own, F.col(row) == F.col("at"), "left").drop("at")
+        best = min(rows, key=lambda r: tuple(r[c] for c in self.order))
+        self.seen.update((True,))
+        if best["until"] is not None:
+            self.handle.registerTimer(best["until"])
+        yield best
+
+    def handleExpiredTimer(self, key: Any, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        self.seen.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+def first_rows(stream: DataFrame, keys: list[Column], columns: list[str], order: tuple[str, ...], time: str, until: Column | None) -> DataFrame:
+    """(columns) of the first row of each key. `time` is the column with the watermark; `until` is a
+    timestamp after which no row of the key can come, or null."""
+    named = [k.alias(f"k{i}") for i, k in enumerate(keys)]
+    rest = list(dict.fromkeys([time, *order, *columns]))
+    forget = F.unix_millis(until) if until is not None else F.lit(None).cast("long")
+    slim = stream.select(*named, *rest, forget.alias("until"))
+    grouped = slim.groupBy(*[f"k{i}" for i in range(len(keys))])
+    out = grouped.transformWithState(FirstRow(order), slim.schema, "append", "eventTime", eventTimeColumnName=time)
+    return out.select(*columns)
+
+
+class Logins(StatefulProcessor):
+    """A user's first login of each day, with the day of the login before. Kept are the days that the
+    watermark has not closed, and the last of those that it has."""
+
+    def init(self, handle) -> None:
+        self.days = handle.getMapState("days", "day int", "seen boolean")
+
+    def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        first: dict[int, Row] = {}
+        for r in rows:
+            if r["day"] not in first or (r["et"], r["seq"]) < (first[r["day"]]["et"], first[r["day"]]["seq"]):
+                first[r["day"]] = r
+        known = {k[0] for k in self.days.keys()}
+        for day in sorted(first.keys() - known):
+            r = first[day]
+            yield Row(uid=r["uid"], et=r["et"], seq=r["seq"], day=day, before=max((d for d in known if d < day), default=None))
+            known.add(day)
+            self.days.updateValue((day,), (True,))
+        closed = sorted(d for d in known if (d + 1) * DAY_MS <= timerValues.getCurrentWatermarkInMs())
+        for day in closed[:-1]:
+            self.days.removeKey((day,))
+
+    def close(self) -> None:
+        pass
+
+
+def day_number(c: str | Column) -> Column:
+    return F.unix_date(F.to_date(c))
+
+
+def logins(stream: DataFrame) -> DataFrame:
+    """(et, day, before) of first logins of a day, from (uid, et, seq) with a watermark on et."""
+    slim = stream.select("uid", "et", "seq", day_number("et").alias("day"))
+    schema = "uid string, et timestamp, seq long, day int, before int"
+    out = slim.groupBy("uid").transformWithState(Logins(), schema, "append", "eventTime", eventTimeColumnName="et")
+    return out.select("et", F.date_from_unix_date("day").alias("day"), F.date_from_unix_date("before").alias("before"))
+
+
+class LeastSoFar(StatefulProcessor):
+    """Windows in which a user has a row whose `made` is the least so far, of its day and ever, by `et`,
+    rows of one `et` together. Each window is reported once for either kind. Kept are the least ever,
+    the least of each day, and what was reported of windows that the watermark has not closed."""
+
+    def __init__(self, width_ms: int):
+        self.width = width_ms
+
+    def init(self, handle) -> None:
+        self.least = handle.getValueState("least", "made long")
+        self.days = handle.getMapState("days", "day int", "made long")
+        self.told = handle.getMapState("told", "start long", "kinds int")
+
+    def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        at: dict[int, dict[int, int]] = {}  # by et: the least of each day
+        when: dict[int, Any] = {}
+        for r in rows:
+            days = at.setdefault(r["et_us"], {})
+            days[r["day"]] = min(r["made"], days.get(r["day"], r["made"]))
+            when.setdefault(r["et_us"], r["et"])
+        least, told = (self.least.get()[0] if self.least.exists() else None), {}
+        found: dict[int, int] = {}
+        for us in sorted(at):
+            start, hits = us // 1000 // self.width * self.width, 0
+            for day, made in at[us].items():
+                if day not in found:
+                    found[day] = self.days.getValue((day,))[0] if self.days.containsKey((day,)) else made
+                found[day] = min(found[day], made)
+                hits |= made == found[day]
+            low = min(at[us].values())
+            least = low if least is None else min(least, low)
+            hits |= 2 * (low == least)
+            if start not in told:
+                told[start] = self.told.getValue((start,))[0] if self.told.containsKey((start,)) else 0
+            new = hits & ~told[start]
+            if new:
+                told[start] |= new
+                yield Row(user_id=key[0], et=when[us], u=new & 1, n=new >> 1)
+        self.least.update((least,))
+        for day, made in found.items():
+            self.days.updateValue((day,), (made,))
+        for start, kinds in told.items():
+            self.told.updateValue((start,), (kinds,))
+        closed = [k[0] for k in self.told.keys() if k[0] + self.width <= timerValues.getCurrentWatermarkInMs()]
+        for start in closed:
+            self.told.removeKey((start,))
+
+    def close(self) -> None:
+        pass
+
+
+def least_so_far(stream: DataFrame, width: str) -> DataFrame:
+    """(et, u, n): a row for each user and window with a row that is the least of its day (u) or ever (n)
+    so far, from (user_id, et, create_time) with a watermark on et."""
+    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    slim = stream.select("user_id", "et", micros("et").alias("et_us"), micros("create_time").alias("made"), day_number("create_time").alias("day"))
+    kind = stream.schema["user_id"].dataType.simpleString()
+    return slim.groupBy("user_id").transformWithState(LeastSoFar(width_ms(width)), f"user_id {kind}, et timestamp, u int, n int", "append", "eventTime", eventTimeColumnName="et").select("et", "u", "n")
+
+
+class SeenSince(StatefulProcessor):
+    """Repairs the visitor flag of a device's records by its first-seen day, see
+    `traffic.repaired_flag`. The first batch of a device is held until its first record is known; later
+    ones pass through. With `keep_ms`, a device that was not seen for so long is forgotten."""
+
+    def __init__(self, keep_ms: int | None):
+        self.keep = keep_ms
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.since = handle.getValueState("since", "day int")
+        self.last = handle.getValueState("last", "ms long")
+
+    def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        first, last = None, 0
+        if not self.since.exists():
+            held = list(rows)
+            first = min(held, key=lambda r: (r["ts"] is not None, r["ts"] or 0, r["seq"]))  # nulls first, as in batch
+            # a first record without a time has no day that later ones could miss
+            day = first["day"]
+            self.since.update((None if day is None else day if first["is_new"] == "1" else day - 1,))
+            rows = iter(held)
+        since = self.since.get()[0]
+        for r in rows:
+            last = max(last, r["ts"] or 0)
+            stays = r is first or r["is_new"] != "1" or since is None or r["day"] is None or r["day"] == since
+            yield Row(**{**r.asDict(), "is_new": r["is_new"] if stays else "0"})
+        if self.keep is not None:
+            before = self.last.get()[0] if self.last.exists() else None
+            if before is None:
+                self.handle.registerTimer(last + self.keep)
+            self.last.update((max(last, before or 0),))
+
+    def handleExpiredTimer(self, key: Any, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        due = self.last.get()[0] + self.keep
+        if due > expiredTimerInfo.getExpiryTimeInMs():
+            self.handle.registerTimer(due)
         else:
-            hits, least = lowest(out, mark, seen)
-            log.add(n, least)
-            own = hits.select(F.col("k").alias("hit_k"), F.col("et").alias("hit_et"), F.col("value").alias("hit_value"), F.lit(True).alias(mark.name))
-            on = key_of(mark.keys).eqNullSafe(F.col("hit_k")) & (F.col("et") == F.col("hit_et")) & (F.col(mark.value) == F.col("hit_value"))
-            out = out.join(own, on, "left").drop("hit_k", "hit_et", "hit_value").withColumn(mark.name, F.coalesce(mark.name, F.lit(False)))
-        log.tidy(n, keep)
-    return out.drop(row)
+            self.since.clear()
+            self.last.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+def seen_since(stream: DataFrame, keep: str | None) -> DataFrame:
+    """(mid, et, ts, seq, day, is_new, value) with `is_new` repaired, from a stream with a watermark on et."""
+    slim = stream.select("mid", "et", "ts", "seq", day_number("et").alias("day"), "is_new", "value")
+    return slim.groupBy("mid").transformWithState(SeenSince(width_ms(keep) if keep else None), slim.schema, "append", "eventTime", eventTimeColumnName="et")
