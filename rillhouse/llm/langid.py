@@ -19,11 +19,15 @@ import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import below, free_name, hash_bounds, ship
+from .common import free_name, ship
 
 #: Training documents: those with the smallest id hashes among the learnable ones; and so many of
 #: each language at least, or all that it has, again those with the smallest id hashes.
 MAX_DOCS, LANG_DOCS = 3000, 200
+#: Languages learned at most, the most frequent ones; documents of those that are rare in the sample.
+MAX_LANGS, RARE_DOCS = 1000, 20_000
+#: Characters of a document that are learned from at most, in so many pieces from all over it.
+EXCERPT, PIECES = 9600, 16
 BUCKETS = 1 << 14
 _CHUNK = 1 << 20  # bytes scored at a time
 _letter = regex.compile(r"\p{L}").search  # letters alone: no number forms, no combining marks
@@ -159,22 +163,52 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0, F.lit(True))
 
 
-def sample(docs: DataFrame, max_docs: int = MAX_DOCS, lang_docs: int = LANG_DOCS) -> list[tuple[str, str]]:
-    """(text, lang) of the training documents: of those not held out, text and lang not null.
-    Hashes are bounded first, so that only about as many texts as are asked for are ordered; one
-    bound for each language comes to the driver."""
-    order = ["h", "doc_id", "text", "lang"]
+def excerpt(text: str) -> str:
+    """A text of at most `EXCERPT` characters whole; of a longer one pieces from all over it, about as
+    much in all."""
+    if len(text) <= EXCERPT:
+        return text
+    step = len(text) / PIECES
+    return " ".join(text[int(k * step) : int(k * step) + EXCERPT // PIECES] for k in range(PIECES))
+
+
+def sample(docs: DataFrame, max_docs: int = MAX_DOCS, lang_docs: int = LANG_DOCS, max_langs: int = MAX_LANGS, rare_docs: int = RARE_DOCS) -> list[tuple[str, str]]:
+    """(excerpt, lang) of the training documents: of those not held out, text and lang not null, of
+    the `max_langs` languages with the most documents: the `max_docs` of smallest id hashes, and for each
+    language that has fewer than `lang_docs` of these its own of smallest hashes, as many or all it has;
+    where that were over `rare_docs` in all, fewer of each. Hashes are bounded first, so that only about
+    as many texts as are asked for are ordered; a count for each of these languages and excerpts come
+    to the driver."""
+    spark, order = docs.sparkSession, ["h", "doc_id", "text", "lang"]
+    ship(spark)
+
+    @F.pandas_udf("string")
+    def cut(part: pd.Series) -> pd.Series:
+        return part.map(excerpt)
+
     rows = docs.where(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull()).select(F.xxhash64("doc_id").alias("h"), "doc_id", "text", "lang")
-    bounds = hash_bounds(rows.select("h", F.lit(0).alias("kind")), max_docs)
-    found = rows.where(below(F.col("h"), F.lit(0), bounds)).orderBy(*order).limit(max_docs).collect()
-    counts = Counter(r["lang"] for r in found)
-    common = [k for k, n in counts.items() if n >= lang_docs]
-    if len(found) == max_docs:  # else these are all
-        rest = rows.where(~F.col("lang").isin(common))
-        bounds = hash_bounds(rest.select("h", F.col("lang").alias("kind")), lang_docs)
+    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(max_langs).collect()}
+    if not counts:
+        return []
+
+    def lowest(wanted: dict[str, tuple[int, int]]) -> DataFrame:
+        """Rows of the languages below a bound on their hashes, for k of n rows: about as many, and
+        hardly ever fewer."""
+        share = lambda k, n: min(1.0, (k + 6 * k**0.5 + 10) / n)
+        top = lambda x: (1 << 63) - 1 if x >= 1 else int((2 * x - 1) * (1 << 63))
+        bounds = spark.createDataFrame([(lang, top(share(k, n))) for lang, (k, n) in wanted.items()], "lang string, bound long")
+        # at most `max_langs` bounds
+        return rows.join(F.broadcast(bounds), "lang").where("h <= bound").select("h", "doc_id", cut("text").alias("text"), "lang")
+
+    all_ = sum(counts.values())
+    found = lowest(dict.fromkeys(counts, (max_docs, all_))).orderBy(*order).limit(max_docs).collect()
+    own = Counter(r["lang"] for r in found)
+    rare = [k for k, n in counts.items() if own[k] < min(lang_docs, n)]
+    if rare:
+        quota = min(lang_docs, max(1, rare_docs // len(rare)))
         place = F.row_number().over(Window.partitionBy("lang").orderBy(*order[:3]))
-        rare = rest.where(below(F.col("h"), F.col("lang"), bounds)).withColumn("n", place).where(F.col("n") <= lang_docs).drop("n").collect()
-        found = sorted([*(r for r in found if r["lang"] in common), *rare], key=lambda r: tuple(r[c] for c in order)) if rare else found
+        more = lowest({k: (quota, counts[k]) for k in rare}).withColumn("n", place).where(F.col("n") <= quota).drop("n").collect()
+        found = sorted([*(r for r in found if r["lang"] not in rare), *more], key=lambda r: (r["h"], r["doc_id"] or 0, r["text"], r["lang"]))
     return [(r["text"], r["lang"]) for r in found]
 
 

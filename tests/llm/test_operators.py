@@ -394,6 +394,25 @@ def test_rare_language_is_learned(spark):
     assert set(langid.train(docs, 200, 50).langs) == {"de", "en", "fi"}
 
 
+def test_thousands_of_languages(spark):
+    """A dirty language column: the sample stays within its bounds, and the plan does not grow with it."""
+    rows = spark.range(40_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("l"), F.col("id") % 5000).alias("lang"), F.concat(F.lit("text of "), F.col("id") % 5000).alias("text"))
+    rows = rows.unionByName(spark.range(40_000, 60_000).select(F.col("id").alias("doc_id"), F.lit("en").alias("lang"), F.lit("the cat sat").alias("text")))
+    got = Counter(k for _, k in langid.sample(rows, 300, 50, max_langs=400, rare_docs=1000))
+    assert len(got) == 400 and got["en"] >= 150 and 399 <= sum(n for k, n in got.items() if k != "en") <= 1000
+    model = langid.fit(*zip(*langid.sample(rows, 300, 50, 400, 1000), strict=True), epochs=1)
+    assert model.predict(["the cat sat", None])[0] == ["en", "und"]
+
+
+def test_excerpts_come_from_all_over_a_text():
+    text = "".join(chr(97 + i % 26) + str(i) for i in range(50_000))
+    got = langid.excerpt(text)
+    assert len(got) <= langid.EXCERPT + langid.PIECES and langid.excerpt("short") == "short"
+    pieces = got.split(" ")
+    at = [text.index(p) for p in pieces]
+    assert len(pieces) == langid.PIECES and at == sorted(at) and at[-1] > 0.9 * len(text)
+
+
 # --- 5
 
 
