@@ -948,11 +948,15 @@ def test_queries_have_the_contracts_columns(spark, sf):
         "op8_mixing": "doc_id size source_size target taken",
         "op9_bpe": "doc_id n_tokens ids_sha256 decoded_sha256",
         "op10_simhash": "doc_id fingerprint component_id",
+        "op11_jaccard": "doc_id n_shingles component_id",
+        "op13_manifest": "doc_id leaf subroot root proof_sha256 folded_root verified",
     }
     for name, columns in want.items():
         df = queries.queries()[name](spark, sf)
         assert set(columns.split()) <= set(df.columns), name
         assert len(df.collect()) == spark.read.parquet(f"{sf}/{'pages' if name == 'op6_warc' else 'documents'}.parquet").count(), name
+    words = queries.queries()["op12_spelling"](spark, sf)
+    assert words.columns == ["word", "form", "root", "n", "n_near", "form_n"] and words.where("n < 3 OR char_length(word) < 5").count() == 0 < words.count()
 
 
 def test_pipeline(spark, sf):
