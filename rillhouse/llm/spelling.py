@@ -25,8 +25,11 @@ from .common import materialize, ship, spread_join
 
 #: Words of a block, cells stacked up to this size, and comparisons of code points at a time.
 BLOCK, SMALL, CELLS = 1024, 32, 1 << 22
-#: Rows taken together by a task, and words counted before a task hands their counts on.
-_ROWS, _WORDS = 1 << 14, 200_000
+#: Rows, or bytes of rows, taken together by a task, but for a larger unit; and words counted before a
+#: task hands their counts on.
+_ROWS, _BYTES, _WORDS = 1 << 14, 1 << 24, 200_000
+#: Words of more code points are laid out apart, those of one length together.
+WIDE = 64
 LEAST_CHARS, LEAST_COUNT, DELETED = 5, 3, 97
 
 #: Runs of letters in lower-cased UTF-8: a to z, and the two bytes of U+00C0 to U+00FF.
@@ -172,37 +175,46 @@ def near_words(words: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         open_: list[tuple] = []
+        size = 0
 
-        def done(rows: list[tuple]) -> pa.RecordBatch:
-            units, texts, start = [], [r[6] for r in rows], 0
+        def done(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+            units, start = {}, 0
             while start < len(rows):
                 first = rows[start][:5]
                 middle = end = start
                 while end < len(rows) and rows[end][:5] == first:
                     end += 1
                     middle += not rows[end - 1][5]
-                if first[3] == first[4]:
-                    units.append((first[1], first[2], start, end, end))
-                elif start < middle < end:
-                    units.append((first[1], first[2], start, middle, end))
+                if first[3] == first[4] or start < middle < end:
+                    # long words don't widen the others' rows
+                    units.setdefault(first[1] if first[1] > WIDE else 0, []).append((first[1], first[2], start, end if first[3] == first[4] else middle, end))
                 start = end
-            found = tile(units, texts)
-            hit = np.flatnonzero(found.count[:-1]).tolist()
-            best = found.best
+            for own in units.values():
+                yield hits([rows[r] for *_, low, _, high in own for r in range(low, high)], own)
+
+        def hits(rows: list[tuple], units: list[tuple]) -> pa.RecordBatch:
+            texts, moved, at = [r[6] for r in rows], [], 0
+            for longest, by_prefix, start, middle, end in units:
+                moved.append((longest, by_prefix, at, at + middle - start, at + end - start))
+                at += end - start
+            found = tile(moved, texts)
+            hit, best = np.flatnonzero(found.count[:-1]).tolist(), found.best
             return pa.RecordBatch.from_arrays([pa.array([texts[r] for r in hit], pa.string()), pa.array(found.count[hit], pa.int64()), pa.array([texts[best[r]] for r in hit], pa.string()), pa.array([rows[best[r]][7] for r in hit], pa.int64())], ["word", "n_near", "form", "form_n"])
 
         for batch in batches:
             open_ += zip(*[c.to_pylist() for c in batch.columns], strict=True)
-            if len(open_) >= _ROWS:
+            size += batch.nbytes
+            if len(open_) >= _ROWS or size >= _BYTES:
+                size = 0
                 # the last unit may go on
                 cut = len(open_)
                 while cut and open_[cut - 1][:5] == open_[-1][:5]:
                     cut -= 1
                 if cut:
-                    yield done(open_[:cut])
+                    yield from done(open_[:cut])
                     open_ = open_[cut:]
         if open_:
-            yield done(open_)
+            yield from done(open_)
 
     keys = ["cell", "longest", "by_prefix", "i", "j"]
     ordered = units.select(*keys, "second", "word", "n").repartition(*keys).sortWithinPartitions(*keys, "second", F.desc("n"), "word")

@@ -108,6 +108,23 @@ def test_every_edit_of_every_length_is_found(spark):
     assert rows_of(spelling.group_words(df)) == plain_groups(words)
 
 
+def test_long_words_are_laid_out_apart(spark, monkeypatch):
+    """Words around the width where they are, and one so long that it must not widen the others' rows."""
+    rng, words = random.Random(9), {}
+    for length in (60, 63, 64, 65, 66, 90):
+        base = "".join(rng.choice("abc") for _ in range(length))
+        words[base] = 50
+        for i in range(0, length, 7):
+            words[base[:i] + base[i + 1 :]] = rng.randint(1, 9)
+            words[base[:i] + "x" + base[i + 1 :]] = rng.randint(1, 9)
+    want = plain_groups(words)
+    long = {"y" * 200_000: 9, "y" * 200_001: 4}
+    many = {f"w{i:05d}": 3 for i in range(0, 90_000, 30)}
+    got = rows_of(spelling.group_words(spark.createDataFrame(list((words | long | many).items()), "word string, n long").coalesce(1)))
+    assert {r for r in got if r[0] in words} == want
+    assert {r[4] for r in got if r[0] in long} == {1} and len(got) == len(words) + len(long) + len(many)
+
+
 def test_long_chain_of_forms(spark):
     words = {"a" * (5 + i): 3 * 2**i for i in range(30)}
     assert rows_of(spelling.group_words(spark.createDataFrame(list(words.items()), "word string, n long"))) == plain_groups(words)
