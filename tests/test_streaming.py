@@ -382,3 +382,14 @@ def test_topics_round_trip_and_dirty_rows(spark, tmp_path):
 def test_words_of_text_without_spaces(spark):
     got = spark.createDataFrame([("红色手机壳红色",), ("", ), (None,)], "t string").select(dictionary_words(F.col("t"), {"红色", "手机", "手机壳"}).alias("w")).collect()
     assert [r.w for r in got] == [["红色", "手机壳"], [], []]
+
+
+def test_batch_plans_sort_no_history_of_a_key(spark):
+    """First rows are partial sums; no window runs over all rows of a device or user."""
+    pages = spark.createDataFrame(list(page_rows(random.Random(1), 20)), PAGE)
+    lines = spark.createDataFrame(list(line_rows(random.Random(1), 20)), LINE)
+    logs = spark.createDataFrame([({"mid": "a", "is_new": "1"}, None, {"p": "x"}, None, None, None, 5, 1)], LOG)
+    jobs = [windows.traffic_window(pages), windows.home_detail_window(pages), windows.payment_window(lines), windows.sku_order_window(lines, spark.createDataFrame(SKU, SKU_SCHEMA)), traffic.repair_is_new(logs, "seq")]
+    for job in jobs:
+        plan = job._jdf.queryExecution().executedPlan().toString()
+        assert "Window [" not in plan and "partial_min" in plan
