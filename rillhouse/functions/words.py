@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
+from rillhouse.session import ship
+
 
 def words(text: str | Column) -> Column:
     """Distinct lower-case runs of letters and digits; null or blank text has none."""
@@ -31,6 +33,8 @@ def dictionary_words(text: str | Column, dictionary: set[str]) -> Column:
     """For text without spaces between words: maximum matching over a word list that the caller
     passes, on Arrow batches."""
     longest = max(map(len, dictionary), default=1)
+    if (spark := SparkSession.getActiveSession()) is not None:
+        ship(spark)
 
     @F.pandas_udf("array<string>")
     def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:

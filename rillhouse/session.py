@@ -1,9 +1,11 @@
-"""Session defaults and the folder that driver and executors share."""
+"""Session defaults, the folder that driver and executors share, and the package for executors."""
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -26,3 +28,24 @@ def shared_path(spark: SparkSession, name: str) -> str:
         found = "file://" + tempfile.mkdtemp(prefix="spark-rillhouse-")
         spark.conf.set("spark.checkpoint.dir", found)
     return f"{found.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors' Python, once for each Spark application: functions and state
+    processors that run there are found by their names."""
+    sc = spark.sparkContext
+    if sc.applicationId in _shipped:
+        return
+    home = os.path.dirname(os.path.abspath(__file__))
+    path = os.path.join(tempfile.mkdtemp(prefix="spark-rillhouse-"), "rillhouse-jobs.zip")
+    with zipfile.ZipFile(path, "w") as out:
+        for folder, _, files in os.walk(home):
+            for name in sorted(files):
+                if name.endswith(".py"):
+                    full = os.path.join(folder, name)
+                    out.write(full, os.path.relpath(full, os.path.dirname(home)))
+    sc.addPyFile(path)
+    _shipped.add(sc.applicationId)

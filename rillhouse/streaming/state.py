@@ -16,6 +16,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 
 from rillhouse.functions.times import DAY_MS, width_ms
+from rillhouse.session import ship
+
+
+def _keyed(slim: DataFrame, keys: list[str], processor: StatefulProcessor, schema, time: str) -> DataFrame:
+    """Rows that `processor` makes of `slim` by key; `time` carries the watermark on."""
+    ship(slim.sparkSession)
+    return slim.groupBy(*keys).transformWithState(processor, schema, "append", "eventTime", eventTimeColumnName=time)
 
 
 class FirstRow(StatefulProcessor):
@@ -52,9 +59,7 @@ def first_rows(stream: DataFrame, keys: list[Column], columns: list[str], order:
     rest = list(dict.fromkeys([time, *order, *columns]))
     forget = F.unix_millis(until) if until is not None else F.lit(None).cast("long")
     slim = stream.select(*named, *rest, forget.alias("until"))
-    grouped = slim.groupBy(*[f"k{i}" for i in range(len(keys))])
-    out = grouped.transformWithState(FirstRow(order), slim.schema, "append", "eventTime", eventTimeColumnName=time)
-    return out.select(*columns)
+    return _keyed(slim, [f"k{i}" for i in range(len(keys))], FirstRow(order), slim.schema, time).select(*columns)
 
 
 class Logins(StatefulProcessor):
@@ -91,7 +96,7 @@ def logins(stream: DataFrame) -> DataFrame:
     """(et, day, before) of first logins of a day, from (uid, et, seq) with a watermark on et."""
     slim = stream.select("uid", "et", "seq", day_number("et").alias("day"))
     schema = "uid string, et timestamp, seq long, day int, before int"
-    out = slim.groupBy("uid").transformWithState(Logins(), schema, "append", "eventTime", eventTimeColumnName="et")
+    out = _keyed(slim, ["uid"], Logins(), schema, "et")
     return out.select("et", F.date_from_unix_date("day").alias("day"), F.date_from_unix_date("before").alias("before"))
 
 
@@ -152,7 +157,7 @@ def least_so_far(stream: DataFrame, width: str) -> DataFrame:
     micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
     slim = stream.select("user_id", "et", micros("et").alias("et_us"), micros("create_time").alias("made"), day_number("create_time").alias("day"))
     kind = stream.schema["user_id"].dataType.simpleString()
-    return slim.groupBy("user_id").transformWithState(LeastSoFar(width_ms(width)), f"user_id {kind}, et timestamp, u int, n int", "append", "eventTime", eventTimeColumnName="et").select("et", "u", "n")
+    return _keyed(slim, ["user_id"], LeastSoFar(width_ms(width)), f"user_id {kind}, et timestamp, u int, n int", "et").select("et", "u", "n")
 
 
 class SeenSince(StatefulProcessor):
@@ -204,4 +209,4 @@ class SeenSince(StatefulProcessor):
 def seen_since(stream: DataFrame, keep: str | None) -> DataFrame:
     """(mid, et, ts, seq, day, is_new, value) with `is_new` repaired, from a stream with a watermark on et."""
     slim = stream.select("mid", "et", "ts", "seq", day_number("et").alias("day"), "is_new", "value")
-    return slim.groupBy("mid").transformWithState(SeenSince(width_ms(keep) if keep else None), slim.schema, "append", "eventTime", eventTimeColumnName="et")
+    return _keyed(slim, ["mid"], SeenSince(width_ms(keep) if keep else None), slim.schema, "et")
