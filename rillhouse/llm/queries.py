@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, fingerprint, jaccard, langid, manifest, mixing, pii, quality, secrets, simhash, spelling, toxicity, warc
@@ -28,12 +28,17 @@ def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.compare_edits(table(spark, sf_dir, "documents"))
 
 
+def _of_kind(spans: Column, kind: int) -> Column:
+    """How many spans are of a kind. (A second parameter of the lambda would be the place in the array.)"""
+    return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long")
+
+
 def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = secrets.scan(docs, secrets.train(secrets.labelled_samples(docs)))
     base, spans = F.col("secrets.base"), F.col("secrets.spans")
-    counts = [F.size(F.filter(base, lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{name}") for k, name in enumerate(secrets.KINDS[:3])]
-    added = F.size(F.filter(spans, lambda s: s["kind"] == 3)).cast("long").alias("n_markov")
+    counts = [_of_kind(base, k).alias(f"n_{name}") for k, name in enumerate(secrets.KINDS[:3])]
+    added = _of_kind(spans, 3).alias("n_markov")
     return found.select("doc_id", *counts, F.sha2(secrets.joined(base), 256).alias("base_sha256"), secrets.joined(spans).alias("spans"), added)
 
 
