@@ -528,7 +528,7 @@ _PAY_SQL = SQL["pay_detail"].replace("FROM detail LEFT", "FROM near LEFT").repla
 def stream_pay_detail(spark, d):
     """The interval join on streams."""
     log = _change_stream(spark, d, *ORDER_PARTS, "pay")
-    return _appended(spark, facts.pay_detail(log, facts.order_detail(log, "30 minutes"), fx.dic(spark)).where("id <> 'end'").drop("et"))
+    return _without_end(_appended(spark, facts.pay_detail(log, facts.order_detail(log, "30 minutes"), fx.dic(spark)).drop("et")))
 
 
 @query(SQL["refund_pay"])

@@ -18,7 +18,7 @@ def folder(tmp_path_factory):
     return path
 
 
-@pytest.mark.parametrize("name", ["stream_order_detail"])
+@pytest.mark.parametrize("name", ["stream_order_detail", "stream_pay_detail"])
 def test_last_rows_come_out(spark, folder, name):
     c = duckdb.connect()
     for t in ("customer", "part", "supplier", "nation", "region", "orders", "lineitem"):
