@@ -44,6 +44,18 @@ def first_rows(df: DataFrame, keys: list[Column], columns: list[str], order: tup
     return first.select(*[F.col(f"v.{c}").alias(c) for c in columns])
 
 
+def marked_first_of_day(df: DataFrame, user: str, delay: str = DELAY) -> DataFrame:
+    """All rows with `is_first`: whether one is its user's first of the day, by (et, seq); a null is a user.
+    On streams a day's rows come out once the watermark has closed the day."""
+    # the window must be the only event time of either side of the join: `et` is carried as a number
+    rows = watermarked(df, "et", delay).where("et IS NOT NULL")
+    rows = rows.select(F.window("et", "1 day").alias("w"), F.unix_micros(F.col("et").cast("timestamp")).alias("us"), *[c for c in df.columns if c != "et"])
+    first = rows.groupBy(F.col("w").alias("first_w"), F.col(user).alias("first_user")).agg(F.min(F.struct("us", "seq")).alias("first"))
+    met = rows.join(first, (F.col("w") == F.col("first_w")) & F.col(user).eqNullSafe(F.col("first_user")))
+    is_first = (F.col("us") == F.col("first.us")) & F.col("seq").eqNullSafe(F.col("first.seq"))
+    return met.withColumn("et", F.timestamp_micros("us").cast(df.schema["et"].dataType)).select(*df.columns, is_first.alias("is_first"))
+
+
 def stacked(parts: list[tuple[DataFrame, dict[str, Column]]], columns: list[str], measures: list[str]) -> DataFrame:
     """Rows of all parts: their `columns`, and each measure as the part says, else null."""
     rows = [df.select(*columns, *[given.get(m, F.lit(None)).cast("long").alias(m) for m in measures]) for df, given in parts]

@@ -387,12 +387,10 @@ def stream_upsert(spark, d):
     return keyed.read(spark, path).select("user_id", "seq", "last_type")
 
 
-@query("SELECT event_id AS seq, user_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id, CAST(ts AS DATE) ORDER BY ts, event_id) AS n FROM events WHERE event_type = 'purchase') WHERE n = 1")
+@query("SELECT event_id AS seq, user_id, row_number() OVER (PARTITION BY user_id, CAST(ts AS DATE) ORDER BY ts, event_id) = 1 AS is_first FROM events WHERE event_type = 'purchase'")
 def stream_first_of_day(spark, d):
-    """Each user's first purchase of a day, by the keyed state."""
-    rows = _event_stream(spark, d, "purchase").withWatermark("et", "1 millisecond")
-    first = windows.first_rows(rows, [F.col("user_id"), windows.day_of()], ["seq", "user_id"], until=windows.day_end())
-    return _appended(spark, first.where("seq >= 0"))
+    """Every purchase, marked if it is its user's first of the day."""
+    return _appended(spark, windows.marked_first_of_day(_event_stream(spark, d, "purchase"), "user_id").select("seq", "user_id", "is_first")).where("seq >= 0")
 
 
 @query("SELECT 'fact_order' AS sink_table, CAST(o_orderkey AS VARCHAR) AS id, 'insert' AS op_type FROM orders UNION ALL SELECT 'fact_comment', CAST(o_orderkey AS VARCHAR), 'insert' FROM orders WHERE o_orderkey % 5 = 0")
