@@ -558,7 +558,9 @@ _ODS_SQL = SQL["stream_sku_order_window"].replace("sum(total) AS t", "sum(CASE W
 @query(_ODS_SQL)
 def ods_sku_order_window(spark, d):
     """Raw JSON to order lines to sku windows; amounts that can't be read are left out of sums."""
-    log = topics.parse_changelog(_dirty(fx.changelog(spark, d, *ORDER_PARTS)))
+    stored_ = shared_path(spark, "dirty-changelog")
+    topics.store_changelog(_dirty(fx.changelog(spark, d, *ORDER_PARTS)), stored_)  # parsed once, not for each of the four tables
+    log = spark.read.schema(topics.CHANGELOG).parquet(stored_)
     return windows.sku_order_window(facts.order_detail(log).withColumn("seq", F.col("ts")), fx.wide_sku(spark, d), "1 hour")
 
 
@@ -605,13 +607,14 @@ def stream_dim_tables(spark, d):
     orders = fx.changelog(spark, d, "order")
     gone = orders.where(id_ % 14 == 0).select(F.replace("value", F.lit('"type":"insert"'), F.lit('"type":"delete"')).alias("value"))
     first, last = [orders.where(id_ % 2 == 0).unionByName(fx.changelog(spark, d, "comment")), orders.where(id_ % 2 == 1).unionByName(gone)], fx.changelog(spark, d, "cancel", "pay")
-    log = topics.parse_changelog(spark.readStream.schema("value string, seq int").option("maxFilesPerTrigger", 1).parquet(topic + "*"))
+    log = topics.parse_changelog(spark.readStream.schema("value string, seq int").parquet(topic + "*"))
 
     def run(batches: list[DataFrame], begun: int, rows: list[tuple]) -> None:
         spark.createDataFrame(rows, ROUTES).write.mode("overwrite").parquet(config)
         for n, batch in enumerate(batches):
-            batch.withColumn("seq", F.lit(begun + n)).coalesce(1).write.mode("append").parquet(topic)
-        dims.keep(log, lambda: topics.load_config(spark, config, "DIM"), fx.DATABASE, path, checkpoint, "seq")
+            # all files that are new are a batch: they are written by all tasks, not by one
+            batch.withColumn("seq", F.lit(begun + n)).write.mode("append").parquet(topic)
+            dims.keep(log, lambda: topics.load_config(spark, config, "DIM"), fx.DATABASE, path, checkpoint, "seq")
 
     def seen(stage: str, value: dict[str, str]) -> DataFrame:
         tables = dims.read(spark, path)
