@@ -25,27 +25,51 @@ def _keyed(slim: DataFrame, keys: list[str], processor: StatefulProcessor, schem
     return slim.groupBy(*keys).transformWithState(processor, schema, "append", "eventTime", eventTimeColumnName=time)
 
 
-class FirstRow(StatefulProcessor):
-    """The first row ever of a key, by `order` in a batch. `until` of the row, in milliseconds, is when
-    the key can be forgotten; null is never."""
+#: Into how many parts keys are dealt whose first rows are kept. A part's keys lie in one value: a batch
+#: reads and writes it once, whatever the number of its new keys, and few timers are needed.
+PARTS = 4096
+
+
+class FirstRows(StatefulProcessor):
+    """The first row ever of each key of a part, by `order` in a batch. `until` of the row, in milliseconds,
+    is when the key can be forgotten; null is never. Held are the keys and one row of each new one."""
 
     def __init__(self, order: tuple[str, ...]):
         self.order = order
 
     def init(self, handle) -> None:
-        self.handle, self.seen = handle, handle.getValueState("seen", "seen boolean")
+        self.handle = handle
+        self.seen = handle.getValueState("seen", "names array<string>, until array<long>")
+
+    def _known(self, now: int) -> dict[str, int | None]:
+        """The keys that are not to be forgotten yet."""
+        if not self.seen.exists():
+            return {}
+        names, until = self.seen.get()
+        return {k: u for k, u in zip(names, until, strict=True) if u is None or u > now}
+
+    def _keep(self, known: dict[str, int | None]) -> None:
+        if known:
+            self.seen.update((list(known), list(known.values())))
+        else:
+            self.seen.clear()
 
     def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        if self.seen.exists():
-            return
-        best = min(rows, key=lambda r: tuple(r[c] for c in self.order))
-        self.seen.update((True,))
-        if best["until"] is not None:
-            self.handle.registerTimer(best["until"])
-        yield best
+        known, best = self._known(timerValues.getCurrentWatermarkInMs()), {}
+        at = lambda r: tuple(r[c] for c in self.order)
+        for r in rows:
+            name = r["name"]
+            if name not in known and (name not in best or at(r) < at(best[name])):
+                best[name] = r
+        if best:
+            self._keep(known | {name: r["until"] for name, r in best.items()})
+            latest = lambda due: max((u for u in due if u is not None), default=0)
+            if (new := latest(r["until"] for r in best.values())) > latest(known.values()):
+                self.handle.registerTimer(new)
+        yield from best.values()
 
     def handleExpiredTimer(self, key: Any, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        self.seen.clear()
+        self._keep(self._known(expiredTimerInfo.getExpiryTimeInMs()))
         return iter(())
 
     def close(self) -> None:
@@ -55,11 +79,11 @@ class FirstRow(StatefulProcessor):
 def first_rows(stream: DataFrame, keys: list[Column], columns: list[str], order: tuple[str, ...], time: str, until: Column | None) -> DataFrame:
     """(columns) of the first row of each key. `time` is the column with the watermark; `until` is a
     timestamp after which no row of the key can come, or null."""
-    named = [k.alias(f"k{i}") for i, k in enumerate(keys)]
+    name = F.to_json(F.struct(*[k.cast("string").alias(f"k{i}") for i, k in enumerate(keys)]))
     rest = list(dict.fromkeys([time, *order, *columns]))
     forget = F.unix_millis(until) if until is not None else F.lit(None).cast("long")
-    slim = stream.select(*named, *rest, forget.alias("until"))
-    return _keyed(slim, [f"k{i}" for i in range(len(keys))], FirstRow(order), slim.schema, time).select(*columns)
+    slim = stream.select(F.pmod(F.xxhash64(name), F.lit(PARTS)).cast("int").alias("part"), name.alias("name"), *rest, forget.alias("until"))
+    return _keyed(slim, ["part"], FirstRows(order), slim.schema, time).select(*columns)
 
 
 class Logins(StatefulProcessor):
