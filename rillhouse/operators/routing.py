@@ -27,7 +27,8 @@ def routed(changelog: DataFrame, config: DataFrame, by_op: bool) -> DataFrame:
     on = F.col("table") == F.col("source_table")
     if by_op:
         on = on & ((F.col("source_type") == "ALL") | F.array_contains(F.split("source_type", ","), F.col("op_type")))
-    return rows.join(cfg, on).withColumn("data", keep_keys(F.col("data"), F.col("sink_columns")))
+    # a config is small; shuffled by the few names of tables, all changes of one would meet in one task
+    return rows.join(F.broadcast(cfg), on).withColumn("data", keep_keys(F.col("data"), F.col("sink_columns")))
 
 
 def dim_rows(changelog: DataFrame, config: DataFrame, database: str, seq: str) -> DataFrame:
