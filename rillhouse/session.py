@@ -6,6 +6,8 @@ import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
@@ -18,6 +20,29 @@ def session(name: str = "rillhouse", **conf: str) -> SparkSession:
     return SparkSession.builder.appName(name).config(map=defaults | conf).getOrCreate()
 
 
+@contextmanager
+def conf_set(spark: SparkSession, name: str, value) -> Iterator[None]:
+    """A setting of the session for a while."""
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
+#: Partitions that shuffles of batches are dealt into before adaptive plans put small ones together.
+FINE = 1024
+_FINE = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+
+
+def fine_partitions(spark: SparkSession) -> None:
+    """Where unset, let adaptive plans choose partitions by size from many small ones: a task's rows then
+    don't grow with the input, as they do with a fixed number of partitions."""
+    if spark.conf.get(_FINE, None) is None:
+        spark.conf.set(_FINE, FINE)
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
     """A new path in `spark.checkpoint.dir`; only where that is unset and Spark runs on one machine, in
     a local temporary folder."""

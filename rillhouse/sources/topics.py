@@ -4,8 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+from rillhouse.session import conf_set
 
 CHANGELOG = "database string, `table` string, type string, ts bigint, data map<string,string>, old map<string,string>"
+#: Files that a task writing a changelog keeps open, and bytes of their row groups.
+OPEN_FILES, ROW_GROUP = 16, 16 * 1024 * 1024
 LOG = "common map<string,string>, start map<string,string>, page map<string,string>, err map<string,string>, displays array<map<string,string>>, actions array<map<string,string>>, ts bigint"
 
 
@@ -20,8 +25,11 @@ def read_raw(spark: SparkSession, source: str, stream: bool = False, servers: st
 
 
 def _parsed(raw: DataFrame, schema: str, must: Column) -> DataFrame:
+    # a generator: filters on fields of a parsed struct would be put below it, and parse each row again for each field
     rest = [c for c in raw.columns if c != "value"]
-    return raw.select(F.from_json("value", schema, {"mode": "PERMISSIVE"}).alias("r"), *rest).select("r.*", *rest).where(must)
+    fields = F.inline(F.array(F.from_json("value", schema, {"mode": "PERMISSIVE"})))
+    names = StructType.fromDDL(schema).names
+    return raw.select(fields, *rest).select(*[f"`{c}`" for c in names], *rest).where(must)
 
 
 def parse_changelog(raw: DataFrame) -> DataFrame:
@@ -31,10 +39,13 @@ def parse_changelog(raw: DataFrame) -> DataFrame:
 
 def store_changelog(raw: DataFrame, path: str, by_day: bool = False) -> None:
     """Parse a changelog once and write it as columns, a folder for each table (and day): jobs then
-    read only their tables, and no JSON."""
+    read only their tables, and no JSON. A task keeps a file open for each of a few tables rather than
+    sort its rows by table; row groups are small, so that large files are read by many tasks."""
     rows = parse_changelog(raw)
     rows = rows.withColumn("day", F.to_date(F.timestamp_seconds("ts"))) if by_day else rows
-    rows.write.option("partitionOverwriteMode", "static").mode("overwrite").partitionBy(*["table", "day"][: 1 + by_day]).parquet(path)
+    writer = rows.write.option("partitionOverwriteMode", "static").option("parquet.block.size", ROW_GROUP).mode("overwrite")
+    with conf_set(raw.sparkSession, "spark.sql.maxConcurrentOutputFileWriters", OPEN_FILES):
+        writer.partitionBy(*["table", "day"][: 1 + by_day]).parquet(path)
 
 
 def parse_log(raw: DataFrame) -> DataFrame:

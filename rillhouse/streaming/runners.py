@@ -6,14 +6,13 @@ session's setting; that is put back once the query has started."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-from contextlib import contextmanager
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
-from rillhouse.session import ROCKSDB
+from rillhouse.session import ROCKSDB, conf_set
 from rillhouse.sources import topics
 
 from . import keyed
@@ -21,20 +20,10 @@ from . import keyed
 _PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 
 
-@contextmanager
-def _rocksdb(spark: SparkSession) -> Iterator[None]:
-    before = spark.conf.get(_PROVIDER, None)
-    spark.conf.set(_PROVIDER, ROCKSDB)
-    try:
-        yield
-    finally:
-        spark.conf.unset(_PROVIDER) if before is None else spark.conf.set(_PROVIDER, before)
-
-
 def _start(stream: DataFrame, writer: DataStreamWriter, checkpoint: str, every: str | None) -> StreamingQuery:
     writer = writer.outputMode("append").option("checkpointLocation", checkpoint)
     writer = writer.trigger(availableNow=True) if every is None else writer.trigger(processingTime=every)
-    with _rocksdb(stream.sparkSession):
+    with conf_set(stream.sparkSession, _PROVIDER, ROCKSDB):
         query = writer.start()
     if every is None:
         query.awaitTermination()
