@@ -486,8 +486,8 @@ def stream_repair_is_new(spark, d):
 
 
 def _change_stream(spark: SparkSession, d: str, *parts: str) -> DataFrame:
-    topic = fx.topic_of_files(spark, fx.changelog(spark, d, *parts), fx.closing_changes())
-    return topics.parse_changelog(topics.read_raw(spark, topic, stream=True))
+    topic = fx.topic_of_files(spark, d, fx.changelog(spark, d, *parts), fx.closing_changes())
+    return topics.parse_changelog(topics.read_raw(spark, topic, stream=True, files=fx.BATCH_FILES))
 
 
 def _without_end(rows: DataFrame) -> DataFrame:
@@ -567,8 +567,8 @@ def ods_sku_order_window(spark, d):
 @query(_ODS_SQL)
 def stream_ods_to_dws(spark, d):
     """The same on streams: raw topic, joins, a topic of facts as JSON, and its windows."""
-    raw = fx.topic_of_files(spark, _dirty(fx.changelog(spark, d, *ORDER_PARTS)), fx.closing_changes())
-    lines = facts.order_detail(topics.parse_changelog(topics.read_raw(spark, raw, stream=True)), "30 minutes").drop("et")
+    raw = fx.topic_of_files(spark, d, _dirty(fx.changelog(spark, d, *ORDER_PARTS)), fx.closing_changes())
+    lines = facts.order_detail(topics.parse_changelog(topics.read_raw(spark, raw, stream=True, files=fx.BATCH_FILES)), "30 minutes").drop("et")
     typed = _through_topic(spark, lines)
     return _appended(spark, windows.sku_order_window(typed.withColumn("seq", F.col("ts")), fx.wide_sku(spark, d), "1 hour"))
 

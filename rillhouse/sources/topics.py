@@ -14,12 +14,12 @@ OPEN_FILES, ROW_GROUP = 16, 16 * 1024 * 1024
 LOG = "common map<string,string>, start map<string,string>, page map<string,string>, err map<string,string>, displays array<map<string,string>>, actions array<map<string,string>>, ts bigint"
 
 
-def read_raw(spark: SparkSession, source: str, stream: bool = False, servers: str | None = None) -> DataFrame:
+def read_raw(spark: SparkSession, source: str, stream: bool = False, servers: str | None = None, files: int | None = None) -> DataFrame:
     """A topic as strings in `value`, from its start and committed records only; with no servers,
-    `source` is a folder of text files with a record a line."""
+    `source` is a folder of text files with a record a line, of which a stream takes so many a batch."""
     reader = spark.readStream if stream else spark.read
     if servers is None:
-        return reader.format("text").load(source)
+        return (reader.option("maxFilesPerTrigger", files) if stream and files else reader).format("text").load(source)
     options = {"kafka.bootstrap.servers": servers, "subscribe": source, "startingOffsets": "earliest", "kafka.isolation.level": "read_committed"}
     return reader.format("kafka").options(**options).load().select(F.col("value").cast("string").alias("value"), "offset")
 

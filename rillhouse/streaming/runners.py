@@ -18,12 +18,15 @@ from rillhouse.sources import topics
 from . import keyed
 
 _PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+#: Batches whose state is kept: a restart needs the last two. (The engine's default of 100 keeps the disk of state
+#: long after its rows are gone.)
+_RETAINED, BATCHES = "spark.sql.streaming.minBatchesToRetain", 2
 
 
 def _start(stream: DataFrame, writer: DataStreamWriter, checkpoint: str, every: str | None) -> StreamingQuery:
     writer = writer.outputMode("append").option("checkpointLocation", checkpoint)
     writer = writer.trigger(availableNow=True) if every is None else writer.trigger(processingTime=every)
-    with conf_set(stream.sparkSession, _PROVIDER, ROCKSDB):
+    with conf_set(stream.sparkSession, _PROVIDER, ROCKSDB), conf_set(stream.sparkSession, _RETAINED, BATCHES):
         query = writer.start()
     if every is None:
         query.awaitTermination()
@@ -46,9 +49,9 @@ def rows(spark: SparkSession, path: str, schema) -> DataFrame:
 
 def append_topic(stream: DataFrame, target: str, checkpoint: str, servers: str | None = None, every: str | None = None, topic: str | None = None) -> StreamingQuery:
     """Append rows as JSON: to topic `target` of a broker (or, with `topic`, to the topic that this column
-    names), or, with no servers, to a folder of text files, each row once."""
+    names), or, with no servers, to a folder of compressed text files, each row once."""
     if servers is None:
-        return _start(stream, topics.as_json(stream).writeStream.format("text").option("path", target), checkpoint, every)
+        return _start(stream, topics.as_json(stream).writeStream.format("text").option("compression", "gzip").option("path", target), checkpoint, every)
     out = topics.as_json(stream, topic=F.col(topic) if topic else None).writeStream.format("kafka").option("kafka.bootstrap.servers", servers)
     return _start(stream, out if topic else out.option("topic", target), checkpoint, every)
 
