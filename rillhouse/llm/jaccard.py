@@ -13,6 +13,10 @@ group. First every row of a group is searched against its pivot alone, so that a
 becomes a star and is never expanded into pairs. Distances are a metric, so what is left to search
 in a group are the rows that are not linked with the pivot, and those that are, only where some row
 lies within twice the distance. These are searched in blocks of bounded size.
+
+Before any text is sent to be searched, sketches meet in its place: a sketch holds the parity of a set's
+shingles by hash, so that two of them never differ in more bits than their sets do in shingles. Rows that
+share a shingle by chance, which grow faster than the documents, are told apart by these few bytes.
 """
 
 from __future__ import annotations
@@ -20,7 +24,7 @@ from __future__ import annotations
 from bisect import bisect_left
 from collections.abc import Callable, Iterator
 from heapq import heapify, heappop, heappush
-from math import log, log2
+from math import log2
 
 import numpy as np
 import pyarrow as pa
@@ -141,6 +145,61 @@ def index_prefix(n: int, percent: int) -> int:
     return n - -(-2 * percent * n // (100 + percent)) + 1
 
 
+#: Rows of a block of sketches, and shingles that these stand for, about.
+SKETCH_ROWS, SKETCH_BLOCK = 1 << 13, 1 << 24
+
+
+def sketch(x: np.ndarray) -> bytes:
+    """The parity of a set's shingles by their low bits: one to two bits for each shingle, 64 at least."""
+    bits = max(64, 1 << len(x).bit_length())
+    odd = np.bincount((x & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def apart(a: bytes, b: bytes) -> int:
+    """In how many shingles two sets differ at least, by their sketches. The longer one is folded."""
+    a, b = (a, b) if len(a) <= len(b) else (b, a)
+    x, size = int.from_bytes(b, "little"), 8 * len(b)
+    while size > 8 * len(a):
+        size //= 2
+        x = (x >> size) ^ (x & ((1 << size) - 1))
+    return (x ^ int.from_bytes(a, "little")).bit_count()
+
+
+def may_reach(differ, n, percent: int):
+    """Whether sets of `n` shingles together can be similar by `percent`, if they differ in so many."""
+    return differ * (100 + percent) <= (100 - percent) * n
+
+
+def met(n: np.ndarray, asks: np.ndarray, sketches: list[bytes], percent: int) -> np.ndarray:
+    """Of some rows those with another one that may be similar by `percent`, one of the two asking."""
+    order = np.argsort(n, kind="stable")
+    n, asks, found = n[order], asks[order], np.zeros(len(n), bool)
+    widths = np.array([len(sketches[i]) for i in order])
+    starts = np.flatnonzero(np.append(True, widths[1:] != widths[:-1]))
+    ends = np.append(starts[1:], len(n))
+    rows = [np.frombuffer(b"".join(sketches[i] for i in order[low:high]), np.uint64).reshape(high - low, -1) for low, high in zip(starts, ends, strict=True)]
+    last = np.searchsorted(n, 100 * n // percent, side="right")
+    for k, (low, high) in enumerate(zip(starts, ends, strict=True)):
+        # sets of a fitting size have sketches of the same length or, folded once, of the next
+        sides = [(low, rows[k])]
+        if k + 1 < len(rows) and rows[k + 1].shape[1] == 2 * rows[k].shape[1]:
+            half = rows[k].shape[1]
+            sides.append((high, rows[k + 1][:, :half] ^ rows[k + 1][:, half:]))
+        for r in range(low, high):
+            own = rows[k][r - low]
+            for begin, side in sides:
+                a, b = max(begin, r + 1), min(begin + len(side), last[r])
+                if a < b:
+                    differ = np.bitwise_count(side[a - begin : b - begin] ^ own).sum(axis=1, dtype=np.int64)
+                    hit = may_reach(differ, n[a:b] + n[r], percent) & (asks[a:b] | asks[r])
+                    found[a:b] |= hit
+                    found[r] |= hit.any()
+    out = np.empty(len(n), bool)
+    out[order] = found
+    return out
+
+
 class Index:
     """Inverted lists over some sets of shingles."""
 
@@ -253,7 +312,7 @@ def _key(text: str) -> Column:
 
 def classes(docs: DataFrame, doc_id: str, text: str, percent: int, k: int) -> DataFrame:
     """A row for each distinct text: c (a number), key, rep (its least id), n_docs, n (its
-    shingles), cold (how many of them are not frequent), prefix (its first ones, rare ones first)."""
+    shingles), cold (how many of them are not frequent), prefix (its first ones, rare ones first), sketch."""
     spark = docs.sparkSession
     total = docs.count()
     tokens, counts = frequent(docs, text, k)
@@ -264,21 +323,22 @@ def classes(docs: DataFrame, doc_id: str, text: str, percent: int, k: int) -> Da
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, rank, hot = shared.value
         for batch in batches:
-            n, cold, ends, parts = [], [], [0], [np.zeros(0, np.uint64)]
+            n, cold, sketches, ends, parts = [], [], [], [0], [np.zeros(0, np.uint64)]
             for x in shingle_sets(batch.column("text"), k):
                 at = np.minimum(np.searchsorted(known, x), max(0, len(known) - 1))
                 often = known[at] == x if len(known) else np.zeros(len(x), bool)
                 late = x[often][np.argsort(rank[at[often]])]
                 parts.append(np.concatenate((x[~often], late))[: prefix(len(x), percent) if len(x) else 0])
                 n.append(len(x))
+                sketches.append(sketch(x))
                 cold.append(len(x) - int(hot[at[often]].sum()) if len(known) else len(x))
                 ends.append(ends[-1] + len(parts[-1]))
             first = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(parts).view(np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), pa.array(n, pa.int32()), pa.array(cold, pa.int32()), first], ["doc_id", "key", "n", "cold", "prefix"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), pa.array(n, pa.int32()), pa.array(cold, pa.int32()), pa.array(sketches, pa.binary()), first], ["doc_id", "key", "n", "cold", "sketch", "prefix"])
 
     slim = docs.select(F.col(doc_id).cast("long").alias("doc_id"), _key(text).alias("key"), F.col(text).alias("text"))
-    rows = slim.mapInArrow(run, "doc_id long, key binary, n int, cold int, prefix array<long>")
-    each = rows.groupBy("key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n_docs"), *[F.first(x).alias(x) for x in ("n", "cold", "prefix")])
+    rows = slim.mapInArrow(run, "doc_id long, key binary, n int, cold int, sketch binary, prefix array<long>")
+    each = rows.groupBy("key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n_docs"), *[F.first(x).alias(x) for x in ("n", "cold", "sketch", "prefix")])
     return materialize(each.withColumn("c", F.monotonically_increasing_id()), "jaccard-classes")
 
 
@@ -314,8 +374,6 @@ def members(found: DataFrame, percent: int) -> DataFrame:
 # --- searches
 
 
-#: Steps of size that a similar set may be away.
-_STEPS = 4
 #: What a row is in its group: not searched against the pivot or too far from it, within twice the
 #: distance of a link, or linked with it.
 _FAR, _RING, _LINKED = 0, 1, 2
@@ -325,11 +383,11 @@ _HIT = "g long, c long, other long, overlap int, n int, n_other int"
 _TURN = "g: long, i: int, j: int, side: int, asks: boolean, state: int"
 
 
-def placed(rows: DataFrame) -> DataFrame:
+def placed(rows: DataFrame, blocks: Column) -> DataFrame:
     """`rows` (g, c, n, asks, pivot, state) once for each unit (g, i, j) that they take part in. Rows of a
-    group are cut in blocks; with a pivot in the group, each block meets it in a unit of its own, else
+    group are cut in so many `blocks`; with a pivot in the group, each block meets it in a unit of its own, else
     each pair of blocks (i <= j) has one. `side`: 0 for block i, 1 for block j or the pivot."""
-    sizes = rows.groupBy("g").agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("b"), F.max("pivot").alias("star"), F.count("*").alias("m"), F.count_if("asks").alias("a"))
+    sizes = rows.groupBy("g").agg(F.ceil(blocks).cast("int").alias("b"), F.max("pivot").alias("star"), F.count("*").alias("m"), F.count_if("asks").alias("a"))
     sizes = materialize(sizes.where("a > 0 and m > 1").select("g", "b", "star", F.col("m").alias("n")), "jaccard-sizes")
     own = F.pmod(F.xxhash64("c"), "b").cast("int")
     turn = lambda i, j, side: F.struct(i.cast("int").alias("i"), j.cast("int").alias("j"), side.cast("int").alias("side"))
@@ -408,7 +466,7 @@ def search(units: DataFrame, k: int, percent: int, spanning: bool) -> DataFrame:
 def shipped(docs: DataFrame, found: DataFrame, rows: DataFrame) -> DataFrame:
     """The texts (g, i, j, asks, c, state, text) of `rows` (see `placed`), read again from `docs` (doc_id,
     text): one row of each class goes to all its blocks."""
-    turns = placed(rows).groupBy("c").agg(F.collect_list(F.struct("g", "i", "j", "side", "asks", "state")).alias("turns"))
+    turns = placed(rows, F.sum("n") / BLOCK).groupBy("c").agg(F.collect_list(F.struct("g", "i", "j", "side", "asks", "state")).alias("turns"))
     side = materialize(found.select("c", "key", "rep").join(turns, "c"), "jaccard-turns")
     side = F.broadcast(side) if side.count() <= BROADCAST_ROWS else side
     texts = docs.select(_key("text").alias("key"), "doc_id", "text").join(side, "key").where(F.col("doc_id").eqNullSafe(F.col("rep")))
@@ -427,28 +485,67 @@ def shipped(docs: DataFrame, found: DataFrame, rows: DataFrame) -> DataFrame:
     return kept.select("c", "text", F.explode("turns").alias("e")).select("e.g", "e.i", "e.j", "e.side", "e.asks", "c", "e.state", "text")
 
 
+def near_pivots(groups: DataFrame, found: DataFrame, percent: int) -> DataFrame:
+    """Rows of `groups` whose sketches allow c and g to be similar by `percent`."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, n_g, a, b = (batch.column(i).to_pylist() for i in range(2, 6))
+            keep = [may_reach(apart(x, y), m + m_g, percent) for m, m_g, x, y in zip(n, n_g, a, b, strict=True)]
+            yield batch.select(["g", "c", "n", "n_g"]).filter(pa.array(keep, pa.bool_()))
+
+    slim = found.select("c", "sketch")
+    pivots = groups.groupBy("g").agg(F.count("*").alias("m")).join(slim.select(F.col("c").alias("g"), F.col("sketch").alias("sketch_g")), "g")
+    both = spread_join(groups, materialize(pivots, "jaccard-pivots"), "g", "m").join(slim, "c")
+    return both.select("g", "c", "n", "n_g", "sketch", "sketch_g").mapInArrow(run, "g long, c long, n int, n_g int")
+
+
+def beside(rows: DataFrame, found: DataFrame, percent: int) -> DataFrame:
+    """`rows` (g, c, n, asks, pivot, state) that have another in their group whose sketch allows the two to be
+    similar by `percent`, one of them asking."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("g", pa.int64()), ("c", pa.int64())])
+        unit, held = None, []
+
+        def kept() -> pa.RecordBatch:
+            c, n, asks, sketches = zip(*held, strict=True)
+            some = met(np.array(n, np.int64), np.array(asks, bool), list(sketches), percent)
+            out = np.array(c, np.int64)[some]
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(out), unit[0], np.int64)), pa.array(out)], schema=schema)
+
+        for batch in batches:
+            for *now, c, n, asks, own in zip(*(column.to_pylist() for column in batch.columns), strict=True):
+                if tuple(now) != unit:
+                    if held:
+                        yield kept()
+                    unit, held = tuple(now), []
+                held.append((c, n, asks, own))
+        if held:
+            yield kept()
+
+    units = placed(rows, F.count("*") / SKETCH_ROWS + F.sum("n") / SKETCH_BLOCK).join(found.select("c", "n", "sketch"), "c")
+    units = units.select("g", "i", "j", "c", "n", "asks", "sketch").repartition("g", "i", "j").sortWithinPartitions("g", "i", "j")
+    return rows.join(units.mapInArrow(run, "g long, c long").distinct(), ["g", "c"], "left_semi")
+
+
 def links(docs: DataFrame, found: DataFrame, percent: int, k: int) -> DataFrame:
     """Edges (c, other) whose connected components are those of all similar pairs of classes."""
     groups = materialize(members(found, percent), "jaccard-groups")
-    yes, no = F.lit(True), F.lit(False)
+    yes, no, wide = F.lit(True), F.lit(False), 2 * percent - 100
     # each row against its pivot
-    near = groups.where("near").withColumn("state", F.lit(_FAR))
+    near = materialize(near_pivots(groups.where("near").select("g", "c", "n", "n_g"), found, wide), "jaccard-near").withColumn("state", F.lit(_FAR))
     star = near.select("g", "c", "n", yes.alias("asks"), no.alias("pivot"), "state").unionByName(near.groupBy("g").agg(F.first("n_g").alias("n"), F.first("state").alias("state")).select("g", F.col("g").alias("c"), "n", no.alias("asks"), yes.alias("pivot"), "state"))
     linked = F.col("overlap") * 100 >= F.lit(percent) * (F.col("n") + F.col("n_other") - F.col("overlap"))
-    hits = search(shipped(docs, found, star), k, 2 * percent - 100, False)
+    hits = search(shipped(docs, found, star), k, wide, False)
     hits = materialize(hits.select("g", "c", F.when(linked, _LINKED).otherwise(_RING).alias("state")).distinct(), "jaccard-star")
     # what is left of the groups: rows linked with the pivot stay only where there is a ring
     rings = hits.where(F.col("state") == _RING).select("g").distinct().withColumn("ringed", yes)
     state, asks = F.coalesce("state", F.lit(_FAR)), F.coalesce("state", F.lit(_FAR)) != _LINKED
     rest = groups.where("mate").select("g", "c", "n").join(hits, ["g", "c"], "left").join(rings, "g", "left").where(asks | F.col("ringed").isNotNull())
-    rest = materialize(rest.select("g", "c", "n", state.alias("state"), asks.alias("asks")), "jaccard-rest")
-    # of these, the rows that have another of a fitting size beside them, and one of the two asks
-    step = F.floor(F.log(F.col("n").cast("double")) / F.lit(log(100 / percent) * (1 + 1e-6) / _STEPS)).cast("int")
-    rest = rest.withColumn("step", step)
-    per = rest.groupBy("g", "step").agg(F.count("*").alias("m"), F.count_if("asks").alias("a"))
-    around = per.select("g", F.explode(F.transform(F.sequence(F.lit(-_STEPS), F.lit(_STEPS)), lambda x: F.col("step") + x)).alias("step"), "m", "a")
-    fit = around.groupBy("g", "step").agg(F.sum("m").alias("m"), F.sum("a").alias("a")).where("m > 1 and a > 0").select("g", "step")
-    rest = rest.join(fit, ["g", "step"], "left_semi").select("g", "c", "n", "state", "asks", no.alias("pivot"))
+    rest = materialize(rest.select("g", "c", "n", state.alias("state"), asks.alias("asks"), no.alias("pivot")), "jaccard-rest")
+    # of these, the rows that may be similar to another
+    rest = materialize(beside(rest, found, percent), "jaccard-beside")
     more = search(shipped(docs, found, rest), k, percent, True).select("c", "other")
     return hits.where(F.col("state") == _LINKED).select("c", F.col("g").alias("other")).unionByName(more).distinct()
 

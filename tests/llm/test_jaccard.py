@@ -120,3 +120,41 @@ def test_odd_rows(spark):
     check(spark, rows)
     none = spark.createDataFrame([], "doc_id long, text string")
     assert jaccard.similar_groups(none).count() == 0
+
+
+def test_sketches_never_differ_more_than_sets():
+    rng = np.random.default_rng(3)
+    base = jaccard._mixed(np.arange(5000, dtype=np.uint64))
+    for size in (0, 1, 3, 40, 63, 64, 65, 127, 128, 900, 1100, 3000):
+        for other in (size, max(0, size - 1), int(size * 0.86), size // 2, 5):
+            a, b = base[:size], np.sort(rng.permutation(base[: max(size, other)])[:other])
+            differ = len(np.setxor1d(a, b))
+            assert jaccard.apart(jaccard.sketch(a), jaccard.sketch(b)) <= differ and jaccard.apart(jaccard.sketch(b), jaccard.sketch(a)) <= differ
+    sets = [np.sort(rng.permutation(base[k : k + 140])[: rng.integers(1, 140)]) for k in rng.integers(0, 600, 150)]
+    for percent in (51, 85, 99):
+        asks = rng.random(150) < 0.5
+        got = jaccard.met(np.array([len(x) for x in sets]), asks, [jaccard.sketch(x) for x in sets], percent)
+        for i, x in enumerate(sets):
+            similar = any((asks[i] or asks[j]) and 100 * len(np.intersect1d(x, y)) >= percent * len(np.union1d(x, y)) for j, y in enumerate(sets) if j != i)
+            assert got[i] or not similar
+    # unrelated sets of any size are told apart
+    for n in (20, 60, 200, 1000, 20000):
+        own = [jaccard._mixed(np.arange(k * n, (k + 1) * n, dtype=np.uint64)) for k in range(20)]
+        assert jaccard.met(np.full(20, n), np.ones(20, bool), [jaccard.sketch(x) for x in own], 85).sum() == 0
+
+
+def test_texts_that_share_shingles_by_chance_are_not_sent(spark, monkeypatch):
+    rng, sent = random.Random(8), []
+    # every text has a few of the same passages and is otherwise its own
+    rows = [(i, " ".join(f"p{p} p{p}a p{p}b p{p}c " + " ".join(f"w{rng.randint(0, 10**6)}" for _ in range(6)) for p in rng.sample(range(12), 5))) for i in range(120)]
+    rows += list(near_copies(rng, 6, 60, 1, 1000))
+    plainly = jaccard.shipped
+
+    def counted(*args):
+        out = jaccard.materialize(plainly(*args), "test-sent")
+        sent.append(out.where("length(text) > 0").select("text").distinct().count())
+        return out
+
+    monkeypatch.setattr(jaccard, "shipped", counted)
+    check(spark, rows)
+    assert max(sent) <= 6
