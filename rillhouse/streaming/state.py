@@ -1,14 +1,18 @@
-"""Keyed state of streams, in the engine's own state store (RocksDB): a value or a small map for each
-key, found by key alone, so that a batch costs by its rows and not by the keys ever seen. State ends by
-event time: where the watermark makes a key's further rows late anyway, its timer takes the state away.
+"""Keyed state of streams, in the engine's own state store (RocksDB). Every call from Python to the store
+costs as much as dozens of rows, so keys are dealt into parts and a part's state is one value, read and
+written once a batch; only logins have a small map for each key. State ends by event time: where the
+watermark makes a key's further rows late anyway, a timer takes the state away.
 
-Each processor holds little for a key at a time, however many rows a batch has of it. Rows later than
+Each processor holds little for a key at a time, however many rows a batch has of it (but for a device's
+first batch, see `SeenSince`). Rows later than
 the watermark are dropped before they get here. Order within a batch is by time, between batches by
 arrival."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import groupby
+from operator import itemgetter
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, Row
@@ -25,17 +29,21 @@ def _keyed(slim: DataFrame, keys: list[str], processor: StatefulProcessor, schem
     return slim.groupBy(*keys).transformWithState(processor, schema, "append", "eventTime", eventTimeColumnName=time)
 
 
-#: Into how many parts keys are dealt whose first rows are kept. A part's keys lie in one value: a batch
-#: reads and writes it once, whatever the number of its new keys, and few timers are needed.
+#: Into how many parts keys are dealt. A part's keys lie in one value: a batch reads and writes it once,
+#: whatever the number of its keys, and few timers are needed.
 PARTS = 4096
 
 
+def part_of(key: Column) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(PARTS)).cast("int").alias("part")
+
+
 class FirstRows(StatefulProcessor):
     """The first row ever of each key of a part, by `order` in a batch. `until` of the row, in milliseconds,
     is when the key can be forgotten; null is never. Held are the keys and one row of each new one."""
 
-    def __init__(self, order: tuple[str, ...]):
-        self.order = order
+    def __init__(self, columns: list[str], order: tuple[str, ...]):
+        self.name, self.until, self.order = columns.index("name"), columns.index("until"), [columns.index(c) for c in order]
 
     def init(self, handle) -> None:
         self.handle = handle
@@ -56,15 +64,15 @@ class FirstRows(StatefulProcessor):
 
     def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues) -> Iterator[Row]:
         known, best = self._known(timerValues.getCurrentWatermarkInMs()), {}
-        at = lambda r: tuple(r[c] for c in self.order)
+        at, i, until = itemgetter(*self.order), self.name, self.until
         for r in rows:
-            name = r["name"]
+            name = r[i]
             if name not in known and (name not in best or at(r) < at(best[name])):
                 best[name] = r
         if best:
-            self._keep(known | {name: r["until"] for name, r in best.items()})
+            self._keep(known | {name: r[until] for name, r in best.items()})
             latest = lambda due: max((u for u in due if u is not None), default=0)
-            if (new := latest(r["until"] for r in best.values())) > latest(known.values()):
+            if (new := latest(r[until] for r in best.values())) > latest(known.values()):
                 self.handle.registerTimer(new)
         yield from best.values()
 
@@ -82,8 +90,8 @@ def first_rows(stream: DataFrame, keys: list[Column], columns: list[str], order:
     name = F.to_json(F.struct(*[k.cast("string").alias(f"k{i}") for i, k in enumerate(keys)]))
     rest = list(dict.fromkeys([time, *order, *columns]))
     forget = F.unix_millis(until) if until is not None else F.lit(None).cast("long")
-    slim = stream.select(F.pmod(F.xxhash64(name), F.lit(PARTS)).cast("int").alias("part"), name.alias("name"), *rest, forget.alias("until"))
-    return _keyed(slim, ["part"], FirstRows(order), slim.schema, time).select(*columns)
+    slim = stream.select(part_of(name), name.alias("name"), *rest, forget.alias("until"))
+    return _keyed(slim, ["part"], FirstRows(slim.columns, order), slim.schema, time).select(*columns)
 
 
 class Logins(StatefulProcessor):
@@ -125,51 +133,55 @@ def logins(stream: DataFrame) -> DataFrame:
 
 
 class LeastSoFar(StatefulProcessor):
-    """Windows in which a user has a row whose `made` is the least so far, of its day and ever, by `et`,
-    rows of one `et` together. Each window is reported once for either kind. Kept are the least ever,
-    the least of each day, and what was reported of windows that the watermark has not closed."""
+    """Windows in which a user of a part has a row whose `made` is the least so far, of its day and ever,
+    by `et`, rows of one `et` together. Each window is reported once for either kind. Kept are a user's
+    least ever, the least of each day, and what was reported of windows that the watermark has not closed."""
 
     def __init__(self, width_ms: int):
         self.width = width_ms
 
     def init(self, handle) -> None:
-        self.least = handle.getValueState("least", "made long")
-        self.days = handle.getMapState("days", "day int", "made long")
-        self.told = handle.getMapState("told", "start long", "kinds int")
+        users, days, told = "users array<string>, least array<long>", "day_of array<int>, day array<int>, made array<long>", "told_of array<int>, start array<long>, kinds array<int>"
+        self.kept = handle.getValueState("kept", f"{users}, {days}, {told}")
+
+    def _known(self) -> tuple[dict[str, int], dict[tuple[str, int], int], dict[tuple[str, int], int]]:
+        """The least of a user, of a user's day, and the kinds reported of a user's window."""
+        if not self.kept.exists():
+            return {}, {}, {}
+        users, least, day_of, day, made, told_of, start, kinds = self.kept.get()
+        days = {(users[i], d): m for i, d, m in zip(day_of, day, made, strict=True)}
+        return dict(zip(users, least, strict=True)), days, {(users[i], s): k for i, s, k in zip(told_of, start, kinds, strict=True)}
 
     def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        at: dict[int, dict[int, int]] = {}  # by et: the least of each day
+        at: dict[tuple[str, int, int], int] = {}  # by user, et and day: the least
         when: dict[int, Any] = {}
-        for r in rows:
-            days = at.setdefault(r["et_us"], {})
-            days[r["day"]] = min(r["made"], days.get(r["day"], r["made"]))
-            when.setdefault(r["et_us"], r["et"])
-        least, told = (self.least.get()[0] if self.least.exists() else None), {}
-        found: dict[int, int] = {}
-        for us in sorted(at):
-            start, hits = us // 1000 // self.width * self.width, 0
-            for day, made in at[us].items():
-                if day not in found:
-                    found[day] = self.days.getValue((day,))[0] if self.days.containsKey((day,)) else made
-                found[day] = min(found[day], made)
-                hits |= made == found[day]
-            low = min(at[us].values())
-            least = low if least is None else min(least, low)
-            hits |= 2 * (low == least)
-            if start not in told:
-                told[start] = self.told.getValue((start,))[0] if self.told.containsKey((start,)) else 0
-            new = hits & ~told[start]
+        for _, user, et, us, made, day in rows:
+            one = (user, us, day)
+            if one not in at or made < at[one]:
+                at[one] = made
+            when.setdefault(us, et)
+        if not at:
+            return
+        least, days, told = self._known()
+        hit = Row("et", "u", "n")
+        for (user, us), group in groupby(sorted(at), key=itemgetter(0, 1)):
+            start, hits, low = us // 1000 // self.width * self.width, 0, None
+            for one in group:
+                made, day = at[one], (user, one[2])
+                days[day] = min(days.get(day, made), made)
+                hits |= made == days[day]
+                low = made if low is None else min(low, made)
+            least[user] = min(least.get(user, low), low)
+            hits |= 2 * (low == least[user])
+            new = hits & ~told.get((user, start), 0)
             if new:
-                told[start] |= new
-                yield Row(user_id=key[0], et=when[us], u=new & 1, n=new >> 1)
-        self.least.update((least,))
-        for day, made in found.items():
-            self.days.updateValue((day,), (made,))
-        for start, kinds in told.items():
-            self.told.updateValue((start,), (kinds,))
-        closed = [k[0] for k in self.told.keys() if k[0] + self.width <= timerValues.getCurrentWatermarkInMs()]
-        for start in closed:
-            self.told.removeKey((start,))
+                told[(user, start)] = told.get((user, start), 0) | new
+                yield hit(when[us], new & 1, new >> 1)
+        now = timerValues.getCurrentWatermarkInMs()
+        told = {k: v for k, v in told.items() if k[1] + self.width > now}
+        place = {user: i for i, user in enumerate(least)}
+        of = lambda known: ([place[user] for user, _ in known], [x for _, x in known], list(known.values()))
+        self.kept.update((list(least), list(least.values()), *of(days), *of(told)))
 
     def close(self) -> None:
         pass
@@ -179,13 +191,14 @@ def least_so_far(stream: DataFrame, width: str) -> DataFrame:
     """(et, u, n): a row for each user and window with a row that is the least of its day (u) or ever (n)
     so far, from (user_id, et, create_time) with a watermark on et."""
     micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
-    slim = stream.select("user_id", "et", micros("et").alias("et_us"), micros("create_time").alias("made"), day_number("create_time").alias("day"))
-    kind = stream.schema["user_id"].dataType.simpleString()
-    return _keyed(slim, ["user_id"], LeastSoFar(width_ms(width)), f"user_id {kind}, et timestamp, u int, n int", "et").select("et", "u", "n")
+    user = F.col("user_id").cast("string")
+    slim = stream.select(part_of(user), user.alias("user_id"), "et", micros("et").alias("et_us"), micros("create_time").alias("made"), day_number("create_time").alias("day"))
+    kind = stream.schema["et"].dataType.simpleString()
+    return _keyed(slim, ["part"], LeastSoFar(width_ms(width)), f"et {kind}, u int, n int", "et")
 
 
 class SeenSince(StatefulProcessor):
-    """Repairs the visitor flag of a device's records by its first-seen day, see
+    """Repairs the visitor flag of the records of a part's devices by their first-seen days, see
     `traffic.repaired_flag`. The first batch of a device is held until its first record is known; later
     ones pass through. With `keep_ms`, a device that was not seen for so long is forgotten."""
 
@@ -194,36 +207,59 @@ class SeenSince(StatefulProcessor):
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.since = handle.getValueState("since", "day int")
-        self.last = handle.getValueState("last", "ms long")
+        self.seen = handle.getValueState("seen", "names array<string>, since array<int>, last array<long>")
+
+    def _known(self) -> dict[str, tuple[int | None, int]]:
+        """Each device's first-seen day, and the time of its last record."""
+        if not self.seen.exists():
+            return {}
+        names, since, last = self.seen.get()
+        return dict(zip(names, zip(since, last, strict=True), strict=True))
+
+    def _update(self, known: dict[str, tuple[int | None, int]]) -> None:
+        self.seen.update((list(known), [s for s, _ in known.values()], [t for _, t in known.values()]))
 
     def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        first, last = None, 0
-        if not self.since.exists():
-            held = list(rows)
-            first = min(held, key=lambda r: (r["ts"] is not None, r["ts"] or 0, r["seq"]))  # nulls first, as in batch
-            # a first record without a time has no day that later ones could miss
-            day = first["day"]
-            self.since.update((None if day is None else day if first["is_new"] == "1" else day - 1,))
-            rows = iter(held)
-        since = self.since.get()[0]
+        known, held, last = self._known(), {}, {}
+        begun, out = not known, Row("et", "is_new", "value")
+
+        def repaired(r: Row, since: int | None, first: bool = False) -> Row:
+            _, _, et, _, _, day, flag, value = r
+            return out(et, flag if first or flag != "1" or since is None or day is None or day == since else "0", value)
+
         for r in rows:
-            last = max(last, r["ts"] or 0)
-            stays = r is first or r["is_new"] != "1" or since is None or r["day"] is None or r["day"] == since
-            yield Row(**{**r.asDict(), "is_new": r["is_new"] if stays else "0"})
-        if self.keep is not None:
-            before = self.last.get()[0] if self.last.exists() else None
-            if before is None:
-                self.handle.registerTimer(last + self.keep)
-            self.last.update((max(last, before or 0),))
+            name = r[1]
+            if self.keep is not None:
+                last[name] = max(last.get(name, 0), r[3] or 0)
+            if name in known:
+                yield repaired(r, known[name][0])
+            else:
+                held.setdefault(name, []).append(r)
+        changed = bool(held) or bool(last)
+        for name in list(held):
+            own = held.pop(name)
+            first = min(own, key=lambda r: (r[3] is not None, r[3] or 0, r[4]))  # nulls first, as in batch
+            # a first record without a time has no day that later ones could miss
+            _, _, _, _, _, day, flag, _ = first
+            known[name] = (None if day is None else day if flag == "1" else day - 1, 0)
+            for r in own:
+                yield repaired(r, known[name][0], r is first)
+        for name, ms in last.items():
+            known[name] = (known[name][0], max(known[name][1], ms))
+        if changed:
+            self._update(known)
+            if begun and self.keep is not None:
+                self.handle.registerTimer(min(t for _, t in known.values()) + self.keep)
 
     def handleExpiredTimer(self, key: Any, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        due = self.last.get()[0] + self.keep
-        if due > expiredTimerInfo.getExpiryTimeInMs():
-            self.handle.registerTimer(due)
+        # a part that has state has one timer: when the device that was silent for longest is due
+        now = expiredTimerInfo.getExpiryTimeInMs()
+        known = {name: v for name, v in self._known().items() if v[1] + self.keep > now}
+        if known:
+            self._update(known)
+            self.handle.registerTimer(min(t for _, t in known.values()) + self.keep)
         else:
-            self.since.clear()
-            self.last.clear()
+            self.seen.clear()
         return iter(())
 
     def close(self) -> None:
@@ -231,6 +267,7 @@ class SeenSince(StatefulProcessor):
 
 
 def seen_since(stream: DataFrame, keep: str | None) -> DataFrame:
-    """(mid, et, ts, seq, day, is_new, value) with `is_new` repaired, from a stream with a watermark on et."""
-    slim = stream.select("mid", "et", "ts", "seq", day_number("et").alias("day"), "is_new", "value")
-    return _keyed(slim, ["mid"], SeenSince(width_ms(keep) if keep else None), slim.schema, "et")
+    """(et, is_new, value) with `is_new` repaired, from (mid, et, ts, seq, is_new, value) with a watermark on et."""
+    name = F.to_json(F.struct("mid"))  # a null is a device too
+    slim = stream.select(part_of(name), name.alias("name"), "et", "ts", "seq", day_number("et").alias("day"), "is_new", "value")
+    return _keyed(slim, ["part"], SeenSince(width_ms(keep) if keep else None), "et timestamp, is_new string, value string", "et")
