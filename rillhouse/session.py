@@ -31,16 +31,24 @@ def conf_set(spark: SparkSession, name: str, value) -> Iterator[None]:
         spark.conf.unset(name) if before is None else spark.conf.set(name, before)
 
 
-#: Partitions that shuffles of batches are dealt into before adaptive plans put small ones together.
-FINE = 1024
-_FINE = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+#: Partitions that shuffles of batches are dealt into before adaptive plans put small ones together, and
+#: compressed bytes that a task then takes, of a shuffle or of a table's files.
+FINE, TASK_BYTES = 1024, 16 * 1024 * 1024
+_FINE = {
+    "spark.sql.adaptive.coalescePartitions.initialPartitionNum": FINE,
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": TASK_BYTES,
+    "spark.sql.files.maxPartitionBytes": TASK_BYTES,
+}
 
 
 def fine_partitions(spark: SparkSession) -> None:
     """Where unset, let adaptive plans choose partitions by size from many small ones: a task's rows then
-    don't grow with the input, as they do with a fixed number of partitions."""
-    if spark.conf.get(_FINE, None) is None:
-        spark.conf.set(_FINE, FINE)
+    don't grow with the input, as they do with a fixed number of partitions. Shares are small, as compressed
+    rows take ten times their bytes and more where they are sorted, and as a task that deals its rows into
+    more than 200 partitions holds them all."""
+    for name, value in _FINE.items():
+        if spark.conf.get(name, None) is None:
+            spark.conf.set(name, value)
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
