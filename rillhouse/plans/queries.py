@@ -367,12 +367,21 @@ def route_facts(spark, d):
 
 #: Whether a state store counts its rows, for metrics alone: a read for each write.
 _COUNTED = "spark.sql.streaming.stateStore.rocksdb.trackTotalNumberOfRows"
+#: Rows that a part of a stream's state takes, about: a part's store costs about half a second of a core in each
+#: batch, however few its rows.
+_PARTS, PART_ROWS = "spark.sql.shuffle.partitions", 50_000
 
 
-def _appended(spark: SparkSession, out: DataFrame) -> DataFrame:
-    """All that a stream appends."""
+def _parts(spark: SparkSession, rows: int | None) -> int:
+    """Parts of the state of a stream of so many rows: one for each core at least, and no more than the session says."""
+    given = int(spark.conf.get(_PARTS))
+    return given if rows is None else min(given, max(spark.sparkContext.defaultParallelism, -(-rows // PART_ROWS)))
+
+
+def _appended(spark: SparkSession, out: DataFrame, rows: int | None = None) -> DataFrame:
+    """All that a stream appends, of so many rows where that is known."""
     path = shared_path(spark, "appended")
-    with conf_set(spark, _COUNTED, "false"):
+    with conf_set(spark, _COUNTED, "false"), conf_set(spark, _PARTS, _parts(spark, rows)):
         runners.append(out, path, shared_path(spark, "appended-checkpoint"))
     return runners.rows(spark, path, out.schema)
 
@@ -395,7 +404,8 @@ def stream_upsert(spark, d):
 @query("SELECT event_id AS seq, user_id, row_number() OVER (PARTITION BY user_id, CAST(ts AS DATE) ORDER BY ts, event_id) = 1 AS is_first FROM events WHERE event_type = 'purchase'")
 def stream_first_of_day(spark, d):
     """Every purchase, marked if it is its user's first of the day."""
-    return _appended(spark, windows.marked_first_of_day(_event_stream(spark, d, "purchase"), "user_id").select("seq", "user_id", "is_first")).where("seq >= 0")
+    out = windows.marked_first_of_day(_event_stream(spark, d, "purchase"), "user_id").select("seq", "user_id", "is_first")
+    return _appended(spark, out, fx.table(spark, d, "events").where("event_type = 'purchase'").count()).where("seq >= 0")
 
 
 @query("SELECT 'fact_order' AS sink_table, CAST(o_orderkey AS VARCHAR) AS id, 'insert' AS op_type FROM orders UNION ALL SELECT 'fact_comment', CAST(o_orderkey AS VARCHAR), 'insert' FROM orders WHERE o_orderkey % 5 = 0")

@@ -7,6 +7,7 @@ session's setting; that is put back once the query has started."""
 from __future__ import annotations
 
 from collections.abc import Callable
+from contextlib import ExitStack
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,12 +22,18 @@ _PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 #: Batches whose state is kept: a restart needs the last two. (The engine's default of 100 keeps the disk of state
 #: long after its rows are gone.)
 _RETAINED, BATCHES = "spark.sql.streaming.minBatchesToRetain", 2
+#: With the third format a part of a join keeps its state in one store, not in four. A checkpoint keeps the format it began with.
+_JOINS, ONE_STORE = "spark.sql.streaming.join.stateFormatVersion", 3
+#: A batch commits what it changed, not files of all its stores.
+_CHANGES = "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled"
 
 
 def _start(stream: DataFrame, writer: DataStreamWriter, checkpoint: str, every: str | None) -> StreamingQuery:
     writer = writer.outputMode("append").option("checkpointLocation", checkpoint)
     writer = writer.trigger(availableNow=True) if every is None else writer.trigger(processingTime=every)
-    with conf_set(stream.sparkSession, _PROVIDER, ROCKSDB), conf_set(stream.sparkSession, _RETAINED, BATCHES):
+    with ExitStack() as held:
+        for name, value in ((_PROVIDER, ROCKSDB), (_RETAINED, BATCHES), (_JOINS, ONE_STORE), (_CHANGES, "true")):
+            held.enter_context(conf_set(stream.sparkSession, name, value))
         query = writer.start()
     if every is None:
         query.awaitTermination()
