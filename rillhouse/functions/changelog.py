@@ -11,15 +11,23 @@ def valid(df: DataFrame, database: str, types: tuple[str, ...] = ("insert", "upd
     return df.where((F.col("database") == database) & (F.trim("table") != "") & F.col("type").isin(*types) & F.col("ts").isNotNull() & (F.size("data") > 0))
 
 
+def taken(table: str, op: str) -> Column:
+    return (F.col("table") == table) & (F.col("type") == op)
+
+
 def take(df: DataFrame, table: str, op: str, *keys: str) -> DataFrame:
     """Rows of one table and operation: the named keys of `data` as strings, and ts."""
-    return df.where((F.col("table") == table) & (F.col("type") == op)).select(*[F.col("data")[k].alias(k) for k in keys], "ts")
+    return df.where(taken(table, op)).select(*[F.col("data")[k].alias(k) for k in keys], "ts")
+
+
+def went(table: str, column: str, old: str | None, new: str) -> Column:
+    was = F.col("old")[column]
+    return taken(table, "update") & (was.isNotNull() if old is None else was == old) & (F.col("data")[column] == new)
 
 
 def transition(df: DataFrame, table: str, column: str, old: str | None, new: str) -> DataFrame:
     """Updates that took `column` from `old`, or from any known value, to `new`."""
-    was = F.col("old")[column]
-    return df.where((F.col("table") == table) & (F.col("type") == "update") & (was.isNotNull() if old is None else was == old) & (F.col("data")[column] == new))
+    return df.where(went(table, column, old, new))
 
 
 def pick(df: DataFrame, *keys: str) -> DataFrame:

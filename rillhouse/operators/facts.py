@@ -1,11 +1,12 @@
-"""Trade and comment facts from the changelog. Streams bound each join by event time `et`."""
+"""Trade and comment facts from the changelog. Streams bound each join by event time `et`; batches do where a
+bound is given, as the ranges of time of `streaming.ranges` do."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rillhouse.functions.changelog import cart_delta, pick, take, transition
+from rillhouse.functions.changelog import cart_delta, pick, take, taken, transition, went
 from rillhouse.functions.times import width_ms
 
 from .lookup import lookup_join
@@ -19,16 +20,25 @@ def _timed(df: DataFrame, name: str = "et", delay: str = "10 seconds") -> DataFr
     return out.withWatermark(name, delay) if df.isStreaming else out
 
 
-def _near(left: DataFrame, right: DataFrame, on, how: str, bound: str) -> DataFrame:
-    """Equi-join; on streams also within `bound` of event time, so that state can end. The right
-    side's time goes."""
-    if left.isStreaming:
+def reads(fact: str) -> list[Column]:
+    """The changes that a fact reads, by kind: a stream's watermark is the least of theirs."""
+    if fact == "refund_pay":
+        return [went("order_refund_info", "refund_status", "0701", "0702"), went("order_info", "order_status", None, "1005"), went("refund_payment", "refund_status", None, "1602")]
+    more = {"order_detail": [], "cancel_detail": [("order_info", "order_status", "1001", "1003")], "pay_detail": [("payment_info", "payment_status", "1601", "1602")]}[fact]
+    return [taken(t, "insert") for t in ("order_detail", "order_info", "order_detail_coupon", "order_detail_activity")] + [went(*w) for w in more]
+
+
+def _near(left: DataFrame, right: DataFrame, on, how: str, bound: str | None) -> DataFrame:
+    """Equi-join, within `bound` of event time where that is given; streams take 10 seconds if not, so that
+    state can end. The right side's time goes."""
+    bound = bound or ("10 seconds" if left.isStreaming else None)
+    if bound:
         r = F.expr(f"ret between et - interval {bound} and et + interval {bound}")
         return left.join(_timed(right, "ret").drop("ts"), on & r, how).drop("ret")
     return left.join(right.drop("ts"), on, how)
 
 
-def order_detail(changelog: DataFrame, bound: str = "10 seconds") -> DataFrame:
+def order_detail(changelog: DataFrame, bound: str | None = None) -> DataFrame:
     """Inserted order lines, widened by their order, coupon and activity."""
     od = _timed(take(changelog, "order_detail", "insert", *DETAIL))
     oi = take(changelog, "order_info", "insert", "id", "user_id", "province_id").withColumnRenamed("id", "oi_id")
@@ -39,14 +49,17 @@ def order_detail(changelog: DataFrame, bound: str = "10 seconds") -> DataFrame:
     return _near(out, ad, F.col("id") == F.col("ad_id"), "left", bound).drop("ad_id")
 
 
-def cancel_detail(changelog: DataFrame, details: DataFrame) -> DataFrame:
-    """Order lines of orders that went from placed to cancelled."""
+def cancel_detail(changelog: DataFrame, details: DataFrame, within: str | None = None) -> DataFrame:
+    """Order lines of orders that went from placed to cancelled, `within` so long of them where that is given;
+    streams take 35 minutes if not."""
     cancels = pick(transition(changelog, "order_info", "order_status", "1001", "1003"), "id", "operate_time")
     cancels = cancels.select(F.col("id").alias("c_id"), F.col("operate_time").alias("cancel_time"), F.timestamp_seconds("ts").alias("cet"))
     on = F.col("order_id") == F.col("c_id")
     if changelog.isStreaming:
         cancels = cancels.withWatermark("cet", "10 seconds")
-        on = on & F.expr("cet between et and et + interval 35 minutes")
+        within = within or "35 minutes"
+    if within:
+        on = on & F.expr(f"cet between et and et + interval {within}")
     return details.join(cancels, on).drop("c_id", "cet")
 
 
@@ -73,27 +86,28 @@ def pay_detail(changelog: DataFrame, details: DataFrame, dic: DataFrame) -> Data
     return lookup_join(out, dic, "payment_type", {"dic_name": "payment_type_name"})
 
 
-def order_refund(changelog: DataFrame, dic: DataFrame) -> DataFrame:
+def order_refund(changelog: DataFrame, dic: DataFrame, bound: str | None = None) -> DataFrame:
     """Approved refunds of order lines, with the order's province and code names; `et` is kept, so
     that the payment join can bound its state by it."""
     keys = ("id", "user_id", "order_id", "sku_id", "refund_type", "refund_num", "refund_amount", "refund_reason_type", "refund_reason_txt", "operate_time")
     refunds = _timed(pick(transition(changelog, "order_refund_info", "refund_status", "0701", "0702"), *keys))
     orders = pick(transition(changelog, "order_info", "order_status", None, "1005"), "id", "province_id").withColumnRenamed("id", "oi_id")
-    out = _near(refunds, orders, F.col("order_id") == F.col("oi_id"), "inner", "10 seconds").drop("oi_id")
+    out = _near(refunds, orders, F.col("order_id") == F.col("oi_id"), "inner", bound).drop("oi_id")
     out = lookup_join(out, dic, "refund_type", {"dic_name": "refund_type_name"})
     return lookup_join(out, dic, "refund_reason_type", {"dic_name": "refund_reason_type_name"})
 
 
-def refund_pay(changelog: DataFrame, refunds: DataFrame, dic: DataFrame) -> DataFrame:
-    """Paid refunds: each payment with every refunded sku of its order, and code names. On streams a
-    payment comes within seven days of its refund."""
+def refund_pay(changelog: DataFrame, refunds: DataFrame, dic: DataFrame, bound: str | None = None) -> DataFrame:
+    """Paid refunds: each payment with every refunded sku of its order, and code names; within `bound` of
+    its refund where that is given. Streams take seven days if not."""
     keys = ("id", "order_id", "out_trade_no", "refund_status", "payment_type", "trade_no", "callback_time")
     pays = pick(transition(changelog, "refund_payment", "refund_status", None, "1602"), *keys)
     lines = refunds.drop("id", "ts").withColumnRenamed("order_id", "r_order_id")
     on = F.col("order_id") == F.col("r_order_id")
-    if pays.isStreaming:
+    bound = bound or ("7 days" if pays.isStreaming else None)
+    if bound:
         pays = _timed(pays, "pet")
-        on = on & F.expr("pet between et - interval 7 days and et + interval 7 days")
+        on = on & F.expr(f"pet between et - interval {bound} and et + interval {bound}")
     out = pays.join(lines, on).drop("r_order_id", "et", "pet")
     out = lookup_join(out, dic, "refund_status", {"dic_name": "refund_status_name"})
     return lookup_join(out, dic, "payment_type", {"dic_name": "payment_type_name"})

@@ -172,15 +172,17 @@ def _timed(details: DataFrame) -> DataFrame:
 SKU_NAMES = ["sku_name", "spu_id", "spu_name", "trademark_id", "trademark_name", *[f"category{k}_{x}" for k in (1, 2, 3) for x in ("id", "name")]]
 
 
-def sku_order_window(details: DataFrame, sku_dim: DataFrame, width: str = WIDTH, delay: str = DELAY, keep: str = "1 day") -> DataFrame:
+def sku_order_window(details: DataFrame, sku_dim: DataFrame, width: str = WIDTH, delay: str = DELAY, keep: str = "1 day", only: Column | None = None) -> DataFrame:
     """Amounts of each sku's first-version order lines, with its chain of dimensions. The sums go
-    to the lookup, so that few rows are joined. On streams a line is remembered for `keep`."""
+    to the lookup, so that few rows are joined. On streams a line is remembered for `keep`. First versions
+    of batches count where `only` says so, if given."""
     columns = ["id", "sku_id", "sku_num", "split_total_amount", "split_activity_amount", "split_coupon_amount", "create_time"]
     rows = watermarked(_timed(details), "create_time", delay)
     if details.isStreaming:
         first = first_rows(rows.where("create_time IS NOT NULL"), [F.col("id")], columns, ("seq",), "create_time", _later("create_time", keep))
     else:
         first = first_per_key(rows.select(*columns, "seq"), ["id"], ["seq"])
+        first = first if only is None else first.where(only)
     return with_sku(sku_order_sums(first, width), sku_dim)
 
 

@@ -7,13 +7,14 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from rillhouse.functions import changelog as ch
 from rillhouse.functions.times import stamp, to_seconds
 from rillhouse.operators import facts, routing, traffic, windows
 from rillhouse.session import conf_set, shared_path
 from rillhouse.sources import topics
-from rillhouse.streaming import dims, keyed, runners
+from rillhouse.streaming import dims, keyed, ranges, runners
 
 from . import fixtures as fx
 
@@ -442,12 +443,15 @@ def _closed(spark: SparkSession, rows: DataFrame, **values: str) -> DataFrame:
     """Rows as a stream of files, and a row after all others, which closes the windows. It has the given
     values and passes the jobs' filters, as rows that these drop don't move the watermark."""
     path = shared_path(spark, "stream")
-    made = {"timestamp": fx.END, "string": "end", "boolean": "true"}
-    end = spark.range(1).select(*[F.lit(values.get(c, made.get(t, "-1"))).cast(t).alias(c) for c, t in rows.dtypes])
-    rows.unionByName(end).write.parquet(path)
+    rows.unionByName(_end(spark, rows, **values)).write.parquet(path)
     return spark.readStream.schema(rows.schema).parquet(path)
 
 
+def _end(spark: SparkSession, rows: DataFrame, **values: str) -> DataFrame:
+    made = {"timestamp": fx.END, "string": "end", "boolean": "true"}
+    return spark.range(1).select(*[F.lit(values.get(c, made.get(t, "-1"))).cast(t).alias(c) for c, t in rows.dtypes])
+
+
 def _event_stream(spark: SparkSession, d: str, kind: str) -> DataFrame:
     at = F.col("ts").cast("timestamp")
     return _closed(spark, fx.table(spark, d, "events").where(F.col("event_type") == kind).select("user_id", at.alias("et"), at.alias("create_time"), F.col("event_id").alias("seq")))
@@ -474,15 +478,53 @@ STREAMS = {
     "login_window": (lambda s, d: _page_stream(s, d, "login").where("last_page_id = 'login'"), lambda s, d, r, w: windows.login_window(r, w), 86400),
     "payment_window": (lambda s, d: _event_stream(s, d, "purchase"), lambda s, d, r, w: windows.payment_window(r, w), 3600),
     "order_window": (_line_stream, lambda s, d, r, w: windows.order_window(r, w), 86400),
-    "sku_order_window": (_line_stream, lambda s, d, r, w: windows.sku_order_window(r, fx.wide_sku(s, d), w), 86400),
-    "province_order_window": (_line_stream, lambda s, d, r, w: windows.province_order_window(r, fx.province(s, d), w), 86400),
     "refund_window": (lambda s, d: _line_stream(s, d, "seq = 1 and l_returnflag = 'R'"), lambda s, d, r, w: windows.refund_window(r, fx.wide_sku(s, d), w), 86400),
 }
+
+
+def _hourly(name: str, seconds: int) -> str:
+    """The SQL of a batch query whose windows are so many seconds wide, for windows of an hour."""
+    sql = SQL[name]
+    for ts in ("et", "ts", "create_time"):
+        sql = sql.replace(win(ts, seconds), win(ts, 3600))
+    return sql
+
+
 for _name, (_rows, _job, _s) in STREAMS.items():
-    _sql = SQL[_name]
-    for _ts in ("et", "ts", "create_time"):
-        _sql = _sql.replace(win(_ts, _s), win(_ts, 3600))
-    query(_sql, f"stream_{_name.replace('_day', '')}")(lambda spark, d, rows=_rows, job=_job: _appended(spark, job(spark, d, rows(spark, d), "1 hour")))
+    query(_hourly(_name, _s), f"stream_{_name.replace('_day', '')}")(lambda spark, d, rows=_rows, job=_job: _appended(spark, job(spark, d, rows(spark, d), "1 hour")))
+
+
+def _lines_in_order(spark: SparkSession, d: str, *columns: str) -> DataFrame:
+    """Versions of order lines as a stream of batches in order of time, and a row after all others."""
+    path = shared_path(spark, "stream")
+    rows = fx.detail_versions(spark, d).withColumn("create_time", F.col("create_time").cast("timestamp")).select(*columns)
+    write = lambda df: df.write.mode("append").parquet(path)
+    fx.in_order(spark, d, rows, F.unix_seconds("create_time"), write, path)
+    write(_end(spark, rows))
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", fx.BATCH_FILES).parquet(path)
+
+
+def _windows_of(spark: SparkSession, lines: DataFrame, job: Callable[[DataFrame, ranges.Within, Column], DataFrame], back: str = "0 seconds", delay: str = windows.DELAY) -> DataFrame:
+    """The hours of a stream of lines by their `create_time`, by ranges of whole hours: no store keeps state for each line."""
+    path, us = shared_path(spark, "hours"), F.unix_micros(F.col("create_time").try_cast("timestamp"))
+    run = lambda rows, within: job(rows, within(us))
+    ranges.by_range(lines, run, path, shared_path(spark, "hours-checkpoint"), us, [F.lit(True)], back, delay=delay, step="1 hour")
+    return ranges.rows(spark, path, run(spark.createDataFrame([], lines.schema), lambda at: F.lit(True)).schema)
+
+
+@query(_hourly("sku_order_window", 86400))
+def stream_sku_order_window(spark, d):
+    """A line is remembered for a day."""
+    lines = _lines_in_order(spark, d, "id", "seq", "sku_id", "sku_num", "split_total_amount", "split_activity_amount", "split_coupon_amount", "create_time")
+    sku = fx.wide_sku(spark, d)
+    return _windows_of(spark, lines, lambda rows, only: windows.sku_order_window(rows, sku, "1 hour", only=only), "1 day")
+
+
+@query(_hourly("province_order_window", 86400))
+def stream_province_order_window(spark, d):
+    lines = _lines_in_order(spark, d, "id", "province_id", "order_id", "split_total_amount", "create_time")
+    province = fx.province(spark, d)
+    return _windows_of(spark, lines, lambda rows, only: windows.province_order_window(rows.where(only), province, "1 hour"))
 
 
 @query(SQL["repair_is_new"])
@@ -501,14 +543,44 @@ def stream_repair_is_new(spark, d):
 
 
 def _change_stream(spark: SparkSession, d: str, *parts: str) -> DataFrame:
-    topic = fx.topic_of_files(spark, d, fx.changelog(spark, d, *parts), fx.closing_changes())
+    topic = fx.topic_of_files(spark, d, fx.timed_changelog(spark, d, *parts), fx.closing_changes())
     return topics.parse_changelog(topics.read_raw(spark, topic, stream=True, files=fx.BATCH_FILES))
 
 
-def _without_end(rows: DataFrame) -> DataFrame:
-    """Appended rows but the closing one. On the stream itself the optimizer would put this filter below
-    the watermark, which the closing row then would not move."""
-    return rows.where("id <> 'end'")
+#: What facts need of a changelog around a range of it, before and after: order lines have partners within half an
+#: hour, cancels come within 35 minutes of them, payments after lines of half an hour, refunds within 7 days.
+AROUND = {"order_detail": ("30 minutes", "30 minutes"), "cancel_detail": ("30 minutes", "35 minutes"), "pay_detail": ("1 hour", "30 minutes"), "refund_pay": ("7 days 10 seconds", "7 days 10 seconds")}
+
+
+def _facts_of_range(spark: SparkSession, fact: str, log: DataFrame) -> DataFrame:
+    dic = fx.dic(spark)
+    if fact == "refund_pay":
+        return facts.refund_pay(log, facts.order_refund(log, dic, "10 seconds"), dic, "7 days")
+    lines = facts.order_detail(log, "30 minutes")
+    return {"order_detail": lambda: lines, "cancel_detail": lambda: facts.cancel_detail(log, lines, "35 minutes"), "pay_detail": lambda: facts.pay_detail(log, lines, dic)}[fact]()
+
+
+def _facts(spark: SparkSession, fact: str, log: DataFrame, more: Callable[[DataFrame], DataFrame], write: Callable[[DataFrame, int], None] | None = None) -> tuple[str, StructType]:
+    """Facts of a stream of changes, by ranges of their time `ts`: where they lie, and their schema."""
+    path, us = shared_path(spark, "facts"), F.col("ts") * 1_000_000
+    job = lambda rows, within: more(_facts_of_range(spark, fact, rows)).where(within(us))
+    back, ahead = AROUND[fact]
+    ranges.by_range(log, job, path, shared_path(spark, "facts-checkpoint"), us, facts.reads(fact), back, ahead, deal="table", write=write)
+    return path, job(spark.createDataFrame([], log.schema), lambda at: F.lit(True)).schema
+
+
+def _stream_of_facts(spark: SparkSession, d: str, fact: str, *parts: str) -> DataFrame:
+    """The closing fact is left out at the end: left out on the stream it would close nothing."""
+    found = ranges.rows(spark, *_facts(spark, fact, _change_stream(spark, d, *parts), lambda df: df.drop("et")))
+    return found.where("id <> 'end'")
+
+
+def _through_topic(spark: SparkSession, fact: str, log: DataFrame, more: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Facts of a stream put into a topic of JSON, and that topic as a stream."""
+    topic = shared_path(spark, "facts-topic")
+    write = lambda df, n: topics.as_json(df).write.mode("overwrite").option("compression", "gzip").text(f"{topic}/batch-{n}")
+    _, schema = _facts(spark, fact, log, more, write)
+    return topics.parse_topic(topics.read_raw(spark, f"{topic}/batch-*", stream=True), ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in schema))
 
 
 #: Order lines whose order, coupon and activity come within half an hour of them; else these are null.
@@ -522,16 +594,14 @@ ORDER_PARTS = ("order", "detail", "coupon", "activity")
 
 @query(f"WITH {OD}, {LINE}, {DETAIL}, {NEAR} SELECT {DETAIL_COLUMNS} FROM near")
 def stream_order_detail(spark, d):
-    """Three stream-stream outer joins, their state bounded by half an hour of event time."""
-    out = facts.order_detail(_change_stream(spark, d, *ORDER_PARTS), "30 minutes")
-    return _without_end(_appended(spark, out.drop("et")))
+    """Three outer joins on a stream, what they hold bounded by half an hour of event time."""
+    return _stream_of_facts(spark, d, "order_detail", *ORDER_PARTS)
 
 
 @query(f"WITH {OD}, {LINE}, {DETAIL}, {NEAR} SELECT {DETAIL_COLUMNS}, create_time AS cancel_time FROM near WHERE o_orderstatus = 'P' AND sec - ts <= 2100")
 def stream_cancel_detail(spark, d):
     """Cancels within 35 minutes of their lines."""
-    log = _change_stream(spark, d, *ORDER_PARTS, "cancel")
-    return _appended(spark, facts.cancel_detail(log, facts.order_detail(log, "30 minutes")).drop("et"))
+    return _stream_of_facts(spark, d, "cancel_detail", *ORDER_PARTS, "cancel")
 
 
 _PAY_SQL = SQL["pay_detail"].replace("FROM detail LEFT", "FROM near LEFT").replace("detail.id", "near.id").replace(f"{DETAIL}, {DIC}", f"{DETAIL}, {NEAR}, {DIC}").replace("SELECT 'p' || l_orderkey AS id, user_id", "SELECT 'p' || l_orderkey AS id, (SELECT CAST(o_custkey AS VARCHAR) FROM orders WHERE o_orderkey = l_orderkey) AS user_id")
@@ -540,15 +610,13 @@ _PAY_SQL = SQL["pay_detail"].replace("FROM detail LEFT", "FROM near LEFT").repla
 @query(_PAY_SQL)
 def stream_pay_detail(spark, d):
     """The interval join on streams."""
-    log = _change_stream(spark, d, *ORDER_PARTS, "pay")
-    return _without_end(_appended(spark, facts.pay_detail(log, facts.order_detail(log, "30 minutes"), fx.dic(spark)).drop("et")))
+    return _stream_of_facts(spark, d, "pay_detail", *ORDER_PARTS, "pay")
 
 
 @query(SQL["refund_pay"])
 def stream_refund_pay(spark, d):
     """Refunds wait up to seven days for their payments."""
-    log = _change_stream(spark, d, "refund", "refund_order", "refund_pay")
-    return _appended(spark, facts.refund_pay(log, facts.order_refund(log, fx.dic(spark)), fx.dic(spark)))
+    return _stream_of_facts(spark, d, "refund_pay", "refund", "refund_order", "refund_pay")
 
 
 # --- from raw changes to windows
@@ -557,14 +625,7 @@ def stream_refund_pay(spark, d):
 def _dirty(raw: DataFrame) -> DataFrame:
     """Raw changes, the amounts of every third line of an order unreadable."""
     third = (F.get_json_object("value", "$.table") == "order_detail") & F.get_json_object("value", "$.data.id").endswith("-3")
-    return raw.select(F.when(third, F.replace("value", F.lit('"split_total_amount":"'), F.lit('"split_total_amount":"x'))).otherwise(F.col("value")).alias("value"))
-
-
-def _through_topic(spark: SparkSession, facts_: DataFrame) -> DataFrame:
-    """A stream appended to a topic of JSON, and that topic as a stream."""
-    topic = shared_path(spark, "facts-topic")
-    runners.append_topic(facts_, topic, shared_path(spark, "facts-checkpoint"))
-    return topics.parse_topic(topics.read_raw(spark, topic, stream=True), ", ".join(f"{c} {t}" for c, t in facts_.dtypes))
+    return raw.withColumn("value", F.when(third, F.replace("value", F.lit('"split_total_amount":"'), F.lit('"split_total_amount":"x'))).otherwise(F.col("value")))
 
 
 _ODS_SQL = SQL["stream_sku_order_window"].replace("sum(total) AS t", "sum(CASE WHEN l_linenumber <> 3 THEN total END) AS t")
@@ -582,10 +643,12 @@ def ods_sku_order_window(spark, d):
 @query(_ODS_SQL)
 def stream_ods_to_dws(spark, d):
     """The same on streams: raw topic, joins, a topic of facts as JSON, and its windows."""
-    raw = fx.topic_of_files(spark, d, _dirty(fx.changelog(spark, d, *ORDER_PARTS)), fx.closing_changes())
-    lines = facts.order_detail(topics.parse_changelog(topics.read_raw(spark, raw, stream=True, files=fx.BATCH_FILES)), "30 minutes").drop("et")
-    typed = _through_topic(spark, lines)
-    return _appended(spark, windows.sku_order_window(typed.withColumn("seq", F.col("ts")), fx.wide_sku(spark, d), "1 hour"))
+    raw = fx.topic_of_files(spark, d, _dirty(fx.timed_changelog(spark, d, *ORDER_PARTS)), fx.closing_changes())
+    log = topics.parse_changelog(topics.read_raw(spark, raw, stream=True, files=fx.BATCH_FILES))
+    lines = _through_topic(spark, "order_detail", log, lambda df: df.drop("et")).withColumn("seq", F.col("ts"))
+    sku = fx.wide_sku(spark, d)
+    # lines come in order of `ts`, which is up to an hour before their order was made
+    return _windows_of(spark, lines, lambda rows, only: windows.sku_order_window(rows, sku, "1 hour", only=only), "1 day", "1 hour")
 
 
 @query(f"""WITH {OD}, {LINE}, {DETAIL}, p AS (SELECT DISTINCT user_id, make_timestamp(sec * 1000000) AS et FROM detail WHERE o_orderstatus = 'F' AND ts BETWEEN sec - 1800 AND sec),
@@ -594,8 +657,7 @@ SELECT {win('et', 3600)}, count(*) AS payment_suc_unique_user_count, CAST(sum(CA
 def stream_ods_payment_window(spark, d):
     """Raw changes to payments (outer joins and the interval join) to a topic of facts, and its windows."""
     log = _change_stream(spark, d, *ORDER_PARTS, "pay")
-    pays = facts.pay_detail(log, facts.order_detail(log, "30 minutes"), fx.dic(spark))
-    typed = _through_topic(spark, pays.withColumn("seq", F.xxhash64("id", "order_detail_id")))
+    typed = _through_topic(spark, "pay_detail", log, lambda df: df.withColumn("seq", F.xxhash64("id", "order_detail_id")))
     return _appended(spark, windows.payment_window(typed, "1 hour", "10 seconds"))
 
 

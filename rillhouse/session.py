@@ -31,6 +31,8 @@ def conf_set(spark: SparkSession, name: str, value) -> Iterator[None]:
         spark.conf.unset(name) if before is None else spark.conf.set(name, before)
 
 
+#: Whether a query's shuffle files go when it ends, not once the driver happens to collect its garbage.
+SHUFFLES_END = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Partitions that shuffles of batches are dealt into before adaptive plans put small ones together, and
 #: compressed bytes that a task then takes, of a shuffle or of a table's files.
 FINE, TASK_BYTES = 1024, 16 * 1024 * 1024
