@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from rillhouse.session import conf_set
+from rillhouse.session import SHUFFLES_END, conf_set
 
 CHANGELOG = "database string, `table` string, type string, ts bigint, data map<string,string>, old map<string,string>"
 #: Files that a task writing a changelog keeps open, and bytes of their row groups.
@@ -40,11 +40,12 @@ def parse_changelog(raw: DataFrame) -> DataFrame:
 def store_changelog(raw: DataFrame, path: str, by_day: bool = False) -> None:
     """Parse a changelog once and write it as columns, a folder for each table (and day): jobs then
     read only their tables, and no JSON. A task keeps a file open for each of a few tables rather than
-    sort its rows by table; row groups are small, so that large files are read by many tasks."""
+    sort its rows by table; row groups are small, so that large files are read by many tasks. What was
+    shuffled to make the changelog goes with the write, before jobs shuffle its tables."""
     rows = parse_changelog(raw)
     rows = rows.withColumn("day", F.to_date(F.timestamp_seconds("ts"))) if by_day else rows
-    writer = rows.write.option("partitionOverwriteMode", "static").option("parquet.block.size", ROW_GROUP).mode("overwrite")
-    with conf_set(raw.sparkSession, "spark.sql.maxConcurrentOutputFileWriters", OPEN_FILES):
+    writer = rows.write.option("partitionOverwriteMode", "static").option("parquet.block.size", ROW_GROUP).option("compression", "zstd").mode("overwrite")
+    with conf_set(raw.sparkSession, "spark.sql.maxConcurrentOutputFileWriters", OPEN_FILES), conf_set(raw.sparkSession, SHUFFLES_END, "true"):
         writer.partitionBy(*["table", "day"][: 1 + by_day]).parquet(path)
 
 
